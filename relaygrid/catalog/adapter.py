@@ -22,12 +22,30 @@ SCHEME = LabelScheme(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A table that has fewer splits than the session has cores is spread over
+    them by its id; a large one is read as it lies, without a shuffle.
+    """
+    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, rows.columns[0])
 
 
 def shaped(kind: T.StructType, **values: Column) -> Column:
-    """A struct of type ``kind``; fields not given are NULL."""
-    return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+    """A struct of type ``kind``; fields not given are NULL.
+
+    Flat fields are cast one by one and nested ones kept as built: a cast of a
+    whole struct would hide its fields from column pruning.
+    """
+
+    def part(field: T.StructField) -> Column:
+        value = values.get(field.name)
+        if value is None:
+            return F.lit(None).cast(field.dataType)
+        return value if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)) else value.cast(field.dataType)
+
+    return F.struct(*[part(f).alias(f.name) for f in kind.fields])
 
 
 def _security(n: Column) -> Column:
@@ -131,7 +149,7 @@ def binary_columns() -> dict[str, Column]:
 
 
 def _columns(values: dict[str, Column]) -> list[Column]:
-    return [values[f.name].cast(f.dataType).alias(f.name) for f in schemas.BINARY.fields]
+    return [values[f.name].alias(f.name) for f in schemas.BINARY.fields]
 
 
 def messages_of(rows: DataFrame) -> DataFrame:
@@ -186,7 +204,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = binary_columns()
     header = ("model_version", "timestamp", "author")
     columns = [
-        (values[f.name] if f.name in header else F.when(~is_status, values[f.name])).cast(f.dataType).alias(f.name)
+        (values[f.name] if f.name in header else F.when(~is_status, values[f.name])).alias(f.name)
         for f in schemas.BINARY.fields
     ]
     return flat.select(

@@ -105,7 +105,10 @@ def validate_consumers(raw: DataFrame) -> DataFrame:
         F.when(F.size(F.array_except(denied, known)) > 0, "unknown denied action"),
         bad("deny_self"), bad("debug"),
     )
-    count = F.when(F.col("_count") <= 0, V.FETCH_DEFAULT).otherwise(F.least("_count", F.lit(V.FETCH_LIMIT)))
+    count = (
+        F.when(F.col("_count") <= 0, V.FETCH_DEFAULT).when(F.col("_count") > V.FETCH_LIMIT, V.FETCH_LIMIT)
+        .otherwise(F.col("_count"))
+    )
     values = {
         **{name: F.col(f"_{name}") for name in flags},
         **{name: F.col(f"_{name}") for name in numbers},
@@ -149,7 +152,9 @@ def deployments(registrations: DataFrame) -> DataFrame:
     )
 
 
-def subscriptions(consumers: DataFrame, naming: routing.Naming = routing.DEFAULT_NAMING) -> DataFrame:
+def subscriptions(
+    consumers: DataFrame, naming: routing.Naming = routing.DEFAULT_NAMING, carry: list[str] | None = None
+) -> DataFrame:
     """The feeds each consumer reads, best first: expedite, live, historic."""
     spec = spec_column(consumers)
     binary = spec["model"] == "binary"
@@ -171,9 +176,8 @@ def subscriptions(consumers: DataFrame, naming: routing.Naming = routing.DEFAULT
         feed("live", 1, "latest", own, spec["require_live"]),
         feed("historic", 2, "earliest", own, spec["require_historic"]),
     ))
-    return consumers.withColumn("consumer_key", key).select(
-        "consumer_key", "name", "version", "model", F.explode(feeds).alias("f")
-    ).select("consumer_key", "name", "version", "model", "f.*")
+    kept = ["consumer_key", "name", "version", "model", *(carry or [])]
+    return consumers.withColumn("consumer_key", key).select(*kept, F.explode(feeds).alias("f")).select(*kept, "f.*")
 
 
 def _quoted_system(model: Column, naming: routing.Naming) -> Column:
