@@ -70,7 +70,7 @@ def scalars_of(rows: DataFrame) -> DataFrame:
         eid.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), user.alias("user_id"), "event_type", "value",
         k.alias("k"), action.alias("action"), F.concat(F.lit("src"), user % 5).alias("source_name"),
         F.concat(F.lit("plugin"), user % 7).alias("author_name"), F.concat(F.lit("v"), eid % 3).alias("author_version"),
-        _security(eid).alias("security"), F.sha2((user % 40).cast("string"), 256).alias("sha256"),
+        _security(eid).alias("security"), F.sha2((user % 21).cast("string"), 256).alias("sha256"),
         F.floor(F.col("value") * 10).cast("bigint").alias("size"), _format(k).alias("file_format"),
         (k % 14).alias("depth"), (k == 0).alias("expedite"), (k % 10 == 1).alias("bypass"), (k == 2).alias("retry"),
     )
@@ -96,7 +96,7 @@ def _path() -> Column:
                 category=F.lit("plugin"), security=_security(who),
             ),
             action=F.when(i == depth, F.col("action")).otherwise("extracted"),
-            sha256=F.sha2(((user + level) % 40).cast("string"), 256),
+            sha256=F.sha2(((user + level) % 21).cast("string"), 256),
             timestamp=F.col("ts"), file_format=F.col("file_format"), size=F.col("size"),
         )
 
@@ -104,6 +104,20 @@ def _path() -> Column:
     return F.when(depth > 0, nodes).otherwise(F.array().cast(T.ArrayType(schemas.NODE)))
 
 
+def _entity(sha256: Column) -> Column:
+    k = F.col("k")
+    content = shaped(
+        schemas.STREAM, label=F.lit("content"), size=F.col("size"), sha256=F.col("sha256"), file_format=F.col("file_format")
+    )
+    extra = shaped(schemas.STREAM, label=F.lit("text"), size=F.floor(F.col("size") / 2), file_format=F.lit("text/plain"))
+    streams = F.array_compact(F.array(F.when(k % 6 != 0, content), F.when(k % 5 == 0, extra)))
+    return shaped(
+        schemas.ENTITY, sha256=sha256, size=F.col("size"), file_format=F.col("file_format"),
+        features=F.array(shaped(schemas.FEATURE, name=F.lit("kind"), value=k.cast("string"), type=F.lit("integer"))),
+        datastreams=streams,
+    )
+
+
 def binary_columns() -> dict[str, Column]:
     user, k = F.col("user_id"), F.col("k")
     author = shaped(
@@ -119,19 +133,9 @@ def binary_columns() -> dict[str, Column]:
         references=F.create_map(F.lit("user"), (user % 20).cast("string"), F.lit("batch"), (k % 3).cast("string")),
         settings=settings, path=_path(),
     )
-    content = shaped(
-        schemas.STREAM, label=F.lit("content"), size=F.col("size"), sha256=F.col("sha256"), file_format=F.col("file_format")
-    )
-    extra = shaped(schemas.STREAM, label=F.lit("text"), size=F.floor(F.col("size") / 2), file_format=F.lit("text/plain"))
-    streams = F.array_compact(F.array(F.when(k % 6 != 0, content), F.when(k % 5 == 0, extra)))
-    entity = shaped(
-        schemas.ENTITY, sha256=F.col("sha256"), size=F.col("size"), file_format=F.col("file_format"),
-        features=F.array(shaped(schemas.FEATURE, name=F.lit("kind"), value=k.cast("string"), type=F.lit("integer"))),
-        datastreams=streams,
-    )
     return {
         "model_version": F.lit(6), "kafka_key": F.col("kafka_key"), "timestamp": F.col("ts"), "author": author,
-        "source": source, "action": F.col("action"), "entity": entity,
+        "source": source, "action": F.col("action"), "entity": _entity(F.col("sha256")),
         "flags": shaped(
             schemas.FLAGS, bypass_cache=F.col("bypass"), expedite=F.col("expedite"), retry=F.col("retry")
         ),
@@ -163,13 +167,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _status_struct() -> Column:
     """Outcome of the task a row stands for, with 0 to 2 results."""
-    own = F.struct(*_columns(binary_columns()))
+    values = binary_columns()
+    own = F.struct(*_columns(values))
     k = F.col("k")
 
     def result(i: Column) -> Column:
-        return own.withField("action", F.lit("extracted")).withField(
-            "entity.sha256", F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9 + i).cast("string")), 256)
-        ).withField("dequeued", F.lit(None).cast("string"))
+        child = F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9 + i).cast("string")), 256)
+        changed = {"action": F.lit("extracted"), "dequeued": F.lit(None).cast("string"), "entity": _entity(child)}
+        return F.struct(*_columns({**values, **changed}))
 
     results = F.when(k % 3 > 0, F.transform(F.sequence(F.lit(1), k % 3), result)).otherwise(
         F.array().cast(schemas.STATUS_ENTITY["results"].dataType)
@@ -346,7 +351,7 @@ ev AS (
     'src' || (user_id % 5) AS source_name, 'plugin' || (user_id % 7) AS author_name,
     'v' || (event_id % 3) AS author_version,
     ['', 'LOW', 'MEDIUM', 'HIGH MOD1'][event_id % 4 + 1] AS security,
-    sha256(CAST(user_id % 40 AS VARCHAR)) AS sha256,
+    sha256(CAST(user_id % 21 AS VARCHAR)) AS sha256,
     CAST(floor(value * 10) AS BIGINT) AS size,
     ['text/plain', 'executable/windows/pe32', 'executable/windows/dll32', 'document/email'][k % 4 + 1] AS file_format,
     k % 14 AS depth, k = 0 AS expedite, k % 10 = 1 AS bypass, k = 2 AS retry,

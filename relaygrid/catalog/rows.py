@@ -46,7 +46,7 @@ nodes AS (
   SELECT seq, i,
     'plugin' || ((user_id + i) % 7) AS name,
     CASE WHEN i = depth THEN action ELSE 'extracted' END AS node_action,
-    sha256(CAST(CAST(user_id + floor((depth - i) * (1 + user_id % 2) / 2) AS BIGINT) % 40 AS VARCHAR)) AS node_sha,
+    sha256(CAST(CAST(user_id + floor((depth - i) * (1 + user_id % 2) / 2) AS BIGINT) % 21 AS VARCHAR)) AS node_sha,
     ['', 'LOW', 'MEDIUM', 'HIGH MOD1'][(user_id + i) % 4 + 1] AS node_security
   FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM ev)),
 securities AS (

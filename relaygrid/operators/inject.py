@@ -64,7 +64,7 @@ def inject_children(df: DataFrame, register: DataFrame, now, row_id: str = "seq"
     }
     fields = df.schema.fields
     child = F.struct(
-        *[of_child.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
+        *[of_child.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in fields],
         F.col("_insert").alias("injected_key"),
     )
     own = F.struct(*[F.col(f.name) for f in fields], F.lit(None).cast("string").alias("injected_key"))

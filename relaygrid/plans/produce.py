@@ -32,7 +32,7 @@ def fan_out(df: DataFrame, extra: Column, columns: list[str] | None = None) -> D
 def message_struct(df: DataFrame, values: dict[str, Column]) -> Column:
     """A row of ``df``'s shape; columns without a value are NULL."""
     return F.struct(*[
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields
+        values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema.fields
     ])
 
 

@@ -31,8 +31,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
-    return value
+        return None if math.isnan(value) else ("float", round(value, 9))
+    return value if value is None else (type(value).__name__, value)
 
 
 def differences(spark, sf_dir: str, name: str, con=None) -> tuple[list, list, int]:
