@@ -29,6 +29,15 @@ def latest_inserts(inserts: DataFrame) -> DataFrame:
     )
 
 
+def merge_inserts(register: DataFrame, newer: DataFrame) -> DataFrame:
+    """One register from two; the later insert of a parent and key stays."""
+    both = register.unionByName(newer)
+    row = F.struct("seq", "insert")
+    return both.groupBy("parent_sha256", "kafka_key").agg(F.max_by(row, "seq").alias("n")).select(
+        "parent_sha256", "kafka_key", "n.seq", "n.insert"
+    )
+
+
 def injectable(df: DataFrame) -> Column:
     """Messages that bring a new entity, not one more look at the same entity."""
     path = F.col("source.path")

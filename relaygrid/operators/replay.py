@@ -52,6 +52,15 @@ def match_completions(
     )
 
 
+def newest_completions(statuses: DataFrame, row_id: str = "seq") -> DataFrame:
+    """What the cache holds: per entity, plugin and version the last status."""
+    row = F.struct(*statuses.columns)
+    key = [F.col("status.input.entity.sha256"), F.col("author.name"), F.col("author.version")]
+    return statuses.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(
+        F.max_by(row, F.struct("timestamp", row_id)).alias("n")
+    ).select("n.*")
+
+
 def replay_completions(
     events: DataFrame, statuses: DataFrame, matches: DataFrame, now, row_id: str = "seq"
 ) -> tuple[DataFrame, DataFrame]:

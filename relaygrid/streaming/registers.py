@@ -1,0 +1,118 @@
+"""Operators that look things up in registers which grow with the stream.
+
+Each micro-batch judges its messages against the register as of that batch and
+writes the next version of the register to the shared folder.  Versions are
+named by batch number: a batch that is run again reads the same predecessor
+and overwrites its own version, so retries change nothing.  The batch operators
+do the work, with their handling of hot keys.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relaygrid import vocabulary as V
+from relaygrid.operators import inject, purge, replay
+from relaygrid.session import work_path
+
+
+class Register:
+    """Versions of a table below one folder; version -1 is the start state."""
+
+    def __init__(self, spark: SparkSession, name: str, initial: DataFrame, path: str | None = None):
+        self.spark = spark
+        self.schema = initial.schema
+        self.path = path or work_path(spark, name)
+        initial.write.mode("overwrite").parquet(self._version(-1))
+
+    def _version(self, batch: int) -> str:
+        return f"{self.path}/v={batch}"
+
+    def before(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self._version(batch - 1))
+
+    def advance(self, batch: int, rows: DataFrame) -> DataFrame:
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._version(batch))
+        return self.spark.read.schema(self.schema).parquet(self._version(batch))
+
+
+def run_caught_up(
+    stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None] | None = None, output: str | None = None
+) -> None:
+    """Process what is there and stop at the end of every partition."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if each_batch is not None:
+        query = writer.foreachBatch(each_batch).start()
+    else:
+        query = writer.format("parquet").outputMode("append").start(output)
+    query.awaitTermination()
+
+
+def _batch_output(rows: DataFrame, output: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{output}/batch={batch}")
+
+
+def purge_batches(register: Register, output: str) -> Callable[[DataFrame, int], None]:
+    """Batch function: drop messages deleted so far.
+
+    The stream mixes ``binary`` messages and ``delete`` rows, the latter with
+    their payload in ``deletion``.  Deletions that arrive later do not recall
+    messages that went out.
+    """
+
+    def each(batch_df: DataFrame, batch: int) -> None:
+        arrived = batch_df.where(F.col("model") == "delete").select(
+            "seq", F.col("action"), F.col("deletion").alias("entity"))
+        grown = purge.merge_deletes(register.before(batch), purge.latest_deletes(arrived))
+        known = register.advance(batch, grown)
+        messages = batch_df.where(F.col("model") == "binary").drop("deletion")
+        _batch_output(purge.drop_purged(messages, known), output, batch)
+
+    return each
+
+
+def inject_batches(register: Register, output: str, now) -> Callable[[DataFrame, int], None]:
+    """Batch function: attach the children inserted so far.
+
+    The stream mixes ``binary`` messages and ``insert`` rows with their payload
+    in ``insert``.
+    """
+
+    def each(batch_df: DataFrame, batch: int) -> None:
+        arrived = batch_df.where(F.col("model") == "insert").select("seq", "kafka_key", "insert")
+        grown = inject.merge_inserts(register.before(batch), inject.latest_inserts(arrived))
+        known = register.advance(batch, grown)
+        messages = batch_df.where(F.col("model") == "binary").drop("insert")
+        _batch_output(inject.inject_children(messages, known, now), output, batch)
+
+    return each
+
+
+def replay_batches(
+    cache: Register, output: str, consumer: tuple, ttl_s: float = V.REPLAY_TTL_S,
+    min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S,
+) -> Callable[[DataFrame, int], None]:
+    """Batch function: answer messages from completions seen so far.
+
+    The stream mixes ``binary`` and ``status`` messages.  Writes the matches
+    (message id, status id); the cache keeps the newest completion per entity,
+    plugin and version until it is older than the TTL.
+    """
+
+    def each(batch_df: DataFrame, batch: int) -> None:
+        columns = cache.schema.fieldNames()
+        fresh = replay.cacheable(batch_df.where(F.col("model") == "status"), min_runtime_s).select(*columns)
+        known = cache.before(batch).unionByName(fresh)
+        messages = batch_df.where(F.col("model") == "binary")
+        matches = replay.match_completions(messages, known, consumer, ttl_s)
+        _batch_output(matches, output, batch)
+        newest = batch_df.agg(F.max("timestamp")).first()[0]
+        if newest is not None:
+            oldest = F.unix_micros(F.lit(newest)) - int(ttl_s * 1_000_000)
+            known = known.where(F.unix_micros("timestamp") > oldest)
+        cache.advance(batch, replay.newest_completions(known))
+
+    return each
