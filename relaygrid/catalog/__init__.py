@@ -1,6 +1,6 @@
 """The registered queries: operators applied to the given tables."""
 
-from relaygrid.catalog import lookups, registry, rollups, rows  # noqa: F401  (registers queries)
+from relaygrid.catalog import flows, lookups, registry, rollups, rows  # noqa: F401  (registers queries)
 
 
 def queries():

@@ -21,6 +21,12 @@ SCHEME = LabelScheme(
 )
 
 
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a stream of files."""
+    reader = tune(spark).readStream.schema(schemas.EVENTS_TABLE).option("pathGlobFilter", "events*.parquet")
+    return reader.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables.
 
@@ -203,8 +209,12 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_of(table(spark, sf_dir, "events"))
+
+
+def mixed_of(rows: DataFrame) -> DataFrame:
     """One log of binaries and statuses (purchases are statuses)."""
-    flat = scalars(spark, sf_dir)
+    flat = scalars_of(rows)
     is_status = F.col("event_type") == "purchase"
     values = binary_columns()
     header = ("model_version", "timestamp", "author")
@@ -218,12 +228,20 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors with certain codes as deletions of what their row names."""
+def is_delete() -> Column:
+    """Errors with certain codes delete what their row names."""
+    return (F.col("event_type") == "error") & F.col("k").between(10, 13)
+
+
+def delete_action() -> Column:
+    k = F.col("k")
+    return F.when(k == 10, "ids").when(k == 11, "submission").when(k == 12, "link").otherwise("author")
+
+
+def delete_entity() -> Column:
     values = binary_columns()
-    flat = scalars(spark, sf_dir).where((F.col("event_type") == "error") & F.col("k").between(10, 13))
     k, user = F.col("k"), F.col("user_id")
-    entity = shaped(
+    return shaped(
         schemas.DELETE_ENTITY, reason=F.lit("cleanup"),
         ids=F.when(k == 10, F.struct(F.array("kafka_key").alias("ids"))),
         submission=F.when(k == 11, F.struct(
@@ -233,31 +251,64 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
         link=F.when(k == 12, F.struct(values["track_links"][0].alias("track_link"))),
         author=F.when(k == 13, F.struct(values["track_authors"][0].alias("track_author"), F.col("ts").alias("timestamp"))),
     )
-    action = F.when(k == 10, "ids").when(k == 11, "submission").when(k == 12, "link").otherwise("author")
-    return flat.select(
-        "seq", F.lit("delete").alias("model"), F.col("ts").alias("timestamp"), action.alias("action"), entity.alias("entity")
+
+
+def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalars(spark, sf_dir).where(is_delete()).select(
+        "seq", F.lit("delete").alias("model"), F.col("ts").alias("timestamp"),
+        delete_action().alias("action"), delete_entity().alias("entity"),
     )
 
 
-def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signups with low codes as manual inserts below their entity."""
-    flat = scalars(spark, sf_dir).where((F.col("event_type") == "signup") & (F.col("k") < 8))
-    child_sha = F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9).cast("string")), 256)
-    insert = shaped(
+def is_insert() -> Column:
+    """Signups with low codes are manual inserts below their entity."""
+    return (F.col("event_type") == "signup") & (F.col("k") < 8)
+
+
+def _child_sha() -> Column:
+    return F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9).cast("string")), 256)
+
+
+def insert_key() -> Column:
+    return F.md5(F.concat_ws(".", F.col("sha256"), _child_sha()))
+
+
+def insert_entity() -> Column:
+    author = shaped(
+        schemas.AUTHOR, name=F.concat(F.lit("user"), F.col("user_id") % 4), version=F.lit("1"), category=F.lit("user")
+    )
+    return shaped(
         schemas.INSERT_ENTITY, original_source=F.col("source_name"), parent_sha256=F.col("sha256"),
-        child=shaped(schemas.ENTITY, sha256=child_sha, size=F.col("size"), file_format=F.col("file_format")),
+        child=shaped(schemas.ENTITY, sha256=_child_sha(), size=F.col("size"), file_format=F.col("file_format")),
         child_history=shaped(
-            schemas.NODE,
-            author=shaped(schemas.AUTHOR, name=F.concat(F.lit("user"), F.col("user_id") % 4), version=F.lit("1"), category=F.lit("user")),
-            action=F.lit("extracted"), sha256=child_sha, timestamp=F.col("ts"),
+            schemas.NODE, author=author, action=F.lit("extracted"), sha256=_child_sha(), timestamp=F.col("ts")
         ),
     )
-    key = F.md5(F.concat_ws(".", "sha256", child_sha))
-    return flat.select(
-        "seq", F.lit("insert").alias("model"), key.alias("kafka_key"), F.col("ts").alias("timestamp"), insert.alias("insert")
+
+
+def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalars(spark, sf_dir).where(is_insert()).select(
+        "seq", F.lit("insert").alias("model"), insert_key().alias("kafka_key"),
+        F.col("ts").alias("timestamp"), insert_entity().alias("insert"),
     )
 
 
+def with_control_rows(rows: DataFrame, model: str) -> DataFrame:
+    """Binaries mixed with the ``delete`` or ``insert`` messages some rows send."""
+    control = is_delete() if model == "delete" else is_insert()
+    kinds = F.array_compact(F.array(F.when(control, model), F.lit("binary")))
+    flat = scalars_of(rows).withColumn("model", F.explode(kinds))
+    values = binary_columns()
+    is_control = F.col("model") == model
+    if model == "delete":
+        values["action"] = F.when(is_control, delete_action()).otherwise(values["action"])
+        payload = F.when(is_control, delete_entity()).alias("deletion")
+    else:
+        values["kafka_key"] = F.when(is_control, insert_key()).otherwise(values["kafka_key"])
+        payload = F.when(is_control, insert_entity()).alias("insert")
+    return flat.select("seq", "model", *_columns(values), payload)
+
+
 def sources(spark: SparkSession) -> DataFrame:
     """Expiry per source; src3 never expires, src4 is not configured."""
     return spark.createDataFrame(

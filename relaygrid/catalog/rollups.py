@@ -314,7 +314,7 @@ def _explode_results(spark, sf):
 
 
 @query("fan_out", A.sql("""
-    SELECT action, count(*) + sum(depth) AS n FROM ev GROUP BY action"""))
+    SELECT action, CAST(count(*) + sum(depth) AS BIGINT) AS n FROM ev GROUP BY action"""))
 def _fan_out(spark, sf):
     flat = A.scalars(spark, sf).select("seq", "action", "depth")
     copies = F.when(F.col("depth") > 0, F.transform(F.sequence(F.lit(1), "depth"), lambda _: F.struct("seq", "action", "depth")))
