@@ -213,19 +213,20 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_of(rows: DataFrame) -> DataFrame:
-    """One log of binaries and statuses (purchases are statuses)."""
-    flat = scalars_of(rows)
+    """One log of binaries and statuses (purchases are statuses).
+
+    The payload is built before the columns it shares names with are changed:
+    in one select, a lambda would read the changed ones.
+    """
     is_status = F.col("event_type") == "purchase"
+    flat = scalars_of(rows).withColumn("status", F.when(is_status, _status_struct()))
     values = binary_columns()
     header = ("model_version", "timestamp", "author")
     columns = [
         (values[f.name] if f.name in header else F.when(~is_status, values[f.name])).alias(f.name)
         for f in schemas.BINARY.fields
     ]
-    return flat.select(
-        "seq", F.when(is_status, "status").otherwise("binary").alias("model"), *columns,
-        F.when(is_status, _status_struct()).alias("status"),
-    )
+    return flat.select("seq", F.when(is_status, "status").otherwise("binary").alias("model"), *columns, "status")
 
 
 def is_delete() -> Column:
