@@ -68,7 +68,8 @@ def identity_expr(df: DataFrame, clock: Column | None = None) -> Column:
     before using it twice: a random identity changes on recomputation.
     """
     msg = Message(df)
-    rule = F.when(msg.is_binary, F.md5(binary_descriptor(F.col("source"), clock)))
+    descriptor = binary_descriptor(F.col("source"), clock) if msg.has("source") else F.lit(None).cast("string")
+    rule = F.when(msg.is_binary, F.md5(descriptor))
     if msg.has("status"):
         status = F.concat_ws(".", text(F.col("status.input.dequeued")), text(F.col("author.name")))
         rule = rule.when(msg.model == "status", F.md5(status))

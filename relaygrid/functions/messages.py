@@ -35,10 +35,11 @@ class Message:
 
     def subject(self, path: str) -> Column:
         """Field of the binary the message is about."""
-        own = F.col(path)
         if not self.has("status"):
-            return own
-        return F.when(self.model == "status", F.col(f"status.input.{path}")).otherwise(own)
+            return F.col(path)
+        of_status = F.when(self.model == "status", F.col(f"status.input.{path}"))
+        # a table of statuses alone has no binary columns
+        return of_status.otherwise(F.col(path)) if self.has(path.split(".")[0]) else of_status
 
 
 def text(column: Column) -> Column:

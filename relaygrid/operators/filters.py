@@ -87,7 +87,18 @@ def consumer_rules(df: DataFrame, spec: Column) -> Column:
     source = text(msg.subject("source.name"))
     action = text(msg.subject("action"))
     author = text(msg.subject("author.name"))
-    streams = F.col("entity.datastreams")
+    routing = (
+        F.when((F.size(spec["require_sources"]) > 0) & ~F.array_contains(spec["require_sources"], source), V.REJECT_SOURCE)
+        .when((F.size(spec["require_events"]) > 0) & ~F.array_contains(spec["require_events"], action), V.REJECT_EVENT_TYPE)
+        .when((F.size(spec["deny_events"]) > 0) & F.array_contains(spec["deny_events"], action), V.REJECT_EVENT_TYPE)
+        .when(flag(spec["deny_self"]) & (author == text(spec["name"])), V.REJECT_SELF)
+    )
+    by_content = _content_rules(F.col("entity.datastreams"), spec) if msg.has("entity") else F.lit(None)
+    return F.when(msg.has_subject, F.coalesce(routing, F.when(msg.is_binary, by_content)))
+
+
+def _content_rules(streams: Column, spec: Column) -> Column:
+    """Rules on the streams of a binary, in stream order, then on all of them."""
     wanted = spec["require_streams"]
     under, over = spec["require_under_content_size"], spec["require_over_content_size"]
     has_wanted = F.size(wanted) > 0
@@ -114,14 +125,5 @@ def consumer_rules(df: DataFrame, spec: Column) -> Column:
     has_content = flag(F.exists(streams, lambda s: s["label"] == V.CONTENT_LABEL))
     needs_content = flag(spec["require_content"]) | (under > 0) | (over > 0)
 
-    routing = (
-        F.when((F.size(spec["require_sources"]) > 0) & ~F.array_contains(spec["require_sources"], source), V.REJECT_SOURCE)
-        .when((F.size(spec["require_events"]) > 0) & ~F.array_contains(spec["require_events"], action), V.REJECT_EVENT_TYPE)
-        .when((F.size(spec["deny_events"]) > 0) & F.array_contains(spec["deny_events"], action), V.REJECT_EVENT_TYPE)
-        .when(flag(spec["deny_self"]) & (author == text(spec["name"])), V.REJECT_SELF)
-    )
-    content = (
-        F.when(too_few, V.REJECT_STREAM).when(needs_content & ~has_content, V.REJECT_NO_CONTENT)
-    )
-    binary_only = F.when(msg.is_binary, F.coalesce(first_stream_reason, content))
-    return F.when(msg.has_subject, F.coalesce(routing, binary_only))
+    overall = F.when(too_few, V.REJECT_STREAM).when(needs_content & ~has_content, V.REJECT_NO_CONTENT)
+    return F.coalesce(first_stream_reason, overall)
