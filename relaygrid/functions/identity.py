@@ -10,7 +10,7 @@ from relaygrid.functions.messages import Message, from_end, text
 
 def dotted_entries(entries: Column) -> Column:
     """Map entries as ``key.value.`` pieces in byte order, glued together."""
-    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit("."), e["value"]))
+    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit("."), text(e["value"])))
     return _glue(F.array_sort(pairs))
 
 
@@ -33,6 +33,10 @@ def wall_clock(timestamp: Column) -> Column:
     return F.substring(F.regexp_replace(timestamp.cast("string"), " ", "T"), 1, 19)
 
 
+# fixed value: how a message without a submission time reads
+_NO_TIME = "0001-01-01T00:00:00"
+
+
 def _node(path: Column, back: int) -> Column:
     node = from_end(path, back)
     piece = F.concat(
@@ -50,7 +54,7 @@ def binary_descriptor(source: Column, clock: Column | None = None) -> Column:
     earlier ancestors are left out, so such repeats share one identity.
     """
     path = source["path"]
-    clock = wall_clock(source["timestamp"]) if clock is None else clock
+    clock = F.coalesce(wall_clock(source["timestamp"]) if clock is None else clock, F.lit(_NO_TIME))
     securities = distinct_sorted(F.transform(path, lambda n: n["author"]["security"]))
     descriptor = F.concat(
         text(source["name"]), F.lit("."), text(source["security"]), F.lit("."),
