@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from relaygrid import schemas
 from relaygrid.operators.security import LabelScheme
-from relaygrid.session import tune
+from relaygrid.session import tune, work_path
 
 NOW = "2024-01-31 00:00:00"
 SCHEME = LabelScheme(
@@ -27,139 +27,127 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
+_SPREAD: dict[tuple[str, str], str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables.
 
-    A table that has fewer splits than the session has cores is spread over
-    them by its id; a large one is read as it lies, without a shuffle.
+    A table with fewer splits than the session has cores is copied once per
+    session into one file per core; a large one is read as it lies.
     """
     rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, rows.columns[0])
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _SPREAD:
+        if rows.rdd.getNumPartitions() >= cores:
+            return rows
+        path = work_path(spark, name)
+        rows.repartition(cores, rows.columns[0]).write.parquet(path)
+        _SPREAD[key] = path
+    return spark.read.schema(rows.schema).parquet(_SPREAD[key])
 
 
-def shaped(kind: T.StructType, **values: Column) -> Column:
-    """A struct of type ``kind``; fields not given are NULL.
+def shaped(kind: T.StructType, **values: str) -> str:
+    """SQL text of a struct of type ``kind``; fields not given are NULL.
 
     Flat fields are cast one by one and nested ones kept as built: a cast of a
     whole struct would hide its fields from column pruning.
     """
 
-    def part(field: T.StructField) -> Column:
-        value = values.get(field.name)
-        if value is None:
-            return F.lit(None).cast(field.dataType)
-        return value if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)) else value.cast(field.dataType)
-
-    return F.struct(*[part(f).alias(f.name) for f in kind.fields])
+    def part(field: T.StructField) -> str:
+        value = values.get(field.name, "NULL")
+        nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
+        return value if nested and value != "NULL" else f"CAST({value} AS {field.dataType.simpleString()})"
 
+    return "named_struct(" + ", ".join(f"'{f.name}', {part(f)}" for f in kind.fields) + ")"
 
-def _security(n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, ("", "LOW", "MEDIUM", "HIGH MOD1"))), (n % 4 + 1).cast("int"))
 
-
-def _format(n: Column) -> Column:
-    names = ("text/plain", "executable/windows/pe32", "executable/windows/dll32", "document/email")
-    return F.element_at(F.array(*map(F.lit, names)), (n % 4 + 1).cast("int"))
+# fixed values: labels and formats the rows cycle through
+_SECURITY = "array('', 'LOW', 'MEDIUM', 'HIGH MOD1')"
+_FORMATS = "array('text/plain', 'executable/windows/pe32', 'executable/windows/dll32', 'document/email')"
 
 
 def scalars_of(rows: DataFrame) -> DataFrame:
     """The flat columns all messages are built from."""
-    user, eid = F.col("user_id"), F.col("event_id")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    action = (
-        F.when(F.col("event_type") == "signup", "sourced").when(F.col("event_type") == "click", "extracted")
-        .when(F.col("event_type") == "view", "enriched").when(F.col("event_type") == "purchase", "mapped")
-        .otherwise("augmented")
-    )
-    flat = rows.select(
-        eid.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), user.alias("user_id"), "event_type", "value",
-        k.alias("k"), action.alias("action"), F.concat(F.lit("src"), user % 5).alias("source_name"),
-        F.concat(F.lit("plugin"), user % 7).alias("author_name"), F.concat(F.lit("v"), eid % 3).alias("author_version"),
-        _security(eid).alias("security"), F.sha2((user % 21).cast("string"), 256).alias("sha256"),
-        F.floor(F.col("value") * 10).cast("bigint").alias("size"), _format(k).alias("file_format"),
-        (k % 14).alias("depth"), (k == 0).alias("expedite"), (k % 10 == 1).alias("bypass"), (k == 2).alias("retry"),
+    coded = rows.selectExpr("*", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k")
+    flat = coded.selectExpr(
+        "event_id AS seq", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value", "k",
+        "CASE event_type WHEN 'signup' THEN 'sourced' WHEN 'click' THEN 'extracted' WHEN 'view' THEN 'enriched' "
+        "WHEN 'purchase' THEN 'mapped' ELSE 'augmented' END AS action",
+        "concat('src', user_id % 5) AS source_name", "concat('plugin', user_id % 7) AS author_name",
+        "concat('v', event_id % 3) AS author_version", f"{_SECURITY}[CAST(event_id % 4 AS INT)] AS security",
+        "sha2(CAST(user_id % 21 AS STRING), 256) AS sha256", "CAST(floor(value * 10) AS BIGINT) AS size",
+        f"{_FORMATS}[k % 4] AS file_format", "k % 14 AS depth", "k = 0 AS expedite", "k % 10 = 1 AS bypass", "k = 2 AS retry",
     )
-    key = F.md5(F.concat_ws("|", "source_name", "sha256", "action", "file_format"))
-    return flat.withColumn("kafka_key", F.when(F.col("k") == 99, "").otherwise(key))
+    key = "CASE WHEN k = 99 THEN '' ELSE md5(concat_ws('|', source_name, sha256, action, file_format)) END"
+    return flat.withColumn("kafka_key", F.expr(key))
 
 
 def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars_of(table(spark, sf_dir, "events"))
 
 
-def _path() -> Column:
-    user, depth = F.col("user_id"), F.col("depth")
-
-    def node(i: Column) -> Column:
-        # odd users see a new entity at every step, even users at every other
-        level = F.floor((depth - i) * (1 + user % 2) / 2)
-        who = user + i
-        return shaped(
-            schemas.NODE,
-            author=shaped(
-                schemas.AUTHOR, name=F.concat(F.lit("plugin"), who % 7), version=F.lit("v1"),
-                category=F.lit("plugin"), security=_security(who),
-            ),
-            action=F.when(i == depth, F.col("action")).otherwise("extracted"),
-            sha256=F.sha2(((user + level) % 21).cast("string"), 256),
-            timestamp=F.col("ts"), file_format=F.col("file_format"), size=F.col("size"),
-        )
-
-    nodes = F.transform(F.sequence(F.lit(1), depth), node)
-    return F.when(depth > 0, nodes).otherwise(F.array().cast(T.ArrayType(schemas.NODE)))
-
-
-def _entity(sha256: Column) -> Column:
-    k = F.col("k")
-    content = shaped(
-        schemas.STREAM, label=F.lit("content"), size=F.col("size"), sha256=F.col("sha256"), file_format=F.col("file_format")
+def _path() -> str:
+    """Lineage: odd users see a new entity at every step, even ones at every other."""
+    author = shaped(
+        schemas.AUTHOR, name="concat('plugin', (user_id + i) % 7)", version="'v1'", category="'plugin'",
+        security=f"{_SECURITY}[CAST((user_id + i) % 4 AS INT)]",
+    )
+    node = shaped(
+        schemas.NODE, author=author, action="CASE WHEN i = depth THEN action ELSE 'extracted' END",
+        sha256="sha2(CAST((user_id + floor((depth - i) * (1 + user_id % 2) / 2)) % 21 AS STRING), 256)",
+        timestamp="ts", file_format="file_format", size="size",
     )
-    extra = shaped(schemas.STREAM, label=F.lit("text"), size=F.floor(F.col("size") / 2), file_format=F.lit("text/plain"))
-    streams = F.array_compact(F.array(F.when(k % 6 != 0, content), F.when(k % 5 == 0, extra)))
+    empty = f"CAST(array() AS {schemas.SOURCE['path'].dataType.simpleString()})"
+    return f"CASE WHEN depth > 0 THEN transform(sequence(1, depth), i -> {node}) ELSE {empty} END"
+
+
+def _entity(sha256: str) -> str:
+    content = shaped(schemas.STREAM, label="'content'", size="size", sha256="sha256", file_format="file_format")
+    extra = shaped(schemas.STREAM, label="'text'", size="floor(size / 2)", file_format="'text/plain'")
+    streams = f"array_compact(array(CASE WHEN k % 6 <> 0 THEN {content} END, CASE WHEN k % 5 = 0 THEN {extra} END))"
+    feature = shaped(schemas.FEATURE, name="'kind'", value="k", type="'integer'")
     return shaped(
-        schemas.ENTITY, sha256=sha256, size=F.col("size"), file_format=F.col("file_format"),
-        features=F.array(shaped(schemas.FEATURE, name=F.lit("kind"), value=k.cast("string"), type=F.lit("integer"))),
-        datastreams=streams,
+        schemas.ENTITY, sha256=sha256, size="size", file_format="file_format",
+        features=f"array({feature})", datastreams=streams,
     )
 
 
-def binary_columns() -> dict[str, Column]:
-    user, k = F.col("user_id"), F.col("k")
+def binary_columns() -> dict[str, str]:
+    """SQL text of each field of a binary message, over the flat columns."""
     author = shaped(
-        schemas.AUTHOR, name=F.col("author_name"), version=F.col("author_version"),
-        category=F.when(user % 3 == 0, "User").otherwise("plugin"), security=F.col("security"),
+        schemas.AUTHOR, name="author_name", version="author_version",
+        category="CASE WHEN user_id % 3 = 0 THEN 'User' ELSE 'plugin' END", security="security",
+    )
+    settings = (
+        "CASE WHEN user_id % 2 = 0 THEN map('remove_at_depth', CAST(3 + user_id % 4 AS STRING), 'a', 'b') "
+        "ELSE CAST(map() AS map<string,string>) END"
     )
-    settings = F.when(
-        user % 2 == 0, F.create_map(F.lit("remove_at_depth"), (3 + user % 4).cast("string"), F.lit("a"), F.lit("b"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
     source = shaped(
-        schemas.SOURCE, name=F.col("source_name"), security=F.col("security"),
-        timestamp=F.date_trunc("day", "ts"),
-        references=F.create_map(F.lit("user"), (user % 20).cast("string"), F.lit("batch"), (k % 3).cast("string")),
+        schemas.SOURCE, name="source_name", security="security", timestamp="date_trunc('day', ts)",
+        references="map('user', CAST(user_id % 20 AS STRING), 'batch', CAST(k % 3 AS STRING))",
         settings=settings, path=_path(),
     )
     return {
-        "model_version": F.lit(6), "kafka_key": F.col("kafka_key"), "timestamp": F.col("ts"), "author": author,
-        "source": source, "action": F.col("action"), "entity": _entity(F.col("sha256")),
-        "flags": shaped(
-            schemas.FLAGS, bypass_cache=F.col("bypass"), expedite=F.col("expedite"), retry=F.col("retry")
-        ),
-        "dequeued": F.concat_ws(
-            ".", "kafka_key", "author_name", "author_version", F.unix_seconds("ts").cast("string")
-        ),
-        "retries": F.lit(0),
-        "track_source_references": F.concat(F.lit("ref."), "source_name", F.lit("."), (user % 20).cast("string")),
-        "track_links": F.array(F.concat(F.lit("lnk."), (user % 13).cast("string"), F.lit("."), (k % 17).cast("string"))),
-        "track_authors": F.array(
-            F.concat(F.lit("plugin."), "author_name", F.lit("."), "author_version"),
-            F.concat(F.lit("plugin.step"), (k % 11).cast("string"), F.lit(".v1")),
+        "model_version": "6", "kafka_key": "kafka_key", "timestamp": "ts", "author": author, "source": source,
+        "action": "action", "entity": _entity("sha256"),
+        "flags": shaped(schemas.FLAGS, bypass_cache="bypass", expedite="expedite", retry="retry"),
+        "dequeued": "concat_ws('.', kafka_key, author_name, author_version, unix_seconds(ts))", "retries": "0",
+        "track_source_references": "concat('ref.', source_name, '.', user_id % 20)",
+        "track_links": "array(concat('lnk.', user_id % 13, '.', k % 17))",
+        "track_authors": (
+            "array(concat('plugin.', author_name, '.', author_version), concat('plugin.step', k % 11, '.v1'))"
         ),
     }
 
 
-def _columns(values: dict[str, Column]) -> list[Column]:
-    return [values[f.name].alias(f.name) for f in schemas.BINARY.fields]
+def _columns(values: dict[str, str]) -> list[Column]:
+    return [F.expr(values[f.name]).alias(f.name) for f in schemas.BINARY.fields]
+
+
+def _struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in schemas.BINARY.fields) + ")"
 
 
 def messages_of(rows: DataFrame) -> DataFrame:
@@ -171,26 +159,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(table(spark, sf_dir, "events"))
 
 
-def _status_struct() -> Column:
+def _status_struct() -> str:
     """Outcome of the task a row stands for, with 0 to 2 results."""
     values = binary_columns()
-    own = F.struct(*_columns(values))
-    k = F.col("k")
-
-    def result(i: Column) -> Column:
-        child = F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9 + i).cast("string")), 256)
-        changed = {"action": F.lit("extracted"), "dequeued": F.lit(None).cast("string"), "entity": _entity(child)}
-        return F.struct(*_columns({**values, **changed}))
-
-    results = F.when(k % 3 > 0, F.transform(F.sequence(F.lit(1), k % 3), result)).otherwise(
-        F.array().cast(schemas.STATUS_ENTITY["results"].dataType)
-    )
-    label = (
-        F.when(k % 4 != 0, "completed").when(k % 8 == 0, "failed").otherwise("heartbeat")
-    )
+    child = "sha2(concat('child', user_id % 9 + r), 256)"
+    changed = {"action": "'extracted'", "dequeued": "CAST(NULL AS STRING)", "entity": _entity(child)}
+    results = f"transform(sequence(1, k % 3), r -> {_struct({**values, **changed})})"
+    empty = f"CAST(array() AS {schemas.STATUS_ENTITY['results'].dataType.simpleString()})"
+    label = "CASE WHEN k % 4 <> 0 THEN 'completed' WHEN k % 8 = 0 THEN 'failed' ELSE 'heartbeat' END"
     return shaped(
-        schemas.STATUS_ENTITY, input=own, status=label, runtime=F.col("value") / 10,
-        error=F.when(label == "failed", "broke"), results=results,
+        schemas.STATUS_ENTITY, input=_struct(values), status=label, runtime="value / 10",
+        error="CASE WHEN k % 8 = 0 THEN 'broke' END", results=f"CASE WHEN k % 3 > 0 THEN {results} ELSE {empty} END",
     )
 
 
@@ -200,7 +179,7 @@ def statuses_of(rows: DataFrame) -> DataFrame:
     return scalars_of(rows.where(F.col("event_type") == "purchase")).select(
         "seq", F.lit("status").alias("model"), F.lit(6).alias("model_version"),
         F.lit(None).cast("string").alias("kafka_key"), F.col("ts").alias("timestamp"),
-        values["author"].alias("author"), _status_struct().alias("status"),
+        F.expr(values["author"]).alias("author"), F.expr(_status_struct()).alias("status"),
     )
 
 
@@ -219,95 +198,77 @@ def mixed_of(rows: DataFrame) -> DataFrame:
     in one select, a lambda would read the changed ones.
     """
     is_status = F.col("event_type") == "purchase"
-    flat = scalars_of(rows).withColumn("status", F.when(is_status, _status_struct()))
+    flat = scalars_of(rows).withColumn("status", F.when(is_status, F.expr(_status_struct())))
     values = binary_columns()
     header = ("model_version", "timestamp", "author")
     columns = [
-        (values[f.name] if f.name in header else F.when(~is_status, values[f.name])).alias(f.name)
+        (F.expr(values[f.name]) if f.name in header else F.when(~is_status, F.expr(values[f.name]))).alias(f.name)
         for f in schemas.BINARY.fields
     ]
     return flat.select("seq", F.when(is_status, "status").otherwise("binary").alias("model"), *columns, "status")
 
 
-def is_delete() -> Column:
-    """Errors with certain codes delete what their row names."""
-    return (F.col("event_type") == "error") & F.col("k").between(10, 13)
+# errors with certain codes delete what their row names
+IS_DELETE = "event_type = 'error' AND k BETWEEN 10 AND 13"
+_DELETE_ACTION = "CASE k WHEN 10 THEN 'ids' WHEN 11 THEN 'submission' WHEN 12 THEN 'link' ELSE 'author' END"
+# signups with low codes are manual inserts below their entity
+IS_INSERT = "event_type = 'signup' AND k < 8"
+_CHILD_SHA = "sha2(concat('child', user_id % 9), 256)"
+_INSERT_KEY = f"md5(concat_ws('.', sha256, {_CHILD_SHA}))"
 
 
-def delete_action() -> Column:
-    k = F.col("k")
-    return F.when(k == 10, "ids").when(k == 11, "submission").when(k == 12, "link").otherwise("author")
+def _delete_entity() -> str:
+    values, parts = binary_columns(), schemas.DELETE_ENTITY
 
+    def only(code: int, field: str, **given: str) -> str:
+        return f"CASE WHEN k = {code} THEN {shaped(parts[field].dataType, **given)} END"
 
-def delete_entity() -> Column:
-    values = binary_columns()
-    k, user = F.col("k"), F.col("user_id")
     return shaped(
-        schemas.DELETE_ENTITY, reason=F.lit("cleanup"),
-        ids=F.when(k == 10, F.struct(F.array("kafka_key").alias("ids"))),
-        submission=F.when(k == 11, F.struct(
-            values["track_source_references"].alias("track_source_references"),
-            F.when(user % 2 == 0, F.date_trunc("day", "ts")).alias("timestamp"),
-        )),
-        link=F.when(k == 12, F.struct(values["track_links"][0].alias("track_link"))),
-        author=F.when(k == 13, F.struct(values["track_authors"][0].alias("track_author"), F.col("ts").alias("timestamp"))),
+        parts, reason="'cleanup'", ids=only(10, "ids", ids="array(kafka_key)"),
+        submission=only(
+            11, "submission", track_source_references=values["track_source_references"],
+            timestamp="CASE WHEN user_id % 2 = 0 THEN date_trunc('day', ts) END",
+        ),
+        link=only(12, "link", track_link=f"{values['track_links']}[0]"),
+        author=only(13, "author", track_author=f"{values['track_authors']}[0]", timestamp="ts"),
     )
 
 
-def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scalars(spark, sf_dir).where(is_delete()).select(
-        "seq", F.lit("delete").alias("model"), F.col("ts").alias("timestamp"),
-        delete_action().alias("action"), delete_entity().alias("entity"),
+def _insert_entity() -> str:
+    author = shaped(schemas.AUTHOR, name="concat('user', user_id % 4)", version="'1'", category="'user'")
+    return shaped(
+        schemas.INSERT_ENTITY, original_source="source_name", parent_sha256="sha256",
+        child=shaped(schemas.ENTITY, sha256=_CHILD_SHA, size="size", file_format="file_format"),
+        child_history=shaped(schemas.NODE, author=author, action="'extracted'", sha256=_CHILD_SHA, timestamp="ts"),
     )
 
 
-def is_insert() -> Column:
-    """Signups with low codes are manual inserts below their entity."""
-    return (F.col("event_type") == "signup") & (F.col("k") < 8)
-
-
-def _child_sha() -> Column:
-    return F.sha2(F.concat(F.lit("child"), (F.col("user_id") % 9).cast("string")), 256)
-
-
-def insert_key() -> Column:
-    return F.md5(F.concat_ws(".", F.col("sha256"), _child_sha()))
-
-
-def insert_entity() -> Column:
-    author = shaped(
-        schemas.AUTHOR, name=F.concat(F.lit("user"), F.col("user_id") % 4), version=F.lit("1"), category=F.lit("user")
-    )
-    return shaped(
-        schemas.INSERT_ENTITY, original_source=F.col("source_name"), parent_sha256=F.col("sha256"),
-        child=shaped(schemas.ENTITY, sha256=_child_sha(), size=F.col("size"), file_format=F.col("file_format")),
-        child_history=shaped(
-            schemas.NODE, author=author, action=F.lit("extracted"), sha256=_child_sha(), timestamp=F.col("ts")
-        ),
+def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalars(spark, sf_dir).where(IS_DELETE).selectExpr(
+        "seq", "'delete' AS model", "ts AS timestamp", f"{_DELETE_ACTION} AS action", f"{_delete_entity()} AS entity"
     )
 
 
 def inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scalars(spark, sf_dir).where(is_insert()).select(
-        "seq", F.lit("insert").alias("model"), insert_key().alias("kafka_key"),
-        F.col("ts").alias("timestamp"), insert_entity().alias("insert"),
+    return scalars(spark, sf_dir).where(IS_INSERT).selectExpr(
+        "seq", "'insert' AS model", f"{_INSERT_KEY} AS kafka_key", "ts AS timestamp", f"{_insert_entity()} AS insert"
     )
 
 
 def with_control_rows(rows: DataFrame, model: str) -> DataFrame:
     """Binaries mixed with the ``delete`` or ``insert`` messages some rows send."""
-    control = is_delete() if model == "delete" else is_insert()
-    kinds = F.array_compact(F.array(F.when(control, model), F.lit("binary")))
-    flat = scalars_of(rows).withColumn("model", F.explode(kinds))
+    control = IS_DELETE if model == "delete" else IS_INSERT
+    kinds = f"explode(array_compact(array(CASE WHEN {control} THEN '{model}' END, 'binary')))"
+    flat = scalars_of(rows).withColumn("model", F.expr(kinds))
     values = binary_columns()
-    is_control = F.col("model") == model
+    is_control = f"model = '{model}'"
     if model == "delete":
-        values["action"] = F.when(is_control, delete_action()).otherwise(values["action"])
-        payload = F.when(is_control, delete_entity()).alias("deletion")
+        payload = f"CASE WHEN {is_control} THEN {_delete_entity()} END AS deletion"
+        changed = {"action": f"CASE WHEN {is_control} THEN {_DELETE_ACTION} ELSE action END"}
     else:
-        values["kafka_key"] = F.when(is_control, insert_key()).otherwise(values["kafka_key"])
-        payload = F.when(is_control, insert_entity()).alias("insert")
-    return flat.select("seq", "model", *_columns(values), payload)
+        payload = f"CASE WHEN {is_control} THEN {_insert_entity()} END AS insert"
+        changed = {"kafka_key": f"CASE WHEN {is_control} THEN {_INSERT_KEY} ELSE kafka_key END"}
+    return flat.select("seq", "model", *_columns({**values, **changed}), F.expr(payload))
 
 
 def sources(spark: SparkSession) -> DataFrame:

@@ -121,6 +121,7 @@ REPLAY_TTL = 7 * 86_400
 
 
 def _replay_inputs(spark, sf):
+    """Events, the cache as a stored table, and the settled matches."""
     events = A.messages(spark, sf).where(F.col("action") != "mapped")
     cached = settle(replay.cacheable(A.statuses(spark, sf), min_runtime_s=3.0, max_bytes=1 << 20), "cache")
     consumer = (F.col("author.name"), F.col("author.version"))
@@ -130,7 +131,9 @@ def _replay_inputs(spark, sf):
 
 @query("match_completions", A.sql("SELECT seq, status_id FROM hits", REPLAY_SQL))
 def _match_completions(spark, sf):
-    return _replay_inputs(spark, sf)[2]
+    events = A.messages(spark, sf).where(F.col("action") != "mapped")
+    cached = replay.cacheable(A.statuses(spark, sf), min_runtime_s=3.0)
+    return replay.match_completions(events, cached, (F.col("author.name"), F.col("author.version")), REPLAY_TTL)
 
 
 @query("replay_completions", A.sql("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaygrid.functions.messages import Message, from_end, text
+from relaygrid.functions.messages import Message, array_length, from_end, text
 
 
 def dotted_entries(entries: Column) -> Column:
@@ -91,7 +91,13 @@ def identity_expr(df: DataFrame, clock: Column | None = None) -> Column:
 
 def identity_key(df: DataFrame, clock: Column | None = None) -> DataFrame:
     """Set ``kafka_key``; binaries without lineage are dropped."""
-    return df.withColumn("kafka_key", identity_expr(df, clock)).where(F.col("kafka_key").isNotNull())
+    return df.where(has_identity(df)).withColumn("kafka_key", identity_expr(df, clock))
+
+
+def has_identity(df: DataFrame) -> Column:
+    """The cheap test for what :func:`identity_expr` cannot key."""
+    msg = Message(df)
+    return ~msg.is_binary | (array_length(F.col("source.path")) > 0) if msg.has("source") else ~msg.is_binary
 
 
 def consumer_prefix(spec: Column) -> Column:

@@ -87,9 +87,9 @@ def decode_binary(log: DataFrame) -> DataFrame:
     """Log rows to message rows; tombstones and undecodable values are skipped."""
     probe = "_broken"
     schema = T.StructType([*schemas.BINARY.fields, T.StructField(probe, T.StringType())])
-    parsed = drop_tombstones(log).withColumn(
-        "_e", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": probe})
-    )
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": probe})
+    # out of a generator the event is parsed once, not once per field read
+    parsed = drop_tombstones(log).withColumn("_e", F.explode(F.array(event)))
     good = parsed.where(F.col("_e").isNotNull() & F.col(f"_e.{probe}").isNull())
     return good.withColumn("model", F.lit("binary")).select(
         *[c for c in log.columns if c != "value"], "model", *[f"_e.{f}" for f in schemas.BINARY.fieldNames()]

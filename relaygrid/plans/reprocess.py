@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaygrid import schemas
-from relaygrid.functions.identity import identity_expr
+from relaygrid.functions.identity import identity_key
 from relaygrid.functions.routing import Naming, model_of_topic, topic_expr
 from relaygrid.operators.filters import drop_tombstones
 
@@ -40,15 +40,16 @@ def decode_messages(log: DataFrame, model: Column) -> DataFrame:
     """Values decoded by the model of their topic, as message rows.
 
     One scan for all models: each value is parsed with its own schema only.
+    The parsed struct leaves a generator, so later filters and projections read
+    it instead of parsing again for every field they touch.
     """
     typed = log.withColumn("model", model)
 
     def parsed(name: str) -> Column:
         return F.from_json(F.when(F.col("model") == name, F.col("value")), schemas.BY_MODEL[name])
 
-    decoded = typed.select(
-        "*", *[parsed(m).alias(f"_{m}") for m in ("binary", "status", "plugin", "insert")]
-    )
+    parses = F.struct(*[parsed(m).alias(f"_{m}") for m in ("binary", "status", "plugin", "insert")])
+    decoded = typed.select("*", F.inline(F.array(parses)))
     header = ("model_version", "kafka_key", "timestamp", "author")
     from_any = {h: F.coalesce(*[F.col(f"_{m}.{h}") for m in ("binary", "status", "plugin", "insert")]) for h in header}
     binary_only = [f for f in schemas.BINARY.fieldNames() if f not in header]
@@ -76,7 +77,7 @@ def reprocess(
         raise ValueError("no topics found to reprocess")
     model = model_of_topic(F.col("topic"), profile == SYSTEM_PROFILE)
     messages = decode_messages(rows, model).withColumnRenamed("topic", "source_topic")
-    keyed = messages.withColumn("kafka_key", identity_expr(messages)).where(F.col("kafka_key").isNotNull())
+    keyed = identity_key(messages)
     rekeyed = F.to_json(F.struct(*[f for f in schemas.BINARY.fieldNames()]))
     value = F.when(F.col("model") == "binary", rekeyed).otherwise(F.col("value"))
     return keyed.select(
