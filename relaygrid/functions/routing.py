@@ -75,12 +75,13 @@ def binary_topic_pattern_expr(sources: Column, actions: Column, naming: Naming =
 def topic_expr(df: DataFrame, naming: Naming = DEFAULT_NAMING) -> Column:
     """Topic a message is written to; NULL when source or action is missing."""
     msg = Message(df)
-    system = F.concat(F.lit(f"{naming.prefix}.system."), msg.model)
+    system = F.when(~msg.is_binary, F.concat(F.lit(f"{naming.prefix}.system."), msg.model))
+    if not msg.has("source"):  # a table of other models only
+        return system
     complete = (text(F.col("source.name")) != "") & (text(F.col("action")) != "")
     own = F.concat(F.lit(f"{naming.prefix}."), F.col("source.name"), F.lit(".binary."), F.col("action"))
     return (
-        F.when(~msg.is_binary, system)
-        .when(flag(F.col("flags.expedite")), naming.expedite)
+        system.when(flag(F.col("flags.expedite")), naming.expedite)
         .when(flag(F.col("flags.retry")), naming.retry)
         .when(complete, own)
     )

@@ -61,7 +61,9 @@ def inject_children(df: DataFrame, register: DataFrame, now, row_id: str = "seq"
         F.col("insert.child").alias("_child"), F.col("insert.child_history").alias("_history"),
     )
     alive = F.col("dropped_by").isNull() if "dropped_by" in df.columns else F.lit(True)
-    target = F.when(injectable(df) & alive, F.col("entity.sha256"))
+    # rows that take no child get a key of their own: NULLs would share one task
+    nothing = F.concat(F.lit("-/"), F.col(row_id).cast("string"))
+    target = F.when(injectable(df) & alive, F.col("entity.sha256")).otherwise(nothing)
     joined = df.withColumn("_target", target).join(side, F.col("_target") == F.col("_parent"), "left")
 
     path = F.array_append(F.coalesce(F.col("source.path"), F.array().cast(_path_type(df))), F.col("_history"))

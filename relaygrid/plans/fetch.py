@@ -111,9 +111,14 @@ class Fetched:
 
 
 def fetch(messages: DataFrame, spec: ConsumerSpec, ctx: ConsumeContext, order: list[str]) -> Fetched:
-    """Judge candidate messages and take the first ``spec.count`` survivors."""
+    """Judge candidate messages and take the first ``spec.count`` survivors.
+
+    The pull runs on ids and order columns; only the few chosen ids, whose
+    number the fetch limit bounds, go back to the wide messages.
+    """
     plan = active_plan(spec, ctx) if spec.is_task else passive_plan(spec, ctx)
     judged = plan.run(messages, ctx.row_id)
-    kept = judged.where(F.col("reason").isNull()).drop("reason")
-    pulled = oplog.priority_pull(kept, spec.count, order)
+    kept = judged.where(F.col("reason").isNull()).select(ctx.row_id, *[c for c in order if c != ctx.row_id])
+    chosen = oplog.priority_pull(kept, spec.count, order).select(ctx.row_id)
+    pulled = messages.join(chosen, ctx.row_id, "left_semi").orderBy(*order)
     return Fetched(judged, projections.stamp_dequeued(pulled, spec.column(), ctx.now))

@@ -74,10 +74,13 @@ def parse_event_batches(bodies: DataFrame, model: str, current_version: int = V.
     """
     fields = [*schemas.BY_MODEL[model].fields, T.StructField(_BROKEN, T.StringType())]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    trimmed = F.trim("body")
-    listed = F.when(trimmed.startswith("["), trimmed).otherwise(F.concat(F.lit("["), trimmed, F.lit("]")))
-    valid = F.try_parse_json("body").isNotNull()
-    raws = F.from_json(F.when(valid, listed), T.ArrayType(T.StringType()))
+    texts = T.ArrayType(T.StringType())
+    # in brackets, anything but exactly one JSON value shows: text after it,
+    # a second value, an unclosed list
+    outer = F.from_json(F.concat(F.lit("["), F.col("body"), F.lit("]")), texts)
+    valid = F.coalesce(F.size(outer) == 1, F.lit(False))
+    is_list = F.ltrim("body").startswith("[")
+    raws = F.when(valid & is_list, F.from_json(outer[0], texts)).when(valid, outer)
     decoded = F.transform(
         raws,
         lambda raw, i: F.struct(

@@ -45,12 +45,29 @@ def run_caught_up(
     """Process what is there and stop at the end of every partition."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if each_batch is not None:
-        query = writer.foreachBatch(each_batch).start()
+        query = writer.foreachBatch(_read_once(each_batch)).start()
     else:
         query = writer.format("parquet").outputMode("append").start(output)
     query.awaitTermination()
 
 
+def _read_once(each_batch: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function reads its rows several times; the source only once.
+
+    The cached rows are a shortcut, not a copy of record: a lost executor
+    recomputes them from the source offsets of the batch.
+    """
+
+    def each(batch_df: DataFrame, batch: int) -> None:
+        batch_df.persist()
+        try:
+            each_batch(batch_df, batch)
+        finally:
+            batch_df.unpersist()
+
+    return each
+
+
 def _batch_output(rows: DataFrame, output: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{output}/batch={batch}")
 

@@ -67,11 +67,12 @@ def test_batches(spark):
     bodies = spark.createDataFrame([
         (0, good), (1, f"[{good}, {bad}]"), (2, "[]"), (3, "[" + good), (4, good.replace(":6", ":5")),
         (5, f'[{good}, {{"model_version":"six"}}]'), (6, f"[{good},{good.replace(':6', ':3')}]"),
+        (7, good + " tail"), (8, f"{good},{good}"), (9, f"[{good}] tail"), (10, f" [{good}]"),
     ], "batch_id int, body string")
     parsed = batches.parse_event_batches(bodies, "binary")
     got = {r.batch_id: (r.batch_error is None, r.total_ok, r.total_failures) for r in parsed.summary().collect()}
-    assert got == {0: (True, 1, 0), 1: (True, 1, 1), 2: (False, 0, 0), 3: (False, 0, 0), 4: (False, 0, 0), 5: (False, 0, 0), 6: (False, 0, 0)}
-    assert [(r.batch_id, r.position) for r in parsed.ok().orderBy("batch_id").collect()] == [(0, 0), (1, 0)]
+    assert got == {0: (True, 1, 0), 1: (True, 1, 1), 2: (False, 0, 0), 3: (False, 0, 0), 4: (False, 0, 0), 5: (False, 0, 0), 6: (False, 0, 0), 7: (False, 0, 0), 8: (False, 0, 0), 9: (False, 0, 0), 10: (True, 1, 0)}
+    assert [(r.batch_id, r.position) for r in parsed.ok().orderBy("batch_id").collect()] == [(0, 0), (1, 0), (10, 0)]
     failure = parsed.failures().collect()
     assert [(r.batch_id, r.error) for r in failure] == [(1, "missing source name")] and '"sha256":"x"' in failure[0].raw
 
