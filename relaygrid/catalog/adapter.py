@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from relaygrid import schemas
 from relaygrid.operators.security import LabelScheme
-from relaygrid.session import tune, work_path
+from relaygrid.session import config_table, settle, tune, work_path
 
 NOW = "2024-01-31 00:00:00"
 SCHEME = LabelScheme(
@@ -273,9 +273,8 @@ def with_control_rows(rows: DataFrame, model: str) -> DataFrame:
 
 def sources(spark: SparkSession) -> DataFrame:
     """Expiry per source; src3 never expires, src4 is not configured."""
-    return spark.createDataFrame(
-        [("src0", 20 * 86_400_000), ("src1", 10 * 86_400_000), ("src2", 864_000_000), ("src3", 0)], schemas.SOURCES
-    )
+    day = 86_400_000
+    return config_table(spark, [("src0", 20 * day), ("src1", 10 * day), ("src2", 10 * day), ("src3", 0)], schemas.SOURCES)
 
 
 def topic_log_of(rows: DataFrame) -> DataFrame:
@@ -305,7 +304,8 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = topic_log(spark, sf_dir)
     marks = log.join(flat.where(F.col("event_type") != "purchase").select(F.col("seq").alias("offset"), "k"), "offset")
     group = F.when(F.col("k") < 50, "grid-alpha-live").otherwise("grid-beta-historic")
-    return marks.groupBy(group.alias("consumer_group"), "topic", "partition").agg(F.max("offset").alias("committed"))
+    reached = marks.groupBy(group.alias("consumer_group"), "topic", "partition").agg(F.max("offset").alias("committed"))
+    return settle(reached, "offsets")
 
 
 def consumers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,9 +206,8 @@ def _lost_task_stream(spark, sf):
     ends = A.scalars_of(A.stream(spark, sf)).where(F.col("k") % 3 != 0).select(
         task, F.timestamp_micros(F.unix_micros("ts") + 300_000_000).alias("finished_at"))
     lost = _drain(stateful.lost_task_stream(starts, ends), "lost")
-    last = A.table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("last"))
-    closed = lost.join(last, F.unix_micros("started_at") < F.unix_micros("last") - 7_200_000_000)
-    return closed.select("seq")
+    last = A.table(spark, sf, "events").agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
+    return lost.where(F.unix_micros("started_at") < last - 7_200_000_000).select("seq")
 
 
 @query("purge_stream", A.sql("SELECT seq FROM judged WHERE NOT (by_id OR by_link OR by_author OR by_submission)", DELETES_SQL))

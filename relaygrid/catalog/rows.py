@@ -15,7 +15,7 @@ from relaygrid.operators import consumers as K
 from relaygrid.operators import filters, inject, oplog, projections, security
 from relaygrid.plans import publish as P
 from relaygrid.plans import reprocess as R
-from relaygrid.session import settle
+from relaygrid.session import config_table, settle
 from relaygrid.sources import batches, logs
 
 SPEC = K.ConsumerSpec(
@@ -122,7 +122,7 @@ def _flag_filter(spark, sf):
     "SELECT seq, CASE WHEN security NOT IN ('', 'LOW', 'MEDIUM') THEN 'max_security' END AS reason FROM ev"))
 def _security_filter(spark, sf):
     df, limit = A.messages(spark, sf), F.lit("MEDIUM")
-    access = security.security_access(security.label_pairs(df, limit), A.SCHEME)
+    access = settle(security.security_access(security.label_pairs(df, limit), A.SCHEME), "access")
     joined = security.with_access(df, access, limit)
     return joined.select("seq", security.security_filter(joined, limit).alias("reason"))
 
@@ -171,8 +171,8 @@ def _drop_undecodable(spark, sf):
       AND NOT (NOT fixed AND source_name = 'src0' AND ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY)
     GROUP BY topic"""))
 def _retention(spark, sf):
-    system = spark.createDataFrame(
-        [(f"grid.main.{suffix}", cleanup, ms) for suffix, cleanup, ms in V.SYSTEM_TOPIC_POLICIES], schemas.TOPIC_POLICY)
+    fixed = [(f"grid.main.{suffix}", cleanup, ms) for suffix, cleanup, ms in V.SYSTEM_TOPIC_POLICIES]
+    system = config_table(spark, fixed, schemas.TOPIC_POLICY)
     per_action = A.sources(spark).where("expire_ms > 0").select(
         F.explode(F.array(*map(F.lit, V.ACTIONS))).alias("action"), "source_name", "expire_ms")
     own = per_action.select(

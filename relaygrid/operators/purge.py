@@ -91,15 +91,23 @@ def purged_rows(df: DataFrame, register: DataFrame, kinds=KINDS, row_id: str = "
     return narrow.join(wanted, ["kind", "token"]).where(holds).select(row_id).distinct()
 
 
-def judge_purged(df: DataFrame, register: DataFrame, kinds=KINDS, row_id: str = "seq") -> DataFrame:
-    """Add ``purged``."""
-    hits = purged_rows(df, register, kinds, row_id).withColumn("_hit", F.lit(True))
-    return df.join(hits, row_id, "left").withColumn("purged", flag(F.col("_hit"))).drop("_hit")
+def judge_purged(
+    df: DataFrame, register: DataFrame, kinds=KINDS, row_id: str = "seq", settled: bool = True
+) -> DataFrame:
+    """Add ``purged``.
+
+    The purged ids are settled first: usually few, they then come back without
+    a shuffle of the messages; many come back in a shuffled join.
+    """
+    hits = purged_rows(df, register, kinds, row_id)
+    hits = settle(hits, "purged") if settled else hits
+    marked = df.join(hits.withColumn("_hit", F.lit(True)), row_id, "left")
+    return marked.withColumn("purged", flag(F.col("_hit"))).drop("_hit")
 
 
 def drop_purged(df: DataFrame, register: DataFrame, kinds=KINDS, row_id: str = "seq") -> DataFrame:
     """Messages no deletion of ``kinds`` touches."""
-    return df.join(purged_rows(df, register, kinds, row_id), row_id, "left_anti")
+    return df.join(settle(purged_rows(df, register, kinds, row_id), "purged"), row_id, "left_anti")
 
 
 def purge_by_id(df, register):

@@ -63,7 +63,7 @@ class ConsumePlan:
             narrow = _apply(narrow, stage) if isinstance(stage, ColumnStage) else _apply_table(narrow, stage)
         verdicts = narrow.where(F.col("reason").isNotNull()).select(row_id, F.col("reason").alias("_late"))
         return (
-            judged.join(verdicts, row_id, "left")
+            judged.join(settle(verdicts, "verdicts"), row_id, "left")
             .withColumn("reason", F.coalesce("reason", "_late")).drop("_late")
         )
 
@@ -131,7 +131,7 @@ def deleted_stage(register: DataFrame | None, row_id: str = "seq") -> TableStage
         return None
 
     def verdict(narrow: DataFrame) -> DataFrame:
-        judged = purge.judge_purged(narrow, register, row_id=row_id)
+        judged = purge.judge_purged(narrow, register, row_id=row_id, settled=False)
         return judged.withColumn("verdict", purge.purge_reason()).drop("purged")
 
     return TableStage(V.STAGE_DELETED, verdict)

@@ -14,6 +14,7 @@ from relaygrid.operators import metrics, oplog, projections
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.operators.filters import drop_tombstones
 from relaygrid.plans.consume import ConsumeContext, active_plan, passive_plan
+from relaygrid.session import settle
 
 ROW_ID = "delivery"
 
@@ -60,20 +61,20 @@ def deliveries(
 ) -> DataFrame:
     """Unread log rows of all feeds of a consumer, with feed and priority.
 
-    One scan: a row is copied to the feeds whose pattern and progress admit it.
+    One scan and one lookup: the progress of all feeds is one row per
+    partition, and a row is copied to the feeds whose pattern and progress
+    admit it.
     """
     chosen = feeds(spec, naming)
-    progress = offsets
-    rows = log
+    groups = {f"{naming.root}-{consumer_key}-{feed.name}": feed for feed in chosen}
+    progress = offsets.where(F.col("consumer_group").isin(*groups)).groupBy(*oplog.PARTITION).agg(*[
+        F.max(F.when(F.col("consumer_group") == group, F.col("committed"))).alias(f"_read_{feed.name}")
+        for group, feed in groups.items()
+    ])
+    rows = log.join(settle(progress, "progress"), oplog.PARTITION, "left")
     admitted = []
     for feed in chosen:
-        group = f"{naming.root}-{consumer_key}-{feed.name}"
-        committed = f"_committed_{feed.name}"
-        mine = progress.where(F.col("consumer_group") == group).select(
-            *oplog.PARTITION, F.col("committed").alias(committed)
-        )
-        rows = rows.join(mine, oplog.PARTITION, "left")
-        known = F.col(committed)
+        known = F.col(f"_read_{feed.name}")
         unread = F.col("offset") >= (F.coalesce(known, F.lit(0)) if feed.start == "earliest" else known)
         admitted.append(F.when(
             F.col("topic").rlike(feed.pattern) & F.coalesce(unread, F.lit(False)),

@@ -15,6 +15,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,6 +43,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,6 +72,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/relaygrid/{name}-{uuid.uuid4().hex}"
 
 
+def config_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few configured rows as part of the plan.
+
+    Spark knows their size, so a join with them never shuffles the other side.
+    """
+    row = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, schema.fields, strict=True)])
+        for values in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*row)))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
