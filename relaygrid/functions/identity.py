@@ -11,17 +11,17 @@ from relaygrid.functions.messages import Message, array_length, from_end, text
 def dotted_entries(entries: Column) -> Column:
     """Map entries as ``key.value.`` pieces in byte order, glued together."""
     pairs = F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit("."), text(e["value"])))
-    return _glue(F.array_sort(pairs))
+    return _glue(F.sort_array(pairs))
 
 
 def distinct_sorted(values: Column) -> Column:
     """Distinct non-empty strings in byte order."""
-    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
+    return F.sort_array(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
 
 
 def _glue(parts: Column) -> Column:
     """Each element followed by a dot; empty string for a NULL array."""
-    return F.coalesce(F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("."))), ""), F.lit(""))
+    return F.when(F.size(parts) > 0, F.concat(F.array_join(parts, "."), F.lit("."))).otherwise(F.lit(""))
 
 
 def wall_clock(timestamp: Column) -> Column:
