@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaygrid.functions.messages import Message, array_length, from_end, text
+from relaygrid.functions.messages import Message, depth, from_end, text
 
 
 def dotted_entries(entries: Column) -> Column:
@@ -38,12 +38,12 @@ _NO_TIME = "0001-01-01T00:00:00"
 
 
 def _node(path: Column, back: int) -> Column:
-    node = from_end(path, back)
-    piece = F.concat(
-        text(node["author"]["name"]), F.lit("."), text(node["action"]), F.lit("."),
-        text(node["sha256"]), F.lit("."),
-    )
-    return F.when(node.isNotNull(), piece).otherwise(F.lit(""))
+    """Author, action and hash of one lineage node; empty when there is none."""
+    piece = F.concat(*[
+        F.concat(text(from_end(leaf, back)), F.lit("."))
+        for leaf in (path["author"]["name"], path["action"], path["sha256"])
+    ])
+    return F.when(depth(path) > back, piece).otherwise(F.lit(""))
 
 
 def binary_descriptor(source: Column, clock: Column | None = None) -> Column:
@@ -51,18 +51,19 @@ def binary_descriptor(source: Column, clock: Column | None = None) -> Column:
 
     Source, submission time, references, settings, every security on the
     lineage, then the parent and the current lineage node.  Author versions and
-    earlier ancestors are left out, so such repeats share one identity.
+    earlier ancestors are left out, so such repeats share one identity.  Only
+    leaves of the lineage are touched, so a scan reads nothing else of it.
     """
     path = source["path"]
     clock = F.coalesce(wall_clock(source["timestamp"]) if clock is None else clock, F.lit(_NO_TIME))
-    securities = distinct_sorted(F.transform(path, lambda n: n["author"]["security"]))
+    securities = distinct_sorted(path["author"]["security"])
     descriptor = F.concat(
         text(source["name"]), F.lit("."), text(source["security"]), F.lit("."),
         clock, F.lit("."),
         dotted_entries(source["references"]), dotted_entries(source["settings"]),
         _glue(securities), _node(path, 1), _node(path, 0),
     )
-    return F.when(F.size(path) > 0, descriptor)
+    return F.when(depth(path) > 0, descriptor)
 
 
 def identity_expr(df: DataFrame, clock: Column | None = None) -> Column:
@@ -97,7 +98,7 @@ def identity_key(df: DataFrame, clock: Column | None = None) -> DataFrame:
 def has_identity(df: DataFrame) -> Column:
     """The cheap test for what :func:`identity_expr` cannot key."""
     msg = Message(df)
-    return ~msg.is_binary | (array_length(F.col("source.path")) > 0) if msg.has("source") else ~msg.is_binary
+    return ~msg.is_binary | (depth(F.col("source.path")) > 0) if msg.has("source") else ~msg.is_binary
 
 
 def consumer_prefix(spec: Column) -> Column:

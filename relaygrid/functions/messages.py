@@ -57,5 +57,10 @@ def from_end(array: Column, back: int) -> Column:
     return F.get(array, array_length(array) - 1 - back)
 
 
+def depth(path: Column) -> Column:
+    """Length of a lineage, read from one leaf so that a scan skips the others."""
+    return array_length(path["sha256"])
+
+
 def flag(column: Column) -> Column:
     return F.coalesce(column, F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaygrid import vocabulary as V
-from relaygrid.functions.messages import Message, array_length, flag, text
+from relaygrid.functions.messages import Message, array_length, depth, flag, text
 
 
 def instant(value) -> Column:
@@ -16,7 +16,7 @@ def instant(value) -> Column:
 
 
 def too_deep(df: DataFrame, max_depth: int) -> Column:
-    deep = array_length(F.col("source.path")) > max_depth
+    deep = depth(F.col("source.path")) > max_depth
     return F.when(Message(df).is_binary & deep, V.TOO_DEEP)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaygrid import vocabulary as V
-from relaygrid.functions.messages import Message, array_length, flag, from_end
+from relaygrid.functions.messages import Message, depth, flag, from_end
 from relaygrid.operators.filters import instant
 from relaygrid.session import settle
 
@@ -41,8 +41,8 @@ def merge_inserts(register: DataFrame, newer: DataFrame) -> DataFrame:
 def injectable(df: DataFrame) -> Column:
     """Messages that bring a new entity, not one more look at the same entity."""
     path = F.col("source.path")
-    changed = from_end(path, 0)["sha256"] != from_end(path, 1)["sha256"]
-    fresh = (array_length(path) < 2) | flag(changed)
+    changed = from_end(path["sha256"], 0) != from_end(path["sha256"], 1)
+    fresh = (depth(path) < 2) | flag(changed)
     return flag(Message(df).is_binary & F.col("action").isin(*V.ACTIONS_WITH_DATA) & fresh)
 
 

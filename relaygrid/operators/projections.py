@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaygrid import vocabulary as V
-from relaygrid.functions.messages import Message, array_length, flag, text
+from relaygrid.functions.messages import Message, depth, flag, text
 from relaygrid.operators.filters import instant
 
 _NO_SETTINGS = "map<string,string>"
@@ -15,8 +15,8 @@ _NO_SETTINGS = "map<string,string>"
 def strip_settings_at_depth(df: DataFrame) -> DataFrame:
     """Empty the source settings once the lineage is as long as they ask for."""
     asked = F.col("source.settings")[V.SETTINGS_DEPTH_KEY]
-    depth = F.when(asked.rlike(r"^[+-]?[0-9]+$"), asked.try_cast("bigint"))
-    reached = flag(Message(df).is_binary & (array_length(F.col("source.path")) >= depth))
+    limit = F.when(asked.rlike(r"^[+-]?[0-9]+$"), asked.try_cast("bigint"))
+    reached = flag(Message(df).is_binary & (depth(F.col("source.path")) >= limit))
     emptied = F.create_map().cast(_NO_SETTINGS)
     settings = F.when(reached, emptied).otherwise(F.col("source.settings"))
     return df.withColumn("source", F.col("source").withField("settings", settings))

@@ -17,6 +17,7 @@ from relaygrid import vocabulary as V
 from relaygrid.functions import identity
 from relaygrid.functions.messages import Message
 from relaygrid.operators import filters, inject, projections, purge
+from relaygrid.session import settle
 
 Stage = Callable[[DataFrame], DataFrame]
 ID, DROPPED, ADDED = "msg_id", "dropped_by", "added_by"
@@ -138,12 +139,16 @@ def key_stage():
 
 
 def deleted_stage(register: DataFrame | None):
-    """On publish a purged message is only dropped; it has no log row to erase."""
+    """On publish a purged message is only dropped; it has no log row to erase.
+
+    The keyed messages are settled before they are looked up: the lookup reads
+    them twice, which would repeat the fan-out and draw random keys anew.
+    """
     if register is None:
         return None
 
     def stage(df: DataFrame) -> DataFrame:
-        judged = purge.judge_purged(df, register, row_id=ID)
+        judged = purge.judge_purged(settle(df, "keyed"), register, row_id=ID)
         return _drop_when(judged, V.STAGE_DELETED, F.col("purged")).drop("purged")
 
     return V.STAGE_DELETED, stage

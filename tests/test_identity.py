@@ -119,3 +119,17 @@ def test_other_models(spark):
 ])
 def test_consumer_keys(spark, spec, key):
     assert spark.range(1).select(consumer_key(spec.column()).alias("k")).first().k == key
+
+
+def test_a_scan_reads_only_the_leaves_it_needs(spark):
+    from relaygrid.operators.filters import too_deep
+    from relaygrid.session import settle
+
+    stored = settle(frame(spark, [simple()]), "messages")
+    keyed = identity_key(stored).select("kafka_key")
+    assert keyed.first().kafka_key == PLAIN
+    scan = keyed._jdf.queryExecution().executedPlan().toString()
+    for unread in ("relationship", "filename", "datastreams", "features"):
+        assert unread not in scan
+    scan = stored.select(too_deep(stored, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "path:array<struct<sha256:string>>" in scan.replace(",action", "") and "relationship" not in scan
