@@ -188,7 +188,9 @@ def _retention(spark, sf):
     SELECT ev.seq, CASE WHEN event_type = 'purchase' THEN md5(dequeued || '.' || author_name) ELSE keyed.kafka_key END AS kafka_key
     FROM ev LEFT JOIN keyed USING (seq) WHERE event_type = 'purchase' OR keyed.kafka_key IS NOT NULL""", PATH_SQL, KEY_SQL))
 def _identity_key(spark, sf):
-    return identity.identity_key(A.mixed(spark, sf)).select("seq", "kafka_key")
+    # out of a generator the derived source is a column like a stored one
+    df = A.mixed(spark, sf).withColumn("source", F.explode(F.array("source")))
+    return identity.identity_key(df).select("seq", "kafka_key")
 
 
 @query("choose_topic", A.sql("""
