@@ -32,7 +32,7 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def buckets_for(df: DataFrame, rows: int = 50_000, least: int = 16) -> int:
+def buckets_for(df: DataFrame, rows: int = 20_000, least: int = 64) -> int:
     """Buckets that keep the bucket of an even hash near ``rows`` rows."""
     return max(least, -(-df.count() // rows))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import exact_dedup, licences, mixing, packing
+from relaygrid.llm import exact_dedup, language, licences, mixing, packing, quality
 from relaygrid.llm.common import read
 from relaygrid.session import tune
 
@@ -78,6 +78,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notices", F.array_join("notices", ","))
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
