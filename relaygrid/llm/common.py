@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def carried(docs: DataFrame) -> Column:
+    """The whole row as one column, so that no name of it can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes, null as empty.
 

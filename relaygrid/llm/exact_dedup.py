@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaygrid.llm.common import BLANKS
+from relaygrid.llm.common import BLANKS, carried
 from relaygrid.session import settle
 
 
@@ -77,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; columns as they were."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__key", F.sha2(normal_text(F.col(text_col)).cast("binary"), 256))
-    stay = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi")
+    row = docs.select(carried(docs), F.col(id_col).alias("id"), F.sha2(normal_text(F.col(text_col)).cast("binary"), 256).alias("sha"))
+    stay = row.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
     # rows that repeat both id and text are one document
-    return stay.dropDuplicates([id_col, "__key"]).drop("__key")
+    return stay.dropDuplicates(["id", "sha"]).select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relaygrid.llm.common import WORD, buckets_for, running
+from relaygrid.llm.common import WORD, buckets_for, carried, running
 from relaygrid.session import settle
 
 BLOCK_WORDS = 64
@@ -156,23 +156,24 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents of no words are none of the mix's business and stay as they are.
     """
     mixed = mix(docs, id_col, text_col, source_col, **options)
-    reads = mixed.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "spans")
+    same = ["id", "source", "size"]
     # rows that repeat an id, a source and a size read alike: the n-th row takes the n-th reading
-    same = Window.partitionBy("__id", "__source", "__size")
-    reads = reads.withColumn("__nth", F.row_number().over(same.orderBy(F.xxhash64("spans"))))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": word_count(F.col(text_col))})
-    keyed = keyed.withColumn("__nth", F.row_number().over(same.orderBy(F.xxhash64(F.col(text_col)))))
-    r = reads.select(*[F.col(c).alias(f"r{c}") for c in ("__id", "__source", "__size", "__nth")], F.col("spans").alias("__spans"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("tie"))
+    reads = mixed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", "spans", F.xxhash64("spans").alias("tie"))
+    reads = reads.withColumn("nth", nth).select(*[F.col(c).alias(f"r_{c}") for c in (*same, "nth")], "spans")
+    text = F.col(f"row.`{text_col}`")
+    rows = docs.select(
+        carried(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(text_col)).alias("tie"),
+    ).withColumn("nth", nth)
     on = (
-        F.col("__id").eqNullSafe(F.col("r__id")) & F.col("__source").eqNullSafe(F.col("r__source"))
-        & (F.col("__size") == F.col("r__size")) & (F.col("__nth") == F.col("r__nth"))
+        F.col("id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source"))
+        & (F.col("size") == F.col("r_size")) & (F.col("nth") == F.col("r_nth"))
     )
-    both = keyed.join(r, on)
-    turns = F.when(F.col("__size") == 0, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.col("__spans")["pass"])))
-    each = both.withColumn("__turn", F.explode(turns)).withColumn(
-        "__now", F.filter("__spans", lambda s: s["pass"] == F.col("__turn"))
-    )
-    taken = F.aggregate("__now", F.lit(0).cast("long"), lambda total, s: total + s["words"])
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("__now", lambda s: F.slice(parts, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    return each.withColumn(text_col, F.when(taken == F.col("__size"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    turns = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.col("spans")["pass"])))
+    each = rows.join(reads, on).withColumn("turn", F.explode(turns)).withColumn("now", F.filter("spans", lambda s: s["pass"] == F.col("turn")))
+    taken = F.aggregate("now", F.lit(0).cast("long"), lambda total, s: total + s["words"])
+    parts = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.flatten(F.transform("now", lambda s: F.slice(parts, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    read = F.when(taken == F.col("size"), text).otherwise(cut)
+    return each.withColumn("read", read).select(F.col("row").withField(f"`{text_col}`", F.col("read")).alias("row")).select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaygrid.llm.common import remainder, utf8
+from relaygrid.llm.common import carried, remainder, utf8
 from relaygrid.session import settle
 
 #: Words and bytes of typical text that every document counts beside its own, so that short texts look typical.
@@ -145,5 +145,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     described = settle(docs.select(F.col(id_col).alias(id_col), statistics(F.col(text_col)).alias("features")), "quality-statistics")
     model = learn(described, labels, id_col, label_col)
-    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), statistics(F.col(text_col)).alias("features"))
+    judged = docs.select(carried(docs), statistics(F.col(text_col)).alias("features"))
     return judged.where(model.score(F.col("features")) >= 0.5).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import exact_dedup, language, licences, mixing, packing, quality
+from relaygrid.llm import exact_dedup, language, licences, mixing, near_dedup, packing, quality
 from relaygrid.llm.common import read
 from relaygrid.session import tune
 
@@ -88,6 +88,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+@query("op7_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), size=2)
+
+
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
