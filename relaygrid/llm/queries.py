@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import exact_dedup, language, licences, mixing, near_dedup, packing, quality
+from relaygrid.llm import exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality
 from relaygrid.llm.common import read
 from relaygrid.session import tune
 
@@ -112,6 +112,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op10_lm_score")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
