@@ -9,12 +9,15 @@
    built from the texts, are similar enough.
 4. Components of the links by large-star and small-star.
 5. Buckets that still hold several components may hide links between members
-   that are not their smallest: those members are compared by signature in
-   blocks of bounded size, and what agrees is verified as before, the most
-   similar pairs of two components first, until no pair is left.
-
-So a bucket of any size costs rows in proportion to its members, and no link
-between documents that share a band is lost.
+   that are not their smallest: there, members outside the bucket's main
+   component meet all others, in blocks of bounded size.  Signatures first tell
+   which members have a likely partner in another component; these alone come
+   with their texts, and full sets are compared inside the task, by products of
+   their incidence matrices.  A task reports links that join what was not yet
+   joined, fewer than it has members.
+
+So a bucket costs rows in proportion to its members, unless it holds many
+components, and no link between documents that share a band is lost.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from relaygrid.session import settle
 BANDS, ROWS = 42, 6
 #: How far a signature's share of equal bytes may fall below the threshold: over five standard deviations at 252 minima.
 MARGIN = 0.14
-#: Members of a bucket that are compared in one task, and pairs of two components that are verified in one round.
-BLOCK, PER_ROUND = 2048, 32
+#: Members of a bucket on either side of one comparison, and their shingles in all.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 CACHE = 400_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -127,12 +130,6 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, kind)
 
 
-def agreement(a: bytes, b: bytes) -> float:
-    """Similarity that two signatures suggest; one byte in 256 agrees by chance."""
-    share = float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
-    return (share - 1 / 256) * 256 / 255
-
-
 @F.arrow_udf(T.DoubleType())
 def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
     left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (a, b))
@@ -159,61 +156,137 @@ def _confirm(size: int, percent: int):
     return confirm
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """id, text of the given ids; an id that repeats with other texts has several sets, and any of them links."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    return settle(rows, "near-texts")
+
+
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree and whose full sets are similar."""
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
     close = pairs.join(left, "a").join(right, "b").where(_agree("sa", "sb") >= percent / 100 - MARGIN).select("a", "b")
     close = settle(close.distinct(), "near-close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # ids that repeat with other texts have several sets; any of them links
-    texts = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "near-texts")
+    texts = _texts(docs, id_col, text_col, close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     first = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return settle(both.where(_confirm(size, percent)("ta", "tb")).select("a", "b"), "near-links")
 
 
-def _across(members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of one bucket and of two components whose signatures agree, the ``turn``-th portion; more: another follows.
-
-    ``members``: bucket, n (its members), id, component, signature.  A bucket is
-    cut into blocks, and every pair of blocks is one group of bounded size.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(
-        "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "signature"
-    )
+def _likely(percent: int):
+    """Members of a group that have a likely partner on the other side; see :func:`_across`."""
     low = percent / 100 - MARGIN
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        _, first, second = (k.as_py() for k in key)
-        ids = table.column("id").to_pylist()
-        groups = np.array(table.column("component").to_pylist(), object)
-        mine = np.array(table.column("mine").to_pylist())
-        codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        found: dict[tuple, list[tuple[float, object, object]]] = {}
-        for i in np.flatnonzero(mine == first):
-            others = np.flatnonzero((mine == second) & (groups != groups[i]))
-            if first == second:
-                others = others[others > i]
-            share = ((codes[others] == codes[i]).mean(axis=1) - 1 / 256) * 256 / 255
-            for j, s in zip(others[share >= low], share[share >= low], strict=True):
-                a, b = sorted((ids[i], ids[j]))
-                found.setdefault(tuple(sorted((groups[i], groups[j]))), []).append((-float(s), a, b))
+    def likely(key: tuple, table: pa.Table) -> pa.Table:
+        asks = np.asarray(table["asks"])
+        ids, size = np.array(table["id"].to_pylist(), object), np.asarray(table["n_shingles"])
+        _, group = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)
+        codes = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        mine, others, met = np.flatnonzero(asks), np.flatnonzero(~asks), np.zeros(len(ids), bool)
+        for i in mine:
+            # sets of such different sizes cannot be similar
+            apart = group[others] != group[i]
+            apart &= 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
+            near = others[apart]
+            share = ((codes[near] == codes[i]).mean(axis=1) - 1 / 256) * 256 / 255
+            near = near[share >= low]
+            met[near] = True
+            met[i] = len(near) > 0
+        rows = np.flatnonzero(met)
+        keys = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.table([*keys, table["id"].combine_chunks().take(pa.array(rows)), pa.array(asks[rows])], names=["bucket", "low", "high", "id", "asks"])
+
+    return likely
+
+
+def _linked(size: int, percent: int):
+    """Links of a group's full sets that join what is not joined yet."""
+
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        known = _WordHash()
+        sets = [shingle_hashes(t.lower().split(), known, size) for t in utf8(table["text"].combine_chunks())]
+        ids, asks = table["id"].to_pylist(), np.asarray(table["asks"])
+        lengths = np.array([len(x) for x in sets])
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), lengths)
+        shared = times[code] > 1
+        code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        both = np.zeros((len(mine), len(others)), np.float32)
+        width = 2048
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            first, end = np.searchsorted(code, [start, start + width])
+            held = np.zeros((len(sets), width), np.float32)
+            held[owner[first:end], code[first:end] - start] = 1
+            both += held[mine] @ held[others].T
+        union = lengths[mine][:, None] + lengths[others][None] - both
+        near = 100 * both.astype(np.float64) >= percent * union.astype(np.float64)
+        root = {i: i for i in ids}
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         out = []
-        for pairs in found.values():
-            pairs.sort()
-            more = len(pairs) > (turn + 1) * PER_ROUND
-            out += [(a, b, more) for _, a, b in pairs[turn * PER_ROUND : (turn + 1) * PER_ROUND]]
-        a, b, more = zip(*out, strict=True) if out else ((), (), ())
+        for row, column in zip(*np.nonzero(near), strict=True):
+            a, b = find(ids[mine[row]]), find(ids[others[column]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((ids[mine[row]], ids[others[column]]))
+        a, b = zip(*out, strict=True) if out else ((), ())
         kind = table.schema.field("id").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "more": pa.array(more, pa.bool_())})
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
+    return linked
+
+
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets.
+
+    ``members``: bucket, id, n_shingles, component.  Of each bucket the members
+    outside its largest component ask all members; askers and asked are dealt
+    into blocks, and each pair of blocks is one group of bounded size.
+    """
     id_type = members.schema["id"].dataType
-    kind = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("more", T.BooleanType())])
-    return met.groupBy("bucket", "low", "high").applyInArrow(compare, kind)
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("main"))
+
+    def blocks(n, s):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    whole = whole.where(F.col("n") > F.col("main")["n"]).select(
+        "bucket", F.col("main")["component"].alias("main"),
+        blocks(F.col("n") - F.col("main")["n"], F.col("s") - F.col("main")["s"]).alias("lows"), blocks(F.col("n"), F.col("s")).alias("highs"),
+    )
+    open_ = settle(members.join(whole, "bucket"), "near-open")
+    keys = ["bucket", "low", "high"]
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    asking = open_.where("component != main").withColumns({
+        "low": F.pmod(F.xxhash64("id"), F.col("lows")).cast("int"), "high": every("highs"), "asks": F.lit(True),
+    })
+    asked = open_.withColumns({"low": every("lows"), "high": F.pmod(F.xxhash64("id"), F.col("highs")).cast("int"), "asks": F.lit(False)})
+    columns = [*keys, "id", "n_shingles", "component", "asks"]
+    met = asking.select(columns).unionByName(asked.select(columns)).join(reps.select("id", "signature"), "id")
+    kind = T.StructType([
+        T.StructField("bucket", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()),
+        T.StructField("id", id_type), T.StructField("asks", T.BooleanType()),
+    ])
+    likely = settle(met.groupBy(*keys).applyInArrow(_likely(percent), kind), "near-likely")
+    # groups of the same members are compared once
+    alike = likely.groupBy(*keys).agg(F.bit_xor(F.xxhash64("id", "asks")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("id").alias("i"))
+    once = alike.groupBy("x", "n", "i").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    chosen = settle(likely.join(once, keys, "left_semi"), "near-chosen")
+    texts = _texts(docs, id_col, text_col, chosen.select("id").distinct())
+    pair = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
+    return settle(chosen.join(texts, "id").groupBy(*keys).applyInArrow(_linked(size, percent), pair), "near-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -233,9 +306,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = settle(_signed(docs, id_col, text_col, size), "near-signed")
     classes = settle(signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep")), "near-classes")
     chosen = classes.where("rep is not null").select("print", F.col("rep").alias("id"))
-    reps = settle(signed.join(chosen, ["print", "id"], "left_semi").dropDuplicates(["print", "id"]).select("id", "bands", "signature"), "near-reps")
+    reps = settle(signed.join(chosen, ["print", "id"], "left_semi").dropDuplicates(["print", "id"]).select("id", "n_shingles", "bands", "signature"), "near-reps")
     signatures = reps.select("id", "signature")
-    in_bands = reps.select(F.explode("bands").alias("bucket"), "id")
+    in_bands = reps.select(F.explode("bands").alias("bucket"), "id", "n_shingles")
     buckets = in_bands.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
     shared = settle(in_bands.join(buckets.where("least != most").select("bucket", "least", "n"), "bucket"), "near-buckets")
     pairs = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
@@ -243,21 +316,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # ids that stand for several sets link those sets
     repeated = signed.where("print is not null and id is not null").join(classes, "print").where("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(_same_id(signed, repeated)))
-    turn, left = 0, shared.where("n > 2")
-    while True:
-        of = found.select(F.col("node").alias("id"), "component")
-        members = left.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = members.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("bucket")
-        members = members.join(mixed, "bucket", "left_semi").join(signatures, "id")
-        across = settle(_across(members.select("bucket", "n", "id", "component", "signature"), percent, turn), "near-across")
-        more = _verified(across.select("a", "b").distinct(), signatures, docs, id_col, text_col, size, percent)
-        new, again = not more.isEmpty(), not across.where("more").isEmpty()
-        if new:
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        if not again:
-            break
-        # the portions of a round refer to its components: after a merger they are counted anew
-        turn = 0 if new else turn + 1
+    of = found.select(F.col("node").alias("id"), "component")
+    members = shared.where("n > 2").join(of, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    more = _across(members, reps, docs, id_col, text_col, size, percent)
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of = found.select(F.col("node").alias("rep"), "component")
     at = classes.join(of, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("id", "n_shingles", "print").join(at, "print", "left")
