@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality
+from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality, urls
 from relaygrid.llm.common import read
 from relaygrid.session import tune
 
@@ -35,6 +35,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query("op2_urls")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(read(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
+
+
 @query("op3_nearest")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
