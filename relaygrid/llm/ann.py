@@ -93,8 +93,9 @@ def learn(rows: DataFrame, dimension: int, k: int = 20, sample: int = SAMPLE, re
     chance = int(min(1.0, sample / max(1, total)) * (1 << 30))
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < chance).limit(2 * sample).toArrow()
     ids, x = np.asarray(drawn["id"], np.int64), _matrix(drawn["vector"], dimension) if drawn.num_rows else np.empty((0, dimension))
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    # in order of id, each id once
+    ids, order = np.unique(ids, return_index=True)
+    x = x[order]
     levels = min(MOST_LEVELS, int(np.log2(max(1, total / PART_ROWS))))
     if not levels or len(x) < 48 * 2**levels:
         return Parts(dimension, 1, 1, None, ids, x)
@@ -167,18 +168,23 @@ def search(indexed: DataFrame, parts: Parts, queries: DataFrame, k: int = 20) ->
             return schema.empty_table()
         ids, x = np.asarray(base["id"]), _matrix(base["vector"], parts.dimension)
         who, q, bounds = np.asarray(asking["id"]), _matrix(asking["vector"], parts.dimension), np.asarray(asking["bound"])
+        distinct = np.unique(ids)
+        order = np.argsort(ids, kind="stable")
+        starts = np.searchsorted(ids[order], distinct)
         out = []
         for start in range(0, len(q), 128):
             near = q[start : start + 128] @ x.T
             near[who[start : start + 128, None] == ids[None]] = -np.inf
             least = bounds[start : start + 128]
-            if near.shape[1] > k:
+            if len(distinct) > k:
+                each = near if len(distinct) == len(ids) else np.maximum.reduceat(near[:, order], starts, axis=1)
                 # products of a block may differ in the last bit: a margin keeps ties together
-                least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 1e-9)
+                least = np.maximum(least, np.partition(each, -k, axis=1)[:, -k] - 1e-9)
             for n in range(len(near)):
                 rows = np.flatnonzero((near[n] >= least[n]) & (near[n] > -np.inf))
                 score = (x[rows] * q[start + n]).sum(axis=1)
-                best = np.lexsort((ids[rows], -score))[:k]
+                best = np.lexsort((ids[rows], -score))
+                best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k]
                 out.append((np.full(len(best), who[start + n]), ids[rows][best], score[best]))
         return pa.table([np.concatenate([o[c] for o in out]) for c in range(3)], schema=schema)
 

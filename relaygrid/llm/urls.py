@@ -4,8 +4,7 @@ A host without a rule is split into words by a unigram model (Viterbi), whose
 word counts come from the pages themselves; a multinomial naive Bayes over the
 host's words and the path's tokens then decides.  Its classes are taught by the
 pages: those whose host words hold a listed term teach ``block``, the others
-``allow``; every listed term also counts a little for ``block`` beforehand.
-Both classes are smoothed by the typical page, so tokens common to all say
+``allow``; listed terms have a share of class ``block`` beforehand.  Both classes are smoothed by the typical page, so tokens common to all say
 little.
 
 Hosts are segmented once each.  A host meets the counts of its own substrings
@@ -30,10 +29,12 @@ TERMS = (
     "adult", "porn", "xxx", "sex", "escort", "casino", "gambling", "betting", "bet", "bets", "poker", "viagra", "pharma", "pills", "spam",
     "phishing", "malware", "warez", "torrent", "crack", "ads", "adserver", "popup", "tracker", "clickbait",
 )
-#: What a listed term counts in class ``block`` beforehand, and the tokens of typical pages that both classes count beside their own.
-TERM_COUNT, TYPICAL = 50, 1000.0
+#: Share of the listed terms among the tokens of class ``block``, and the tokens of typical pages that both classes count beside their own.
+TERM_SHARE, TYPICAL = 0.2, 20.0
+#: What a listed term counts among the words of the segmentation.
+TERM_COUNT = 1000
 #: Share of ``block`` before a url is read.
-PRIOR = 0.5
+PRIOR = 0.2
 #: Longest word of a segmentation; a word not seen costs as if seen once in ten times the text, and ten times more per letter.
 LONGEST, UNSEEN, PER_LETTER = 20, 10.0, 10.0
 
@@ -98,7 +99,7 @@ def word_counts(texts: Column, pages: DataFrame, terms: tuple[str, ...]) -> Data
     words = pages.select(F.explode(F.split(F.lower(texts), r"[^\p{L}]+")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     kind = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-    own = config_table(pages.sparkSession, [(t, 1000) for t in terms], kind)
+    own = config_table(pages.sparkSession, [(t, TERM_COUNT) for t in terms], kind)
     return counted.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -131,7 +132,7 @@ def judge_urls(
     """Verdict of every url: one row per input row with ``id_col``, host, path, rule, verdict, words, odds.
 
     * Null urls and urls without ``://`` have an empty host and path, fit no
-      rule and, without any token, follow ``PRIOR``: at one half they are allowed.
+      rule and, without any token, follow ``PRIOR``: they are allowed.
     * A rule fits its host and all subdomains if the path starts with the
       rule's; the longest rule wins, of equal ones the last in order.
     * ``words``: the host's words; ``odds``: natural log of how much likelier
@@ -153,17 +154,17 @@ def judge_urls(
         "host", "tokens", "n", "words", listed.alias("bad"), F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform("tokens", lambda t: F.concat(F.lit("p:"), t))).alias("features"),
     )
     taught = settle(taught, "url-taught")
-    own = config_table(pages.sparkSession, [(f"h:{t}", TERM_COUNT) for t in terms], T.StructType([T.StructField("feature", T.StringType()), T.StructField("bad", T.LongType())]))
     seen = taught.select(F.explode("features").alias("feature"), "bad", "n").groupBy("feature").agg(
         F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good")
     )
-    seen = seen.unionByName(own.withColumn("good", F.lit(0).cast("long"))).groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     seen = settle(seen, "url-features")
     total = seen.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("v")).first()
     bad, good, kinds_of = float(total["bad"] or 0), float(total["good"] or 0), float(total["v"])
     # typical pages are smoothed by one for every feature, so what is common everywhere says little
     typical = F.lit(TYPICAL) * (F.col("bad") + F.col("good") + 1) / F.lit(bad + good + kinds_of)
-    weight = F.log((F.col("bad") + typical) / F.lit(bad + TYPICAL)) - F.log((F.col("good") + typical) / F.lit(good + TYPICAL))
+    own = F.when(F.col("feature").isin(*[f"h:{t}" for t in terms]), F.lit(TERM_SHARE / len(terms))).otherwise(0.0)
+    blocked = (F.col("bad") + typical) / F.lit(bad + TYPICAL) * F.lit(1 - TERM_SHARE) + own
+    weight = F.log(blocked) - F.log((F.col("good") + typical) / F.lit(good + TYPICAL))
     weighed = seen.select("feature", weight.alias("weight"))
     each = taught.select("host", "tokens", F.explode("features").alias("feature"))
     sums = each.join(weighed, "feature").groupBy("host", "tokens").agg(F.sum("weight").alias("weight"))
