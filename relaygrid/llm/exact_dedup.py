@@ -76,8 +76,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; columns as they were."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    row = docs.select(carried(docs), F.col(id_col).alias("id"), F.sha2(normal_text(F.col(text_col)).cast("binary"), 256).alias("sha"))
-    stay = row.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left_semi")
-    # rows that repeat both id and text are one document
-    return stay.dropDuplicates(["id", "sha"]).select("row.*")
+    key = F.struct(F.col("id"), F.col("sha")).alias("key")  # never null, so a null id is a key as any other
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).select(key)
+    rows = docs.select(carried(docs), F.col(id_col).alias("id"), F.sha2(normal_text(F.col(text_col)).cast("binary"), 256).alias("sha"))
+    # rows that repeat both id and text are one document; the join has dealt them by that key already
+    return rows.select("row", key).join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -156,24 +156,24 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents of no words are none of the mix's business and stay as they are.
     """
     mixed = mix(docs, id_col, text_col, source_col, **options)
-    same = ["id", "source", "size"]
     # rows that repeat an id, a source and a size read alike: the n-th row takes the n-th reading
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("tie"))
-    reads = mixed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", "spans", F.xxhash64("spans").alias("tie"))
-    reads = reads.withColumn("nth", nth).select(*[F.col(c).alias(f"r_{c}") for c in (*same, "nth")], "spans")
-    text = F.col(f"row.`{text_col}`")
+    key = F.struct("id", "source", "size").alias("key")  # never null, so null parts are parts as any other
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("tie"))
+    reads = mixed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", "spans")
+    reads = reads.select(key, "spans", F.xxhash64("spans").alias("tie")).withColumn("r_nth", nth).drop("tie")
     rows = docs.select(
         carried(docs), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(text_col)).alias("tie"),
-    ).withColumn("nth", nth)
-    on = (
-        F.col("id").eqNullSafe(F.col("r_id")) & F.col("source").eqNullSafe(F.col("r_source"))
-        & (F.col("size") == F.col("r_size")) & (F.col("nth") == F.col("r_nth"))
-    )
-    turns = F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.col("spans")["pass"])))
-    each = rows.join(reads, on).withColumn("turn", F.explode(turns)).withColumn("now", F.filter("spans", lambda s: s["pass"] == F.col("turn")))
+    ).select("row", key, "tie").withColumn("nth", nth)
+    # not an equality, so both sides stay dealt by the key that ranked them
+    both = rows.join(reads, "key").where((F.col("nth") >= F.col("r_nth")) & (F.col("nth") <= F.col("r_nth")))
+    size, text = F.col("key")["size"], F.col("row")[text_col]
+    turns = F.when(size == 0, F.array(F.lit(0))).otherwise(F.array_sort(F.array_distinct(F.col("spans")["pass"])))
+    each = both.withColumn("turn", F.explode(turns)).withColumn("now", F.filter("spans", lambda s: s["pass"] == F.col("turn")))
     taken = F.aggregate("now", F.lit(0).cast("long"), lambda total, s: total + s["words"])
-    parts = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("now", lambda s: F.slice(parts, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    read = F.when(taken == F.col("size"), text).otherwise(cut)
-    return each.withColumn("read", read).select(F.col("row").withField(f"`{text_col}`", F.col("read")).alias("row")).select("row.*")
+    parts = F.when(taken != size, F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    # out of a generator the text is split once, not once per span
+    split = each.withColumn("parts", F.explode(F.array(parts)))
+    cut = F.array_join(F.flatten(F.transform("now", lambda s: F.slice("parts", (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    read = F.when(F.col("parts").isNull(), text).otherwise(cut)
+    return split.withColumn("read", read).select(F.col("row").withField(f"`{text_col}`", F.col("read")).alias("row")).select("row.*")
