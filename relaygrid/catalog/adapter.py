@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from relaygrid import schemas
 from relaygrid.operators.security import LabelScheme
-from relaygrid.session import config_table, settle, tune, work_path
+from relaygrid.session import config_table, settle, tune
 
 NOW = "2024-01-31 00:00:00"
 SCHEME = LabelScheme(
@@ -27,25 +27,9 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-_SPREAD: dict[tuple[str, str], str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.
-
-    A table with fewer splits than the session has cores is copied once per
-    session into one file per core; a large one is read as it lies.
-    """
-    rows = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
-    if key not in _SPREAD:
-        if rows.rdd.getNumPartitions() >= cores:
-            return rows
-        path = work_path(spark, name)
-        rows.repartition(cores, rows.columns[0]).write.parquet(path)
-        _SPREAD[key] = path
-    return spark.read.schema(rows.schema).parquet(_SPREAD[key])
+    """One of the given tables, read as it lies."""
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shaped(kind: T.StructType, **values: str) -> str:

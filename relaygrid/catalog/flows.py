@@ -193,21 +193,21 @@ def _dedupe_stream(spark, sf):
     return _drain(kept, "dedupe").groupBy("consumer", "kafka_key", "exempt").agg(F.count("*").alias("n"))
 
 
-@query("lost_task_stream", A.sql("""
-    SELECT seq FROM ev WHERE k % 3 = 0 AND ts < (SELECT max(ts) FROM ev) - INTERVAL 2 HOUR"""))
+@query("lost_task_stream", A.sql("SELECT seq FROM ev WHERE k % 3 = 0"))
 def _lost_task_stream(spark, sf):
-    """Tasks finish after five minutes unless their code is divisible by 3.
-
-    Only windows that the watermark has closed are complete, so the last two
-    hours of starts are left out."""
-    flat = A.scalars_of(A.stream(spark, sf))
-    task = F.concat_ws("/", "kafka_key", F.col("seq").cast("string")).alias("dequeued")
-    starts = flat.select("seq", task, F.col("ts").alias("started_at"))
-    ends = A.scalars_of(A.stream(spark, sf)).where(F.col("k") % 3 != 0).select(
+    """Tasks finish after five minutes unless their code is divisible by 3; a last row closes all windows."""
+    rows = A.scalars(spark, sf).select("seq", "kafka_key", "k", "ts")
+    folder = work_path(spark, "task-events")
+    rows.write.parquet(folder)
+    # the first row moves the watermark, the second one starts the batch that acts on it
+    for after in ("2 HOURS", "4 HOURS"):
+        stateful.closing_row(rows, "ts", after).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    task = F.coalesce(F.concat(F.col("kafka_key"), F.lit("/"), F.col("seq").cast("string")), F.lit("closing")).alias("dequeued")
+    starts = stream.select("seq", task, F.col("ts").alias("started_at"))
+    ends = stream.where((F.col("k") % 3 != 0) | F.col("seq").isNull()).select(
         task, F.timestamp_micros(F.unix_micros("ts") + 300_000_000).alias("finished_at"))
-    lost = _drain(stateful.lost_task_stream(starts, ends), "lost")
-    last = A.table(spark, sf, "events").agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
-    return lost.where(F.unix_micros("started_at") < last - 7_200_000_000).select("seq")
+    return _drain(stateful.lost_task_stream(starts, ends), "lost").select("seq")
 
 
 @query("purge_stream", A.sql("SELECT seq FROM judged WHERE NOT (by_id OR by_link OR by_author OR by_submission)", DELETES_SQL))

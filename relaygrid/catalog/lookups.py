@@ -123,7 +123,7 @@ REPLAY_TTL = 7 * 86_400
 def _replay_inputs(spark, sf):
     """Events, the cache as a stored table, and the settled matches."""
     events = A.messages(spark, sf).where(F.col("action") != "mapped")
-    cached = settle(replay.cacheable(A.statuses(spark, sf), min_runtime_s=3.0, max_bytes=1 << 20), "cache")
+    cached = settle(replay.cacheable(A.statuses(spark, sf), min_runtime_s=3.0), "cache")
     consumer = (F.col("author.name"), F.col("author.version"))
     matches = replay.settle_matches(replay.match_completions(events, cached, consumer, REPLAY_TTL))
     return events, cached, matches

@@ -27,7 +27,7 @@ def parse_byte_range(header: Column) -> Column:
     reads the last n bytes (start -n).
     """
     header = F.coalesce(header, F.lit(""))
-    body = F.trim(F.substring(header, 7, 1 << 20))
+    body = F.trim(header.substr(F.lit(7), F.length(header)))
     dash = F.instr(body, "-")
     left = F.trim(F.substring_index(body, "-", 1))
     right = F.trim(body.substr(dash + 1, F.length(body)))

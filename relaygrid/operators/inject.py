@@ -17,6 +17,8 @@ def latest_inserts(inserts: DataFrame) -> DataFrame:
     A NULL payload removes the insert of that key from every parent.
     """
     payload = F.struct("seq", F.col("insert").alias("body"))
+    # an insert without a key can neither be told from others nor taken back
+    inserts = inserts.where(F.col("kafka_key").isNotNull())
     live = inserts.where(F.col("insert").isNotNull())
     newest = live.groupBy(F.col("insert.parent_sha256").alias("parent_sha256"), "kafka_key").agg(
         F.max_by(payload, "seq").alias("n")
@@ -54,6 +56,7 @@ def inject_children(df: DataFrame, register: DataFrame, now, row_id: str = "seq"
     output of :func:`latest_inserts`, best settled.  Adds ``injected_key``, the
     insert a child comes from; a child keeps the ``row_id`` of its parent.
     """
+    register = register.where(F.col("kafka_key").isNotNull())
     first = register.groupBy("parent_sha256").agg(F.min("kafka_key").alias("_first"))
     side = register.join(first, "parent_sha256").select(
         F.col("parent_sha256").alias("_parent"), F.col("kafka_key").alias("_insert"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,34 +12,33 @@ from relaygrid.functions.messages import flag
 from relaygrid.functions.ordered import SPLIT, carry_forward, range_splits
 from relaygrid.session import settle
 
-_MINUTE = 60_000_000
-
 
 def pause_gate(
     requests: DataFrame, pauses: DataFrame, pause_s: int = V.PAUSE_S, skip_s: int = V.SKIP_TO_LATEST_S
 ) -> DataFrame:
     """Add ``gate``: ``paused``, ``latest`` or ``normal``, for each request.
 
+    Time is cut into buckets that divide both windows, minutes at most.
     Whether a pause lies in the window before a request needs only the first
-    and last pause of each minute: whole minutes inside the window count by
-    existing, the two border minutes by their first or last pause.  So pauses
-    shrink to one row per minute, spread over the minutes they reach, and each
-    request looks up its own minute; nothing is ranked or paired.
+    and last pause of each bucket: whole buckets inside the window count by
+    existing, the two border buckets by their first or last pause.  So pauses
+    shrink to one row per bucket, spread over the buckets they reach, and each
+    request looks up its own bucket; nothing is ranked or paired.
     """
-    if pause_s % 60 or skip_s % 60:
-        raise ValueError("windows are whole minutes")
+    unit_s = math.gcd(60, pause_s, skip_s)
+    unit = unit_s * 1_000_000
     at = F.unix_micros("paused_at")
-    minutes = pauses.groupBy(F.floor(at / _MINUTE).cast("bigint").alias("m")).agg(
+    minutes = pauses.groupBy(F.floor(at / unit).cast("bigint").alias("m")).agg(
         F.min(at).alias("first"), F.max(at).alias("last")
     )
-    reach = F.explode(F.sequence(F.lit(0), F.lit(skip_s // 60))).alias("back")
+    reach = F.explode(F.sequence(F.lit(0), F.lit(skip_s // unit_s))).alias("back")
     spread = minutes.select("m", "first", "last", reach).withColumn("minute", F.col("m") + F.col("back"))
 
     def inside(window_s: int):
-        return (F.col("back") > 0) & (F.col("back") < window_s // 60)
+        return (F.col("back") > 0) & (F.col("back") < window_s // unit_s)
 
     def border(window_s: int):
-        return F.max(F.when(F.col("back") == window_s // 60, F.col("last")))
+        return F.max(F.when(F.col("back") == window_s // unit_s, F.col("last")))
 
     state = spread.groupBy("minute").agg(
         F.min(F.when(F.col("back") == 0, F.col("first"))).alias("_first_now"),
@@ -45,7 +46,7 @@ def pause_gate(
         F.bool_or(inside(skip_s)).alias("_in_skip"), border(skip_s).alias("_skip_border"),
     )
     asked = F.unix_micros("requested_at")
-    joined = requests.withColumn("minute", F.floor(asked / _MINUTE).cast("bigint")).join(state, "minute", "left")
+    joined = requests.withColumn("minute", F.floor(asked / unit).cast("bigint")).join(state, "minute", "left")
 
     def within(window_s: int, whole: str, edge: str):
         return (

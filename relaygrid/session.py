@@ -11,7 +11,6 @@ Two rules hold everywhere in the package:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +52,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    Taken from ``spark.checkpoint.dir``.  Only a local-mode session without the
-    setting gets a temporary folder; a cluster without it is an error, because
-    a machine-local path would lose data with the machine.
+    Taken from ``spark.checkpoint.dir``.  A local-mode session without the
+    setting gets one folder below its warehouse, which is on the same machine
+    anyway; a cluster without it is an error, because a machine-local path
+    would lose data with the machine.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -63,7 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="relaygrid-"))
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    context.setCheckpointDir(f"{warehouse}/relaygrid-work")
     return context.getCheckpointDir()
 
 

@@ -45,6 +45,21 @@ def test_dedupe_stream(spark, slices):
     assert len(keys) == len(set(keys)) == batch.where(~exempt).select("kafka_key").distinct().count()
 
 
+def test_exempt_messages_pass_however_late(spark):
+    """Three files, newest first: what never is a repeat comes out whole."""
+    folder = work_path(spark, "backwards")
+    events = A.table(spark, SF, "events")
+    for n in (2, 1, 0):
+        part = events.where((F.col("event_id") >= n * 334) & (F.col("event_id") < (n + 1) * 334))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    kept = drain(stateful.dedupe_stream(A.messages_of(stream(spark, folder)), [], "1 hour"), "dedupe-late")
+    exempt = F.col("flags.bypass_cache") | F.col("flags.expedite")
+    assert kept.where(exempt).count() == A.messages(spark, SF).where(exempt).count() > 0
+    newest = events.agg(F.max("ts").cast("timestamp")).first()[0]
+    late = stateful.late_repeats(A.messages(spark, SF), newest, 3600)
+    assert 0 < late.count() < A.messages(spark, SF).count() and late.where(exempt).isEmpty()
+
+
 def test_lost_task_stream_with_sentinel(spark):
     starts, ends = work_path(spark, "starts"), work_path(spark, "ends")
     rows = [(f"t{i}", 1000 + i * 60) for i in range(50)] + [("sentinel", 10_000_000)]
