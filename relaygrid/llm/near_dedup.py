@@ -162,14 +162,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataF
     return settle(rows, "near-texts")
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree and whose full sets are similar."""
+def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree."""
     left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    close = pairs.join(left, "a").join(right, "b").where(_agree("sa", "sb") >= percent / 100 - MARGIN).select("a", "b")
-    close = settle(close.distinct(), "near-close")
-    texts = _texts(docs, id_col, text_col, close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    first = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    near = pairs.join(left, "a").join(right, "b").where(_agree("sa", "sb") >= percent / 100 - MARGIN)
+    return settle(near.select("a", "b").distinct(), "near-close")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return settle(both.where(_confirm(size, percent)("ta", "tb")).select("a", "b"), "near-links")
 
@@ -245,9 +248,13 @@ def _linked(size: int, percent: int):
     return linked
 
 
-def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _across(
+    members: DataFrame, reps: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, size: int, percent: int
+) -> DataFrame:
     """Links (a, b) between components within buckets.
 
+    ``texts``: those fetched already; only what is missing is fetched from ``docs``.
+
     ``members``: bucket, id, n_shingles, component.  Of each bucket the members
     outside its largest component ask all members; askers and asked are dealt
     into blocks, and each pair of blocks is one group of bounded size.
@@ -284,7 +291,8 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     alike = likely.groupBy(*keys).agg(F.bit_xor(F.xxhash64("id", "asks")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("id").alias("i"))
     once = alike.groupBy("x", "n", "i").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
     chosen = settle(likely.join(once, keys, "left_semi"), "near-chosen")
-    texts = _texts(docs, id_col, text_col, chosen.select("id").distinct())
+    missing = chosen.select("id").distinct().join(texts.select("id").distinct(), "id", "left_anti")
+    texts = texts.unionByName(_texts(docs, id_col, text_col, settle(missing, "near-missing")))
     pair = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
     return settle(chosen.join(texts, "id").groupBy(*keys).applyInArrow(_linked(size, percent), pair), "near-links")
 
@@ -312,13 +320,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = in_bands.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
     shared = settle(in_bands.join(buckets.where("least != most").select("bucket", "least", "n"), "bucket"), "near-buckets")
     pairs = shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(pairs, signatures, docs, id_col, text_col, size, percent)
+    close = _close(pairs, signatures, percent)
+    texts = _texts(docs, id_col, text_col, close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = _confirmed(close, texts, size, percent)
     # ids that stand for several sets link those sets
     repeated = signed.where("print is not null and id is not null").join(classes, "print").where("rep != id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(_same_id(signed, repeated)))
     of = found.select(F.col("node").alias("id"), "component")
     members = shared.where("n > 2").join(of, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    more = _across(members, reps, docs, id_col, text_col, size, percent)
+    more = _across(members, reps, docs, texts, id_col, text_col, size, percent)
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of = found.select(F.col("node").alias("rep"), "component")
