@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaygrid import schemas
+from relaygrid import vocabulary as V
 from relaygrid.catalog import adapter as A
 from relaygrid.catalog.lookups import DELETES_SQL, INSERTS_SQL, REPLAY_SQL, REPLAY_TTL
 from relaygrid.catalog.registry import query
@@ -15,7 +18,7 @@ from relaygrid.operators import inject, purge, replay
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.plans import fetch as FE
 from relaygrid.plans import produce
-from relaygrid.plans.consume import ConsumeContext, passive_plan
+from relaygrid.plans.consume import ConsumeContext, ConsumePlan, ageoff_stage, deleted_stage, depth_stage, passive_plan
 from relaygrid.plans.reprocess import reprocess
 from relaygrid.session import work_path
 from relaygrid.streaming import registers, stateful
@@ -57,6 +60,13 @@ ACTIVE_SQL = PLAN_SQL.replace("{depth}", "10")
 PASSIVE_SQL = PLAN_SQL.replace("{depth}", "11")
 
 
+# Candidates up to the last message handed out; all, if the answer is not full.
+EXAMINED_SQL = """
+ordered AS (SELECT seq, reason8, count(*) FILTER (reason8 IS NULL) OVER (ORDER BY ts, seq) AS handed FROM r8),
+examined AS (SELECT seq FROM ordered WHERE handed < 60 OR (handed = 60 AND reason8 IS NULL))
+"""
+
+
 def _context(spark, sf, active: bool) -> ConsumeContext:
     cached = replay.cacheable(A.statuses(spark, sf), min_runtime_s=3.0)
     return ConsumeContext(
@@ -81,13 +91,54 @@ def _consume_active(spark, sf):
 
 
 @query("fetch_active_info", A.sql("""
-    SELECT coalesce(reason8, 'fetched') AS reason, count(*) AS n FROM r8 GROUP BY ALL""", ACTIVE_SQL))
+    SELECT coalesce(reason8, 'fetched') AS reason, count(*) AS n FROM r8 JOIN examined USING (seq) GROUP BY ALL""", ACTIVE_SQL, EXAMINED_SQL))
 def _fetch_active_info(spark, sf):
     info = _fetched(spark, sf).info()
     both = F.map_concat("filters", F.create_map(F.lit("fetched"), F.col("fetched").cast("bigint")))
     return info.select(F.explode(both).alias("reason", "n"))
 
 
+def _long_memory(sql: str) -> str:
+    """The same plan for a consumer that takes its own results, with a cache of 40 days and any runtime, and 1000 messages at most."""
+    sql = sql.replace("WHEN author_name = 'plugin3' THEN", "WHEN false THEN")
+    return sql.replace("INTERVAL 2 DAY", "INTERVAL 40 DAY").replace("s.value / 10 > 3", "s.value / 10 > 0").replace("60", "1000")
+
+
+@query("fetch_replayed", A.sql(_long_memory("""
+    SELECT x.seq, s.seq AS status_id, CAST(i - 1 AS INT) AS result_no, sha256('child' || (s.user_id % 9 + i)) AS sha256
+    FROM (
+      SELECT r8.seq, max_by(s.seq, (s.ts, s.seq)) AS status_id
+      FROM r8 JOIN examined USING (seq) JOIN ev s ON s.event_type = 'purchase' AND s.status = 'completed' AND s.value / 10 > 3
+        AND s.author_name = 'plugin3' AND s.author_version = 'v1' AND s.sha256 = r8.sha256 AND s.ts <= r8.ts AND s.ts > r8.ts - INTERVAL 2 DAY
+      WHERE reason8 = 'ReplayPluginCompletion-cached' GROUP BY r8.seq) x
+    JOIN (SELECT *, unnest(range(1, k % 3 + 1)) AS i FROM ev) s ON s.seq = status_id"""), _long_memory(ACTIVE_SQL), _long_memory(EXAMINED_SQL)))
+def _fetch_replayed(spark, sf):
+    cached = replay.cacheable(A.statuses(spark, sf), min_runtime_s=0.0)
+    ctx = replace(_context(spark, sf, True), statuses=cached, replay_ttl_s=40 * 86_400)
+    return FE.fetch(A.messages(spark, sf), replace(FETCH_SPEC, count=1000, deny_self=False), ctx, ["timestamp", "seq"]).replayed().select(
+        "seq", "status_id", "result_no", "entity.sha256")
+
+
+@query("fetch_tombstones", A.sql("""
+    SELECT 'grid.main.' || source_name || '.binary.' || action AS topic, kafka_key AS key, NULL AS value
+    FROM r8 JOIN examined USING (seq) WHERE reason8 = 'FilterPreviouslyDeleted-deleted'""", ACTIVE_SQL, EXAMINED_SQL))
+def _fetch_tombstones(spark, sf):
+    topic = F.concat(F.lit("grid.main."), "source.name", F.lit(".binary."), "action")
+    return FE.fetch(A.messages(spark, sf).withColumn("topic", topic), FETCH_SPEC, _context(spark, sf, True), ["timestamp", "seq"]).tombstones()
+
+
+@query("consume_lookup_first", A.sql("""
+    SELECT seq, CASE WHEN by_id OR by_link OR by_author OR by_submission THEN 'FilterPreviouslyDeleted-deleted'
+      WHEN depth > 10 THEN 'FilterTooDeep-too_deep'
+      WHEN source_ts + to_days(CAST(CASE source_name WHEN 'src0' THEN 20 WHEN 'src1' THEN 10 WHEN 'src2' THEN 10 END AS INT))
+        < TIMESTAMP '2024-01-31 00:00:00' THEN 'PipelineAgeoff-ageoff' END AS reason FROM judged""", DELETES_SQL.strip()))
+def _consume_lookup_first(spark, sf):
+    """A deletion lookup before row rules: it speaks first, and the rules judge what it leaves."""
+    plan = ConsumePlan([
+        deleted_stage(purge.settle_register(A.deletes(spark, sf))), depth_stage(V.DEPTH_ACTIVE), ageoff_stage(A.sources(spark), A.NOW)])
+    return plan.run(A.messages(spark, sf)).select("seq", "reason")
+
+
 @query("consume_passive", A.sql("SELECT seq, reason6 AS reason FROM r6", PASSIVE_SQL))
 def _consume_passive(spark, sf):
     return passive_plan(FETCH_SPEC, _context(spark, sf, False)).run(A.messages(spark, sf)).select("seq", "reason")

@@ -15,6 +15,7 @@ from relaygrid.operators import consumers as K
 from relaygrid.operators import filters, inject, oplog, projections, security
 from relaygrid.plans import publish as P
 from relaygrid.plans import reprocess as R
+from relaygrid.plans.decode import decode_messages
 from relaygrid.session import config_table, settle
 from relaygrid.sources import batches, logs
 
@@ -247,15 +248,27 @@ def _injectable(spark, sf):
     return df.select("seq", inject.injectable(df).alias("injectable"))
 
 
-@query("finalise_tracking", A.sql("""
-    SELECT ev.seq, 'src' || (user_id % 5) || '.batch.' || (k % 3) || '.user.' || (user_id % 20) || '.' AS track_source_references,
-      CAST(coalesce((SELECT count(DISTINCT name) FROM nodes WHERE nodes.seq = ev.seq), 0) AS INT) AS authors,
-      CAST(greatest(depth - 1, 0) AS INT) AS edges FROM ev""", PATH_SQL))
+LINKS_SQL = """
+edges AS (
+  SELECT c.seq, p.node_sha || '.' || c.node_sha || '.' || strftime(ev.ts, '%Y_%m_%dT%H_%M_%SZ_00') || '.plugin.' || c.name || '.v1' AS link
+  FROM nodes c JOIN nodes p ON p.seq = c.seq AND p.i = c.i - 1 JOIN ev ON ev.seq = c.seq),
+tokens AS (
+  SELECT ev.seq, 'src' || (user_id % 5) || '.batch.' || (k % 3) || '.user.' || (user_id % 20) || '.' AS track_source_references,
+    coalesce((SELECT string_agg(DISTINCT 'plugin.' || name || '.v1', ',' ORDER BY 'plugin.' || name || '.v1') FROM nodes WHERE nodes.seq = ev.seq), '') AS authors,
+    coalesce((SELECT string_agg(DISTINCT link, ',' ORDER BY link) FROM edges WHERE edges.seq = ev.seq), '') AS links FROM ev)
+"""
+
+
+def _token_columns(prefix: str = "") -> list:
+    return [
+        F.col(f"{prefix}track_source_references").alias("track_source_references"),
+        F.array_join(F.array_sort(f"{prefix}track_authors"), ",").alias("authors"), F.array_join(F.array_sort(f"{prefix}track_links"), ",").alias("links"),
+    ]
+
+
+@query("finalise_tracking", A.sql("SELECT * FROM tokens", PATH_SQL, LINKS_SQL))
 def _finalise_tracking(spark, sf):
-    df = P.finalise_tracking(A.messages(spark, sf))
-    return df.select(
-        "seq", "track_source_references", F.size("track_authors").alias("authors"),
-        F.greatest(F.size("source.path") - 1, F.lit(0)).alias("edges"))
+    return P.finalise_tracking(A.messages(spark, sf)).select("seq", *_token_columns())
 
 
 # --- topics ---------------------------------------------------------------------
@@ -476,6 +489,57 @@ def _publish(spark, sf):
     return P.publish(df, max_bytes=20_000).report()
 
 
+@query("publish_rows", A.sql("""
+    SELECT seq, CASE WHEN event_type = 'purchase' THEN 'grid.main.system.status' WHEN expedite THEN 'grid.main.system.expedite'
+        WHEN retry THEN 'grid.main.system.error' ELSE 'grid.main.' || source_name || '.binary.' || action END AS topic,
+      NULL AS reject_reason, CASE WHEN event_type = 'purchase' THEN status END AS status, sha256, depth,
+      CASE WHEN event_type <> 'purchase' THEN tokens.track_source_references END AS track_source_references,
+      CASE WHEN event_type <> 'purchase' THEN authors END AS authors, CASE WHEN event_type <> 'purchase' THEN links END AS links
+    FROM ev JOIN tokens USING (seq)""", PATH_SQL, LINKS_SQL))
+def _publish_rows(spark, sf):
+    """What a reader of the log gets back of each published message."""
+    done = P.publish(A.mixed(spark, sf), max_bytes=1 << 24).judged.select("seq", "topic", "reject_reason", "value", "model")
+    back = decode_messages(done.withColumnRenamed("model", "sent"), F.col("sent"))
+    about = F.when(F.col("model") == "status", F.col("status.input.entity.sha256")).otherwise(F.col("entity.sha256"))
+    path = F.when(F.col("model") == "status", F.col("status.input.source.path")).otherwise(F.col("source.path"))
+    binary = F.col("model") == "binary"
+    return back.select(
+        "seq", "topic", "reject_reason", F.col("status.status").alias("status"), about.alias("sha256"), F.size(path).alias("depth"),
+        *[F.when(binary, c).alias(n) for c, n in zip(_token_columns(), ("track_source_references", "authors", "links"), strict=True)])
+
+
+@query("reprocess_system", A.sql("""
+    SELECT seq AS "offset", 'grid.next.system.status' AS topic, md5(dequeued || '.' || author_name) AS key,
+      md5(dequeued || '.' || author_name) AS inner_key, status, CAST(k % 3 AS INT) AS results
+    FROM (SELECT *, concat_ws('.', kafka_key, author_name, author_version, CAST(floor(epoch(ts)) AS BIGINT)) AS dequeued FROM ev) WHERE event_type = 'purchase'"""))
+def _reprocess_system(spark, sf):
+    """Statuses re-keyed in the row and inside the value, their payload untouched."""
+    df = A.statuses(spark, sf)
+    log = df.select(
+        F.lit("grid.main.system.status").alias("topic"), F.lit(0).alias("partition"), F.col("seq").alias("offset"),
+        F.lit("old").alias("key"), P.encode(df).alias("value"), F.col("timestamp").alias("ts"))
+    old, new = routing.Naming(), routing.Naming(namespace="next")
+    out = R.reprocess(settle(log, "status-log"), old, new, upgrade_system=True, include_system=["status"])
+    read = F.from_json("value", schemas.STATUS)
+    return out.withColumn("e", F.explode(F.array(read))).select(
+        "offset", "topic", "key", F.col("e.kafka_key").alias("inner_key"), "e.entity.status", F.size("e.entity.results").alias("results"))
+
+
+@query("reprocess_written_clock", A.sql(
+    """SELECT ev.seq AS "offset", keyed.kafka_key AS key FROM ev JOIN keyed USING (seq)""", PATH_SQL,
+    KEY_SQL.replace("strftime(source_ts,", "strftime(source_ts + CASE WHEN k % 2 = 1 THEN INTERVAL 11 HOUR ELSE INTERVAL 0 HOUR END,")))
+def _reprocess_written_clock(spark, sf):
+    """Half of the submission times are written eleven hours east of UTC; the key follows what is written."""
+    df = A.messages(spark, sf).join(A.scalars(spark, sf).select("seq", "k"), "seq")
+    east = F.date_format(F.timestamp_micros(F.unix_micros("source.timestamp") + 11 * 3_600_000_000), "yyyy-MM-dd'T'HH:mm:ss'+11:00'")
+    written = df.withColumn("source_clock", F.when(F.col("k") % 2 == 1, east).otherwise(F.date_format("source.timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    log = written.select(
+        F.concat(F.lit("grid.main."), "source.name", F.lit(".binary."), "action").alias("topic"), F.lit(0).alias("partition"),
+        F.col("seq").alias("offset"), F.col("kafka_key").alias("key"), P.encode(written).alias("value"), F.col("timestamp").alias("ts"))
+    out = R.reprocess(settle(log, "written-log"), routing.Naming(), routing.Naming(namespace="next"), upgrade_sources=True)
+    return out.select("offset", "key")
+
+
 @query("reprocess", A.sql("""
     SELECT source_topic, topic, keyed.kafka_key AS key, ev.seq AS "offset" FROM (
       SELECT *, 'grid.main.' || source_name || '.binary.' || action AS source_topic,

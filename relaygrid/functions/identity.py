@@ -33,6 +33,15 @@ def wall_clock(timestamp: Column) -> Column:
     return F.substring(F.regexp_replace(timestamp.cast("string"), " ", "T"), 1, 19)
 
 
+#: Column that holds the submission time as it was written, offset and all, beside the typed instant.
+CLOCK = "source_clock"
+
+
+def written_clock(df: DataFrame) -> Column | None:
+    """The clock reading to key by: of the written time where the frame has it, else of the instant."""
+    return wall_clock(F.coalesce(CLOCK, F.col("source.timestamp").cast("string"))) if CLOCK in df.columns else None
+
+
 # fixed value: how a message without a submission time reads
 _NO_TIME = "0001-01-01T00:00:00"
 
@@ -66,13 +75,15 @@ def binary_descriptor(source: Column, clock: Column | None = None) -> Column:
     return F.when(depth(path) > 0, descriptor)
 
 
-def identity_expr(df: DataFrame, clock: Column | None = None) -> Column:
+def identity_expr(df: DataFrame, clock: Column | None = None, seed: Column | None = None) -> Column:
     """md5 identity of any message; NULL marks a binary that must be dropped.
 
-    Models without a natural identity get a random one.  Store the result
-    before using it twice: a random identity changes on recomputation.
+    Models without a natural identity get one from ``seed``, any text unique to
+    the message; without a seed it is random: store the result before using it
+    twice, for a random identity changes on recomputation.
     """
     msg = Message(df)
+    clock = written_clock(df) if clock is None and msg.has("source") else clock
     descriptor = binary_descriptor(F.col("source"), clock) if msg.has("source") else F.lit(None).cast("string")
     rule = F.when(msg.is_binary, F.md5(descriptor))
     if msg.has("status"):
@@ -87,12 +98,12 @@ def identity_expr(df: DataFrame, clock: Column | None = None) -> Column:
             text(F.col("insert.child_history.author.name")),
         )
         rule = rule.when(msg.model == "insert", F.md5(insert))
-    return rule.otherwise(F.md5(F.uuid()))
+    return rule.otherwise(F.md5(F.uuid() if seed is None else seed))
 
 
-def identity_key(df: DataFrame, clock: Column | None = None) -> DataFrame:
+def identity_key(df: DataFrame, clock: Column | None = None, seed: Column | None = None) -> DataFrame:
     """Set ``kafka_key``; binaries without lineage are dropped."""
-    return df.where(has_identity(df)).withColumn("kafka_key", identity_expr(df, clock))
+    return df.where(has_identity(df)).withColumn("kafka_key", identity_expr(df, clock, seed))
 
 
 def has_identity(df: DataFrame) -> Column:

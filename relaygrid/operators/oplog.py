@@ -75,13 +75,17 @@ def groups_caught_up(report: DataFrame) -> DataFrame:
     )
 
 
+def pull_count(count: int) -> int:
+    """How many messages one fetch may hand out."""
+    return V.FETCH_DEFAULT if count <= 0 else min(count, V.FETCH_LIMIT)
+
+
 def priority_pull(deliveries: DataFrame, count: int, order: list[str] | None = None) -> DataFrame:
     """The next ``count`` survivors: expedite first, then live, then historic.
 
     Top-k per task, then a merge of the small rests; never a full sort.
     """
-    count = V.FETCH_DEFAULT if count <= 0 else min(count, V.FETCH_LIMIT)
-    return deliveries.orderBy(*(order or ["priority", "ts", "topic", "partition", "offset"])).limit(count)
+    return deliveries.orderBy(*(order or ["priority", "ts", "topic", "partition", "offset"])).limit(pull_count(count))
 
 
 def priority_pull_each(deliveries: DataFrame, consumer: list[str], limit: Column, order: list[str]) -> DataFrame:

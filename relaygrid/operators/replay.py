@@ -22,6 +22,11 @@ def cacheable(statuses: DataFrame, min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S
     return statuses.where(keep)
 
 
+def of_consumer(statuses: DataFrame, name: str, version: str) -> DataFrame:
+    """The cached statuses of one consumer."""
+    return statuses.where((F.col("author.name") == name) & (F.col("author.version") == version))
+
+
 def match_completions(
     events: DataFrame, statuses: DataFrame, consumer: tuple[Column, Column],
     ttl_s: float = V.REPLAY_TTL_S, row_id: str = "seq",
@@ -43,6 +48,10 @@ def match_completions(
         F.col("author.version").alias("consumer_version"), F.col("timestamp").alias("at"),
         F.lit(0).alias("side"), F.col(row_id).alias("id"),
     )
+    cached = settle(cached, "replay-cached")
+    # events without a cached run of their entity are not ordered at all
+    known = cached.select(*key).distinct()
+    probes = probes.join(known, key, "left_semi")
     cut = range_splits(probes.unionByName(cached), key, ["at", "side", "id"], "replay")
     hit = F.when(F.col("side") == 0, F.struct("id", "at"))
     matched = carry_forward(cut, key, ["at", "side", "id"], hit, "hit", include_current=True)

@@ -1,6 +1,6 @@
 """Consume plans: ordered stages, the first one to object names the reason.
 
-Column stages are folded into one expression.  Table stages (deletions,
+Column stages are expressions on the wide rows.  Table stages (deletions,
 repeats, replays) need lookups; they run on a narrow copy of the surviving
 binaries that is written once, and their verdicts come back in a single join
 on the unique row id.  So the wide rows are scanned twice and shuffled at most
@@ -50,21 +50,35 @@ class ConsumePlan:
         self._columns_first = kinds.index(True) if True in kinds else len(kinds)
 
     def run(self, df: DataFrame, row_id: str = "seq") -> DataFrame:
-        """Add ``reason``: ``Stage-reason`` of the first objection, else NULL."""
-        judged = df.withColumn("reason", F.lit(None).cast("string"))
-        head = self.stages[: self._columns_first]
-        tail = self.stages[self._columns_first :]
-        for stage in head:
-            judged = _apply(judged, stage)
-        if not tail:
+        """Add ``reason``: ``Stage-reason`` of the first objection, else NULL.
+
+        Column stages speak on the wide rows, whatever their place; the order
+        is resolved last.  A table stage sees what is alive at its place.
+        """
+        judged = df
+        said = {}
+        for place, stage in enumerate(self.stages):
+            if isinstance(stage, ColumnStage):
+                prepared = stage.prepare(judged) if stage.prepare else judged
+                said[place] = f"_said{place}"
+                judged = prepared.withColumn(said[place], _objection(stage, stage.reason(prepared))).drop(*stage.helpers)
+        none = F.lit(None).cast("string")
+        head = [name for place, name in said.items() if place < self._columns_first]
+        rest = [name for place, name in said.items() if place > self._columns_first]
+        judged = judged.withColumn("reason", F.coalesce(none, *head)).drop(*head)
+        if self._columns_first == len(self.stages):
             return judged
-        narrow = settle(narrow_messages(judged.where(F.col("reason").isNull()), row_id), "survivors")
-        for stage in tail:
-            narrow = _apply(narrow, stage) if isinstance(stage, ColumnStage) else _apply_table(narrow, stage)
+        narrow = settle(narrow_messages(judged.where(F.col("reason").isNull()), row_id, rest), "survivors")
+        for place, stage in list(enumerate(self.stages))[self._columns_first :]:
+            if place in said:
+                narrow = narrow.withColumn("reason", F.coalesce("reason", said[place]))
+            else:
+                narrow = _apply_table(narrow, stage)
         verdicts = narrow.where(F.col("reason").isNotNull()).select(row_id, F.col("reason").alias("_late"))
+        late = F.when(Message(judged).is_binary, F.col("_late")).otherwise(F.coalesce(none, *rest))
         return (
             judged.join(settle(verdicts, "verdicts"), row_id, "left")
-            .withColumn("reason", F.coalesce("reason", "_late")).drop("_late")
+            .withColumn("reason", F.coalesce("reason", late)).drop("_late", *rest)
         )
 
 
@@ -72,24 +86,18 @@ def _objection(stage, reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.concat(F.lit(f"{stage.name}-"), reason))
 
 
-def _apply(df: DataFrame, stage: ColumnStage) -> DataFrame:
-    prepared = stage.prepare(df) if stage.prepare else df
-    reason = F.coalesce("reason", _objection(stage, stage.reason(prepared)))
-    return prepared.withColumn("reason", reason).drop(*stage.helpers)
-
-
 def _apply_table(narrow: DataFrame, stage: TableStage) -> DataFrame:
     judged = stage.verdict(narrow)
     return judged.withColumn("reason", F.coalesce("reason", _objection(stage, F.col("verdict")))).drop("verdict")
 
 
-def narrow_messages(df: DataFrame, row_id: str = "seq") -> DataFrame:
-    """The parts of binary messages that lookups read."""
+def narrow_messages(df: DataFrame, row_id: str = "seq", more: list[str] | None = None) -> DataFrame:
+    """The parts of binary messages that lookups read, and ``more``."""
     source = F.struct(*[F.col(f"source.{c}").alias(c) for c in ("name", "security", "timestamp")])
     return df.where(Message(df).is_binary).select(
         row_id, Message(df).model.alias("model"), "kafka_key", "timestamp", "action", "author", "flags",
         source.alias("source"), F.struct(F.col("entity.sha256").alias("sha256")).alias("entity"),
-        "track_source_references", "track_links", "track_authors", "reason",
+        "track_source_references", "track_links", "track_authors", "reason", *(more or []),
     )
 
 
@@ -156,7 +164,8 @@ def replay_stage(spec: ConsumerSpec, statuses: DataFrame | None, ttl_s: float, r
     def verdict(narrow: DataFrame) -> DataFrame:
         alive = narrow.where(F.col("reason").isNull())
         consumer = (F.lit(spec.name), F.lit(spec.version))
-        hits = replay.match_completions(alive, statuses, consumer, ttl_s, row_id)
+        mine = replay.of_consumer(statuses, spec.name, spec.version)
+        hits = replay.match_completions(alive, mine, consumer, ttl_s, row_id)
         return narrow.join(hits, row_id, "left").withColumn(
             "verdict", F.when(F.col("status_id").isNotNull(), V.CACHED)).drop("status_id")
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from relaygrid import schemas
+from relaygrid import vocabulary as V
 from relaygrid.functions import routing
-from relaygrid.operators import metrics, oplog, projections
+from relaygrid.functions.identity import CLOCK
+from relaygrid.operators import metrics, oplog, projections, purge, replay
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.operators.filters import drop_tombstones
 from relaygrid.plans.consume import ConsumeContext, active_plan, passive_plan
+from relaygrid.plans.decode import decode_messages
 from relaygrid.session import settle
 
 ROW_ID = "delivery"
@@ -71,6 +73,8 @@ def deliveries(
         F.max(F.when(F.col("consumer_group") == group, F.col("committed"))).alias(f"_read_{feed.name}")
         for group, feed in groups.items()
     ])
+    # the topics of all feeds first: a log stored by topic opens these folders only
+    log = log.where(F.col("topic").rlike("|".join(f"(?:{feed.pattern})" for feed in chosen)))
     rows = log.join(settle(progress, "progress"), oplog.PARTITION, "left")
     admitted = []
     for feed in chosen:
@@ -85,41 +89,78 @@ def deliveries(
 
 
 def decode_binary(log: DataFrame) -> DataFrame:
-    """Log rows to message rows; tombstones and undecodable values are skipped."""
-    probe = "_broken"
-    schema = T.StructType([*schemas.BINARY.fields, T.StructField(probe, T.StringType())])
-    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": probe})
-    # out of a generator the event is parsed once, not once per field read
-    parsed = drop_tombstones(log).withColumn("_e", F.explode(F.array(event)))
-    good = parsed.where(F.col("_e").isNotNull() & F.col(f"_e.{probe}").isNull())
-    return good.withColumn("model", F.lit("binary")).select(
-        *[c for c in log.columns if c != "value"], "model", *[f"_e.{f}" for f in schemas.BINARY.fieldNames()]
-    )
+    """Log rows to binary message rows; tombstones and corrupt values are skipped."""
+    decoded = decode_messages(drop_tombstones(log), F.lit("binary"))
+    return decoded.select(*[c for c in log.columns if c != "value"], "model", *schemas.BINARY.fieldNames(), CLOCK)
 
 
 @dataclass(frozen=True)
 class Fetched:
-    """``judged``: all candidates with their reason; ``delivered``: the answer."""
+    """``judged``: all candidates with their reason; ``delivered``: the answer.
+
+    ``last``: order values of the last message handed out, if the answer is
+    full; candidates after it were not examined by this fetch.
+    """
 
     judged: DataFrame
     delivered: DataFrame
+    order: tuple[str, ...]
+    last: Row | None
+    ctx: ConsumeContext
+    spec: ConsumerSpec
+    paused: bool = False
+
+    def examined(self) -> DataFrame:
+        """Candidates up to the last message handed out; none while paused."""
+        if self.paused:
+            return self.judged.where(F.lit(False))
+        if self.last is None:
+            return self.judged
+        kinds = {f.name: f.dataType for f in self.judged.schema.fields}
+        bound = F.struct(*[F.lit(self.last[c]).cast(kinds[c]).alias(c) for c in self.order])
+        return self.judged.where(F.struct(*self.order) <= bound)
 
     def info(self) -> DataFrame:
-        return metrics.fetch_info(self.judged, [])
+        """One row: fetched, filtered, the count of each reason among the examined, ready and paused."""
+        counted = metrics.fetch_info(self.examined(), [])
+        return counted.withColumns({"ready": F.lit(not self.paused), "paused": F.lit(self.paused)})
 
     def task_starts(self) -> DataFrame:
         return projections.task_start_record(self.delivered)
 
+    def _dropped(self, stage: str, reason: str) -> DataFrame:
+        return self.examined().where(F.col("reason") == f"{stage}-{reason}")
+
+    def replayed(self) -> DataFrame:
+        """Results re-emitted for the examined messages that an earlier run answers."""
+        events = self._dropped(V.STAGE_REPLAY, V.CACHED).drop("reason")
+        if self.ctx.statuses is None:
+            return events
+        mine = replay.of_consumer(self.ctx.statuses, self.spec.name, self.spec.version)
+        consumer = (F.lit(self.spec.name), F.lit(self.spec.version))
+        matches = replay.settle_matches(replay.match_completions(events, mine, consumer, self.ctx.replay_ttl_s, self.ctx.row_id))
+        return replay.replay_completions(events, mine, matches, self.ctx.now, self.ctx.row_id)[1]
+
+    def tombstones(self) -> DataFrame:
+        """Log rows that erase the examined messages some deletion purged; candidates need ``topic``."""
+        return purge.tombstones(self._dropped(V.STAGE_DELETED, V.DELETED).withColumn("purged", F.lit(True)))
+
 
-def fetch(messages: DataFrame, spec: ConsumerSpec, ctx: ConsumeContext, order: list[str]) -> Fetched:
+def fetch(messages: DataFrame, spec: ConsumerSpec, ctx: ConsumeContext, order: list[str], gate: str = "normal") -> Fetched:
     """Judge candidate messages and take the first ``spec.count`` survivors.
 
     The pull runs on ids and order columns; only the few chosen ids, whose
-    number the fetch limit bounds, go back to the wide messages.
+    number the fetch limit bounds, go back to the wide messages.  A consumer
+    whose ``gate`` (see ``operators.pause``) is ``paused`` gets nothing.
     """
     plan = active_plan(spec, ctx) if spec.is_task else passive_plan(spec, ctx)
-    judged = plan.run(messages, ctx.row_id)
+    paused = gate == "paused"
+    judged = plan.run(messages.where(F.lit(False)) if paused else messages, ctx.row_id)
     kept = judged.where(F.col("reason").isNull()).select(ctx.row_id, *[c for c in order if c != ctx.row_id])
-    chosen = oplog.priority_pull(kept, spec.count, order).select(ctx.row_id)
-    pulled = messages.join(chosen, ctx.row_id, "left_semi").orderBy(*order)
-    return Fetched(judged, projections.stamp_dequeued(pulled, spec.column(), ctx.now))
+    # no more rows than one fetch may hand out
+    chosen = settle(oplog.priority_pull(kept, spec.count, order), "chosen")
+    full = chosen.count() >= oplog.pull_count(spec.count)
+    last = chosen.orderBy(*[F.col(c).desc() for c in order]).select(*order).first() if full else None
+    pulled = messages.join(chosen.select(ctx.row_id), ctx.row_id, "left_semi").orderBy(*order)
+    stamped = projections.stamp_dequeued(pulled, spec.column(), ctx.now)
+    return Fetched(judged, stamped, tuple(order), last, ctx, spec, paused)

@@ -17,7 +17,6 @@ from relaygrid import vocabulary as V
 from relaygrid.functions import identity
 from relaygrid.functions.messages import Message
 from relaygrid.operators import filters, inject, projections, purge
-from relaygrid.session import settle
 
 Stage = Callable[[DataFrame], DataFrame]
 ID, DROPPED, ADDED = "msg_id", "dropped_by", "added_by"
@@ -87,6 +86,8 @@ def ageoff_stage(sources: DataFrame | None, now):
 
 def explode_results(df: DataFrame) -> DataFrame:
     """Completed statuses, stripped, followed by their results as messages."""
+    if "status" not in df.columns:
+        return df
     marked = df
     for name in (ID, DROPPED, ADDED):
         if name not in df.columns:
@@ -130,9 +131,11 @@ def inject_stage(register: DataFrame | None, now):
     return V.STAGE_INJECT, stage
 
 
-def key_stage():
+def key_stage(run: str = ""):
+    """``run`` tells the random keys of one run from those of another; within a run they do not change."""
+
     def stage(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("kafka_key", identity.identity_expr(df))
+        keyed = df.withColumn("kafka_key", identity.identity_expr(df, seed=F.concat(F.lit(f"{run}/"), F.col(ID))))
         return _drop_when(keyed, V.STAGE_KEY, F.col("kafka_key").isNull())
 
     return V.STAGE_KEY, stage
@@ -141,14 +144,14 @@ def key_stage():
 def deleted_stage(register: DataFrame | None):
     """On publish a purged message is only dropped; it has no log row to erase.
 
-    The keyed messages are settled before they are looked up: the lookup reads
-    them twice, which would repeat the fan-out and draw random keys anew.
+    The lookup reads the tokens of the fan-out once more, narrow, instead of
+    storing it whole: keys do not change when they are computed again.
     """
     if register is None:
         return None
 
     def stage(df: DataFrame) -> DataFrame:
-        judged = purge.judge_purged(settle(df, "keyed"), register, row_id=ID)
+        judged = purge.judge_purged(df, register, row_id=ID)
         return _drop_when(judged, V.STAGE_DELETED, F.col("purged")).drop("purged")
 
     return V.STAGE_DELETED, stage

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaygrid import schemas
 from relaygrid.functions.identity import identity_key
 from relaygrid.functions.routing import Naming, model_of_topic, topic_expr
 from relaygrid.operators.filters import drop_tombstones
+from relaygrid.plans.decode import decode_messages
+from relaygrid.plans.publish import encode
 
 SOURCES_PROFILE, SYSTEM_PROFILE = "sources", "system"
 
@@ -36,39 +37,14 @@ def topic_selection(
     return profile, chosen
 
 
-def decode_messages(log: DataFrame, model: Column) -> DataFrame:
-    """Values decoded by the model of their topic, as message rows.
-
-    One scan for all models: each value is parsed with its own schema only.
-    The parsed struct leaves a generator, so later filters and projections read
-    it instead of parsing again for every field they touch.
-    """
-    typed = log.withColumn("model", model)
-
-    def parsed(name: str) -> Column:
-        return F.from_json(F.when(F.col("model") == name, F.col("value")), schemas.BY_MODEL[name])
-
-    parses = F.struct(*[parsed(m).alias(f"_{m}") for m in ("binary", "status", "plugin", "insert")])
-    decoded = typed.select("*", F.inline(F.array(parses)))
-    header = ("model_version", "kafka_key", "timestamp", "author")
-    from_any = {h: F.coalesce(*[F.col(f"_{m}.{h}") for m in ("binary", "status", "plugin", "insert")]) for h in header}
-    binary_only = [f for f in schemas.BINARY.fieldNames() if f not in header]
-    payloads = [F.col(f"_{m}.entity").alias(m) for m in ("status", "plugin", "insert")]
-    rows = decoded.select(
-        *typed.columns, *[c.alias(h) for h, c in from_any.items()], *[f"_binary.{f}" for f in binary_only], *payloads
-    )
-    known = F.col("model").isin("binary", "status", "plugin", "insert")
-    decodable = ~known | F.col("author").isNotNull() | F.col("model_version").isNotNull()
-    return rows.where(decodable)
-
-
 def reprocess(
     log: DataFrame, old: Naming, new: Naming, upgrade_sources: bool = False, upgrade_system: bool = False,
     include_system=(), deny=(),
 ) -> DataFrame:
     """Rows ``topic, key, value`` for the new namespace, with ``source_topic``.
 
-    Only the key changes; nothing else of the plan for fresh messages runs.
+    Only the key changes, in the row and inside its value; nothing else of the
+    plan for fresh messages runs.  Values that do not decode are left behind.
     Works on batch and streaming logs.
     """
     profile, chosen = topic_selection(old, upgrade_sources, upgrade_system, include_system, deny)
@@ -77,9 +53,10 @@ def reprocess(
         raise ValueError("no topics found to reprocess")
     model = model_of_topic(F.col("topic"), profile == SYSTEM_PROFILE)
     messages = decode_messages(rows, model).withColumnRenamed("topic", "source_topic")
-    keyed = identity_key(messages)
-    rekeyed = F.to_json(F.struct(*[f for f in schemas.BINARY.fieldNames()]))
-    value = F.when(F.col("model") == "binary", rekeyed).otherwise(F.col("value"))
+    place = F.concat_ws("/", "source_topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    keyed = identity_key(messages, seed=place)
+    # models without a schema here keep their text
+    value = F.coalesce(encode(keyed), F.col("value"))
     return keyed.select(
         "source_topic", "partition", "offset", topic_expr(keyed, new).alias("topic"),
         F.col("kafka_key").alias("key"), value.alias("value"), "ts",

@@ -65,7 +65,9 @@ BY_MODEL = {
 
 # One row per message: the binary fields at the top level, other payloads as
 # nullable structs next to them.
-MESSAGE_PAYLOADS = {"status": STATUS_ENTITY, "plugin": PLUGIN_ENTITY, "insert": INSERT_ENTITY}
+MESSAGE_PAYLOADS = {
+    "status": STATUS_ENTITY, "plugin": PLUGIN_ENTITY, "insert": INSERT_ENTITY, "delete": DELETE_ENTITY, "download": DOWNLOAD["entity"].dataType,
+}
 
 CONSUMER = struct(
     **texts("name", "version", "model", "deployment_key"), count=INT, deadline=INT, is_task=BOOL, debug=BOOL,

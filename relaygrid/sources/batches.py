@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from relaygrid import schemas
 from relaygrid import vocabulary as V
+from relaygrid.functions.identity import CLOCK
 
 _BROKEN = "_broken"
 
@@ -25,6 +26,14 @@ class ParsedBatches:
         rows = self.batches.where(F.col("batch_error").isNull()).select("batch_id", F.explode(good).alias("i"))
         return rows.select("batch_id", F.col("i.position").alias("position"), "i.event.*")
 
+    def messages(self, model: str) -> DataFrame:
+        """The accepted events as message rows, with the submission time as written."""
+        good = F.filter("items", lambda i: i["error"].isNull())
+        rows = self.batches.where(F.col("batch_error").isNull()).select("batch_id", F.explode(good).alias("i"))
+        clock = F.get_json_object("i.raw", "$.source.timestamp") if model in ("binary", "download") else F.lit(None).cast("string")
+        rows = rows.select("batch_id", F.col("i.position").alias("position"), F.lit(model).alias("model"), clock.alias(CLOCK), "i.event.*")
+        return rows if model == "binary" else rows.withColumnRenamed("entity", model)
+
     def failures(self) -> DataFrame:
         bad = F.filter("items", lambda i: i["error"].isNotNull())
         rows = self.batches.where(F.col("batch_error").isNull()).select("batch_id", F.explode(bad).alias("i"))

@@ -1,5 +1,8 @@
 """Plans and their extension points."""
 
+import itertools
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +10,12 @@ from pyspark.sql import functions as F
 from builders import binary, frame, path_of, statuses
 from relaygrid import schemas, vocabulary as V
 from relaygrid.functions.routing import Naming, choose_topic
-from relaygrid.operators import filters, metrics, projections
+from relaygrid.operators import filters, inject, metrics, projections, purge
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.operators.oplog import colocate_by_key
-from relaygrid.plans import consume, fetch, produce, publish
+from relaygrid.plans import consume, decode, fetch, produce, publish, reprocess
 from relaygrid.session import work_path
-from relaygrid.sources import logs
+from relaygrid.sources import batches, logs
 
 NOW = "2024-01-31 00:00:00"
 
@@ -108,7 +111,7 @@ def test_tracking_tokens(spark):
         {"author": {"category": "user", "name": "u", "version": "1"}, "sha256": "p"},
         {"author": {"category": "", "name": "myauthor", "version": "1.2"}, "sha256": "c", "timestamp": "2024-01-02T03:04:05Z"}]
     row = publish.finalise_tracking(frame(spark, [binary(source={"name": "s", "path": path})])).first()
-    assert row.track_authors == ["user.u.1", ".myauthor.1.2"] and row.track_links == ["p.c.2024_01_02_03_04_05.myauthor"]
+    assert row.track_authors == ["user.u.1", ".myauthor.1.2"] and row.track_links == ["p.c.2024_01_02T03_04_05Z_00..myauthor.1.2"]
 
 
 def test_fetch_from_a_log(spark):
@@ -129,12 +132,140 @@ def test_fetch_from_a_log(spark):
     assert [(r.feed, r.kafka_key) for r in rows] == [("expedite", "k5"), ("live", "k7"), ("historic", "k0")]
     assert rows[0].dequeued == "k5.me.1.1706659200"
     info = got.info().first()
-    # k7 arrives on the live and the historic feed; the repeat is held back
-    assert info.filters == {f"{V.STAGE_DUPLICATES}-{V.DUPLICATE}": 1} and info.fetched == 5
+    # k7 comes again on the historic feed, but beyond the last message handed out
+    assert info.filters == {} and info.fetched == 3 and info.ready and not info.paused
     start = got.task_starts().first()
     assert start.entity.features == [] and start.entity.datastreams == []
 
 
+def test_paused_consumer_gets_nothing(spark):
+    df = frame(spark, [binary(kafka_key=f"k{i}") for i in range(4)])
+    got = fetch.fetch(df, ConsumerSpec("me", "1", count=2), consume.ConsumeContext(now=NOW), ["seq"], gate="paused")
+    info = got.info().first()
+    assert got.delivered.isEmpty() and info.paused and not info.ready and info.fetched == 0
+
+
+def test_scan_opens_only_the_topics_of_the_feeds(spark):
+    path = work_path(spark, "by-topic")
+    rows = [(f"grid.main.{s}.binary.sourced", 0, i, "k", "{}", None) for i, s in enumerate(["a", "b", "c"] * 3)]
+    logs.write_topic_log(spark.createDataFrame(rows, schemas.TOPIC_LOG), path)
+    spec = ConsumerSpec("me", "1", require_historic=True, require_sources=["b"])
+    offsets = spark.createDataFrame([], schemas.OFFSETS)
+    found = fetch.deliveries(logs.read_topic_log(spark, path), offsets, "key", spec)
+    assert found.count() == 3
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x and "by-topic" in x]
+    assert scans and all("RLIKE" in x for x in scans)
+
+
+HEADER = {"model_version": 6, "kafka_key": "old", "timestamp": "2024-01-10T00:00:00.123456Z", "author": {"name": "a", "version": "1", "category": "plugin"}}
+MODELS = {
+    "binary": binary(kafka_key="old", dequeued="d", retries=2),
+    "status": {**HEADER, "entity": {"input": binary(dequeued="k.me.1"), "status": "completed", "runtime": 2.5, "results": [binary()]}},
+    "plugin": {**HEADER, "entity": {"name": "p", "version": "2", "config": {"x": "y"}}},
+    "insert": {**HEADER, "entity": {"original_source": "s", "parent_sha256": "sha2561", "child": {"sha256": "sha2562"},
+               "child_history": {"author": {"name": "myauthor", "version": "1.2"}}}},
+    "delete": {**HEADER, "action": "link", "entity": {"reason": "r", "link": {"track_link": "t"}}},
+    "download": {**HEADER, "action": "fetch", "source": {"name": "s", "timestamp": "2024-01-10T00:00:00+02:00"}, "entity": {"hash": "h", "category_quota": 3}},
+}
+
+
+def as_log(spark, values, topic):
+    rows = [(topic, 0, i, "old", v, None) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, schemas.TOPIC_LOG)
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_every_model_reads_back_what_it_wrote(spark, model):
+    log = as_log(spark, [json.dumps(MODELS[model])], "t")
+    once = decode.decode_messages(log, F.lit(model))
+    again = decode.decode_messages(once.drop("value").withColumn("value", publish.encode(once)).select(*log.columns), F.lit(model))
+    first, second = (df.drop("value").first().asDict(True) for df in (once, again))
+    assert first == second and first["kafka_key"] == "old"
+    assert model == "binary" or first[model] is not None
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_reprocess_changes_the_key_in_the_row_and_the_value(spark, model):
+    values = [json.dumps(MODELS[model]), "{broken", json.dumps({**MODELS[model], "timestamp": [1]}), json.dumps(MODELS[model]) + " {}"]
+    system = model != "binary"
+    topic = f"grid.main.system.{model}" if system else "grid.main.testing.binary.sourced"
+    moved = reprocess.reprocess(as_log(spark, values, topic), Naming(), Naming(namespace="next"), not system, system, (model,))
+    row = moved.collect()
+    assert len(row) == 1 and row[0].key and row[0].key != "old"
+    new, old = json.loads(row[0].value), MODELS[model]
+    assert new["kafka_key"] == row[0].key and new["author"] == old["author"]
+    if model == "status":
+        assert new["entity"]["input"]["kafka_key"] == "k1" and len(new["entity"]["results"]) == 1
+    if model == "insert":
+        assert new["track_author"] == ".myauthor.1.2" and new["track_link"] == "sha2561.sha2562.0001_01_01T00_00_00Z_00..myauthor.1.2"
+
+
+@pytest.mark.parametrize("written", ["2024-01-01T05:00:00+11:00", "2024-01-01T05:00:00.123456789-03:30", "2024-01-01T05:00:00Z"])
+def test_identity_follows_the_written_clock(spark, written):
+    event = binary(source={"name": "s", "timestamp": written, "path": path_of(1)})
+    plain = binary(source={"name": "s", "timestamp": "2024-01-01T05:00:00Z", "path": path_of(1)})
+    keys = []
+    for e in (event, plain):
+        moved = reprocess.reprocess(as_log(spark, [json.dumps(e)], "grid.main.s.binary.sourced"), Naming(), Naming(namespace="next"), True).first()
+        keys.append(moved.key)
+        assert json.loads(moved.value)["source"]["timestamp"] == e["source"]["timestamp"]
+    parsed = batches.parse_event_batches(spark.createDataFrame([("b", json.dumps(event))], "batch_id string, body string"), "binary")
+    rows = parsed.messages("binary")
+    published = produce.survivors(produce.publish_plan(NOW).run(rows.withColumn("seq", F.lit(0).cast("long")))).first()
+    assert keys[0] == keys[1] == published.kafka_key
+
+
+def test_a_deletion_by_link_hits_a_published_message(spark):
+    path = path_of(2, timestamp="2024-01-02T03:04:05Z", author={"name": "me", "version": "1", "category": "plugin"})
+    out = publish.publish(frame(spark, [binary(source={"name": "s", "path": path}), binary()])).routed
+    log = out.select("topic", F.lit(0).alias("partition"), F.col("seq").alias("offset"), F.col("kafka_key").alias("key"), "value", F.current_timestamp().alias("ts"))
+    back = fetch.decode_binary(log).withColumn("seq", F.col("offset"))
+    deletion = frame(spark, [{"action": "link", "entity": {"link": {"track_link": "s0.s1.2024_01_02T03_04_05Z_00.plugin.me.1"}}}], schemas.DELETE, "delete")
+    judged = purge.judge_purged(back, purge.settle_register(deletion))
+    assert {r.seq: r.purged for r in judged.collect()} == {0: True, 1: False}
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(["ageoff", "deep", "deleted", "repeat"])))
+def test_stages_in_any_order_and_all_models(spark, order):
+    """Brute-force fold over mixed binaries and statuses."""
+    made = [binary(kafka_key=f"k{i % 4}", source={"name": "old" if i % 3 == 0 else "new", "timestamp": "2024-01-01T00:00:00Z", "path": path_of(3 if i % 5 == 0 else 1)},
+                   flags={"expedite": i % 7 == 0}) for i in range(24)]
+    rows = frame(spark, made).withColumn("status", F.lit(None).cast(schemas.STATUS_ENTITY))
+    states = statuses(spark, [{"author": {"name": "p"}, "entity": {"input": e, "status": "completed"}} for e in made[:6]]).withColumn("seq", F.col("seq") + 100)
+    df = rows.unionByName(states, allowMissingColumns=True)
+    deletion = frame(spark, [{"action": "ids", "entity": {"ids": {"ids": ["k2"]}}}], schemas.DELETE, "delete")
+    sources = spark.createDataFrame([("old", 86_400_000)], schemas.SOURCES)
+    stages = {
+        "ageoff": consume.ageoff_stage(sources, NOW), "deep": consume.depth_stage(2),
+        "deleted": consume.deleted_stage(purge.settle_register(deletion)), "repeat": consume.duplicates_stage(True),
+    }
+    got = {r.seq: r.reason for r in consume.ConsumePlan([stages[n] for n in order]).run(df).collect()}
+    alone = {n: {r.seq: r.reason for r in consume.ConsumePlan([stages[n]]).run(df).collect()} for n in ("ageoff", "deep")}
+    want, seen = {}, set()
+    for name in order:
+        for seq in sorted(got):
+            binary_row = seq < 100
+            if want.get(seq):
+                continue
+            if name in alone:
+                want[seq] = alone[name][seq]
+            elif name == "deleted":
+                want[seq] = "FilterPreviouslyDeleted-deleted" if binary_row and seq % 4 == 2 else None
+            elif binary_row and seq % 7 and f"k{seq % 4}" in seen:
+                want[seq] = "FilterDuplicates-skipped"
+            elif binary_row and seq % 7:
+                seen.add(f"k{seq % 4}")
+    assert got == {seq: want.get(seq) for seq in got}
+
+
+def test_inserts_without_a_key_do_not_multiply_parents(spark):
+    register = inject.latest_inserts(frame(spark, [
+        {"kafka_key": k, "entity": {"parent_sha256": "aa", "child": {"sha256": f"c{k}"}, "child_history": {"action": "extracted"}}} for k in (None, "i1", None)
+    ], schemas.INSERT, "insert").withColumnRenamed("entity", "insert"))
+    out = inject.inject_children(frame(spark, [binary() for _ in range(5)]), register, NOW)
+    assert out.where("injected_key is null").count() == 5 and out.count() == 10
+
+
 def test_missing_key_is_not_handed_out(spark):
     df = frame(spark, [binary(kafka_key="")])
     for task, reason in ((True, "RaiseDequeuedStatus-error_no_id"), (False, None)):
