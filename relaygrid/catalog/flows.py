@@ -264,7 +264,7 @@ def _lost_task_stream(spark, sf):
 @query("purge_stream", A.sql("SELECT seq FROM judged WHERE NOT (by_id OR by_link OR by_author OR by_submission)", DELETES_SQL))
 def _purge_stream(spark, sf):
     empty = purge.latest_deletes(A.deletes(spark, sf).where(F.lit(False)))
-    register = registers.Register(spark, "purge-register", empty)
+    register = registers.Register(spark, "purge-register", empty, purge.fold_deletes)
     output = work_path(spark, "purged")
     source = A.with_control_rows(A.stream(spark, sf), "delete")
     registers.run_caught_up(source, work_path(spark, "purge-checkpoint"), registers.purge_batches(register, output))
@@ -276,7 +276,7 @@ def _purge_stream(spark, sf):
     WHERE action IN ('sourced', 'extracted', 'augmented') AND (depth < 2 OR user_id % 2 = 1)""", INSERTS_SQL))
 def _inject_stream(spark, sf):
     empty = inject.latest_inserts(A.inserts(spark, sf).where(F.lit(False)))
-    register = registers.Register(spark, "inject-register", empty)
+    register = registers.Register(spark, "inject-register", empty, inject.fold_inserts)
     output = work_path(spark, "injected")
     source = A.with_control_rows(A.stream(spark, sf), "insert")
     registers.run_caught_up(source, work_path(spark, "inject-checkpoint"), registers.inject_batches(register, output, A.NOW))
@@ -286,7 +286,7 @@ def _inject_stream(spark, sf):
 @query("replay_stream", A.sql("SELECT seq, status_id FROM hits", REPLAY_SQL))
 def _replay_stream(spark, sf):
     columns = ["seq", "timestamp", "author", "status"]
-    cache = registers.Register(spark, "replay-cache", A.statuses(spark, sf).where(F.lit(False)).select(*columns))
+    cache = registers.Register(spark, "replay-cache", A.statuses(spark, sf).where(F.lit(False)).select(*columns), registers.newest_within(REPLAY_TTL))
     output = work_path(spark, "replayed")
     each = registers.replay_batches(
         cache, output, (F.col("author.name"), F.col("author.version")), REPLAY_TTL, min_runtime_s=3.0)
@@ -294,6 +294,20 @@ def _replay_stream(spark, sf):
     return spark.read.parquet(output).select("seq", "status_id")
 
 
+@query("replay_stream_results", A.sql("""
+    SELECT hits.seq, status_id, CAST(i - 1 AS INT) AS result_no, sha256('child' || (s.user_id % 9 + i)) AS sha256
+    FROM hits JOIN (SELECT *, unnest(range(1, k % 3 + 1)) AS i FROM ev) s ON s.seq = status_id""", REPLAY_SQL))
+def _replay_stream_results(spark, sf):
+    columns = ["seq", "timestamp", "author", "status"]
+    start = A.statuses(spark, sf).where(F.lit(False)).select(*columns)
+    cache = registers.Register(spark, "replay-cache", start, registers.newest_within(REPLAY_TTL))
+    output, results = work_path(spark, "replayed"), work_path(spark, "replayed-results")
+    each = registers.replay_batches(
+        cache, output, (F.col("author.name"), F.col("author.version")), REPLAY_TTL, min_runtime_s=3.0, results=results, now=A.NOW)
+    registers.run_caught_up(A.mixed_of(A.stream(spark, sf)), work_path(spark, "replay-checkpoint"), each)
+    return spark.read.parquet(results).select("seq", "status_id", "result_no", "entity.sha256")
+
+
 @query("reprocess_stream", A.sql("""
     SELECT 'grid.next.' || source_name || '.binary.' || action AS topic, keyed.kafka_key AS key, ev.seq AS "offset"
     FROM ev JOIN keyed USING (seq)""", PATH_SQL, KEY_SQL))

@@ -131,9 +131,13 @@ def _access_log_codes(spark, sf):
 
 
 @query("reprocess_stats", A.sql("""
-    SELECT 'grid.main.' || source_name || '.binary.' || action AS source_topic, count(*) AS processed FROM ev WHERE depth > 0 GROUP BY ALL"""))
+    SELECT source_topic, CAST(sum(n) FILTER (depth > 0) AS BIGINT) AS processed, CAST(sum(n) AS BIGINT) AS total, bool_and(at_end) AS at_end FROM (
+      SELECT source_topic, depth, n, max(seq) OVER (PARTITION BY source_topic) = max(CASE WHEN depth > 0 THEN seq END) OVER (PARTITION BY source_topic) AS at_end
+      FROM (SELECT 'grid.main.' || source_name || '.binary.' || action AS source_topic, depth, seq, 1 AS n FROM ev))
+    GROUP BY ROLLUP (source_topic)"""))
 def _reprocess_stats(spark, sf):
-    return metrics.reprocess_stats(reprocess(source_log(spark, sf), Naming(), Naming(namespace="next"), upgrade_sources=True))
+    log = source_log(spark, sf)
+    return metrics.reprocess_stats(reprocess(log, Naming(), Naming(namespace="next"), upgrade_sources=True), log)
 
 
 @query("volume_stats", A.sql("""

@@ -16,7 +16,7 @@ from relaygrid.operators import filters, inject, oplog, projections, security
 from relaygrid.plans import publish as P
 from relaygrid.plans import reprocess as R
 from relaygrid.plans.decode import decode_messages
-from relaygrid.session import config_table, settle
+from relaygrid.session import config_table, settle, work_path
 from relaygrid.sources import batches, logs
 
 SPEC = K.ConsumerSpec(
@@ -448,8 +448,9 @@ def _subscriptions(spark, sf):
     SELECT 'GET' AS method, 'r' || (user_id % 6) AS route, CAST(count(*) AS BIGINT) AS n, CAST(sum(200 + 100 * (k % 4)) AS BIGINT) AS statuses
     FROM ev WHERE k % 11 <> 0 GROUP BY route"""))
 def _read_access_log(spark, sf):
-    lines = access_lines(spark, sf)
-    records = logs.parse_log_lines(lines, schemas.ACCESS_LOG)
+    folder = work_path(spark, "access-log")
+    access_lines(spark, sf).select("line").write.text(folder)
+    records = logs.read_access_log(spark, folder).where(F.col("time").isNotNull())
     return records.groupBy("method", "route").agg(F.count("*").alias("n"), F.sum("status").alias("statuses"))
 
 
@@ -470,10 +471,23 @@ def _read_pipeline_errors(spark, sf):
     line = F.to_json(F.struct(
         F.col("ts").cast("string").alias("time"), F.col("author_name").alias("plugin"), F.lit("bad").alias("description"),
         F.col("size").alias("event_bytes")))
-    records = logs.parse_log_lines(errors.select(line.alias("line")), schemas.CONSUMER_ERROR_LOG)
+    folder = work_path(spark, "error-log")
+    errors.select(line.alias("line")).write.text(folder)
+    records = logs.read_consumer_errors(spark, folder)
     return records.groupBy("plugin", "description").agg(F.count("*").alias("n"), F.sum("event_bytes").alias("event_bytes"))
 
 
+@query("read_producer_errors", A.sql("""
+    SELECT 'pub' || (k % 3) AS pipeline, count(*) AS n, CAST(sum(size) AS BIGINT) AS event_bytes FROM ev WHERE event_type = 'error' GROUP BY 1"""))
+def _read_producer_errors(spark, sf):
+    errors = A.scalars(spark, sf).where(F.col("event_type") == "error")
+    line = F.to_json(F.struct(
+        F.col("ts").cast("string").alias("time"), F.concat(F.lit("pub"), F.col("k") % 3).alias("pipeline"), F.col("size").alias("event_bytes")))
+    folder = work_path(spark, "producer-log")
+    errors.select(line.alias("line")).write.text(folder)
+    return logs.read_producer_errors(spark, folder).groupBy("pipeline").agg(F.count("*").alias("n"), F.sum("event_bytes").alias("event_bytes"))
+
+
 # --- publishing and reprocessing ----------------------------------------------------
 
 @query("publish", A.sql("""

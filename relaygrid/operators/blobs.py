@@ -55,9 +55,19 @@ def blob_lookup(requests: DataFrame, catalog: DataFrame, extra: list[str] | None
 
 
 def read_ranges(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Serve byte-range requests (column ``range``) from a catalog with ``data``."""
+    """Serve byte-range requests (column ``range``) from a catalog with ``data``.
+
+    Requests find their blob by its address alone; only what is found, and asks
+    for a range that parses, meets the bytes.
+    """
     parsed = requests.withColumn("_range", C.parse_byte_range(F.col("range")))
-    served = blob_lookup(parsed, catalog, ["data"])
+    found = blob_lookup(parsed, catalog)
+    bytes_of = catalog.select(
+        F.col("source").alias("found_source"), F.col("label").alias("found_label"), F.col("sha256"), "data"
+    )
+    usable = F.col("_range.error").isNull()
+    wanted = found.withColumn("found_source", F.when(usable, F.col("found_source")))
+    served = wanted.join(bytes_of, ["found_source", "found_label", "sha256"], "left")
     part = C.slice_bytes(F.col("data"), F.col("_range.start"), F.col("_range.length"))
     return served.select(
         *requests.columns, "found", F.col("_range.error").alias("error"),

@@ -31,11 +31,10 @@ def latest_inserts(inserts: DataFrame) -> DataFrame:
     )
 
 
-def merge_inserts(register: DataFrame, newer: DataFrame) -> DataFrame:
-    """One register from two; the later insert of a parent and key stays."""
-    both = register.unionByName(newer)
+def fold_inserts(rows: DataFrame) -> DataFrame:
+    """One register from the rows of several; the later insert of a parent and key stays."""
     row = F.struct("seq", "insert")
-    return both.groupBy("parent_sha256", "kafka_key").agg(F.max_by(row, "seq").alias("n")).select(
+    return rows.groupBy("parent_sha256", "kafka_key").agg(F.max_by(row, "seq").alias("n")).select(
         "parent_sha256", "kafka_key", "n.seq", "n.insert"
     )
 

@@ -124,6 +124,20 @@ def unidentified_formats(blobs: DataFrame) -> DataFrame:
     return blobs.where(F.col("file_format") == "unknown").groupBy("mime", "magic").agg(F.count("*").alias("n"))
 
 
-def reprocess_stats(reprocessed: DataFrame) -> DataFrame:
-    """Messages per source topic."""
-    return reprocessed.groupBy("source_topic").agg(F.count("*").alias("processed"))
+def reprocess_stats(reprocessed: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Messages per source topic, and in all in a row whose topic is NULL.
+
+    With the ``log`` that was read, also its rows (``total``) per topic and
+    whether the end was reached (``at_end``): the last offset of each of its
+    partitions is among what was processed or was left out before.
+    """
+    done = reprocessed.rollup("source_topic").agg(F.count("*").alias("processed"))
+    if log is None:
+        return done
+    ends = log.groupBy("topic", "partition").agg(F.max("offset").alias("end"), F.count("*").alias("n"))
+    reached = reprocessed.groupBy(F.col("source_topic").alias("topic"), "partition").agg(F.max("offset").alias("reached"))
+    state = ends.join(reached, ["topic", "partition"], "left")
+    totals = state.rollup(F.col("topic").alias("source_topic")).agg(
+        F.sum("n").alias("total"), F.bool_and(F.coalesce(F.col("reached") >= F.col("end"), F.lit(False))).alias("at_end"))
+    return totals.join(done, totals["source_topic"].eqNullSafe(done["source_topic"]), "left").select(
+        totals["source_topic"], F.coalesce("processed", F.lit(0)).alias("processed"), "total", "at_end")

@@ -50,10 +50,9 @@ def latest_deletes(deletes: DataFrame) -> DataFrame:
     )
 
 
-def merge_deletes(register: DataFrame, newer: DataFrame) -> DataFrame:
-    """One register from two; the later deletion of a token stays."""
-    both = register.unionByName(newer)
-    return both.groupBy("kind", "token").agg(F.max(F.struct("seq", "bound")).alias("n")).select(
+def fold_deletes(rows: DataFrame) -> DataFrame:
+    """One register from the rows of several; the later deletion of a token stays."""
+    return rows.groupBy("kind", "token").agg(F.max(F.struct("seq", "bound")).alias("n")).select(
         "kind", "token", F.col("n.bound").alias("bound"), F.col("n.seq").alias("seq")
     )
 

@@ -1,10 +1,12 @@
 """Operators that look things up in registers which grow with the stream.
 
-Each micro-batch judges its messages against the register as of that batch and
-writes the next version of the register to the shared folder.  Versions are
-named by batch number: a batch that is run again reads the same predecessor
-and overwrites its own version, so retries change nothing.  The batch operators
-do the work, with their handling of hot keys.
+Each micro-batch writes what it adds to the register, not the register itself:
+the register as of a batch is a base and the deltas since, merged when read.
+Every ``every`` batches the merged state becomes the next base, and what lies
+before the base in use is removed, so a batch writes in proportion to its own
+rows.  Bases and deltas are named by batch number: a batch that is run again
+reads the same predecessors and overwrites its own files, so retries change
+nothing.  The batch operators do the work, with their handling of hot keys.
 """
 
 from __future__ import annotations
@@ -16,27 +18,48 @@ from pyspark.sql import functions as F
 
 from relaygrid import vocabulary as V
 from relaygrid.operators import inject, purge, replay
-from relaygrid.session import work_path
+from relaygrid.session import remove, work_path
 
 
 class Register:
-    """Versions of a table below one folder; version -1 is the start state."""
+    """Base and deltas of a table below one folder; base -1 is the start state.
 
-    def __init__(self, spark: SparkSession, name: str, initial: DataFrame, path: str | None = None):
-        self.spark = spark
-        self.schema = initial.schema
+    ``merge`` folds rows of several batches to one state.
+    """
+
+    def __init__(
+        self, spark: SparkSession, name: str, initial: DataFrame, merge: Callable[[DataFrame], DataFrame], path: str | None = None, every: int = 16,
+    ):
+        self.spark, self.schema, self.merge, self.every = spark, initial.schema, merge, every
         self.path = path or work_path(spark, name)
-        initial.write.mode("overwrite").parquet(self._version(-1))
+        initial.write.mode("overwrite").parquet(self._base(-1))
+
+    def _base(self, batch: int) -> str:
+        return f"{self.path}/base={batch}"
+
+    def _delta(self, batch: int) -> str:
+        return f"{self.path}/delta={batch}"
 
-    def _version(self, batch: int) -> str:
-        return f"{self.path}/v={batch}"
+    def _read(self, through: int, in_use: int) -> DataFrame:
+        """State after batch ``through``, from the base that is in use for batch ``in_use``."""
+        base = in_use // self.every * self.every - 1
+        paths = [self._base(base), *[self._delta(b) for b in range(base + 1, through + 1)]]
+        return self.merge(self.spark.read.schema(self.schema).parquet(*paths))
 
     def before(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._version(batch - 1))
+        return self._read(batch - 1, batch)
 
-    def advance(self, batch: int, rows: DataFrame) -> DataFrame:
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._version(batch))
-        return self.spark.read.schema(self.schema).parquet(self._version(batch))
+    def advance(self, batch: int, added: DataFrame) -> DataFrame:
+        """Add rows in batch ``batch``; the state that includes them."""
+        added.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._delta(batch))
+        state = self._read(batch, batch)
+        if (batch + 1) % self.every == 0:
+            state.write.mode("overwrite").parquet(self._base(batch))
+            # the base in use stays for a repeated batch; what it replaced goes
+            for old in range(batch - 2 * self.every + 1, batch - self.every + 1):
+                remove(self.spark, self._delta(old))
+            remove(self.spark, self._base(batch - 2 * self.every))
+        return state
 
 
 def run_caught_up(
@@ -83,8 +106,7 @@ def purge_batches(register: Register, output: str) -> Callable[[DataFrame, int],
     def each(batch_df: DataFrame, batch: int) -> None:
         arrived = batch_df.where(F.col("model") == "delete").select(
             "seq", F.col("action"), F.col("deletion").alias("entity"))
-        grown = purge.merge_deletes(register.before(batch), purge.latest_deletes(arrived))
-        known = register.advance(batch, grown)
+        known = register.advance(batch, purge.latest_deletes(arrived))
         messages = batch_df.where(F.col("model") == "binary").drop("deletion")
         _batch_output(purge.drop_purged(messages, known), output, batch)
 
@@ -100,36 +122,45 @@ def inject_batches(register: Register, output: str, now) -> Callable[[DataFrame,
 
     def each(batch_df: DataFrame, batch: int) -> None:
         arrived = batch_df.where(F.col("model") == "insert").select("seq", "kafka_key", "insert")
-        grown = inject.merge_inserts(register.before(batch), inject.latest_inserts(arrived))
-        known = register.advance(batch, grown)
+        known = register.advance(batch, inject.latest_inserts(arrived))
         messages = batch_df.where(F.col("model") == "binary").drop("insert")
         _batch_output(inject.inject_children(messages, known, now), output, batch)
 
     return each
 
 
+def newest_within(ttl_s: float) -> Callable[[DataFrame], DataFrame]:
+    """Merge rule of a replay cache: the newest completion per entity, plugin and version, none older than the TTL."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.unix_micros(F.max("timestamp"))).first()[0]
+        young = rows if newest is None else rows.where(F.unix_micros("timestamp") > newest - int(ttl_s * 1_000_000))
+        return replay.newest_completions(young)
+
+    return merge
+
+
 def replay_batches(
     cache: Register, output: str, consumer: tuple, ttl_s: float = V.REPLAY_TTL_S,
-    min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S,
+    min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S, results: str | None = None, now=None,
 ) -> Callable[[DataFrame, int], None]:
     """Batch function: answer messages from completions seen so far.
 
     The stream mixes ``binary`` and ``status`` messages.  Writes the matches
-    (message id, status id); the cache keeps the newest completion per entity,
-    plugin and version until it is older than the TTL.
+    (id of the message held back, status id) and, below ``results``, the
+    results re-emitted for them as of ``now``.
     """
 
     def each(batch_df: DataFrame, batch: int) -> None:
         columns = cache.schema.fieldNames()
         fresh = replay.cacheable(batch_df.where(F.col("model") == "status"), min_runtime_s).select(*columns)
+        # within a batch an older completion may still be the one to answer
         known = cache.before(batch).unionByName(fresh)
         messages = batch_df.where(F.col("model") == "binary")
-        matches = replay.match_completions(messages, known, consumer, ttl_s)
-        _batch_output(matches, output, batch)
-        newest = batch_df.agg(F.max("timestamp")).first()[0]
-        if newest is not None:
-            oldest = F.unix_micros(F.lit(newest)) - int(ttl_s * 1_000_000)
-            known = known.where(F.unix_micros("timestamp") > oldest)
-        cache.advance(batch, replay.newest_completions(known))
+        _batch_output(replay.match_completions(messages, known, consumer, ttl_s), output, batch)
+        if results is not None:
+            matches = batch_df.sparkSession.read.parquet(f"{output}/batch={batch}").select("seq", "status_id")
+            _batch_output(replay.replay_completions(messages, known, matches, now)[1], results, batch)
+        cache.advance(batch, fresh)
 
     return each

@@ -1,5 +1,7 @@
 """A stream over many files ends with the result of the batch operator."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_lost_task_stream_with_sentinel(spark):
 
 def test_purge_stream_does_not_recall(spark, slices):
     empty = purge.latest_deletes(A.deletes(spark, SF).where(F.lit(False)))
-    register, output = registers.Register(spark, "r", empty), work_path(spark, "purged")
+    register, output = registers.Register(spark, "r", empty, purge.fold_deletes, every=2), work_path(spark, "purged")
     source = A.with_control_rows(stream(spark, slices), "delete")
     registers.run_caught_up(source, work_path(spark, "c"), registers.purge_batches(register, output))
     got = {r.seq for r in spark.read.parquet(output).collect()}
@@ -88,7 +90,7 @@ def test_purge_stream_does_not_recall(spark, slices):
 
 
 def test_register_loaded_before_the_stream(spark, slices):
-    register = registers.Register(spark, "r", purge.latest_deletes(A.deletes(spark, SF)))
+    register = registers.Register(spark, "r", purge.latest_deletes(A.deletes(spark, SF)), purge.fold_deletes)
     output = work_path(spark, "purged")
     source = A.with_control_rows(stream(spark, slices), "delete")
     registers.run_caught_up(source, work_path(spark, "c"), registers.purge_batches(register, output))
@@ -98,7 +100,7 @@ def test_register_loaded_before_the_stream(spark, slices):
 
 
 def test_inject_stream(spark, slices):
-    register = registers.Register(spark, "r", inject.latest_inserts(A.inserts(spark, SF)))
+    register = registers.Register(spark, "r", inject.latest_inserts(A.inserts(spark, SF)), inject.fold_inserts, every=1)
     output = work_path(spark, "injected")
     source = A.with_control_rows(stream(spark, slices), "insert")
     registers.run_caught_up(source, work_path(spark, "c"), registers.inject_batches(register, output, A.NOW))
@@ -110,7 +112,7 @@ def test_inject_stream(spark, slices):
 def test_replay_stream_equals_batch_on_an_ordered_log(spark, slices):
     consumer, ttl = (F.col("author.name"), F.col("author.version")), 20 * 86_400
     columns = ["seq", "timestamp", "author", "status"]
-    cache = registers.Register(spark, "cache", A.statuses(spark, SF).where(F.lit(False)).select(*columns))
+    cache = registers.Register(spark, "cache", A.statuses(spark, SF).where(F.lit(False)).select(*columns), registers.newest_within(ttl), every=2)
     output = work_path(spark, "replayed")
     each = registers.replay_batches(cache, output, consumer, ttl, min_runtime_s=3.0)
     registers.run_caught_up(A.mixed_of(stream(spark, slices)), work_path(spark, "c"), each)
@@ -120,6 +122,20 @@ def test_replay_stream_equals_batch_on_an_ordered_log(spark, slices):
     assert pairs(spark.read.parquet(output)) == pairs(batch) != []
 
 
+def test_register_writes_what_a_batch_adds_and_drops_what_is_replaced(spark):
+    """Deltas do not grow with history, a repeated batch changes nothing, and old files go."""
+    rows = lambda n: spark.range(n * 10, n * 10 + 10).select(
+        F.lit("ids").alias("kind"), F.col("id").cast("string").alias("token"), F.lit(None).cast("timestamp").alias("bound"), F.col("id").alias("seq"))
+    register = registers.Register(spark, "r", rows(0).limit(0), purge.fold_deletes, every=3)
+    for batch in range(10):
+        for _ in range(2):
+            assert register.advance(batch, rows(batch)).count() == 10 * (batch + 1)
+        assert spark.read.parquet(register._delta(batch)).count() == 10
+        assert register.before(batch + 1).count() == 10 * (batch + 1)
+    kept = sorted(p.name for p in Path(register.path.removeprefix("file:")).iterdir())
+    assert kept == ["base=5", "base=8", "delta=6", "delta=7", "delta=8", "delta=9"]
+
+
 def test_reprocess_rejects_unclear_profiles(spark):
     log = spark.createDataFrame([], schemas.TOPIC_LOG)
     old, new = Naming(), Naming(namespace="next")
