@@ -23,8 +23,9 @@ SCHEME = LabelScheme(
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a stream of files."""
-    reader = tune(spark).readStream.schema(schemas.EVENTS_TABLE).option("pathGlobFilter", "events*.parquet")
-    return reader.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    reader = tune(spark).readStream.schema(schemas.EVENTS_TABLE)
+    # a pattern, because the table may be one file or a folder of files
+    return reader.option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
