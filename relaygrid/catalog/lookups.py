@@ -397,3 +397,13 @@ def _pause_gate(spark, sf):
 def _throttled_pauses(spark, sf):
     kept = pause.throttled_pauses(A.pauses(spark, sf), gap_s=6 * 3600)
     return kept.select(F.unix_seconds("paused_at").alias("paused_s"))
+
+
+@query("reprocess_marks", A.sql("""
+    SELECT CAST(epoch_us(ts) + i * 60000000 AS BIGINT) AS paused_us
+    FROM (SELECT ts, unnest(range(0, k // 10 + 1)) AS i FROM ev WHERE event_type = 'signup')"""))
+def _reprocess_marks(spark, sf):
+    """Signups as reprocessing runs that take their code, in tenths of minutes."""
+    runs = A.scalars(spark, sf).where(F.col("event_type") == "signup").select(
+        F.col("ts").alias("started_at"), F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 6_000_000).alias("ended_at"))
+    return pause.reprocess_marks(runs).select(F.unix_micros("paused_at").alias("paused_us"))

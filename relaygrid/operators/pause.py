@@ -92,6 +92,17 @@ def throttled_pauses(pauses: DataFrame, gap_s: int = V.PAUSE_GAP_S) -> DataFrame
     return marked.select(F.timestamp_micros("p").alias("paused_at"))
 
 
+def reprocess_marks(runs: DataFrame, every_s: int = 60) -> DataFrame:
+    """Pauses recorded while somebody reprocesses: at the start of each run and every ``every_s`` seconds until it ends.
+
+    ``runs`` has ``started_at, ended_at``; a run that ends before it starts leaves no mark.
+    """
+    start, end = F.unix_micros("started_at"), F.unix_micros("ended_at")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.floor((end - start) / (every_s * 1_000_000)).cast("bigint"))
+    marks = runs.where(start <= end).select("started_at", F.explode(steps).alias("n"))
+    return marks.select(F.timestamp_micros(F.unix_micros("started_at") + F.col("n") * every_s * 1_000_000).alias("paused_at"))
+
+
 def _with_previous(instants: DataFrame) -> DataFrame:
     cut = range_splits(instants, [], ["p"], "pause-order")
     return carry_forward(cut, [], ["p"], F.col("p"), "prev", include_current=False).drop(SPLIT)
