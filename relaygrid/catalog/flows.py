@@ -18,7 +18,7 @@ from relaygrid.operators import inject, purge, replay
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.plans import fetch as FE
 from relaygrid.plans import produce
-from relaygrid.plans.consume import ConsumeContext, ConsumePlan, ageoff_stage, deleted_stage, depth_stage, passive_plan
+from relaygrid.plans.consume import ConsumeContext, ConsumePlan, active_plan, ageoff_stage, deleted_stage, depth_stage, passive_plan
 from relaygrid.plans.reprocess import reprocess
 from relaygrid.session import work_path
 from relaygrid.streaming import registers, stateful
@@ -87,7 +87,7 @@ def _fetch_active(spark, sf):
 
 @query("consume_active", A.sql("SELECT seq, reason8 AS reason FROM r8", ACTIVE_SQL))
 def _consume_active(spark, sf):
-    return _fetched(spark, sf).judged.select("seq", "reason")
+    return active_plan(FETCH_SPEC, _context(spark, sf, True)).run(A.messages(spark, sf)).select("seq", "reason")
 
 
 @query("fetch_active_info", A.sql("""
