@@ -157,7 +157,9 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mixed = mix(docs, id_col, text_col, source_col, **options)
     # rows that repeat an id, a source and a size read alike: the n-th row takes the n-th reading
-    key = F.struct("id", "source", "size").alias("key")  # never null, so null parts are parts as any other
+    # never null, so null parts are parts as any other; of one type on both sides, so neither is dealt out twice
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, source_col)]
+    key = F.struct("id", "source", "size").cast(f"struct<id:{kinds[0]},source:{kinds[1]},size:bigint>").alias("key")
     nth = F.row_number().over(Window.partitionBy("key").orderBy("tie"))
     reads = mixed.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", "spans")
     reads = reads.select(key, "spans", F.xxhash64("spans").alias("tie")).withColumn("r_nth", nth).drop("tie")
