@@ -1,8 +1,8 @@
 """URL filter: domain rules, and a classifier for what no rule covers.
 
 A host without a rule is split into words by a unigram model (Viterbi), whose
-word counts come from the pages themselves; a multinomial naive Bayes over the
-host's words and the path's tokens then decides.  Its classes are taught by the
+word counts come from the pages themselves, host names in them apart; a
+multinomial naive Bayes over the host's words and the path's tokens then decides.  Its classes are taught by the
 pages: those whose host words hold a listed term teach ``block``, the others
 ``allow``; listed terms have a share of class ``block`` beforehand.  Both classes are smoothed by the typical page, so tokens common to all say
 little.
@@ -38,6 +38,9 @@ PRIOR = 0.2
 #: Longest word of a segmentation; a word not seen costs as if seen once in ten times the text, and ten times more per letter.
 LONGEST, UNSEEN, PER_LETTER = 20, 10.0, 10.0
 
+#: Labels joined by dots; not two sentences without a space ("end.Next").  Looked for at a label's start only, so in one pass.
+NAMES = r"(?<![\p{L}\p{N}-])[\p{L}\p{N}-]++(?:\.(?!(?<=\p{Ll}\.)\p{Lu})[\p{L}\p{N}-]++)+"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -94,9 +97,15 @@ def path_tokens(path: Column) -> Column:
     return F.filter(F.split(fold(path), r"[^\p{L}]+"), lambda x: x != "")
 
 
-def word_counts(texts: Column, pages: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """word, n: letter runs of the pages' texts, and the terms."""
-    words = pages.select(F.explode(F.split(F.lower(texts), r"[^\p{L}]+")).alias("word")).where((F.col("word") != "") & (F.length("word") <= LONGEST))
+def word_counts(texts: Column, hosts: Column, pages: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """word, n: letter runs of the pages' texts, and the terms.
+
+    Names are no evidence that they are words: host names in a text do not
+    count, nor do on a page the letter runs of its own host.
+    """
+    apart = r"[^\p{L}]+"
+    named = pages.select(F.split(F.lower(hosts), apart).alias("own"), F.explode(F.split(F.lower(F.regexp_replace(texts, NAMES, " ")), apart)).alias("word"))
+    words = named.where((F.col("word") != "") & (F.length("word") <= LONGEST) & ~F.array_contains("own", F.col("word")))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     kind = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
     own = config_table(pages.sparkSession, [(t, TERM_COUNT) for t in terms], kind)
@@ -147,7 +156,8 @@ def judge_urls(
     # whatever is judged by host and path alone is judged once for all pages that share them
     tokens = path_tokens(F.col("path"))
     kinds = settle(rows.select("host", tokens.alias("tokens")).groupBy("host", "tokens").agg(F.count(F.lit(1)).alias("n")), "url-kinds")
-    counts = settle(word_counts(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "<[^>]*>", " "), pages, terms), "url-counts")
+    visible = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "<[^>]*>", " ")
+    counts = settle(word_counts(visible, host_of(url), pages, terms), "url-counts")
     split = settle(segmented(kinds.select("host").distinct(), counts), "url-hosts")
     listed = F.exists("words", lambda w: w.isin(*terms))
     taught = kinds.join(split, "host").select(

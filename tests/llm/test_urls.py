@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from relaygrid.llm import urls
 
@@ -46,6 +47,21 @@ def test_method(spark):
     assert urls.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_names_in_the_texts_are_no_words(spark):
+    """Pages print their own host, others link to it: the name is still split."""
+    own = "<p>cheap walks. Sky.Then</p><footer>(c) cheapcasinopills.example.com - CheapCasinoPills, http://stoneriver.example.org/x and stoneriver.net</footer>"
+    rows = [(i, f"https://cheapcasinopills.example.com/fr/{i}", own) for i in range(200)]
+    rows += [(1000 + i, f"https://stoneriver.example.com/{i}", "<p>stone river: see cheapcasinopills.example.com</p>stoneriver") for i in range(200)]
+    frame = spark.createDataFrame([(i, u, h, "x", "x", "x", "x", "x") for i, u, h in rows], KIND)
+    found = {(r["host"], tuple(r["words"]), r["verdict"]) for r in urls.judge_urls(frame).collect()}
+    assert found == {
+        ("cheapcasinopills.example.com", ("cheap", "casino", "pills", "example"), "block"), ("stoneriver.example.com", ("stone", "river", "example"), "allow"),
+    }
+    counts = {r["word"]: r["n"] for r in urls.word_counts(F.regexp_replace("html", "<[^>]*>", " "), urls.host_of(F.col("url")), frame, ("spam",)).collect()}
+    assert counts["sky"] == counts["then"] == counts["cheap"] == counts["stone"] == 200
+    assert not {"cheapcasinopills", "stoneriver", "example"} & set(counts)
+
+
 @pytest.mark.parametrize("name", ["therein", "aab", "zzz", "a", "inthere"])
 def test_segmentation_is_the_likeliest(name):
     counts, total = {"the": 50, "there": 20, "in": 60, "rein": 5, "a": 30, "ab": 9, "here": 30}, 204
