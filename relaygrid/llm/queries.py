@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality, urls
+from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality, urls, whitening
 from relaygrid.llm.common import read
 from relaygrid.session import tune
 
@@ -128,6 +128,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(read(spark, sf_dir, "documents"))
 
 
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
