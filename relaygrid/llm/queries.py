@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, mixing, near_dedup, packing, quality, urls, whitening
-from relaygrid.llm.common import read
+from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, merkle, mixing, near_dedup, packing, quality, urls, whitening
+from relaygrid.llm.common import read, remainder
 from relaygrid.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,53 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(read(spark, sf_dir, "documents"))
 
 
+def _merkle_sql(levels: int = 6, fan: int = 16) -> str:
+    """Manifest and proofs level by level; ``levels`` is enough for fan ** levels leaves a source."""
+    fields = [f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || CAST({f} AS VARCHAR), '-')" for f in merkle.FIELDS]
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    claimed = [f.replace("CAST(text AS VARCHAR)", lowered) for f in fields]
+    step = "list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)))"
+    digits = "list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_filter({digits}, lambda d: d > 0)), lambda crc, byte: {step}), 4294967295)"
+    views = [f"""d AS (
+        SELECT doc_id, source, sha256({" || ".join(fields)}) AS leaf,
+               CASE WHEN {crc} % 5 = 0 THEN sha256({" || ".join(claimed)}) END AS claim
+        FROM documents)""", """b0 AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+               coalesce(claim, leaf) AS held, '' AS proof, leaf AS node
+        FROM d)"""]
+
+    def climb(name: str, tree: str) -> None:
+        """Each view: the leaves with their node, their place, the proof so far and the digest folded so far."""
+        run = f"PARTITION BY t, pos // {fan}"
+        left = f"string_agg(node, '' ORDER BY pos) OVER ({run} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        right = f"string_agg(node, '' ORDER BY pos) OVER ({run} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+        for k in range(levels):
+            views.append(f"""{name}n{k} AS (
+                SELECT {tree} AS t, pos, node, count(*) OVER (PARTITION BY {tree}) AS n FROM (SELECT DISTINCT {tree}, pos, node FROM {name}{k}))""")
+            views.append(f"""{name}r{k} AS (
+                SELECT *, CASE WHEN n = 1 THEN node ELSE sha256(string_agg(node, '' ORDER BY pos) OVER ({run})) END AS above,
+                    CASE WHEN n = 1 THEN '' ELSE coalesce({left}, '') END AS l, CASE WHEN n = 1 THEN '' ELSE coalesce({right}, '') END AS r
+                FROM {name}n{k})""")
+            views.append(f"""{name}{k + 1} AS (
+                SELECT x.* EXCLUDE (pos, held, proof, node), CASE WHEN n = 1 THEN x.pos ELSE x.pos // {fan} END AS pos,
+                    CASE WHEN n = 1 THEN held ELSE sha256(l || held || r) END AS held, proof || l || r AS proof, above AS node
+                FROM {name}{k} x JOIN {name}r{k} y ON {tree} = y.t AND x.pos = y.pos)""")
+
+    climb("b", "tree")
+    views.append(f"u0 AS (SELECT * EXCLUDE (pos, tree), node AS subroot, tree AS pos, 0 AS tree FROM b{levels})")
+    climb("u", "tree")
+    return "WITH " + ",\n".join(views) + f"""
+    SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = node AS verified FROM u{levels}
+    """
+
+
+@query("op11_merkle", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_tampered(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0)
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
