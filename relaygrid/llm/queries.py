@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaygrid.llm import ann, exact_dedup, language, licences, lm_score, merkle, mixing, near_dedup, packing, quality, urls, whitening
+from relaygrid.llm import ann, exact_dedup, fingerprints, language, licences, lm_score, merkle, mixing, near_dedup, packing, quality, urls, whitening
 from relaygrid.llm.common import read, remainder
 from relaygrid.session import tune
 
@@ -175,6 +175,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_tampered(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0)
 
 
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
