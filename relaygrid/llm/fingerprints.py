@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from relaygrid.llm.common import BLANKS
 from relaygrid.session import settle
 
-SAMPLES = 64
+SAMPLES = 80
 #: Rows of a slot, and how many slots there are at most; beyond it slots grow (their starts travel to every task).
 SLOT_ROWS, MOST_SLOTS = 128, 32_768
 #: Two hashes of 64 bits give four uniforms of 26 bits and one of 24.
@@ -36,6 +36,8 @@ _SQUARE = float(1 << (2 * _BITS))
 _COST_STEPS, _NAME_BITS = float(1 << 24), 31
 #: Bits of a taken sample that enter the fingerprint; two others agree by chance once in 65,536.
 _SHOWN_BITS = 16
+#: A position takes an offer below ENOUGH / total weight; once in e^40 positions none comes, and a sample is missing.
+ENOUGH = 40.0
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -49,23 +51,39 @@ def _rest(first: Column, second: Column) -> Column:
     return (high.cast("double") + 0.5) / float(1 << 24)
 
 
-def sampled(terms: DataFrame, keys: list[str], weights: list[str], samples: int) -> DataFrame:
+def sampled(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int) -> DataFrame:
     """Least offers per key and position: columns keys, k and one long per weight column.
 
-    ``terms``: keys, term (long) and the weight columns; a weight of 0 offers
-    nothing.  A position that no term offers to is null.
+    ``terms``: keys, term (long), the weight columns and for each the total
+    weight of its document; a weight of 0 offers nothing.  A position that no
+    term offers to is null.
+
+    The least cost a is exponential with the total weight as its rate, so it
+    lies below ENOUGH / total but for one case in e^ENOUGH.  Terms that cannot
+    come below are passed over before any logarithm, by lower bounds from the
+    uniforms: with x = e^-r and y = e^-c, a >= (1 - y) x / w, and for w = 1
+    a = c x^(1-b) >= (1 - y) x / (x + (1 - b)(1 - x)).
     """
-    logs = terms.select(*keys, "term", *[F.ln(F.col(w).cast("double")).alias(w) for w in weights])  # ln 0 is null
-    dealt = logs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    hashed = dealt.select("*", F.xxhash64("term", "k").alias("first"), F.xxhash64("k", "term").alias("second"))
+    logarithms = [F.ln(F.col(w).cast("double")).alias(f"{w}_ln") for w in weights]  # ln 0 is null
+    reach = F.greatest(*[F.col(w) * ENOUGH / F.col(total) for w, total in weights.items()])
+    most = F.greatest(*[F.col(w) for w in weights])
+    passed_on = [*keys, "k", "term", *[f"{w}_ln" for w in weights]]
+    dealt = terms.select(*keys, "term", *logarithms, reach.alias("reach"), most.alias("most"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+    hashed = dealt.withColumn("first", F.xxhash64("term", "k")).withColumn("second", F.xxhash64("first"))
     first, second = F.col("first"), F.col("second")
     drawn = hashed.select(
-        *keys, "k", "term", *weights,
-        (-F.ln(_uniform(first, 0) * _uniform(first, _BITS) / _SQUARE)).alias("r"),
-        F.ln(-F.ln(_uniform(second, 0) * _uniform(second, _BITS) / _SQUARE)).alias("ln_c"),
-        _rest(first, second).alias("b"),
+        *passed_on, "reach", "most", (_uniform(first, 0) * _uniform(first, _BITS) / _SQUARE).alias("x"),
+        (_uniform(second, 0) * _uniform(second, _BITS) / _SQUARE).alias("y"), _rest(first, second).alias("b"),
+        # a number the filter below reads too: it keeps the optimiser from copying the draws into the filter
+        F.monotonically_increasing_id().alias("drawn"),
     )
-    stepped = drawn.select(*keys, "k", "term", "r", "ln_c", "b", *[F.floor(F.col(w) / F.col("r") + F.col("b")).alias(w) for w in weights])
+    x, y = F.col("x"), F.col("y")
+    least = (1.0 - y) * x
+    bound = F.when(F.col("most") == 1, least / (x + (1.0 - F.col("b")) * (1.0 - x))).otherwise(least)
+    # a term without weight offers nothing, but keeps its key alive
+    hopeful = (bound < F.col("reach")) | ((F.col("most") == 0) & (F.col("k") == 0))
+    logs = drawn.where(hopeful & (F.col("drawn") >= 0)).select(*passed_on, (-F.ln(x)).alias("r"), F.ln(-F.ln(y)).alias("ln_c"), "b")
+    stepped = logs.select(*keys, "k", "term", "r", "ln_c", "b", *[F.floor(F.col(f"{w}_ln") / F.col("r") + F.col("b")).alias(w) for w in weights])
 
     def offer(t: Column) -> Column:
         cost = ((F.col("ln_c") - F.col("r") * (t - F.col("b") + 1.0)) * _COST_STEPS).cast("long")
@@ -78,7 +96,7 @@ def sampled(terms: DataFrame, keys: list[str], weights: list[str], samples: int)
 
 def likeness(mine: Column, other: Column) -> Column:
     """Share of positions at which two arrays of samples agree; two without terms are equal."""
-    agree = F.aggregate(F.zip_with(mine, other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda total, one: total + one)
+    agree = F.aggregate(F.zip_with(mine, other, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda total, one: total + one)
     both, none = F.size(mine) + F.size(other), F.lit(0)
     return F.when(both == none, 1.0).when((F.size(mine) == none) | (F.size(other) == none), 0.0).otherwise(agree / F.size(mine))
 
@@ -166,32 +184,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = sized.withColumn("edited", F.when(~F.col("guest"), F.concat(
         F.expr("substring(text, 1, n_chars - CAST(floor(n_chars / 2) AS INT))"), F.expr("substring(next, 1, CAST(floor(n_chars / 2) AS INT))"),
     )))
-    about = F.struct("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "guest")
-    no_one = F.lit(None).cast(edited.select(about.alias("about")).schema["about"].dataType)
+    split = edited.withColumns({
+        "own_words": F.array_remove(F.split("text", BLANKS), ""), "changed_words": F.array_remove(F.split(F.coalesce("edited", F.lit("")), BLANKS), ""),
+    })
+    # what a row carries along, as text: plain keys keep the aggregates in their fast form
+    about = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "guest"))
 
     def body(which: int, words: Column, described: Column) -> Column:
-        return F.struct(F.lit(which).alias("which"), words.alias("body"), described.alias("about"))
-
-    # two bodies of words, and one row that carries the rest along
-    bodies = F.array(body(0, F.col("text"), no_one), body(1, F.coalesce("edited", F.lit("")), no_one), body(2, F.lit(""), about))
-    words = edited.select("slot", "at", F.explode(bodies).alias("b")).select("slot", "at", "b.which", "b.about", F.explode(F.split("b.body", BLANKS)).alias("word"))
-    words = words.where((F.col("word") != "") | (F.col("which") == 2))
-    counted = words.groupBy("slot", "at", "about", F.xxhash64("word").alias("term")).agg(
+        return F.struct(F.lit(which).alias("which"), words.alias("words"), described.alias("about"))
+
+    # two bodies of words, and one row that carries the rest
+    bodies = F.array(body(0, F.col("own_words"), F.lit("")), body(1, F.col("changed_words"), F.lit("")), body(2, F.array(F.lit("")), about))
+    sizes = [F.size("own_words").alias("own_total"), F.size("changed_words").alias("changed_total")]
+    words = split.select("slot", "at", *sizes, F.explode(bodies).alias("b"))
+    # taken apart first: a row per word must not carry all words along
+    words = words.select("slot", "at", "own_total", "changed_total", "b.which", "b.about", "b.words")
+    words = words.select("slot", "at", "own_total", "changed_total", "which", "about", F.explode("words").alias("word"))
+    counted = words.groupBy("slot", "at", "own_total", "changed_total", "about", F.xxhash64("word").alias("term")).agg(
         F.sum(F.when(F.col("which") == 0, 1).otherwise(0)).alias("own"), F.sum(F.when(F.col("which") == 1, 1).otherwise(0)).alias("changed"),
     )
     keys = ["slot", "at", "about"]
-    least = sampled(counted, keys, ["own", "changed"], samples)
+    totals = counted.withColumns({"own_total": F.greatest("own_total", F.lit(1)), "changed_total": F.greatest("changed_total", F.lit(1))})
+    least = sampled(totals, keys, {"own": "own_total", "changed": "changed_total"}, samples)
     low = F.lit((1 << _SHOWN_BITS) - 1)
-    sample = F.when(F.col("about").isNull(), F.struct("k", F.col("own").bitwiseAND(low).alias("own"), F.col("changed").bitwiseAND(low).alias("changed")))
-    gathered = least.groupBy("slot", "at").agg(F.array_sort(F.collect_list(sample)).alias("taken"), F.first("about", ignorenulls=True).alias("about"))
+    sample = F.when(F.col("about") == "", F.struct("k", F.col("own").bitwiseAND(low).alias("own"), F.col("changed").bitwiseAND(low).alias("changed")))
+    gathered = least.groupBy("slot", "at").agg(F.array_sort(F.collect_list(sample)).alias("taken"), F.max("about").alias("about"))
 
     def taken(name: str) -> Column:
         return F.array_compact(F.transform("taken", lambda one: one[name]))
 
-    signed = gathered.select("slot", "at", "about", taken("own").alias("own"), taken("changed").alias("changed"))
+    carried = F.from_json("about", "id string, n_chars long, edited_sha256 string, guest boolean").alias("about")
+    signed = gathered.select("slot", "at", carried, taken("own").alias("own"), taken("changed").alias("changed"))
     next_one = F.lead("own").over(Window.partitionBy("slot").orderBy("at"))
     return signed.withColumn("next", next_one).where(~F.col("about.guest")).select(
-        F.col("about.id").alias(id_col), F.col("about.n_chars").cast("long").alias("n_chars"), "about.edited_sha256",
+        F.col("about.id").cast(docs.schema[id_col].dataType).alias(id_col), "about.n_chars", "about.edited_sha256",
         shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )

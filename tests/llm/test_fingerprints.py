@@ -36,7 +36,8 @@ def sample_row(counts, samples):
         best = None
         for word, w in counts.items():
             term = signed(xxhash.xxh64(word, seed=42).intdigest())
-            a, b = hash_of(("q", term), ("i", k)), hash_of(("i", k), ("q", term))
+            a = hash_of(("q", term), ("i", k))
+            b = hash_of(("q", signed(a)))
             r = -math.log(uniform(a, 0) * uniform(a, 26) / 2.0**52)
             ln_c = math.log(-math.log(uniform(b, 0) * uniform(b, 26) / 2.0**52))
             beta = (((a >> 52) & 4095) * 4096 + ((b >> 52) & 4095) + 0.5) / 2.0**24
