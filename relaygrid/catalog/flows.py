@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from relaygrid import schemas
 from relaygrid import vocabulary as V
 from relaygrid.catalog import adapter as A
-from relaygrid.catalog.lookups import DELETES_SQL, INSERTS_SQL, REPLAY_SQL, REPLAY_TTL
+from relaygrid.catalog.lookups import DELETES_SQL, INSERTS_SQL, REPLAY_SQL, REPLAY_TTL, THROTTLED_SQL
 from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import AGEOFF_SQL, KEY_SQL, PATH_SQL, source_log
 from relaygrid.functions.routing import Naming
@@ -21,7 +21,7 @@ from relaygrid.plans import produce
 from relaygrid.plans.consume import ConsumeContext, ConsumePlan, active_plan, ageoff_stage, deleted_stage, depth_stage, passive_plan
 from relaygrid.plans.reprocess import reprocess
 from relaygrid.session import work_path
-from relaygrid.streaming import registers, stateful
+from relaygrid.streaming import keyed, stateful
 
 FETCH_SPEC = ConsumerSpec(
     name="plugin3", version="v1", is_task=True, count=60, require_sources=["src0", "src1", "src2", "src3"],
@@ -229,10 +229,17 @@ def _decode_log(spark, sf):
 def _drain(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     output = work_path(spark, name)
-    registers.run_caught_up(stream, work_path(spark, f"{name}-checkpoint"), output=output)
+    keyed.run_caught_up(stream, work_path(spark, f"{name}-checkpoint"), output=output)
     return spark.read.schema(stream.schema).parquet(output)
 
 
+def _landed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a stream of the files they are written to: a log as it lies, with its columns built once."""
+    folder = work_path(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
 @query("dedupe_stream", A.sql("""
     SELECT author_name AS consumer, kafka_key, CAST(CASE WHEN bypass OR expedite THEN 1 ELSE 0 END AS INT) AS exempt,
       CASE WHEN bypass OR expedite THEN count(*) ELSE 1 END AS n
@@ -240,72 +247,62 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
 def _dedupe_stream(spark, sf):
     source = A.messages_of(A.stream(spark, sf)).withColumn("consumer", F.col("author.name"))
     exempt = (F.col("flags.bypass_cache") | F.col("flags.expedite")).cast("int")
-    kept = stateful.dedupe_stream(source, ["consumer"], "40 days").select("consumer", "kafka_key", exempt.alias("exempt"))
+    kept = stateful.dedupe_stream(source, ["consumer"], "1 hour").select("consumer", "kafka_key", exempt.alias("exempt"))
     return _drain(kept, "dedupe").groupBy("consumer", "kafka_key", "exempt").agg(F.count("*").alias("n"))
 
 
-@query("lost_task_stream", A.sql("SELECT seq FROM ev WHERE k % 3 = 0"))
+@query("lost_task_stream", A.sql("""
+    SELECT seq FROM ev WHERE k % 3 = 0 AND ts < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 MINUTE"""))
 def _lost_task_stream(spark, sf):
-    """Tasks finish after five minutes unless their code is divisible by 3; a last row closes all windows."""
-    rows = A.scalars(spark, sf).select("seq", "kafka_key", "k", "ts")
-    folder = work_path(spark, "task-events")
-    rows.write.parquet(folder)
-    # the first row moves the watermark, the second one starts the batch that acts on it
-    for after in ("2 HOURS", "4 HOURS"):
-        stateful.closing_row(rows, "ts", after).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    task = F.coalesce(F.concat(F.col("kafka_key"), F.lit("/"), F.col("seq").cast("string")), F.lit("closing")).alias("dequeued")
-    starts = stream.select("seq", task, F.col("ts").alias("started_at"))
-    ends = stream.where((F.col("k") % 3 != 0) | F.col("seq").isNull()).select(
-        task, F.timestamp_micros(F.unix_micros("ts") + 300_000_000).alias("finished_at"))
-    return _drain(stateful.lost_task_stream(starts, ends), "lost").select("seq")
+    """Tasks finish unless their code is divisible by 3; what is overdue by the clock is lost."""
+    flat = A.scalars_of(A.stream(spark, sf))
+    task = F.concat(F.col("kafka_key"), F.lit("/"), F.col("seq").cast("string")).alias("dequeued")
+    starts = flat.select("seq", task, F.col("ts").alias("started_at"))
+    return _drain(keyed.lost_task_stream(starts, flat.where("k % 3 <> 0").select(task), now=A.NOW), "lost").select("seq")
+
+
+@query("throttled_pause_stream", THROTTLED_SQL)
+def _throttled_pause_stream(spark, sf):
+    """Errors with codes below 50 pause; all other rows, and one last one, only move time on."""
+    flat = A.scalars(spark, sf).select(F.col("ts").alias("paused_at"), F.expr("event_type = 'error' AND k < 50").alias("is_pause"))
+    last = flat.agg((F.max("paused_at") + F.expr("INTERVAL 1 HOUR")).alias("paused_at")).where("paused_at IS NOT NULL").withColumn("is_pause", F.lit(False))
+    kept = keyed.throttled_pause_stream(_landed(flat.unionByName(last), "pause-events"), gap_s=6 * 3600)
+    return _drain(kept, "pauses").select(F.unix_seconds("paused_at").alias("paused_s"))
 
 
 @query("purge_stream", A.sql("SELECT seq FROM judged WHERE NOT (by_id OR by_link OR by_author OR by_submission)", DELETES_SQL))
 def _purge_stream(spark, sf):
-    empty = purge.latest_deletes(A.deletes(spark, sf).where(F.lit(False)))
-    register = registers.Register(spark, "purge-register", empty, purge.fold_deletes)
-    output = work_path(spark, "purged")
-    source = A.with_control_rows(A.stream(spark, sf), "delete")
-    registers.run_caught_up(source, work_path(spark, "purge-checkpoint"), registers.purge_batches(register, output))
-    return spark.read.parquet(output).select("seq")
+    rows = _landed(A.with_control_rows(A.table(spark, sf, "events"), "delete"), "deletable")
+    return _drain(keyed.purge_stream(rows, carry=[]), "purged")
 
 
 @query("inject_stream", A.sql("""
-    SELECT seq, NULL AS injected_key FROM ev UNION ALL SELECT ev.seq, insert_key FROM ev JOIN inserts ON parent_sha256 = sha256
+    SELECT seq, NULL AS injected_key, NULL AS sha256, depth FROM ev
+    UNION ALL SELECT ev.seq, insert_key, child_sha256, depth + 1 FROM ev JOIN inserts ON parent_sha256 = sha256
     WHERE action IN ('sourced', 'extracted', 'augmented') AND (depth < 2 OR user_id % 2 = 1)""", INSERTS_SQL))
 def _inject_stream(spark, sf):
-    empty = inject.latest_inserts(A.inserts(spark, sf).where(F.lit(False)))
-    register = registers.Register(spark, "inject-register", empty, inject.fold_inserts)
-    output = work_path(spark, "injected")
-    source = A.with_control_rows(A.stream(spark, sf), "insert")
-    registers.run_caught_up(source, work_path(spark, "inject-checkpoint"), registers.inject_batches(register, output, A.NOW))
-    return spark.read.parquet(output).select("seq", "injected_key")
+    rows = _landed(A.with_control_rows(A.table(spark, sf, "events"), "insert"), "injectable")
+    done = _drain(keyed.inject_stream(rows, A.NOW), "injected")
+    child = F.when(F.col("injected_key").isNotNull(), F.col("entity.sha256"))
+    return done.select("seq", "injected_key", child.alias("sha256"), F.size("source.path").alias("depth"))
+
+
+def _replayed(spark, sf, name: str, **how) -> DataFrame:
+    consumer = (F.col("author.name"), F.col("author.version"))
+    rows = _landed(A.mixed(spark, sf), "replayable")
+    return _drain(keyed.replay_stream(rows, consumer, REPLAY_TTL, min_runtime_s=3.0, **how), name)
 
 
 @query("replay_stream", A.sql("SELECT seq, status_id FROM hits", REPLAY_SQL))
 def _replay_stream(spark, sf):
-    columns = ["seq", "timestamp", "author", "status"]
-    cache = registers.Register(spark, "replay-cache", A.statuses(spark, sf).where(F.lit(False)).select(*columns), registers.newest_within(REPLAY_TTL))
-    output = work_path(spark, "replayed")
-    each = registers.replay_batches(
-        cache, output, (F.col("author.name"), F.col("author.version")), REPLAY_TTL, min_runtime_s=3.0)
-    registers.run_caught_up(A.mixed_of(A.stream(spark, sf)), work_path(spark, "replay-checkpoint"), each)
-    return spark.read.parquet(output).select("seq", "status_id")
+    return _replayed(spark, sf, "replayed")
 
 
 @query("replay_stream_results", A.sql("""
     SELECT hits.seq, status_id, CAST(i - 1 AS INT) AS result_no, sha256('child' || (s.user_id % 9 + i)) AS sha256
     FROM hits JOIN (SELECT *, unnest(range(1, k % 3 + 1)) AS i FROM ev) s ON s.seq = status_id""", REPLAY_SQL))
 def _replay_stream_results(spark, sf):
-    columns = ["seq", "timestamp", "author", "status"]
-    start = A.statuses(spark, sf).where(F.lit(False)).select(*columns)
-    cache = registers.Register(spark, "replay-cache", start, registers.newest_within(REPLAY_TTL))
-    output, results = work_path(spark, "replayed"), work_path(spark, "replayed-results")
-    each = registers.replay_batches(
-        cache, output, (F.col("author.name"), F.col("author.version")), REPLAY_TTL, min_runtime_s=3.0, results=results, now=A.NOW)
-    registers.run_caught_up(A.mixed_of(A.stream(spark, sf)), work_path(spark, "replay-checkpoint"), each)
-    return spark.read.parquet(results).select("seq", "status_id", "result_no", "entity.sha256")
+    return _replayed(spark, sf, "replayed-results", results_as_of=A.NOW).select("seq", "status_id", "result_no", "entity.sha256")
 
 
 @query("reprocess_stream", A.sql("""

@@ -387,13 +387,17 @@ def _pause_gate(spark, sf):
     return pause.pause_gate(asked, A.pauses(spark, sf)).select("seq", "gate")
 
 
-@query("throttled_pauses", "WITH RECURSIVE " + A.sql("""
+#: Pauses more than six hours after the last recorded one.
+THROTTLED_SQL = "WITH RECURSIVE " + A.sql("""
     SELECT CAST(floor(epoch(paused_at)) AS BIGINT) AS paused_s FROM recorded WHERE paused_at IS NOT NULL""", PAUSES_SQL, """
     recorded AS (
       SELECT min(paused_at) AS paused_at FROM pauses
       UNION ALL
       SELECT (SELECT min(p.paused_at) FROM pauses p WHERE p.paused_at > r.paused_at + INTERVAL 6 HOUR) FROM recorded r WHERE r.paused_at IS NOT NULL)
-    """).removeprefix("WITH "))
+    """).removeprefix("WITH ")
+
+
+@query("throttled_pauses", THROTTLED_SQL)
 def _throttled_pauses(spark, sf):
     kept = pause.throttled_pauses(A.pauses(spark, sf), gap_s=6 * 3600)
     return kept.select(F.unix_seconds("paused_at").alias("paused_s"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relaygrid import vocabulary as V
 from relaygrid.functions.messages import Message, depth, flag, from_end
@@ -31,14 +32,6 @@ def latest_inserts(inserts: DataFrame) -> DataFrame:
     )
 
 
-def fold_inserts(rows: DataFrame) -> DataFrame:
-    """One register from the rows of several; the later insert of a parent and key stays."""
-    row = F.struct("seq", "insert")
-    return rows.groupBy("parent_sha256", "kafka_key").agg(F.max_by(row, "seq").alias("n")).select(
-        "parent_sha256", "kafka_key", "n.seq", "n.insert"
-    )
-
-
 def injectable(df: DataFrame) -> Column:
     """Messages that bring a new entity, not one more look at the same entity."""
     path = F.col("source.path")
@@ -68,13 +61,7 @@ def inject_children(df: DataFrame, register: DataFrame, now, row_id: str = "seq"
     target = F.when(injectable(df) & alive, F.col("entity.sha256")).otherwise(nothing)
     joined = df.withColumn("_target", target).join(side, F.col("_target") == F.col("_parent"), "left")
 
-    path = F.array_append(F.coalesce(F.col("source.path"), F.array().cast(_path_type(df))), F.col("_history"))
-    # fields a child does not set (key, flags, tracking) start empty
-    of_child = {
-        "model": F.lit("binary"), "model_version": F.lit(V.CURRENT_MODEL_VERSION), "timestamp": instant(now),
-        "author": F.col("_history.author"), "action": F.col("_history.action"), "entity": F.col("_child"),
-        "source": F.col("source").withField("path", path), row_id: F.col(row_id), "seq": F.col("seq"),
-    }
+    of_child = {**child_fields(df.schema, now), row_id: F.col(row_id), "seq": F.col("seq")}
     fields = df.schema.fields
     child = F.struct(
         *[of_child.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in fields],
@@ -88,8 +75,18 @@ def inject_children(df: DataFrame, register: DataFrame, now, row_id: str = "seq"
     return joined.select(F.explode(rows).alias("m")).select("m.*")
 
 
-def _path_type(df: DataFrame):
-    return df.schema["source"].dataType["path"].dataType
+def child_fields(schema: StructType, now) -> dict[str, Column]:
+    """Fields of a child, over its parent's ``source`` and the insert's ``_child`` and ``_history``.
+
+    Fields a child does not set (key, flags, tracking) start empty.
+    """
+    path_type = schema["source"].dataType["path"].dataType
+    path = F.array_append(F.coalesce(F.col("source.path"), F.array().cast(path_type)), F.col("_history"))
+    return {
+        "model": F.lit("binary"), "model_version": F.lit(V.CURRENT_MODEL_VERSION), "timestamp": instant(now),
+        "author": F.col("_history.author"), "action": F.col("_history.action"), "entity": F.col("_child"),
+        "source": F.col("source").withField("path", path),
+    }
 
 
 def settle_register(inserts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ KINDS = (BY_ID, BY_LINK, BY_AUTHOR, BY_SUBMISSION)
 _NO_TIME = "timestamp"
 
 
-def _entries(deletes: DataFrame) -> DataFrame:
+def entries(deletes: DataFrame) -> DataFrame:
     """One row per (kind, token, bound) a delete message registers."""
     entity = F.col("entity")
 
@@ -45,19 +45,12 @@ def _entries(deletes: DataFrame) -> DataFrame:
 def latest_deletes(deletes: DataFrame) -> DataFrame:
     """Register: per (kind, token) the deletion that arrived last."""
     newest = F.max(F.struct("seq", "bound"))
-    return _entries(deletes).groupBy("kind", "token").agg(newest.alias("n")).select(
+    return entries(deletes).groupBy("kind", "token").agg(newest.alias("n")).select(
         "kind", "token", F.col("n.bound").alias("bound"), F.col("n.seq").alias("seq")
     )
 
 
-def fold_deletes(rows: DataFrame) -> DataFrame:
-    """One register from the rows of several; the later deletion of a token stays."""
-    return rows.groupBy("kind", "token").agg(F.max(F.struct("seq", "bound")).alias("n")).select(
-        "kind", "token", F.col("n.bound").alias("bound"), F.col("n.seq").alias("seq")
-    )
-
-
-def _tokens(kinds) -> Column:
+def tokens(kinds=KINDS) -> Column:
     """Everything a message can be deleted by, with the instant to compare."""
 
     def token(kind: str, value: Column, at: Column) -> Column:
@@ -78,7 +71,7 @@ def _tokens(kinds) -> Column:
 
 def purged_rows(df: DataFrame, register: DataFrame, kinds=KINDS, row_id: str = "seq") -> DataFrame:
     """Distinct ids of the messages some deletion of ``kinds`` purges."""
-    narrow = df.where(Message(df).is_binary).select(row_id, F.explode(_tokens(kinds)).alias("t")).select(
+    narrow = df.where(Message(df).is_binary).select(row_id, F.explode(tokens(kinds)).alias("t")).select(
         row_id, "t.kind", "t.token", "t.at"
     )
     holds = (

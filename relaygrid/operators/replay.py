@@ -13,13 +13,18 @@ from relaygrid.operators.projections import inherited_flags, is_completed
 from relaygrid.session import settle
 
 
-def cacheable(statuses: DataFrame, min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S,
-              max_bytes: int | None = None, completed=V.STATUS_COMPLETED) -> DataFrame:
-    """Completed statuses that ran long enough and are small enough to keep."""
+def is_cacheable(min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S, max_bytes: int | None = None, completed=V.STATUS_COMPLETED) -> Column:
+    """Completed, ran long enough and small enough to keep."""
     keep = is_completed(F.col("status"), completed) & (F.col("status.runtime") > min_runtime_s)
     if max_bytes is not None:
         keep = keep & (F.octet_length(F.to_json("status")) <= max_bytes)
-    return statuses.where(keep)
+    return keep
+
+
+def cacheable(statuses: DataFrame, min_runtime_s: float = V.REPLAY_MIN_RUNTIME_S,
+              max_bytes: int | None = None, completed=V.STATUS_COMPLETED) -> DataFrame:
+    """Completed statuses that ran long enough and are small enough to keep."""
+    return statuses.where(is_cacheable(min_runtime_s, max_bytes, completed))
 
 
 def of_consumer(statuses: DataFrame, name: str, version: str) -> DataFrame:
@@ -85,6 +90,15 @@ def replay_completions(
     cached = statuses.select(F.col(row_id).alias("status_id"), F.col("status").alias("_cached"))
     trigger = events.select(row_id, F.col("source").alias("_source"), F.col("flags").alias("_flags"))
     answered = matches.join(cached, "status_id").join(trigger, row_id)
+    return flagged, replayed_results(answered, now, row_id)
+
+
+def replayed_results(answered: DataFrame, now, row_id: str = "seq") -> DataFrame:
+    """The results of cached statuses as results of the messages they answer.
+
+    ``answered`` has the row id, ``status_id``, ``_source`` and ``_flags`` of
+    the message, and ``_cached``, the status.
+    """
     now = instant(now)
     last = from_end(F.col("_cached.input.source.path"), 0)
     path = F.when(
@@ -95,12 +109,11 @@ def replay_completions(
         .withField("source", F.col("_source").withField("path", path))
         .withField("timestamp", now)
     )
-    replayed = (
+    return (
         answered.select(row_id, "status_id", "_source", "_flags", "_cached", F.posexplode("_cached.results").alias("result_no", "r"))
         .select(row_id, "status_id", "result_no", result.alias("r"))
         .select(row_id, "status_id", "result_no", F.lit("binary").alias("model"), "r.*")
     )
-    return flagged, replayed
 
 
 def artifact_copies(matches: DataFrame, events: DataFrame, statuses: DataFrame, row_id: str = "seq") -> DataFrame:

@@ -73,12 +73,6 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/relaygrid/{name}-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder this package wrote, if it is there."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def config_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """A few configured rows as part of the plan.
 

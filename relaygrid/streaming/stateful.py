@@ -1,67 +1,29 @@
-"""Operators whose state Spark keeps: repeats and lost tasks."""
+"""First-seen messages on a stream, in Spark's own operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaygrid import vocabulary as V
 from relaygrid.functions.messages import text
 from relaygrid.operators.dedupe import dedupe_applies
+from relaygrid.streaming.keyed import CLOCK
 
 
-def dedupe_stream(stream: DataFrame, consumer: list[str], ttl: str) -> DataFrame:
-    """First message per consumer and key within ``ttl``; later ones are dropped.
+def dedupe_stream(stream: DataFrame, consumer: list[str], ttl: str, arrived=None) -> DataFrame:
+    """First message per consumer and key; repeats within ``ttl`` of its arrival are dropped.
 
-    Expedited and cache-bypassing binaries and other models never are repeats:
-    they pass beside the state, however late they come.  Binaries without a key
-    are dropped.  ``ttl`` is also how far a message that can be a repeat may lag
-    behind the newest one; see :func:`late_repeats` for those that lag more.
+    ``ttl`` is how long a key is remembered at least, by the clock at which rows
+    arrive (``arrived``: a column; the time of the batch by default); Spark drops
+    it after a batch whose clock is another ``ttl`` further.  A message's own timestamp
+    plays no part, so none is too late to be judged: each row comes out or is a
+    repeat of one that did.  Expedited and cache-bypassing binaries
+    and other models never are repeats and pass beside the state.  Binaries
+    without a key are dropped.
     """
     applies = dedupe_applies(stream)
     exempt = stream.where(~applies)
-    keyed = stream.where(applies & (text(F.col("kafka_key")) != "")).withWatermark("timestamp", ttl)
-    return keyed.dropDuplicatesWithinWatermark([*consumer, "kafka_key"]).unionByName(exempt)
-
-
-def late_repeats(batch: DataFrame, newest, ttl_s: float) -> DataFrame:
-    """Side output of :func:`dedupe_stream`: rows of a batch that came too late to be judged.
-
-    ``newest`` is the largest timestamp of all batches before.  Such rows are
-    neither first nor repeats; who must not lose them writes them aside in
-    ``foreachBatch`` before the state sees them.
-    """
-    behind = F.unix_micros("timestamp") < F.unix_micros(F.lit(newest).cast("timestamp")) - int(ttl_s * 1_000_000)
-    return batch.where(dedupe_applies(batch) & behind)
-
-
-def lost_task_stream(
-    starts: DataFrame, finishes: DataFrame, lost_after_s: int = V.LOST_AFTER_S, lateness: str = "1 minute"
-) -> DataFrame:
-    """Starts without a finish in time.
-
-    ``starts`` has ``dequeued, started_at``; ``finishes`` has ``dequeued,
-    finished_at``.  A start is reported when the watermark passes its window,
-    and its state goes with it; starts whose window is still open are reported
-    once later rows move the watermark on.  A stream that ends closes them with
-    a row of each side that lies beyond all windows (:func:`closing_row`).
-    """
-    begun = starts.withWatermark("started_at", lateness)
-    ended = finishes.select(F.col("dequeued").alias("_dequeued"), "finished_at").withWatermark("finished_at", lateness)
-    in_time = F.expr(
-        f"_dequeued = dequeued AND finished_at >= started_at "
-        f"AND finished_at <= started_at + INTERVAL {int(lost_after_s)} SECONDS"
-    )
-    joined = begun.join(ended, in_time, "leftOuter")
-    return joined.where(F.col("_dequeued").isNull()).drop("_dequeued", "finished_at")
-
-
-def closing_row(rows: DataFrame, at: str, after: str) -> DataFrame:
-    """One row that lies ``after`` (an interval) the newest of ``rows`` and is NULL in all columns but ``at``.
-
-    Near the end of a stream it moves the watermark past every open window; a
-    second one makes the batch that acts on it.  Started and finished under
-    one name on both sides, it is no lost task itself.
-    """
-    newest = rows.agg((F.max(at) + F.expr(f"INTERVAL {after}")).alias(at))
-    return newest.select(*[F.col(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    keyed = stream.where(applies & (text(F.col("kafka_key")) != ""))
+    clock = F.current_timestamp() if arrived is None else arrived
+    kept = keyed.withColumn(CLOCK, clock).withWatermark(CLOCK, ttl).dropDuplicatesWithinWatermark([*consumer, "kafka_key"])
+    return kept.drop(CLOCK).unionByName(exempt)

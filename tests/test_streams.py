@@ -1,17 +1,16 @@
 """A stream over many files ends with the result of the batch operator."""
 
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
 from relaygrid import schemas
 from relaygrid.catalog import adapter as A
 from relaygrid.functions.routing import Naming
-from relaygrid.operators import inject, purge, replay
+from relaygrid.operators import inject, pause, purge, replay
+from relaygrid.operators.tasks import lost_tasks
 from relaygrid.plans.reprocess import reprocess
 from relaygrid.session import work_path
-from relaygrid.streaming import registers, stateful
+from relaygrid.streaming import keyed, stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,109 +30,191 @@ def stream(spark, folder):
     return spark.readStream.schema(schemas.EVENTS_TABLE).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def drain(df, name):
+def drain(df, name, checkpoint=None):
+    """What a run gives; runs with one ``checkpoint`` go on from each other and add to one output."""
     spark = df.sparkSession
-    output = work_path(spark, name)
-    registers.run_caught_up(df, work_path(spark, name), output=output)
+    output = f"{checkpoint}-output" if checkpoint else work_path(spark, name)
+    keyed.run_caught_up(df, checkpoint or work_path(spark, name), output=output)
     return spark.read.schema(df.schema).parquet(output)
 
 
-def test_dedupe_stream(spark, slices):
-    kept = drain(stateful.dedupe_stream(A.messages_of(stream(spark, slices)), [], "60 days"), "dedupe")
-    exempt = F.col("flags.bypass_cache") | F.col("flags.expedite")
-    batch = A.messages(spark, SF).where(exempt | (F.col("kafka_key") != ""))
-    assert kept.where(exempt).count() == batch.where(exempt).count()
-    keys = [r.kafka_key for r in kept.where(~exempt).select("kafka_key").collect()]
-    assert len(keys) == len(set(keys)) == batch.where(~exempt).select("kafka_key").distinct().count()
-
-
-def test_exempt_messages_pass_however_late(spark):
-    """Three files, newest first: what never is a repeat comes out whole."""
+@pytest.fixture(scope="module")
+def backwards(spark):
+    """The events in three files, newest first."""
     folder = work_path(spark, "backwards")
     events = A.table(spark, SF, "events")
     for n in (2, 1, 0):
         part = events.where((F.col("event_id") >= n * 334) & (F.col("event_id") < (n + 1) * 334))
         part.coalesce(1).write.mode("append").parquet(folder)
-    kept = drain(stateful.dedupe_stream(A.messages_of(stream(spark, folder)), [], "1 hour"), "dedupe-late")
-    exempt = F.col("flags.bypass_cache") | F.col("flags.expedite")
-    assert kept.where(exempt).count() == A.messages(spark, SF).where(exempt).count() > 0
-    newest = events.agg(F.max("ts").cast("timestamp")).first()[0]
-    late = stateful.late_repeats(A.messages(spark, SF), newest, 3600)
-    assert 0 < late.count() < A.messages(spark, SF).count() and late.where(exempt).isEmpty()
-
-
-def test_lost_task_stream_with_sentinel(spark):
-    starts, ends = work_path(spark, "starts"), work_path(spark, "ends")
-    rows = [(f"t{i}", 1000 + i * 60) for i in range(50)] + [("sentinel", 10_000_000)]
-    done = [(f"t{i}", 1000 + i * 60 + (100 if i % 2 else 1801)) for i in range(0, 50) if i % 5] + [("sentinel", 10_000_000)]
-    spark.createDataFrame(rows, "dequeued string, s bigint").select("dequeued", F.timestamp_seconds("s").alias("started_at")).write.parquet(starts)
-    spark.createDataFrame(done, "dequeued string, s bigint").select("dequeued", F.timestamp_seconds("s").alias("finished_at")).write.parquet(ends)
-    begun = spark.readStream.schema(schemas.struct(dequeued=schemas.STR, started_at=schemas.TS)).parquet(starts)
-    ended = spark.readStream.schema(schemas.struct(dequeued=schemas.STR, finished_at=schemas.TS)).parquet(ends)
-    lost = {r.dequeued for r in drain(stateful.lost_task_stream(begun, ended), "lost").collect()}
-    # unfinished ones and those that finished after the limit
-    assert lost == {f"t{i}" for i in range(50) if not i % 5 or not i % 2}
+    return folder
+
+
+EXEMPT = "flags.bypass_cache OR flags.expedite"
+
+
+@pytest.mark.parametrize("order", ["slices", "backwards"])
+def test_dedupe_stream_gives_each_key_once(spark, order, request):
+    """However late a message is by its own time: rows in = rows out + repeats."""
+    kept = drain(stateful.dedupe_stream(A.messages_of(stream(spark, request.getfixturevalue(order))), [], "1 hour"), "dedupe").cache()
+    batch = A.messages(spark, SF).where(f"{EXEMPT} OR kafka_key <> ''")
+    assert kept.where(EXEMPT).count() == batch.where(EXEMPT).count() > 0
+    keys = [r.kafka_key for r in kept.where(f"NOT ({EXEMPT})").collect()]
+    assert len(keys) == len(set(keys)) == batch.where(f"NOT ({EXEMPT})").select("kafka_key").distinct().count()
+
+
+def test_dedupe_stream_forgets_by_the_clock_of_arrival(spark):
+    """A key comes out again when its time to live is long over, not before."""
+    folder, clock = work_path(spark, "days"), F.timestamp_seconds(F.col("seq") * 3600)
+    # the clock moves on with another key's rows
+    for hour, key in ((100, "one"), (101, "one"), (102, "one"), (120, "two"), (121, "two"), (122, "one"), (140, "two"), (141, "two"), (150, "one")):
+        row = A.messages(spark, SF).where("action = 'extracted' AND NOT (flags.bypass_cache OR flags.expedite)").limit(1)
+        row.withColumns({"seq": F.lit(hour).cast("long"), "kafka_key": F.lit(key)}).coalesce(1).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = drain(stateful.dedupe_stream(rows, [], "3 hours", arrived=clock), "dedupe-ttl")
+    assert sorted(r.seq for r in kept.where("kafka_key = 'one'").collect()) == [100, 122, 150]
+
+
+def tasks(spark, folder, rows):
+    """Append (task, seconds, finished) as one file."""
+    frame = spark.createDataFrame(rows, "dequeued string, s long, finished boolean").coalesce(1)
+    frame.select("dequeued", F.timestamp_seconds("s").alias("started_at"), "finished").write.mode("append").parquet(folder)
+
+
+def lost_ids(spark, folder, checkpoint, now):
+    rows = spark.readStream.schema("dequeued string, started_at timestamp, finished boolean").option("maxFilesPerTrigger", 1).parquet(folder)
+    starts, finishes = rows.where("NOT finished").drop("finished"), rows.where("finished").select("dequeued")
+    found = keyed.lost_task_stream(starts, finishes, lost_after_s=600, now=F.timestamp_seconds(F.lit(now)))
+    return sorted((r.dequeued, int(r.started_at.timestamp())) for r in drain(found, "lost", checkpoint).collect())
+
+
+def test_lost_tasks_are_reported_at_their_deadline(spark):
+    """No closing rows; a task is lost by the clock of the run, once; finishes may come first, starts late."""
+    folder, checkpoint = work_path(spark, "tasks"), work_path(spark, "tasks-state")
+    tasks(spark, folder, [("a", 1000, False), ("b", 1000, False), ("b", 1100, True), ("early", 1200, True), (None, 1000, False), ("c", 1900, False)])
+    assert lost_ids(spark, folder, checkpoint, 1600) == []
+    # a's deadline is over; c's is not; the start of early comes after its finish; late started long ago
+    tasks(spark, folder, [("early", 1300, False), ("late", 100, False)])
+    assert lost_ids(spark, folder, checkpoint, 1601) == [("a", 1000), ("late", 100)]
+    tasks(spark, folder, [("d", 2000, False), ("d", 2001, True)])
+    assert lost_ids(spark, folder, checkpoint, 2500) == [("a", 1000), ("late", 100)]
+    tasks(spark, folder, [("e", 2400, False)])
+    assert lost_ids(spark, folder, checkpoint, 2501) == [("a", 1000), ("c", 1900), ("late", 100)]
+
+
+def test_lost_task_stream_equals_batch(spark, backwards):
+    """Files newest first; every start that is overdue and unfinished by then."""
+    flat = A.scalars_of(stream(spark, backwards))
+    task = F.concat(F.col("kafka_key"), F.lit("."), F.col("seq"), F.lit(".p."), F.unix_seconds("ts")).alias("dequeued")
+    found = keyed.lost_task_stream(flat.select(task, F.col("ts").alias("started_at")), flat.where("k % 3 <> 0").select(task), now=A.NOW)
+    batch = A.scalars(spark, SF)
+    want = lost_tasks(batch.select(task), batch.where("k % 3 <> 0").select(task), A.NOW, ttl_s=10**9)
+    assert sorted(r.dequeued for r in drain(found, "lost").collect()) == sorted(r.dequeued for r in want.collect()) != []
+
+
+def test_throttled_pauses_do_not_depend_on_batches(spark):
+    """Three files out of order within the lateness: the batch operator's result, the last ones by a row that moves time on."""
+    folder = work_path(spark, "pauses")
+    at = [0, 30, 59.9999, 60, 60.000001, 121, 122, 185, 181.5, 400, 460.5, 461, 520, 521.0001, 521.0002, 590]
+    rows = [(1000.0 + s, True) for s in at] + [(1000.0 + s, True) for s in at[:3]]
+    for part in (rows[1::3], rows[::3], rows[2::3], [(9999.0, False)]):
+        frame = spark.createDataFrame(part, "s double, is_pause boolean").coalesce(1)
+        frame.select(F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("paused_at"), "is_pause").write.mode("append").parquet(folder)
+    source = spark.readStream.schema("paused_at timestamp, is_pause boolean").option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drain(keyed.throttled_pause_stream(source, gap_s=60, lateness="15 minutes"), "throttled")
+    want = pause.throttled_pauses(spark.read.parquet(folder).where("is_pause"), gap_s=60)
+    instants = lambda df: sorted(r.paused_at for r in df.collect())
+    assert instants(got) == instants(want)
+    assert len(instants(got)) > 5
 
 
 def test_purge_stream_does_not_recall(spark, slices):
-    empty = purge.latest_deletes(A.deletes(spark, SF).where(F.lit(False)))
-    register, output = registers.Register(spark, "r", empty, purge.fold_deletes, every=2), work_path(spark, "purged")
-    source = A.with_control_rows(stream(spark, slices), "delete")
-    registers.run_caught_up(source, work_path(spark, "c"), registers.purge_batches(register, output))
-    got = {r.seq for r in spark.read.parquet(output).collect()}
-    messages, deletes, want = A.messages(spark, SF), A.deletes(spark, SF), set()
+    """A deletion acts on its own batch and on later ones; messages come out whole."""
+    got = drain(keyed.purge_stream(A.with_control_rows(stream(spark, slices), "delete"), spread=3), "purged")
+    messages, deletes = A.messages(spark, SF), A.deletes(spark, SF)
+    want = None
     for n in range(3):
         known = purge.latest_deletes(deletes.where(F.col("seq") < (n + 1) * 334))
-        part = messages.where((F.col("seq") >= n * 334) & (F.col("seq") < (n + 1) * 334))
-        want |= {r.seq for r in purge.drop_purged(part, known).select("seq").collect()}
-    assert got == want and want != {r.seq for r in purge.drop_purged(messages, purge.latest_deletes(deletes)).collect()}
-
-
-def test_register_loaded_before_the_stream(spark, slices):
-    register = registers.Register(spark, "r", purge.latest_deletes(A.deletes(spark, SF)), purge.fold_deletes)
-    output = work_path(spark, "purged")
-    source = A.with_control_rows(stream(spark, slices), "delete")
-    registers.run_caught_up(source, work_path(spark, "c"), registers.purge_batches(register, output))
-    got = {r.seq for r in spark.read.parquet(output).collect()}
-    batch = purge.drop_purged(A.messages(spark, SF), purge.latest_deletes(A.deletes(spark, SF)))
-    assert got == {r.seq for r in batch.collect()}
-
-
-def test_inject_stream(spark, slices):
-    register = registers.Register(spark, "r", inject.latest_inserts(A.inserts(spark, SF)), inject.fold_inserts, every=1)
-    output = work_path(spark, "injected")
-    source = A.with_control_rows(stream(spark, slices), "insert")
-    registers.run_caught_up(source, work_path(spark, "c"), registers.inject_batches(register, output, A.NOW))
-    batch = inject.inject_children(A.messages(spark, SF), inject.latest_inserts(A.inserts(spark, SF)), A.NOW)
-    pairs = lambda df: sorted((r.seq, r.injected_key or "") for r in df.select("seq", "injected_key").collect())
-    assert pairs(spark.read.parquet(output)) == pairs(batch)
+        part = purge.drop_purged(messages.where((F.col("seq") >= n * 334) & (F.col("seq") < (n + 1) * 334)), known)
+        want = part if want is None else want.unionByName(part)
+    columns = ["seq", "timestamp", "source", "entity", "flags", "track_links"]
+    texts = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*columns))).collect())
+    assert texts(got) == texts(want)
+    assert 0 < got.count() > purge.drop_purged(messages, purge.latest_deletes(deletes)).count()
+
+
+def test_deletions_loaded_before_the_stream(spark, slices):
+    register = purge.latest_deletes(A.deletes(spark, SF))
+    got = drain(keyed.purge_stream(A.with_control_rows(stream(spark, slices), "delete"), loaded=register, spread=2, carry=[]), "purged")
+    batch = purge.drop_purged(A.messages(spark, SF), register)
+    assert {r.seq for r in got.collect()} == {r.seq for r in batch.select("seq").collect()}
+
+
+def test_inject_stream_with_loaded_inserts_equals_batch(spark, slices):
+    register = inject.latest_inserts(A.inserts(spark, SF))
+    got = drain(keyed.inject_stream(A.with_control_rows(stream(spark, slices), "insert"), A.NOW, loaded=register, spread=2), "injected")
+    batch = inject.inject_children(A.messages(spark, SF), register, A.NOW)
+    columns = ["seq", "injected_key", "model", "action", "author", "source", "entity", "timestamp"]
+    texts = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*columns))).collect())
+    assert texts(got) == texts(batch)
+
+
+def test_an_insert_taken_back_reaches_no_later_message(spark):
+    """The removal names the insert's key only; messages of earlier batches keep their children."""
+    folder = work_path(spark, "taken-back")
+    rows = A.with_control_rows(A.table(spark, SF, "events"), "insert")
+    insert = rows.where("model = 'insert'").limit(1).withColumns({"seq": F.lit(1).cast("long")})
+    parent, key = insert.select("insert.parent_sha256", "kafka_key").first()
+    message = rows.where("model = 'binary' AND action = 'sourced'").limit(1).withColumn("entity", F.col("entity").withField("sha256", F.lit(parent)))
+    message = message.withColumn("source", F.col("source").withField("path", F.slice("source.path", 1, 1)))
+    removal = insert.withColumns({"seq": F.lit(3).cast("long"), "insert": F.lit(None).cast(insert.schema["insert"].dataType)})
+    for part in (insert, message.withColumn("seq", F.lit(2).cast("long")), removal, message.withColumn("seq", F.lit(4).cast("long"))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drain(keyed.inject_stream(source, A.NOW), "injected").select("seq", "injected_key").collect()
+    assert sorted((r.seq, r.injected_key or "") for r in got) == [(2, ""), (2, key), (4, "")]
 
 
-def test_replay_stream_equals_batch_on_an_ordered_log(spark, slices):
+def test_replay_stream_equals_batch_on_an_ordered_log(spark):
     consumer, ttl = (F.col("author.name"), F.col("author.version")), 20 * 86_400
-    columns = ["seq", "timestamp", "author", "status"]
-    cache = registers.Register(spark, "cache", A.statuses(spark, SF).where(F.lit(False)).select(*columns), registers.newest_within(ttl), every=2)
-    output = work_path(spark, "replayed")
-    each = registers.replay_batches(cache, output, consumer, ttl, min_runtime_s=3.0)
-    registers.run_caught_up(A.mixed_of(stream(spark, slices)), work_path(spark, "c"), each)
+    folder, mixed = work_path(spark, "mixed"), A.mixed(spark, SF)
+    for n in range(3):
+        mixed.where((F.col("seq") >= n * 334) & (F.col("seq") < (n + 1) * 334)).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = drain(keyed.replay_stream(source, consumer, ttl, min_runtime_s=3.0, spread=3), "replayed")
     events = A.messages(spark, SF).where("action <> 'mapped'")
-    batch = replay.match_completions(events, replay.cacheable(A.statuses(spark, SF), 3.0), consumer, ttl)
+    statuses = replay.cacheable(A.statuses(spark, SF), 3.0)
+    batch = replay.match_completions(events, statuses, consumer, ttl)
     pairs = lambda df: sorted((r.seq, r.status_id) for r in df.collect())
-    assert pairs(spark.read.parquet(output)) == pairs(batch) != []
-
-
-def test_register_writes_what_a_batch_adds_and_drops_what_is_replaced(spark):
-    """Deltas do not grow with history, a repeated batch changes nothing, and old files go."""
-    rows = lambda n: spark.range(n * 10, n * 10 + 10).select(
-        F.lit("ids").alias("kind"), F.col("id").cast("string").alias("token"), F.lit(None).cast("timestamp").alias("bound"), F.col("id").alias("seq"))
-    register = registers.Register(spark, "r", rows(0).limit(0), purge.fold_deletes, every=3)
-    for batch in range(10):
-        for _ in range(2):
-            assert register.advance(batch, rows(batch)).count() == 10 * (batch + 1)
-        assert spark.read.parquet(register._delta(batch)).count() == 10
-        assert register.before(batch + 1).count() == 10 * (batch + 1)
-    kept = sorted(p.name for p in Path(register.path.removeprefix("file:")).iterdir())
-    assert kept == ["base=5", "base=8", "delta=6", "delta=7", "delta=8", "delta=9"]
+    assert pairs(got) == pairs(batch) != []
+    results = drain(keyed.replay_stream(source, consumer, ttl, min_runtime_s=3.0, results_as_of=A.NOW), "results")
+    want = replay.replay_completions(events, statuses, batch, A.NOW)[1]
+    columns = ["seq", "status_id", "result_no", "source", "entity", "flags", "timestamp"]
+    texts = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*columns))).collect())
+    assert texts(results) == texts(want) != []
+
+
+def test_replay_cache_expires_by_the_clock(spark):
+    """A completion is forgotten a TTL after it arrived; messages ask from their own time on."""
+    folder, checkpoint = work_path(spark, "expiry"), work_path(spark, "expiry-state")
+    rows = A.mixed(spark, SF)
+    status = rows.where("model = 'status' AND status.status = 'completed' AND status.runtime > 3").limit(1)
+    sha, name, version, at = status.select("status.input.entity.sha256", "author.name", "author.version", F.unix_micros("timestamp")).first()
+    message = rows.where("model = 'binary' AND NOT flags.bypass_cache").limit(1).withColumns({
+        "entity": F.col("entity").withField("sha256", F.lit(sha)), "author": F.col("author").withField("name", F.lit(name)).withField("version", F.lit(version)),
+        "timestamp": F.timestamp_micros(F.lit(at + 5_000_000)),
+    })
+
+    def run(part, now):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(rows.schema).parquet(folder)
+        answers = keyed.replay_stream(source, (F.col("author.name"), F.col("author.version")), 60, 3.0, now=F.timestamp_seconds(F.lit(now)), spread=1)
+        return drain(answers, "expiry-out", checkpoint).count()
+
+    assert run(status, 1000) == 0
+    assert run(message, 1030) == 1
+    other = status.withColumn("author", F.col("author").withField("name", F.lit("other")))
+    assert run(other, 1070) == 1  # moves the clock
+    assert run(message, 1080) == 1
 
 
 def test_reprocess_rejects_unclear_profiles(spark):
