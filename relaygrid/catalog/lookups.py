@@ -10,7 +10,7 @@ from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import CONSUMERS_SQL
 from relaygrid.functions import content as C
 from relaygrid.functions.routing import choose_topic
-from relaygrid.operators import blobs, consumers, inject, pause, purge, replay, tasks
+from relaygrid.operators import blobs, consumers, inject, pause, purge, replay, rule_index, tasks
 from relaygrid.session import settle
 
 # Deletions over the flat rows: the newest one per kind and token counts.
@@ -225,6 +225,14 @@ def _consumer_match_matrix(spark, sf):
         F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
+@query("consumer_match_rollup", A.sql("""
+    SELECT consumer_key, consumer_name, consumer_version, filter_out_trigger, filter_out_trigger IS NOT NULL AS filter_out, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs
+    FROM pairs GROUP BY ALL""", MATRIX_SQL))
+def _consumer_match_rollup(spark, sf):
+    """The matrix by consumer and reason, by rule classes and event signatures."""
+    return rule_index.consumer_match_rollup(A.messages(spark, sf), _registry(spark, sf), {"seqs": F.col("seq")})
+
+
 # Every row starts a task; it finishes unless its code is divisible by 3.
 # Overdue after 3 days, forgotten after 6.
 TASKS_SQL = """
