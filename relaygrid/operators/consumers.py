@@ -138,9 +138,12 @@ def latest_registrations(requests: DataFrame, now, ttl_s: int = V.REGISTRATION_T
     keyed = requests.where((age >= 0) & (age < ttl_s * 1_000_000)).withColumn(
         "consumer_key", identity.consumer_key(spec_column(requests))
     )
-    row = F.struct("requested_at", "seq", spec_column(requests).alias("spec"))
-    newest = keyed.groupBy("consumer_key").agg(F.max_by(row, F.struct("requested_at", "seq")).alias("n"))
-    return newest.select("consumer_key", "n.requested_at", "n.seq", "n.spec.*")
+    # a time and a unique number as one number: positions are found without sorting specs
+    position = F.unix_micros("requested_at").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("seq").cast("decimal(19,0)")
+    newest = keyed.groupBy("consumer_key").agg(F.max(position.cast("decimal(38,0)")).alias("_position"))
+    last = newest.select((F.col("_position") % F.lit(10**18).cast("decimal(19,0)")).cast("bigint").alias("seq"))
+    rows = keyed.join(settle(last, "last-registrations"), "seq", "left_semi")
+    return rows.select("consumer_key", "requested_at", "seq", spec_column(requests).alias("spec")).select("consumer_key", "requested_at", "seq", "spec.*")
 
 
 def deployments(registrations: DataFrame) -> DataFrame:

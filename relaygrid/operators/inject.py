@@ -17,19 +17,14 @@ def latest_inserts(inserts: DataFrame) -> DataFrame:
 
     A NULL payload removes the insert of that key from every parent.
     """
-    payload = F.struct("seq", F.col("insert").alias("body"))
     # an insert without a key can neither be told from others nor taken back
     inserts = inserts.where(F.col("kafka_key").isNotNull())
-    live = inserts.where(F.col("insert").isNotNull())
-    newest = live.groupBy(F.col("insert.parent_sha256").alias("parent_sha256"), "kafka_key").agg(
-        F.max_by(payload, "seq").alias("n")
-    )
+    live = inserts.where(F.col("insert").isNotNull()).withColumn("parent_sha256", F.col("insert.parent_sha256"))
+    # positions first: payloads are neither compared nor sorted
+    newest = live.groupBy("parent_sha256", "kafka_key").agg(F.max("seq").alias("seq"))
     removed = inserts.where(F.col("insert").isNull()).groupBy("kafka_key").agg(F.max("seq").alias("_removed"))
-    return (
-        newest.join(removed, "kafka_key", "left")
-        .where(F.col("_removed").isNull() | (F.col("n.seq") > F.col("_removed")))
-        .select("parent_sha256", "kafka_key", F.col("n.seq").alias("seq"), F.col("n.body").alias("insert"))
-    )
+    last = newest.join(removed, "kafka_key", "left").where(F.col("_removed").isNull() | (F.col("seq") > F.col("_removed")))
+    return live.join(settle(last.select("seq"), "last-inserts"), "seq", "left_semi").select("parent_sha256", "kafka_key", "seq", "insert")
 
 
 def injectable(df: DataFrame) -> Column:

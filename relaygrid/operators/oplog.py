@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relaygrid import vocabulary as V
 from relaygrid.functions.routing import DEFAULT_NAMING, Naming, binary_topic_pattern, check_actions
+from relaygrid.session import settle
 
 PARTITION = ["topic", "partition"]
 
@@ -41,18 +42,40 @@ def resume_scan(log: DataFrame, offsets: DataFrame, start: str, group: str) -> D
     return joined.where(F.col("offset") >= F.col("committed")).drop("committed")
 
 
+def latest_positions(log: DataFrame, key: list[str]) -> DataFrame:
+    """Per key the place of its last row (by offset, then partition): keys and positions only.
+
+    The position is one number, so this is a hash aggregate with partial
+    results on the map side; a hot key sends one row per map task.
+    """
+    place = F.col("offset").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("partition").cast("decimal(10,0)")
+    newest = log.groupBy(*key).agg(F.max(place.cast("decimal(38,0)")).alias("_place"))
+    width = F.lit(1 << 31).cast("decimal(10,0)")
+    offset = F.floor(F.col("_place") / width).cast("bigint")
+    return newest.select(*key, (F.col("_place") % width).cast("int").alias("partition"), offset.alias("offset"))
+
+
 def compacted_view(log: DataFrame) -> DataFrame:
     """Last value per (topic, key); a NULL value deletes the key.
 
-    An aggregate with partial results on the map side: a hot key sends one row
-    per map task.
+    Values take no part in finding the last rows; those found come out of the
+    log by their position.
     """
-    position = F.struct("offset", "partition")
-    row = F.struct("partition", "offset", "value", "ts")
-    return (
-        log.groupBy("topic", "key").agg(F.max_by(row, position).alias("r"))
-        .select("topic", "key", "r.*").where(F.col("value").isNotNull())
-    )
+    newest = settle(latest_positions(log, ["topic", "key"]).select("topic", "partition", "offset"), "last-positions")
+    rows = log.where(F.col("value").isNotNull()).join(newest, ["topic", "partition", "offset"], "left_semi")
+    return rows.select("topic", "key", "partition", "offset", "value", "ts")
+
+
+def compact_onto(base: DataFrame, added: DataFrame) -> DataFrame:
+    """The compacted view of a log from that of its older part and the rows added since.
+
+    The added rows are compacted by themselves; keys they name leave the base,
+    whose values are neither compared nor ordered again.  Offsets of added rows
+    are higher than those of the base.
+    """
+    named = added.select("topic", F.col("key").alias("_key")).distinct()
+    same = (base["topic"] == named["topic"]) & base["key"].eqNullSafe(named["_key"])
+    return base.join(named, same, "left_anti").unionByName(compacted_view(added))
 
 
 def lag_report(log: DataFrame, offsets: DataFrame) -> DataFrame:

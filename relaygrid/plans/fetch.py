@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -19,6 +20,10 @@ from relaygrid.plans.decode import decode_messages
 from relaygrid.session import settle
 
 ROW_ID = "delivery"
+#: The first window of a fetch in multiples of its count, and how windows grow.
+FIRST_WINDOW, GROWTH = 8, 8
+#: Rows that a second of a fetch's deadline stands for.
+ROWS_PER_S = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,10 +101,11 @@ def decode_binary(log: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Fetched:
-    """``judged``: all candidates with their reason; ``delivered``: the answer.
+    """``judged``: the candidates a fetch looked at, with their reason; ``delivered``: the answer.
 
     ``last``: order values of the last message handed out, if the answer is
-    full; candidates after it were not examined by this fetch.
+    full; candidates after it do not count as examined.  ``bound``: those of
+    the last candidate looked at, if there are more behind it.
     """
 
     judged: DataFrame
@@ -109,16 +115,18 @@ class Fetched:
     ctx: ConsumeContext
     spec: ConsumerSpec
     paused: bool = False
+    bound: Row | None = None
 
     def examined(self) -> DataFrame:
         """Candidates up to the last message handed out; none while paused."""
         if self.paused:
             return self.judged.where(F.lit(False))
-        if self.last is None:
-            return self.judged
-        kinds = {f.name: f.dataType for f in self.judged.schema.fields}
-        bound = F.struct(*[F.lit(self.last[c]).cast(kinds[c]).alias(c) for c in self.order])
-        return self.judged.where(F.struct(*self.order) <= bound)
+        return self.judged if self.last is None else self.judged.where(_up_to(self.judged, self.order, self.last))
+
+    @property
+    def position(self) -> Row | None:
+        """Where the next fetch goes on (``after``); None if nothing is left behind it."""
+        return self.last or self.bound
 
     def info(self) -> DataFrame:
         """One row: fetched, filtered, the count of each reason among the examined, ready and paused."""
@@ -146,21 +154,67 @@ class Fetched:
         return purge.tombstones(self._dropped(V.STAGE_DELETED, V.DELETED).withColumn("purged", F.lit(True)))
 
 
-def fetch(messages: DataFrame, spec: ConsumerSpec, ctx: ConsumeContext, order: list[str], gate: str = "normal") -> Fetched:
-    """Judge candidate messages and take the first ``spec.count`` survivors.
+def _values(df: DataFrame, order: Sequence[str], at: Row) -> Column:
+    return F.struct(*[F.lit(at[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+
+
+def _up_to(df: DataFrame, order: Sequence[str], at: Row) -> Column:
+    """Rows not after ``at``; the first column also on its own, which a scan can skip files by."""
+    lead = F.col(order[0])
+    return (lead.isNull() | (lead <= F.lit(at[order[0]]).cast(df.schema[order[0]].dataType))) & (F.struct(*order) <= _values(df, order, at))
+
+
+def _after(df: DataFrame, order: Sequence[str], at: Row) -> Column:
+    behind = F.struct(*order) > _values(df, order, at)
+    if at[order[0]] is None:  # nulls come first
+        return behind
+    return (F.col(order[0]) >= F.lit(at[order[0]]).cast(df.schema[order[0]].dataType)) & behind
+
+
+def fetch(
+    messages: DataFrame, spec: ConsumerSpec, ctx: ConsumeContext, order: list[str], gate: str = "normal",
+    after: Row | None = None, rows_per_s: int = ROWS_PER_S,
+) -> Fetched:
+    """Judge candidate messages in order until ``spec.count`` survive, and hand these out.
+
+    Candidates are judged in a window of the first rows by ``order``; while too
+    few survive, the window grows by a factor of :data:`GROWTH`, so what is
+    judged is in proportion to what is examined and not to the backlog.  The
+    first window is a multiple of the count.  A fetch ends when the answer is
+    full, nothing is left, or ``spec.deadline`` seconds are spent: a budget of
+    ``rows_per_s`` examined rows each (no deadline, no budget), so that the
+    result does not depend on the machine.
 
-    The pull runs on ids and order columns; only the few chosen ids, whose
-    number the fetch limit bounds, go back to the wide messages.  A consumer
-    whose ``gate`` (see ``operators.pause``) is ``paused`` gets nothing.
+    ``after``: the ``position`` of an earlier fetch to go on from.  Repeats are
+    judged among the rows one fetch looks at.  Windows are found on the order
+    columns alone; only the few chosen ids, whose number the fetch limit
+    bounds, go back to the wide messages.  A consumer whose ``gate`` (see
+    ``operators.pause``) is ``paused`` gets nothing.
     """
     plan = active_plan(spec, ctx) if spec.is_task else passive_plan(spec, ctx)
     paused = gate == "paused"
-    judged = plan.run(messages.where(F.lit(False)) if paused else messages, ctx.row_id)
-    kept = judged.where(F.col("reason").isNull()).select(ctx.row_id, *[c for c in order if c != ctx.row_id])
-    # no more rows than one fetch may hand out
-    chosen = settle(oplog.priority_pull(kept, spec.count, order), "chosen")
-    full = chosen.count() >= oplog.pull_count(spec.count)
+    messages = messages.where(F.lit(False)) if paused else messages
+    if after is not None:
+        messages = messages.where(_after(messages, order, after))
+    wanted = oplog.pull_count(spec.count)
+    budget = spec.deadline * rows_per_s if spec.deadline > 0 else None
+    size = FIRST_WINDOW * wanted
+    while True:
+        size = size if budget is None else min(size, budget)
+        places = settle(messages.select(*order).orderBy(*order).limit(size + 1), "window")
+        more = places.count() > size
+        bound = places.orderBy(*order).limit(size).orderBy(*[F.col(c).desc() for c in order]).first() if more else None
+        window = messages.where(_up_to(messages, order, bound)) if more else messages
+        judged = settle(plan.run(window, ctx.row_id).select(ctx.row_id, *[c for c in order if c != ctx.row_id], "reason"), "judged")
+        kept = judged.where(F.col("reason").isNull())
+        # no more rows than one fetch may hand out
+        chosen = settle(oplog.priority_pull(kept, spec.count, order), "chosen")
+        full = chosen.count() >= wanted
+        if full or not more or size == budget:
+            break
+        size *= GROWTH
     last = chosen.orderBy(*[F.col(c).desc() for c in order]).select(*order).first() if full else None
-    pulled = messages.join(chosen.select(ctx.row_id), ctx.row_id, "left_semi").orderBy(*order)
+    pulled = window.join(chosen.select(ctx.row_id), ctx.row_id, "left_semi").orderBy(*order)
     stamped = projections.stamp_dequeued(pulled, spec.column(), ctx.now)
-    return Fetched(judged, stamped, tuple(order), last, ctx, spec, paused)
+    said = window.join(judged.select(ctx.row_id, "reason"), ctx.row_id)
+    return Fetched(said, stamped, tuple(order), last, ctx, spec, paused, bound)

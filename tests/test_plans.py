@@ -138,6 +138,54 @@ def test_fetch_from_a_log(spark):
     assert start.entity.features == [] and start.entity.datastreams == []
 
 
+def backlog(spark, rows, wanted):
+    """``rows`` messages, of which every ``wanted``-th is of the source a consumer wants."""
+    one = frame(spark, [binary(source={"name": "other", "path": path_of(1)})]).drop("seq")
+    many = spark.range(rows).withColumnRenamed("id", "seq").join(one.withColumn("_one", F.lit(0)), F.col("seq") * 0 == F.col("_one")).drop("_one")
+    name = F.when(F.col("seq") % wanted == wanted - 1, "mine").otherwise("other")
+    return many.withColumns({"kafka_key": F.concat(F.lit("k"), "seq"), "source": F.col("source").withField("name", name)})
+
+
+def test_fetch_judges_no_more_than_it_needs(spark):
+    """10 of 20,000: one window; where few pass, windows grow until the answer is full."""
+    df, ctx = backlog(spark, 20_000, 400), consume.ConsumeContext(now=NOW)
+    easy = fetch.fetch(df, ConsumerSpec("me", "1", count=10), ctx, ["seq"])
+    assert [r.seq for r in easy.delivered.collect()] == list(range(10))
+    assert easy.judged.count() == 80 and easy.info().first().fetched == 10 and easy.position.seq == 9
+    hard = fetch.fetch(df, ConsumerSpec("me", "1", count=10, require_sources=["mine"]), ctx, ["seq"])
+    assert [r.seq for r in hard.delivered.collect()] == [400 * i + 399 for i in range(10)]
+    info = hard.info().first()
+    # 80, 640, 5120: the last window holds the tenth
+    assert hard.judged.count() == 5120 and info.fetched == 10 and sum(info.filters.values()) == 3990
+
+
+def test_fetch_goes_on_where_it_stopped(spark):
+    """The rows of fetches in a row are those of one fetch; the last one says that nothing is left."""
+    df, ctx, spec = backlog(spark, 3000, 100), consume.ConsumeContext(now=NOW), ConsumerSpec("me", "1", count=7, require_sources=["mine"])
+    seen, counted, at = [], 0, None
+    while True:
+        got = fetch.fetch(df, spec, ctx, ["seq"], after=at)
+        seen += [r.seq for r in got.delivered.collect()]
+        info = got.info().first()
+        counted += info.fetched + sum(info.filters.values())
+        at = got.position
+        if at is None:
+            break
+    assert seen == [100 * i + 99 for i in range(30)] and counted == 3000
+
+
+def test_fetch_spends_its_deadline(spark):
+    """With a budget of 2 s at 150 rows, 300 rows are examined, and the position lies behind them."""
+    df, ctx = backlog(spark, 3000, 100), consume.ConsumeContext(now=NOW)
+    spec = ConsumerSpec("me", "1", count=7, deadline=2, require_sources=["mine"])
+    got = fetch.fetch(df, spec, ctx, ["seq"], rows_per_s=150)
+    info = got.info().first()
+    assert [r.seq for r in got.delivered.collect()] == [99, 199, 299]
+    assert info.fetched == 3 and sum(info.filters.values()) == 297 and got.position.seq == 299
+    patient = fetch.fetch(df, ConsumerSpec("me", "1", count=7, deadline=0, require_sources=["mine"]), ctx, ["seq"], rows_per_s=1)
+    assert patient.delivered.count() == 7
+
+
 def test_paused_consumer_gets_nothing(spark):
     df = frame(spark, [binary(kafka_key=f"k{i}") for i in range(4)])
     got = fetch.fetch(df, ConsumerSpec("me", "1", count=2), consume.ConsumeContext(now=NOW), ["seq"], gate="paused")
