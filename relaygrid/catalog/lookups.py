@@ -10,7 +10,7 @@ from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import CONSUMERS_SQL
 from relaygrid.functions import content as C
 from relaygrid.functions.routing import choose_topic
-from relaygrid.operators import blobs, consumers, inject, pause, purge, replay, rule_index, tasks
+from relaygrid.operators import blob_store, blobs, consumers, inject, pause, purge, replay, rule_index, tasks
 from relaygrid.session import settle
 
 # Deletions over the flat rows: the newest one per kind and token counts.
@@ -352,6 +352,47 @@ def _read_ranges(spark, sf):
     return served.select("upload_id", "found", "error", F.hex("part").alias("part"))
 
 
+def _store(spark, sf, chunk_bytes: int = blob_store.CHUNK) -> blob_store.Store:
+    return blob_store.ingest(blob_store.empty(spark, chunk_bytes), A.uploads(spark, sf), "2024-01-01 00:00:00")[0]
+
+
+STORED_SQL = BLOBS_SQL.strip() + """,
+stored AS (SELECT DISTINCT source, label, sha256, size FROM described WHERE NOT wrong AND size > 0),
+hit AS (SELECT a.upload_id, s.size, a.sha256 FROM asked a JOIN stored s USING (source, label, sha256))
+"""
+
+
+@query("read_ranges_chunked", A.sql("""
+    SELECT upload_id, hit.sha256 IS NOT NULL AS found, CASE WHEN hit.sha256 IS NOT NULL THEN hex(CASE upload_id % 4
+      WHEN 0 THEN d.data[greatest(octet_length(d.data) - upload_id % 3000, 1) : octet_length(d.data)]
+      WHEN 1 THEN d.data[1000 + upload_id % 700 + 1 : octet_length(d.data)] WHEN 2 THEN d.data[1 : octet_length(d.data)]
+      ELSE d.data[upload_id % 2000 + 1 : upload_id % 2000 + 1001] END) END AS part
+    FROM asked LEFT JOIN hit USING (upload_id) JOIN (SELECT upload_id, data FROM described) d USING (upload_id)""", STORED_SQL))
+def _read_ranges_chunked(spark, sf):
+    """Ends, rests, whole texts and spans of 1001 bytes, from chunks of 1 KB."""
+    n = F.col("upload_id")
+    header = (
+        F.when(n % 4 == 0, F.concat(F.lit("bytes=-"), (n % 3000 + 1).cast("string"))).when(n % 4 == 1, F.concat(F.lit("bytes="), (1000 + n % 700).cast("string"), F.lit("-")))
+        .when(n % 4 == 2, "").otherwise(F.concat(F.lit("bytes="), (n % 2000).cast("string"), F.lit("-"), (n % 2000 + 1000).cast("string")))
+    )
+    served = blob_store.read_ranges(_requests(spark, sf).withColumn("range", header), _store(spark, sf, 1024), "upload_id")
+    return served.select("upload_id", "found", F.hex("part").alias("part"))
+
+
+@query("blob_store_freed", A.sql("""
+    SELECT sha256, max(size) AS size FROM stored GROUP BY sha256
+    HAVING bool_and(source = 'web' OR (sha256, source) IN (SELECT sha256, 'src' || (upload_id % 7) FROM asked))
+      AND NOT bool_or(source = 'web') AND NOT bool_or(size % 3 = 0)""", STORED_SQL))
+def _blob_store_freed(spark, sf):
+    """Documents a third of which are copied first, then deleted where they are asked for: what no address names is freed."""
+    store, asked = _store(spark, sf), _requests(spark, sf)
+    sizes = store.refs.select("sha256", "size").distinct()
+    third = store.refs.where("size % 3 = 0 AND source <> 'web'").select(F.col("source").alias("source_from"), F.lit("kept").alias("source_to"), "label", "sha256")
+    copied, _ = blob_store.copy(store, third)
+    left, _ = blob_store.delete(copied, asked.withColumn("if_older_than", F.lit(0)), A.NOW)
+    return blob_store.unreferenced(left).join(sizes, "sha256").select("sha256", "size")
+
+
 @query("blob_copy", A.sql("""
     SELECT source, label, sha256, size FROM catalog
     UNION SELECT 'src' || ((upload_id + 3) % 7), label, sha256, size FROM resolved WHERE found_source IS NOT NULL""", BLOBS_SQL))

@@ -11,8 +11,8 @@ from relaygrid.operators.filters import instant
 KEY = ["source", "label", "sha256"]
 
 
-def ingest_blobs(uploads: DataFrame, minimal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(catalog rows, rejected uploads) of ``uploads``.
+def judge_uploads(uploads: DataFrame, minimal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of ``uploads``, with what describes their bytes.
 
     Columns in: ``source, label, data`` and optionally ``expected_sha256``,
     ``skip_identify``, ``upload_id``.  Empty bytes, a wrong expected hash and a
@@ -28,8 +28,13 @@ def ingest_blobs(uploads: DataFrame, minimal: bool = False) -> tuple[DataFrame,
         .when(~blank & (expected != F.col("sha256")), "sha256 mismatch")
     )
     judged = described.withColumn("error", error)
-    good = judged.where(F.col("error").isNull()).drop("error")
-    return good.dropDuplicates(KEY), judged.where(F.col("error").isNotNull())
+    return judged.where(F.col("error").isNull()).drop("error"), judged.where(F.col("error").isNotNull())
+
+
+def ingest_blobs(uploads: DataFrame, minimal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(catalog rows with their bytes, rejected uploads); :mod:`blob_store` keeps bytes apart."""
+    good, refused = judge_uploads(uploads, minimal)
+    return good.dropDuplicates(KEY), refused
 
 
 def blob_lookup(requests: DataFrame, catalog: DataFrame, extra: list[str] | None = None) -> DataFrame:
