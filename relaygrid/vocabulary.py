@@ -47,8 +47,6 @@ STAGE_DELETED = "FilterPreviouslyDeleted"
 STAGE_DUPLICATES = "FilterDuplicates"
 STAGE_REPLAY = "ReplayPluginCompletion"
 STAGE_DEQUEUED = "RaiseDequeuedStatus"
-STAGE_SELF = "SelfFilter"
-STAGE_FLAGGED = "FilterFlagged"
 STAGE_RESULTS = "ProduceStatusResults"
 STAGE_INJECT = "InjectChildEvents"
 STAGE_SETTINGS = "SourceSettingRemoval"
@@ -58,7 +56,6 @@ STAGE_KEY = "InjectId"
 DEPTH_ACTIVE = 10
 DEPTH_PASSIVE = 11
 LOST_AFTER_S = 30 * 60
-TRACK_TTL_S = 2 * LOST_AFTER_S
 REPLAY_TTL_S = 1800
 REPLAY_MIN_RUNTIME_S = 10.0
 FETCH_DEFAULT = 1
@@ -75,7 +72,6 @@ SETTINGS_DEPTH_KEY = "remove_at_depth"
 # --- fixed values: histogram bounds (seconds) --------------------------------
 PROCESSING_BUCKETS = (.005, .01, .025, .05, .1, .25, .5, 1, 2.5, 5, 30, 60, 120, 300, 600, 1200, 1800, 2400)
 REST_BUCKETS = (.005, .01, .025, .05, .1, .25, .5, 1, 2.5, 5, 10, 30, 60)
-STAGE_BUCKETS = (.00001, .0001, .001, .01, .1, 1, 5, 10)
 
 # --- fixed values: topic policies (suffix, cleanup, retention ms; -1 keeps) ---
 SYSTEM_TOPIC_POLICIES = (
