@@ -186,6 +186,30 @@ def _publish_plan(spark, sf):
     return done.select("seq", "model", "added_by", "kafka_key", settings.alias("has_settings"))
 
 
+@query("produce_user_stages", A.sql("""
+    SELECT seq, source_name, action, added_by, dropped_by FROM (
+      SELECT seq, source_name, CASE WHEN action = 'mapped' AND depth > 0 THEN 'enriched' ELSE action END AS action, NULL AS added_by,
+        CASE WHEN depth = 0 THEN 'Shallow' END AS dropped_by FROM ev
+      UNION ALL SELECT seq, 'copy' || i, 'extracted', 'Copies', CASE WHEN i = 2 THEN 'Second' END
+      FROM (SELECT seq, unnest(range(0, k % 4)) AS i FROM ev WHERE depth > 0 AND action = 'sourced'))"""))
+def _produce_user_stages(spark, sf):
+    """Three stages of one's own: one drops and changes, one sends up to three copies, one drops the last copy."""
+    messages = A.messages(spark, sf).join(A.scalars(spark, sf).select("seq", "k"), "seq").select("seq", "model", "source", "action", "k")
+
+    def copies(df):
+        number = F.when(F.col("action") == "sourced", F.col("k") % 4).otherwise(0)
+        return F.transform(F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+            F.lit("binary").alias("model"), F.lit("extracted").alias("action"), F.col("source").withField("name", F.concat(F.lit("copy"), i.cast("string"))).alias("source")))
+
+    plan = produce.ProducePlan([
+        produce.user_stage("Shallow", drop=lambda df: F.size("source.path") == 0, replace=lambda df: {
+            "action": F.when(F.col("action") == "mapped", "enriched").otherwise(F.col("action"))}),
+        produce.user_stage("Copies", additional=copies),
+        produce.user_stage("Second", drop=lambda df: F.col("source.name") == "copy2"),
+    ])
+    return plan.run(messages).select("seq", F.col("source.name").alias("source_name"), "action", "added_by", "dropped_by")
+
+
 @query("produce_counts", A.sql("""
     SELECT stage, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(added) AS BIGINT) AS added FROM (
       SELECT 'PipelineAgeoff' AS stage, (SELECT count(*) FROM fresh) - (SELECT count(*) FROM alive) AS removed, 0 AS added

@@ -73,6 +73,39 @@ def _drop_when(df: DataFrame, name: str, condition: Column) -> DataFrame:
 
 # --- the stages -----------------------------------------------------------------
 
+def user_stage(
+    name: str, drop: Callable[[DataFrame], Column] | None = None, replace: Callable[[DataFrame], dict[str, Column]] | None = None,
+    additional: Callable[[DataFrame], Column] | None = None, row_id: str = "seq",
+) -> tuple[str, Stage]:
+    """A stage of one's own: drops a message, or changes its columns and sends further messages after it.
+
+    ``additional`` gives an array of structs whose fields are columns of the
+    message; the other columns of an added message are NULL.  Added messages
+    keep the ``row_id`` of theirs and are seen by later stages only.  Messages
+    dropped before are left alone.
+    """
+
+    def stage(df: DataFrame) -> DataFrame:
+        current = df if drop is None else _drop_when(df, name, F.coalesce(drop(df), F.lit(False)))
+        alive = F.col(DROPPED).isNull()
+        if replace is not None:
+            changed = {c: value.cast(df.schema[c].dataType) for c, value in replace(current).items()}
+            current = current.withColumns({c: F.when(alive, value).otherwise(F.col(c)) for c, value in changed.items()})
+        if additional is None:
+            return current
+        sent = additional(current)
+        fields = current.select(sent.alias("sent")).schema["sent"].dataType.elementType.fieldNames()
+
+        def added(r: Column, i: Column) -> Column:
+            values = {c: r[c].cast(df.schema[c].dataType) for c in fields}
+            own = {row_id: F.col(row_id), ID: F.concat_ws(".", F.col(ID), F.lit(name), i.cast("string")), ADDED: F.lit(name)}
+            return message_struct(current, {**values, **own})
+
+        return fan_out(current, F.when(alive, F.transform(sent, added)))
+
+    return name, stage
+
+
 def ageoff_stage(sources: DataFrame | None, now):
     if sources is None:
         return None

@@ -17,7 +17,7 @@ SAMPLE = (
     "ageoff", "artifact_copies", "blob_copy", "blob_delete_remaining", "bounded_first_seen", "compacted_view", "consume_active",
     "consume_passive", "consumer_match_matrix", "drop_undecodable", "explode_results", "fetch_active", "fetch_from_log",
     "fetch_info", "identity_key", "inject_children", "inject_stream", "judge_purged", "latest_registrations", "live_plus_historic", "lost_task_stream", "lost_tasks",
-    "page", "pause_gate", "publish_plan", "publish_stats", "purge_stream", "replay_completions", "replay_stream_results", "reprocess_stream", "retention", "throttled_pause_stream", "throttled_pauses",
+    "page", "pause_gate", "produce_user_stages", "publish_plan", "publish_stats", "purge_stream", "replay_completions", "replay_stream_results", "reprocess_stream", "retention", "throttled_pause_stream", "throttled_pauses",
     "validate_consumers",
 )
 NAMES = sorted(catalog.checks()) if os.environ.get("RELAYGRID_ALL") else SAMPLE
