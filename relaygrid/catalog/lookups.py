@@ -10,7 +10,7 @@ from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import CONSUMERS_SQL
 from relaygrid.functions import content as C
 from relaygrid.functions.routing import choose_topic
-from relaygrid.operators import blob_store, blobs, consumers, inject, pause, purge, replay, rule_index, tasks
+from relaygrid.operators import blob_store, blobs, consumers, inject, layout, pause, purge, replay, rule_index, tasks
 from relaygrid.session import settle
 
 # Deletions over the flat rows: the newest one per kind and token counts.
@@ -48,6 +48,12 @@ def _purge_by_id(spark, sf):
     return purge.purge_by_id(A.messages(spark, sf), _register(spark, sf)).select("seq")
 
 
+@query("placed_purge_by_id", A.sql("SELECT seq FROM judged WHERE NOT by_id", DELETES_SQL))
+def _placed_purge_by_id(spark, sf):
+    placed = layout.place_by_key(A.messages(spark, sf).select("seq", "model", "kafka_key"), "kafka_key", 16)
+    return layout.placed_purge_by_id(placed, _register(spark, sf)).select("seq")
+
+
 @query("purge_by_link", A.sql("SELECT seq FROM judged WHERE NOT by_link", DELETES_SQL))
 def _purge_by_link(spark, sf):
     return purge.purge_by_link(A.messages(spark, sf), _register(spark, sf)).select("seq")

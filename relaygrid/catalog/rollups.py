@@ -11,9 +11,10 @@ from relaygrid.catalog import adapter as A
 from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import RULES_SQL, SPEC, access_lines, source_log
 from relaygrid.functions.routing import Naming, choose_topic
-from relaygrid.operators import dedupe, filters, metrics, oplog
+from relaygrid.operators import dedupe, filters, layout, metrics, oplog
 from relaygrid.plans import produce
 from relaygrid.plans.reprocess import reprocess
+from relaygrid.session import work_path
 from relaygrid.sources import logs
 
 TOPIC_SQL = """
@@ -209,6 +210,34 @@ def _resume_scan_latest(spark, sf):
     return rows.select("topic", "partition", "offset")
 
 
+RESUMED_SQL = """
+    SELECT log.topic, log.partition, seq AS "offset", body AS value FROM log LEFT JOIN offsets o ON o.topic = log.topic AND o.partition = log.partition
+      AND consumer_group = 'grid-beta-historic' WHERE seq >= coalesce(committed, 0)"""
+
+
+@query("resume_stored", A.sql(RESUMED_SQL, OFFSETS_SQL))
+def _resume_stored(spark, sf):
+    path = work_path(spark, "log")
+    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    rows = layout.resume_stored(layout.stored_log(spark, path), A.offsets(spark, sf), "earliest", "grid-beta-historic")
+    return rows.select("topic", "partition", "offset", "value")
+
+
+@query("stored_watermarks", A.sql("SELECT topic, partition, high_watermark FROM ends", OFFSETS_SQL))
+def _stored_watermarks(spark, sf):
+    path = work_path(spark, "log")
+    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    return layout.stored_watermarks(layout.stored_log(spark, path))
+
+
+@query("placed_compacted", A.sql("""
+    SELECT topic, key, "offset", body AS value FROM (
+      SELECT topic, kafka_key AS key, seq AS "offset", body, row_number() OVER (PARTITION BY topic, kafka_key ORDER BY seq DESC) AS rn FROM log)
+    WHERE rn = 1 AND body IS NOT NULL""", TOPIC_SQL))
+def _placed_compacted(spark, sf):
+    return layout.placed_compacted(layout.place_by_key(A.topic_log(spark, sf), "key", 16)).select("topic", "key", "offset", "value")
+
+
 @query("lag_report", A.sql("""
     SELECT consumer_group, topic, partition, committed, high_watermark, high_watermark - committed AS lag, committed >= high_watermark - 1 AS caught_up
     FROM offsets JOIN ends USING (topic, partition)""", OFFSETS_SQL))
@@ -270,6 +299,14 @@ def _first_seen(spark, sf):
     return dedupe.first_seen(df, ["consumer"]).select("seq", "dedupe_reason")
 
 
+@query("placed_first_seen", A.sql("""
+    SELECT seq, CASE WHEN bypass OR expedite THEN NULL WHEN kafka_key = '' THEN 'error'
+      WHEN row_number() OVER (PARTITION BY author_name, kafka_key, bypass OR expedite ORDER BY seq) > 1 THEN 'skipped' END AS dedupe_reason FROM ev"""))
+def _placed_first_seen(spark, sf):
+    df = A.messages(spark, sf).withColumn("consumer", F.col("author.name")).select("seq", "model", "consumer", "kafka_key", "flags")
+    return layout.placed_first_seen(layout.place_by_key(df, "kafka_key", 16), ["consumer"]).select("seq", "dedupe_reason")
+
+
 BOUNDED_SQL = """
 hashed AS (SELECT seq, CAST('0x' || substr(md5(kafka_key), 1, 15) AS BIGINT) AS h FROM ev),
 held AS (SELECT seq, h, coalesce(lag(h) OVER (PARTITION BY h & 127 ORDER BY seq), 0) AS before FROM hashed)

@@ -18,6 +18,14 @@ def dedupe_applies(df: DataFrame) -> Column:
     return Message(df).is_binary & ~exempt
 
 
+def _keyed() -> Column:
+    return text(F.col("kafka_key")) != ""
+
+
+def repeat_reason(applies: Column, is_first: Column) -> Column:
+    return F.when(applies & ~_keyed(), V.DUPLICATE_NO_KEY).when(applies & ~is_first, V.DUPLICATE)
+
+
 def first_seen(df: DataFrame, consumer: list[str], row_id: str = "seq", alive: Column | None = None) -> DataFrame:
     """Add ``dedupe_reason``: NULL for the first row per consumer and key.
 
@@ -26,15 +34,12 @@ def first_seen(df: DataFrame, consumer: list[str], row_id: str = "seq", alive: C
     ``row_id``, which spreads evenly, instead of ranking a whole key in a window.
     """
     applies = dedupe_applies(df) if alive is None else dedupe_applies(df) & alive
-    keyed = text(F.col("kafka_key")) != ""
     firsts = (
-        df.where(applies & keyed)
+        df.where(applies & _keyed())
         .groupBy(*consumer, "kafka_key").agg(F.min(row_id).alias(row_id))
         .select(row_id, F.lit(True).alias("_first"))
     )
-    reason = F.when(applies & ~keyed, V.DUPLICATE_NO_KEY).when(
-        applies & F.col("_first").isNull(), V.DUPLICATE
-    )
+    reason = repeat_reason(applies, F.col("_first").isNotNull())
     return df.join(firsts, row_id, "left").withColumn("dedupe_reason", reason).drop("_first")
 
 
