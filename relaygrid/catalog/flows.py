@@ -14,7 +14,7 @@ from relaygrid.catalog.lookups import DELETES_SQL, INSERTS_SQL, REPLAY_SQL, REPL
 from relaygrid.catalog.registry import query
 from relaygrid.catalog.rows import AGEOFF_SQL, KEY_SQL, PATH_SQL, source_log
 from relaygrid.functions.routing import Naming
-from relaygrid.operators import inject, purge, replay
+from relaygrid.operators import inject, layout, purge, replay
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.plans import fetch as FE
 from relaygrid.plans import produce
@@ -224,7 +224,7 @@ def _produce_counts(spark, sf):
     return produce.produce_counts(_published(spark, sf))
 
 
-@query("fetch_from_log", A.sql("""
+DELIVERIES_SQL = """
     SELECT feed, priority, count(*) AS n FROM (
       SELECT 'expedite' AS feed, 0 AS priority FROM ev JOIN (SELECT CAST(user_id % 4 AS INT) AS p, max(seq) AS c FROM ev WHERE k = 0 AND event_type <> 'purchase' GROUP BY 1) o
         ON p = user_id % 4 WHERE k = 0 AND seq >= c
@@ -232,13 +232,27 @@ def _produce_counts(spark, sf):
       SELECT 'historic', 2 FROM ev LEFT JOIN (SELECT CAST(user_id % 4 AS INT) AS p, source_name AS s, action AS a, max(seq) AS c FROM ev
           WHERE k NOT IN (0, 2) AND k >= 50 AND event_type <> 'purchase' GROUP BY ALL) o ON p = user_id % 4 AND s = source_name AND a = action
         WHERE k NOT IN (0, 2) AND source_name <> 'src4' AND seq >= coalesce(c, 0))
-    GROUP BY ALL"""))
-def _fetch_from_log(spark, sf):
+    GROUP BY ALL"""
+
+
+def _feed_progress(spark, sf):
+    """Group alpha reads the expedite feed, group beta the historic one."""
     offsets = A.offsets(spark, sf)
-    # group alpha reads the expedite feed, group beta the historic one
-    groups = offsets.withColumn("consumer_group", F.when(
+    return offsets.withColumn("consumer_group", F.when(
         F.col("consumer_group") == "grid-alpha-live", "grid-key-expedite").otherwise("grid-key-historic"))
-    rows = FE.deliveries(A.topic_log(spark, sf), groups, "key", FETCH_SPEC)
+
+
+@query("fetch_from_log", A.sql(DELIVERIES_SQL))
+def _fetch_from_log(spark, sf):
+    rows = FE.deliveries(A.topic_log(spark, sf), _feed_progress(spark, sf), "key", FETCH_SPEC)
+    return rows.groupBy("feed", "priority").agg(F.count("*").alias("n"))
+
+
+@query("fetch_from_stored_log", A.sql(DELIVERIES_SQL))
+def _fetch_from_stored_log(spark, sf):
+    path = work_path(spark, "log")
+    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    rows = FE.deliveries(layout.stored_log(spark, path), _feed_progress(spark, sf), "key", FETCH_SPEC)
     return rows.groupBy("feed", "priority").agg(F.count("*").alias("n"))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,6 +37,15 @@ class StoredLog:
     rows: DataFrame
     segments: DataFrame
 
+    def only(self, judged: DataFrame, open_: Column) -> DataFrame:
+        """Log rows of the segments in ``judged`` for which ``open_`` holds.
+
+        ``judged`` is settled with what decides, so the choice stays a
+        comparison on a table of known size; that is what Spark prunes by.
+        """
+        chosen = settle(judged, "segments").where(open_).select(SEGMENT)
+        return self.rows.join(chosen, SEGMENT, "left_semi").select(*COLUMNS)
+
 
 def append_log(log: DataFrame, path: str, band: int = BAND) -> None:
     """Add rows to the log at ``path`` (created if missing), then their segments.
@@ -62,30 +71,17 @@ def stored_log(spark: SparkSession, path: str) -> StoredLog:
     return StoredLog(spark.read.schema(_STORED).parquet(f"{path}/rows").drop("append"), spark.read.parquet(f"{path}/segments"))
 
 
-def open_segments(log: StoredLog, progress: DataFrame, start: str) -> DataFrame:
-    """segment, last, committed: the segments in which ``progress`` (topic, partition, committed) left rows unread.
-
-    Settled with what decides, so the choice stays a filter on a table of known
-    size; that is what lets Spark prune by it.
-    """
-    if start not in ("earliest", "latest"):
-        raise ValueError(f"unknown start offset: {start}")
-    known = log.segments.join(progress, oplog.PARTITION, "left")
-    committed = F.coalesce("committed", F.lit(0)) if start == "earliest" else F.col("committed")
-    return settle(known.select(SEGMENT, "last", committed.alias("committed")), "segments").where(F.col("last") >= F.col("committed"))
-
-
 def resume_stored(log: StoredLog, offsets: DataFrame, start: str, group: str) -> DataFrame:
     """:func:`relaygrid.operators.oplog.resume_scan` over a stored log.
 
     Same rows; the folders of segments that the group has read are not opened,
-    and a group that is caught up opens none.  Only the segment in which the
-    group stands is filtered by offset.
+    and a group that is caught up opens none.
     """
     mine = offsets.where(F.col("consumer_group") == group).select(*oplog.PARTITION, "committed")
-    chosen = open_segments(log, mine, start)
-    unread = log.rows.join(chosen, SEGMENT).where(F.col("offset") >= F.col("committed"))
-    return unread.select(*COLUMNS)
+    known = log.segments.join(mine, oplog.PARTITION, "left")
+    behind = F.coalesce("committed", F.lit(0)) if start == "earliest" else F.col("committed")
+    unread = log.only(known.select(SEGMENT, "last", behind.alias("committed")), F.col("last") >= F.col("committed"))
+    return oplog.resume_scan(unread, offsets, start, group)
 
 
 def stored_watermarks(log: StoredLog) -> DataFrame:

@@ -15,6 +15,7 @@ from relaygrid.functions.identity import CLOCK
 from relaygrid.operators import metrics, oplog, projections, purge, replay
 from relaygrid.operators.consumers import ConsumerSpec
 from relaygrid.operators.filters import drop_tombstones
+from relaygrid.operators.layout import SEGMENT, StoredLog
 from relaygrid.plans.consume import ConsumeContext, active_plan, passive_plan
 from relaygrid.plans.decode import decode_messages
 from relaygrid.session import settle
@@ -63,14 +64,14 @@ def delivery_id(priority: Column) -> Column:
 
 
 def deliveries(
-    log: DataFrame, offsets: DataFrame, consumer_key: str, spec: ConsumerSpec,
+    log: DataFrame | StoredLog, offsets: DataFrame, consumer_key: str, spec: ConsumerSpec,
     naming: routing.Naming = routing.DEFAULT_NAMING,
 ) -> DataFrame:
     """Unread log rows of all feeds of a consumer, with feed and priority.
 
     One scan and one lookup: the progress of all feeds is one row per
     partition, and a row is copied to the feeds whose pattern and progress
-    admit it.
+    admit it.  Of a stored log, only segments that hold such rows are opened.
     """
     chosen = feeds(spec, naming)
     groups = {f"{naming.root}-{consumer_key}-{feed.name}": feed for feed in chosen}
@@ -78,17 +79,25 @@ def deliveries(
         F.max(F.when(F.col("consumer_group") == group, F.col("committed"))).alias(f"_read_{feed.name}")
         for group, feed in groups.items()
     ])
-    # the topics of all feeds first: a log stored by topic opens these folders only
-    log = log.where(F.col("topic").rlike("|".join(f"(?:{feed.pattern})" for feed in chosen)))
-    rows = log.join(settle(progress, "progress"), oplog.PARTITION, "left")
-    admitted = []
-    for feed in chosen:
+    progress = settle(progress, "progress")
+
+    def admits(feed: Feed, offset: str) -> Column:
         known = F.col(f"_read_{feed.name}")
-        unread = F.col("offset") >= (F.coalesce(known, F.lit(0)) if feed.start == "earliest" else known)
-        admitted.append(F.when(
-            F.col("topic").rlike(feed.pattern) & F.coalesce(unread, F.lit(False)),
-            F.struct(F.lit(feed.name).alias("feed"), F.lit(feed.priority).alias("priority")),
-        ))
+        unread = F.col(offset) >= (F.coalesce(known, F.lit(0)) if feed.start == "earliest" else known)
+        return F.col("topic").rlike(feed.pattern) & F.coalesce(unread, F.lit(False))
+
+    # the topics of all feeds first: a log stored by topic opens these folders only
+    wanted = F.col("topic").rlike("|".join(f"(?:{feed.pattern})" for feed in chosen))
+    if isinstance(log, StoredLog):
+        held = log.segments.where(wanted).join(progress, oplog.PARTITION, "left")
+        readers = sum((admits(feed, "last").cast("int") for feed in chosen), F.lit(0))
+        log = log.only(held.select(SEGMENT, readers.alias("readers")), F.col("readers") > 0)
+    log = log.where(wanted)
+    rows = log.join(progress, oplog.PARTITION, "left")
+    admitted = [
+        F.when(admits(feed, "offset"), F.struct(F.lit(feed.name).alias("feed"), F.lit(feed.priority).alias("priority")))
+        for feed in chosen
+    ]
     spread = rows.withColumn("_f", F.explode(F.array_compact(F.array(*admitted))))
     return spread.select(*log.columns, "_f.feed", "_f.priority").withColumn(ROW_ID, delivery_id(F.col("priority")))
 
