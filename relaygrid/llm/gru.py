@@ -14,9 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN, CLASSES = 32, 64
+HIDDEN, CLASSES = 32, 48
 #: Lanes that run side by side, and steps between two updates or two outputs.
 LANES, WINDOW = 512, 16
+#: Updates of a pass over the text, and steps between two of them.
+UPDATES, STEPS = 160, 24
+#: Tokens whose classes are weighed at once, and the least probability whose logarithm is taken.
+BLOCK, LEAST = 2048, 1e-30
 
 
 def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -35,12 +39,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """Log of the sum of exponentials of each row; overwrites ``logits``."""
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return np.log(logits.sum(axis=1)) + top
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Turn logits into exponentials over their row's largest, in place; returns log of each row's sum, the largest left out.
+
+    Rows are columns here, (choices, places): sums over choices run along memory.
+    """
+    logits -= logits.max(axis=0)
+    return np.exp(logits, out=logits).sum(axis=0)
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, which meets the bias."""
+    out = np.ones((len(states), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states
+    return out
+
+
+def _sum_rows(rows: np.ndarray, order: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+    """Sums of the rows of each key into the key's row of ``out``; ``order`` sorts the rows, ``keys`` are sorted.
+
+    Keys that occur equally often are summed together, as one block.
+    """
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    times = np.diff(starts, append=len(keys))
+    for n in np.unique(times):
+        here = starts[times == n]
+        block = rows[order[here[:, None] + np.arange(n)].ravel()]
+        out[keys[here]] = block.reshape(len(here), n, -1).sum(axis=1) if n > 1 else block
 
 
 @dataclass
@@ -73,43 +98,59 @@ class Model:
         return int(self.bounds[-1])
 
     def classes_of(self, tokens: np.ndarray) -> np.ndarray:
+        tokens = tokens.astype(np.int64)
         found = np.searchsorted(self.bounds, tokens, side="right") - 1
         rare = tokens >= self.words
         found[rare] = len(self.bounds) - 1 + tokens[rare] - self.words
         return found
 
-    def step(self, state: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = state.shape[1]
-        given, kept = self.inputs[tokens], state @ self.recurrent
-        gates = _sigmoid(given[:, : 2 * h] + kept[:, : 2 * h])
-        z, r = gates[:, :h], gates[:, h:]
-        candidate = np.tanh(given[:, 2 * h :] + r * kept[:, 2 * h :])
-        return candidate + z * (state - candidate), z, r, candidate, kept[:, 2 * h :]
-
-    def _segments(self, tokens: np.ndarray):
-        """Places of the vocabulary's tokens, class by class: (first word, end, places)."""
-        order = np.argsort(tokens, kind="stable")
-        edges = np.searchsorted(tokens[order], self.bounds)
-        for k in np.flatnonzero(np.diff(edges)):
-            if self.bounds[k + 1] - self.bounds[k] > 1:
-                yield int(self.bounds[k]), int(self.bounds[k + 1]), order[edges[k] : edges[k + 1]]
+    def step(self, state: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The next state of each lane (hidden, lanes)."""
+        return self.step_from(state, np.ascontiguousarray(self.inputs[tokens].T))[0]
+
+    def step_from(self, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state, both gates, the candidate and what it kept; lanes are columns, so each part is one stretch of memory."""
+        h = len(state)
+        kept = self.recurrent.T @ state
+        gates = _sigmoid(given[: 2 * h] + kept[: 2 * h])
+        z, r = gates[:h], gates[h:]
+        candidate = r * kept[2 * h :]
+        candidate += given[2 * h :]
+        candidate *= 2
+        _sigmoid(candidate)  # tanh x = 2 sigmoid 2x - 1
+        candidate *= 2
+        candidate -= 1
+        after = state - candidate
+        after *= z
+        after += candidate
+        return after, z, r, candidate, kept[2 * h :]
+
+    def _parts(self, tokens: np.ndarray):
+        """Of sorted tokens, the stretch of each class with a choice: (first word, end, stretch)."""
+        edges = np.searchsorted(tokens, self.bounds)
+        for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.bounds) > 1)):
+            yield int(self.bounds[k]), int(self.bounds[k + 1]), slice(int(edges[k]), int(edges[k + 1]))
+
+    def _sorted(self, tokens: np.ndarray) -> np.ndarray:
+        """Order of the tokens by number; 16 bits, where they suffice, sort by radix."""
+        small = self.words + self.shapes <= 1 << 16
+        return np.argsort(tokens.astype(np.uint16) if small else tokens, kind="stable")
 
     def log_shares(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability; of a shape, if the token is one."""
-        order = np.argsort(tokens, kind="stable")
-        tokens, states = tokens[order], states[order]
-        logits = states @ self.class_out[:-1]
-        logits += self.class_out[-1]
-        found = logits[np.arange(len(tokens)), self.classes_of(tokens)]
-        found -= _log_sum(logits)
-        edges = np.searchsorted(tokens, self.bounds)
-        for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.bounds) > 1)):
-            here, first = slice(edges[k], edges[k + 1]), self.bounds[k]
-            weights = self.word_out[first : self.bounds[k + 1]]
-            inner = states[here] @ weights[:, :-1].T
-            inner += weights[:, -1]
-            own = inner[np.arange(len(inner)), tokens[here] - first]
-            found[here] += own - _log_sum(inner)
+        order = self._sorted(tokens)
+        tokens, states = tokens[order], _with_one(states)[order]
+        of, found = self.classes_of(tokens), np.empty(len(tokens), states.dtype)
+        for start in range(0, len(tokens), BLOCK):
+            here = slice(start, start + BLOCK)
+            shares = self.class_out.T @ states[here].T
+            total = _softmax(shares)
+            found[here] = shares[of[here], np.arange(len(total))] / total
+        np.log(np.maximum(found, LEAST, out=found), out=found)
+        for first, end, here in self._parts(tokens):
+            shares = self.word_out[first:end] @ states[here].T
+            total = _softmax(shares)
+            found[here] += np.log(np.maximum(shares[tokens[here] - first, np.arange(len(total))] / total, LEAST))
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -125,39 +166,36 @@ class Model:
             return totals
         queues: list[list[int]] = [[] for _ in range(min(lanes, len(texts)))]
         load = [(0, n) for n in range(len(queues))]
-        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        sizes = [len(t) for t in texts]
+        for i in sorted(range(len(texts)), key=lambda i: -sizes[i]):
             size, n = heapq.heappop(load)
             queues[n].append(i)
-            heapq.heappush(load, (size + len(texts[i]), n))
-        queues.sort(key=lambda q: -sum(len(texts[i]) for i in q))
-        runs = [np.concatenate([texts[i] for i in q]) for q in queues]
-        owners = [np.repeat(q, [len(texts[i]) for i in q]) for q in queues]
+            heapq.heappush(load, (size + sizes[i], n))
+        queues.sort(key=lambda q: -sum(sizes[i] for i in q))
+        lengths = np.array([sum(sizes[i] for i in q) for q in queues])
+        # all lanes end to end: a lane's place t is at its base + t
+        laid = [i for q in queues for i in q]
+        stream = np.concatenate([texts[i] for i in laid]).astype(np.int32)
+        owner = np.repeat(laid, [sizes[i] for i in laid]).astype(np.int32)
+        begins = np.zeros(len(stream), bool)
+        begins[np.cumsum([0, *[sizes[i] for i in laid[:-1]]])] = True
+        base = np.cumsum([0, *lengths[:-1]])
         h = self.recurrent.shape[0]
-        state = np.zeros((len(runs), h), np.float32)
-        last = np.full(len(runs), -1, np.int64)
-        lengths = np.array([len(r) for r in runs])
+        state = np.zeros((h, len(queues)), np.float32)
         for start in range(0, int(lengths[0]), window):
-            active = int((lengths > start).sum())
-            span = min(window, int(lengths[0]) - start)
-            tokens, owner = np.full((active, span), -1, np.int64), np.full((active, span), -1, np.int64)
-            for n in range(active):
-                part = runs[n][start : start + span]
-                tokens[n, : len(part)] = part
-                owner[n, : len(part)] = owners[n][start : start + span]
-            states = np.zeros((active, span, h), np.float32)
-            state = state[:active]
-            for t in range(span):
-                live = int((lengths > start + t).sum())
-                now = state[:live]
-                fresh = owner[:live, t] != last[:live]
+            states, places = [], []
+            for t in range(start, min(start + window, int(lengths[0]))):
+                live = int(np.searchsorted(-lengths, -t, side="left"))
+                at = base[:live] + t
+                state = state[:, :live]
+                fresh = begins[at]
                 if fresh.any():
-                    now[fresh] = 0
-                last[:live] = owner[:live, t]
-                states[:live, t] = now
-                state[:live] = self.step(now, tokens[:live, t])[0]
-            real = tokens.ravel() >= 0
-            shares = self.log_shares(states.reshape(-1, h)[real], tokens.ravel()[real])
-            totals += np.bincount(owner.ravel()[real], shares, len(texts))
+                    state[:, fresh] = 0
+                states.append(state.T), places.append(at)
+                state = self.step(state, stream[at])
+            at = np.concatenate(places)
+            shares = self.log_shares(np.concatenate(states), stream[at])
+            totals += np.bincount(owner[at], shares, len(texts))
         return totals
 
 
@@ -176,54 +214,61 @@ class Trainer:
         m = self.model
         lanes, steps = tokens.shape
         h = state.shape[1]
-        before, trace = np.zeros((lanes, steps, h), np.float32), []
+        # step by step, and lanes as columns: what belongs together is one stretch of memory
+        tokens, fresh, state = np.ascontiguousarray(tokens.T), np.ascontiguousarray(fresh.T), state.T.copy()
+        truth, n = tokens.ravel(), tokens.size
+        before, trace = np.ones((steps, lanes, h + 1), m.inputs.dtype), []
         for t in range(steps):
-            state = np.where(fresh[:, t, None], np.float32(0), state)
-            before[:, t] = state
-            after, z, r, candidate, kept = m.step(state, tokens[:, t])
-            trace.append((z, r, candidate, kept))
+            if fresh[t].any():
+                state[:, fresh[t]] = 0
+            before[t, :, :h] = state.T
+            after, *rest = m.step_from(state, np.ascontiguousarray(m.inputs[tokens[t]].T))
+            trace.append((state, *rest))
             state = after
-        flat, truth = before.reshape(-1, h), tokens.ravel()
-        n = len(truth)
         grads = {name: np.zeros_like(getattr(m, name)) for name in self.NAMES}
-        logits = flat @ m.class_out[:-1] + m.class_out[-1]
-        shares = logits - _log_sum(logits.copy())[:, None]
-        np.exp(shares, out=shares)
-        of = m.classes_of(truth)
-        loss = -float(np.log(shares[np.arange(n), of] + 1e-30).sum())
-        shares[np.arange(n), of] -= 1
-        grads["class_out"][:-1], grads["class_out"][-1] = flat.T @ shares, shares.sum(axis=0)
-        back = shares @ m.class_out[:-1].T
-        for first, end, places in m._segments(truth):
-            weights, part = m.word_out[first:end], flat[places]
-            inner = part @ weights[:, :-1].T + weights[:, -1]
-            inner = np.exp(inner - _log_sum(inner.copy())[:, None])
-            own = truth[places] - first
-            loss -= float(np.log(inner[np.arange(len(places)), own] + 1e-30).sum())
-            inner[np.arange(len(places)), own] -= 1
-            grads["word_out"][first:end, :-1] += inner.T @ part
-            grads["word_out"][first:end, -1] += inner.sum(axis=0)
-            back[places] += inner @ weights[:, :-1]
-        back = back.reshape(lanes, steps, h)
-        given = np.zeros((lanes, steps, 3 * h), np.float32)
-        ahead = np.zeros((lanes, h), np.float32)
+        order = m._sorted(truth)
+        found, flat = truth[order], before.reshape(n, h + 1)[order]
+        back, loss, of = np.empty((n, h), before.dtype), 0.0, m.classes_of(found)
+        for start in range(0, n, BLOCK):
+            here = slice(start, start + BLOCK)
+            shares = m.class_out.T @ flat[here].T
+            shares /= _softmax(shares)
+            own = (of[here], np.arange(shares.shape[1]))
+            loss -= float(np.log(shares[own] + LEAST).sum())
+            shares[own] -= 1
+            grads["class_out"] += (shares @ flat[here]).T
+            back[here] = shares.T @ m.class_out[:-1].T
+        for first, end, here in m._parts(found):
+            weights, part = m.word_out[first:end], flat[here]
+            shares = weights @ part.T
+            shares /= _softmax(shares)
+            own = (found[here] - first, np.arange(len(part)))
+            loss -= float(np.log(shares[own] + LEAST).sum())
+            shares[own] -= 1
+            grads["word_out"][first:end] = shares @ part
+            back[here] += shares.T @ weights[:, :-1]
+        placed = np.empty_like(back)
+        placed[order] = back
+        placed = placed.reshape(steps, lanes, h)
+        d_given = np.empty((steps, lanes, 3 * h), before.dtype)
+        through, ahead = np.empty((3 * h, lanes), before.dtype), np.zeros((h, lanes), before.dtype)
         for t in range(steps - 1, -1, -1):
-            z, r, candidate, kept = trace[t]
-            old = before[:, t]
-            d_candidate = ahead * (1 - z) * (1 - candidate * candidate)
-            d_z = ahead * (old - candidate) * z * (1 - z)
-            d_kept = d_candidate * r
-            d_r = d_candidate * kept * r * (1 - r)
-            given[:, t] = np.concatenate([d_z, d_r, d_candidate], axis=1)
-            through = np.concatenate([d_z, d_r, d_kept], axis=1)
-            grads["recurrent"] += old.T @ through
-            ahead = ahead * z + through @ m.recurrent.T + back[:, t]
-            ahead = np.where(fresh[:, t, None], np.float32(0), ahead)
-        order = np.argsort(truth, kind="stable")
-        found, starts = np.unique(truth[order], return_index=True)
-        grads["inputs"][found] = np.add.reduceat(given.reshape(-1, 3 * h)[order], starts, axis=0)
+            old, z, r, candidate, kept = trace[t]
+            d_candidate = (1 - z) * ahead
+            d_candidate *= 1 - candidate * candidate
+            np.multiply((old - candidate) * ahead, z * (1 - z), out=through[:h])
+            np.multiply(d_candidate, r, out=through[2 * h :])
+            np.multiply(through[2 * h :], kept * (1 - r), out=through[h : 2 * h])
+            d_given[t, :, : 2 * h], d_given[t, :, 2 * h :] = through[: 2 * h].T, d_candidate.T
+            grads["recurrent"] += old @ through.T
+            ahead *= z
+            ahead += m.recurrent @ through
+            ahead += placed[t].T
+            if fresh[t].any():
+                ahead[:, fresh[t]] = 0
+        _sum_rows(d_given.reshape(n, 3 * h), order, found, grads["inputs"])
         self._update(grads, n)
-        return state, loss
+        return state.T, loss
 
     def _update(self, grads: dict[str, np.ndarray], n: int) -> None:
         self.turn += 1
@@ -238,17 +283,18 @@ class Trainer:
             getattr(self.model, name).__isub__(np.float32(fix) * a / (np.sqrt(b) + np.float32(1e-8)))
 
 
-def train(model: Model, texts: list[np.ndarray], passes: int = 2, lanes: int = 64, window: int = 24, span: tuple[float, float] = (0.0, 1.0)) -> list[float]:
+def train(model: Model, texts: list[np.ndarray], passes: int = 1, updates: int = UPDATES, window: int = STEPS, span: tuple[float, float] = (0.0, 1.0)) -> list[float]:
     """Train in place on every token; returns the mean loss of each pass.
 
-    Texts are laid end to end and cut into ``lanes`` lanes of one length; what is
-    left, under one token a lane, follows in a lane of its own.  ``span``: from
-    and to which share of the whole training this is, for the falling rate.
+    Texts are laid end to end and cut into lanes of one length, as many as make
+    about ``updates`` updates of ``window`` steps a pass; what is left, under one
+    token a lane, follows in a lane of its own.  ``span``: from and to which share
+    of the whole training this is, for the falling rate.
     """
     texts = [t for t in texts if len(t)]
     if not texts or not model.words:
         return []
-    lanes = min(lanes, len(texts))
+    lanes = min(max(1, sum(map(len, texts)) // (updates * window)), len(texts))
     order = np.random.default_rng(5).permutation(len(texts))
     trainer, losses = Trainer(model), []
     for number in range(passes):

@@ -35,9 +35,7 @@ from relaygrid.session import settle
 #: Words that the model knows, and words whose counts travel to the tasks.
 VOCABULARY, FREQUENT = 4096, 200_000
 #: Rounds of training, tokens of a trainer in a round, tokens of a stretch of text, and weights of a slice on the way to their mean.
-ROUNDS, TRAINER_TOKENS, STRETCH, SLICE = 4, 500_000, 512, 16_384
-#: Up to so many training tokens, the text is learnt twice.
-TWICE = 1_000_000
+ROUNDS, TRAINER_TOKENS, STRETCH, SLICE = 4, 3_000_000, 512, 16_384
 #: Distinct words that a counting task holds, and tokens that a scoring task lays out at once.
 HELD, AT_ONCE = 500_000, 3_000_000
 END = b""
@@ -132,7 +130,7 @@ class Frequent:
         log = [math.log10(r[1] + 1) for r in known + rest]
         self.base = np.array(log + [0.0] * SHAPES)
         within = -np.log10(self.shape_tokens + self.shape_words + 1)
-        self.token = np.array([*range(self.k), *[self.k + r[2] for r in rest], *range(self.k, self.k + SHAPES)], np.int32)
+        self.token = np.array([*range(self.k), *[self.k + r[2] for r in rest], *range(self.k, self.k + SHAPES)], np.uint16 if self.k + SHAPES <= 1 << 16 else np.int32)
         # known words weigh in the model alone; others by (count + 1) within their shape
         self.inner = np.array([0.0] * self.k + [math.log10(r[1] + 1) + within[r[2]] for r in rest] + list(within))
 
@@ -140,29 +138,67 @@ class Frequent:
         return _Numbers(self.words)
 
 
-def _stretches(docs: DataFrame, text_col: str, frequent: Frequent) -> DataFrame:
-    """round, tokens: all training text in stretches, written once."""
-    words, token, end = frequent.words, frequent.token, frequent.end
+def _numbered(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent) -> DataFrame:
+    """Every text split and looked up once, and written: key, id, what its words count for, rare words, tokens.
+
+    ``base`` and ``inner`` leave out the rare words, whose counts are still to be looked up.
+    """
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())]))
+    kind = T.StructType([
+        T.StructField("key", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("inner", T.DoubleType()),
+        T.StructField("rare", rare), T.StructField("tokens", T.BinaryType()),
+    ])
+    each = math.log10(frequent.tokens + frequent.distinct + 1)
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = frequent.numbers()
+        for batch in batches:
+            n, known, base, inner, tokens = [], [], [], [], []
+            words_out: list[bytes] = []
+            times_out: list[int] = []
+            offsets = [0]
+            for text in utf8(batch.column(2)):
+                parts = text.lower().split()
+                parts.append(END)
+                ids = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
+                beyond = np.flatnonzero(ids >= frequent.size)
+                n.append(len(parts)), known.append(len(parts) - len(beyond))
+                base.append(float(frequent.base[ids].sum()) - len(parts) * each)
+                inner.append(float(frequent.inner[ids].sum()))
+                if len(beyond):
+                    times = Counter([parts[i] for i in beyond.tolist()])
+                    words_out.extend(times.keys()), times_out.extend(times.values())
+                offsets.append(len(words_out))
+                tokens.append(frequent.token[ids].tobytes())
+            pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times_out, pa.int64())], ["word", "times"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                pa.array(inner, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), pa.array(tokens, pa.binary()),
+            ], kind.fieldNames())
+
+    placed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return settle(placed.mapInArrow(number, kind), "lm-numbered")
+
+
+def _stretches(numbered: DataFrame, frequent: Frequent) -> DataFrame:
+    """round, tokens: all of the text in stretches, written once."""
     kind = T.StructType([T.StructField("round", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
+    size = STRETCH * frequent.token.itemsize
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(words)
         for batch in batches:
             rounds, found = [], []
-            for place, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                parts = [*text.lower().split(), END]
-                ids = token[np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))]
-                for start in range(0, len(ids), STRETCH):
-                    rounds.append(xxhash.xxh3_64_intdigest(b"%d %d" % (place, start)) % ROUNDS)
-                    found.append(ids[start : start + STRETCH].tobytes())
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for start in range(0, len(tokens), size):
+                    rounds.append(xxhash.xxh3_64_intdigest(b"%d %d" % (key, start)) % ROUNDS)
+                    found.append(tokens[start : start + size])
             yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.array(found, pa.binary())], ["round", "tokens"])
 
-    assert words[end] == END
-    placed = docs.select(F.monotonically_increasing_id().alias("place"), F.col(text_col).alias("text"))
-    return settle(placed.mapInArrow(cut, kind), "lm-stretches")
+    return settle(numbered.select("key", "tokens").mapInArrow(cut, kind), "lm-stretches")
 
 
-def _round(stretches: DataFrame, model: gru.Model, trainers: int, passes: int, span: tuple[float, float]) -> int:
+def _round(stretches: DataFrame, model: gru.Model, kept: np.dtype, trainers: int, span: tuple[float, float]) -> int:
     """One round of training, the weights in place; returns how many tokens taught.
 
     Only weights travel: a trainer's slices go to where their slice is summed, and the sums, of fixed size, to the driver.
@@ -170,9 +206,9 @@ def _round(stretches: DataFrame, model: gru.Model, trainers: int, passes: int, s
     kind = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [np.frombuffer(t, np.int32) for batch in batches for t in batch.column(0).to_pylist()]
+        texts = [np.frombuffer(t, kept) for batch in batches for t in batch.column(0).to_pylist()]
         if texts:
-            gru.train(model, texts, passes, 64 if passes > 1 else 128, span=span)
+            gru.train(model, texts, span=span)
             weights, n = gru.flat(model), sum(map(len, texts))
             parts = [weights[at : at + SLICE].tobytes() for at in range(0, len(weights), SLICE)]
             yield pa.RecordBatch.from_arrays(
@@ -200,61 +236,33 @@ def _round(stretches: DataFrame, model: gru.Model, trainers: int, passes: int, s
     return rows[0]["n"]
 
 
-def _train(docs: DataFrame, text_col: str, frequent: Frequent) -> tuple[gru.Model, int]:
-    """The model, and how many tokens taught it: all of the training documents."""
+def _train(numbered: DataFrame, frequent: Frequent) -> tuple[gru.Model, int]:
+    """The model, and how many tokens taught it: all of the given texts."""
     model = gru.Model.start(frequent.counts, frequent.shape_tokens)
-    stretches = _stretches(docs, text_col, frequent)
+    stretches = _stretches(numbered, frequent)
     trainers = -(-frequent.tokens // (ROUNDS * TRAINER_TOKENS))
-    passes = 2 if frequent.tokens <= TWICE else 1
     taught = sum(
-        _round(stretches.where(F.col("round") == k), model, trainers, passes, (k / ROUNDS, (k + 1) / ROUNDS)) for k in range(ROUNDS)
+        _round(stretches.where(F.col("round") == k), model, frequent.token.dtype, trainers, (k / ROUNDS, (k + 1) / ROUNDS)) for k in range(ROUNDS)
     )
     return model, taught
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent, model: gru.Model) -> DataFrame:
-    """key, id, n_tokens, n_known, base, score, rare (words whose counts are still to be looked up)."""
-    rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("times", T.LongType())]))
-    kind = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
-        T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", rare),
-    ])
-    each = math.log10(frequent.tokens + frequent.distinct + 1)
+def _scored(numbered: DataFrame, model: gru.Model, kept: np.dtype) -> DataFrame:
+    """key, likely: log10 of what the model gives each whole text."""
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = frequent.numbers()
         for batch in batches:
-            n, known, base, inner, likely = [], [], [], [], []
-            words_out: list[bytes] = []
-            times_out: list[int] = []
-            offsets, texts, held = [0], [], 0
-            for text in utf8(batch.column(2)):
-                parts = text.lower().split()
-                parts.append(END)
-                ids = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
-                beyond = np.flatnonzero(ids >= frequent.size)
-                n.append(len(parts)), known.append(len(parts) - len(beyond))
-                base.append(float(frequent.base[ids].sum()) - len(parts) * each)
-                inner.append(float(frequent.inner[ids].sum()))
-                if len(beyond):
-                    times = Counter([parts[i] for i in beyond.tolist()])
-                    words_out.extend(times.keys()), times_out.extend(times.values())
-                offsets.append(len(words_out))
-                texts.append(frequent.token[ids])
-                held += len(ids)
+            likely, texts, held = [np.zeros(0)], [], 0
+            for tokens in batch.column(1).to_pylist():
+                texts.append(np.frombuffer(tokens, kept))
+                held += len(texts[-1])
                 if held >= AT_ONCE:
                     likely.append(model.score(texts))
                     texts, held = [], 0
             likely.append(model.score(texts))
-            total = np.concatenate(likely) / math.log(10) + np.array(inner)
-            pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times_out, pa.int64())], ["word", "times"])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
-            ], ["key", "id", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(likely) / math.log(10), pa.float64())], ["key", "likely"])
 
-    placed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return placed.mapInArrow(score, kind)
+    return numbered.select("key", "tokens").mapInArrow(score, "key long, likely double")
 
 
 def lm_score(
@@ -289,17 +297,17 @@ def lm_score(
             F.col(id_col).alias(id_col), held.alias("held_out"), size.alias("n_tokens"), n.alias("n_known"), n.alias("train_tokens"),
             zero.alias("base_score"), zero.alias("score"),
         )
-    model, _ = _train(teach, text_col, known)
-    # written once: the key of a row is its place in this one pass
-    scored = settle(_scored(docs, id_col, text_col, known, model), "lm-scored")
-    rare = scored.select("key", F.explode("rare").alias("w")).select("key", "w.word", "w.times")
+    numbered = _numbered(docs, id_col, text_col, known)
+    model, _ = _train(numbered.where(remainder(F.col("id"), 7) != 2), known)
+    scored = settle(_scored(numbered, model, known.token.dtype), "lm-scored")
+    rare = numbered.select("key", F.explode("rare").alias("w")).select("key", "w.word", "w.times")
     late = counts.where(F.col("n") < least).select("word", "n")
     found = rare.join(late, "word").groupBy("key").agg(
         F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more")
     )
     more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(found, "key", "left").select(
+    return numbered.drop("rare", "tokens").join(scored, "key").join(found, "key", "left").select(
         F.col("id").alias(id_col), (remainder(F.col("id"), 7) == 2).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        (F.col("base") + more).alias("base_score"), (F.col("likely") + F.col("inner") + more).alias("score"),
     )

@@ -76,7 +76,7 @@ def test_lanes_and_windows_do_not_matter():
     state, total = np.zeros((1, 5), np.float32), 0.0
     for token in texts[1]:
         total += float(model.log_shares(state, np.array([token]))[0])
-        state = model.step(state, np.array([token]))[0]
+        state = model.step(state.T, np.array([token])).T
     assert total == pytest.approx(alone[1], rel=1e-4)
 
 
@@ -123,7 +123,7 @@ def test_every_training_token_teaches(spark, monkeypatch):
     for s, n in zip(counts["shape"].to_pylist(), counts["n"].to_pylist(), strict=True):
         totals[s] = (totals.get(s, (0, 0))[0] + n, totals.get(s, (0, 0))[1] + 1)
     known = lm_score.Frequent(counts, totals, 30)
-    model, taught = lm_score._train(frame, "text", known)
+    model, taught = lm_score._train(lm_score._numbered(frame, "doc_id", "text", known), known)
     assert taught == known.tokens == sum(len(tokens(r[1])) for r in data)
     started = gru.Model.start(known.counts, known.shape_tokens)
     assert np.isfinite(gru.flat(model)).all() and not np.allclose(gru.flat(model), gru.flat(started))
@@ -133,5 +133,5 @@ def test_no_token_is_left_out_of_a_pass(monkeypatch):
     model, draw, seen = small(), np.random.default_rng(5), []
     monkeypatch.setattr(gru.Trainer, "window", lambda self, state, part, fresh: (seen.extend(part.ravel().tolist()), (state, 0.0))[1])
     texts = [draw.integers(0, 9, n) for n in (1, 40, 3, 17, 1, 100, 16)]
-    gru.train(model, texts, passes=1, lanes=3)
+    gru.train(model, texts, updates=3)
     assert sorted(seen) == sorted(np.concatenate(texts).tolist())
