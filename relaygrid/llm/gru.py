@@ -182,9 +182,12 @@ class Model:
         base = np.cumsum([0, *lengths[:-1]])
         h = self.recurrent.shape[0]
         state = np.zeros((h, len(queues)), np.float32)
-        for start in range(0, int(lengths[0]), window):
+        start, longest = 0, int(lengths[0])
+        while start < longest:
             states, places = [], []
-            for t in range(start, min(start + window, int(lengths[0]))):
+            # few lanes are left where texts are very long: their windows are longer, as many tokens are weighed at once
+            ahead = window * len(queues) // int(np.searchsorted(-lengths, -start, side="left"))
+            for t in range(start, min(start + ahead, longest)):
                 live = int(np.searchsorted(-lengths, -t, side="left"))
                 at = base[:live] + t
                 state = state[:, :live]
@@ -196,6 +199,7 @@ class Model:
             at = np.concatenate(places)
             shares = self.log_shares(np.concatenate(states), stream[at])
             totals += np.bincount(owner[at], shares, len(texts))
+            start += ahead
         return totals
 
 

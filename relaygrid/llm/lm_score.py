@@ -37,7 +37,7 @@ VOCABULARY, FREQUENT = 4096, 200_000
 #: Rounds of training, tokens of a trainer in a round, tokens of a stretch of text, and weights of a slice on the way to their mean.
 ROUNDS, TRAINER_TOKENS, STRETCH, SLICE = 4, 3_000_000, 512, 16_384
 #: Distinct words that a counting task holds, and tokens that a scoring task lays out at once.
-HELD, AT_ONCE = 500_000, 3_000_000
+HELD, AT_ONCE = 500_000, 6_000_000
 END = b""
 SHAPES = 12
 _KIND = {**{c: 1 for c in b"."}, **{c: 2 for c in b",;:"}, **{c: 3 for c in b"!?"}, **{c: 4 for c in b"0123456789"}}
