@@ -251,7 +251,7 @@ def _fetch_from_log(spark, sf):
 @query("fetch_from_stored_log", A.sql(DELIVERIES_SQL))
 def _fetch_from_stored_log(spark, sf):
     path = work_path(spark, "log")
-    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    layout.append_log(A.topic_log(spark, sf), path, band=5000)
     rows = FE.deliveries(layout.stored_log(spark, path), _feed_progress(spark, sf), "key", FETCH_SPEC)
     return rows.groupBy("feed", "priority").agg(F.count("*").alias("n"))
 

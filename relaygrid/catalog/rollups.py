@@ -218,7 +218,7 @@ RESUMED_SQL = """
 @query("resume_stored", A.sql(RESUMED_SQL, OFFSETS_SQL))
 def _resume_stored(spark, sf):
     path = work_path(spark, "log")
-    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    layout.append_log(A.topic_log(spark, sf), path, band=5000)
     rows = layout.resume_stored(layout.stored_log(spark, path), A.offsets(spark, sf), "earliest", "grid-beta-historic")
     return rows.select("topic", "partition", "offset", "value")
 
@@ -226,7 +226,7 @@ def _resume_stored(spark, sf):
 @query("stored_watermarks", A.sql("SELECT topic, partition, high_watermark FROM ends", OFFSETS_SQL))
 def _stored_watermarks(spark, sf):
     path = work_path(spark, "log")
-    layout.append_log(A.topic_log(spark, sf), path, band=2000)
+    layout.append_log(A.topic_log(spark, sf), path, band=5000)
     return layout.stored_watermarks(layout.stored_log(spark, path))
 
 
