@@ -1,8 +1,8 @@
 """Stored layouts: a log in segments that progress prunes, and messages placed by key.
 
 A *segment* holds the rows of one topic and partition within one band of
-offsets.  Its name, unique over the whole log, is a partition column, and a narrow table of segments keeps
-the offsets each covers.  Readers choose segments there first; the join with the
+offsets, or within adjacent bands while these hold few rows.  Its name, unique over the whole log, is a
+partition column, and a narrow table of segments keeps the offsets each covers.  Readers choose segments there first; the join with the
 log then opens the chosen folders only (dynamic partition pruning).
 
 A *placed* table is bucketed by key, so grouping, ranking or looking up by that
@@ -23,8 +23,10 @@ from relaygrid.functions.messages import Message
 from relaygrid.operators import dedupe, oplog, purge
 from relaygrid.session import settle, work_path
 
-#: Offsets of a segment.
+#: Offsets of a band.
 BAND = 1_000_000
+#: Bands join one segment until it holds so many rows: files grow in number with the rows, not with the offsets.
+FILL = 250_000
 SEGMENT = "segment"
 COLUMNS = schemas.TOPIC_LOG.fieldNames()
 _STORED = StructType([*schemas.TOPIC_LOG.fields, StructField(SEGMENT, StringType())])
@@ -47,19 +49,37 @@ class StoredLog:
         return self.rows.join(chosen, SEGMENT, "left_semi").select(*COLUMNS)
 
 
-def append_log(log: DataFrame, path: str, band: int = BAND) -> None:
+def _runs(bands: DataFrame, fill: int) -> DataFrame:
+    """The band each band's segment begins with; ``bands`` has topic, partition, band and n, its rows."""
+    before = Window.partitionBy(*oplog.PARTITION).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / fill)
+    # rows without an offset are no part of a run
+    numbered = bands.where(F.col("band").isNotNull()).withColumn("run", run)
+    return numbered.withColumn("begins", F.min("band").over(Window.partitionBy(*oplog.PARTITION, "run"))).select(*oplog.PARTITION, "band", "begins")
+
+
+def append_log(log: DataFrame, path: str, band: int = BAND, fill: int = FILL) -> None:
     """Add rows to the log at ``path`` (created if missing), then their segments.
 
-    A segment meets one task, which sorts it by offset: at most ``band`` rows of
-    one topic and partition, however hot the topic.  Rows count as stored once
-    their segments are: what a failed append left behind is in no segment, and
-    its rows come again under the name of another append.
+    A segment meets one task, which sorts it by offset: less than ``fill`` rows
+    and one more band, which is at most ``band`` rows of one topic and partition,
+    however hot the topic.  Rows count as stored once their segments are: what a
+    failed append left behind is in no segment, and its rows come again under
+    the name of another append.  ``log`` is read twice, at first for the number
+    of rows of each band.
     """
     spark, append = log.sparkSession, uuid4().hex
-    name = F.concat_ws("~", "topic", "partition", F.floor(F.col("offset") / band), F.lit(append))
-    rows = log.select(*COLUMNS).withColumn(SEGMENT, name).repartition(SEGMENT).sortWithinPartitions("topic", SEGMENT, "offset")
+    rows = log.select(*COLUMNS).withColumn("band", F.floor(F.col("offset") / band))
+    runs = settle(_runs(rows.groupBy(*oplog.PARTITION, "band").agg(F.count(F.lit(1)).alias("n")), fill), "segment-runs")
+    named = [F.col(c).alias(f"_{c}") for c in (*oplog.PARTITION, "band")]
+    same = F.col("band") == F.col("_band")
+    for c in oplog.PARTITION:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # a band that was not counted is a segment of its own
+    name = F.concat_ws("~", "topic", "partition", F.coalesce("begins", "band"), F.lit(append))
+    met = rows.join(runs.select(*named, "begins"), same, "left").withColumn(SEGMENT, name).select(*COLUMNS, SEGMENT)
     folder = f"{path}/rows/append={append}"
-    rows.write.partitionBy("topic", SEGMENT).parquet(folder)
+    met.repartition(SEGMENT).sortWithinPartitions("topic", SEGMENT, "offset").write.partitionBy("topic", SEGMENT).parquet(folder)
     # from the files just written, offsets only
     held = spark.read.schema(_STORED).parquet(folder).groupBy("topic", "partition", SEGMENT).agg(
         F.min("offset").alias("first"), F.max("offset").alias("last"), F.count(F.lit(1)).alias("n"),

@@ -78,6 +78,21 @@ def test_a_failed_append_is_not_read(spark):
     assert rows(layout.resume_stored(layout.stored_log(spark, path), none, "earliest", "g")) == rows(log)
 
 
+def test_bands_with_few_rows_share_a_segment(spark):
+    """Files are as many as the rows fill, whatever the number of bands; no row is lost, also without an offset."""
+    path = work_path(spark, "log")
+    cells = [("t", 0, n, "k", "v", None) for n in range(1000)] + [("u", 1, 7, "k", "v", None), ("u", 1, None, "k", "v", None), (None, 0, 5, "k", "v", None)]
+    log = spark.createDataFrame(cells, schemas.TOPIC_LOG)
+    layout.append_log(log, path, band=10, fill=100)
+    stored = layout.stored_log(spark, path)
+    assert rows(stored.rows.select(*layout.COLUMNS)) == rows(log)
+    held = {(r["first"], r["last"], r["n"]) for r in stored.segments.where("topic = 't'").collect()}
+    assert held == {(n, n + 99, 100) for n in range(0, 1000, 100)}
+    assert stored.segments.count() == 13
+    offsets = spark.createDataFrame([("g", "t", 0, 950)], schemas.OFFSETS)
+    assert rows(layout.resume_stored(stored, offsets, "earliest", "g")) == rows(oplog.resume_scan(log, offsets, "earliest", "g"))
+
+
 def test_unknown_start(stored, spark):
     with pytest.raises(ValueError):
         layout.resume_stored(stored, spark.createDataFrame([], schemas.OFFSETS), "middle", "g")
