@@ -1,5 +1,8 @@
 """A stream over many files ends with the result of the batch operator."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +130,69 @@ def test_throttled_pauses_do_not_depend_on_batches(spark):
     assert len(instants(got)) > 5
 
 
+class _Cell:
+    """State in memory, as a processor sees it."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+        self.writes += 1
+
+    def removeKey(self, key):  # noqa: N802
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+
+class _Handle:
+    def __init__(self):
+        self.cells, self.timers = {}, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.cells.setdefault(name, _Cell())
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_pauses_cost_state_by_stretch_of_time():
+    """A batch of many pauses writes one value per hour and one timer; what time has passed is judged at once."""
+    hour, instants = 3_600_000_000, [n * 1_000_000 + 7 for n in range(4 * 3600)]
+    judge, handle = keyed._Pauses(1800), _Handle()
+    judge.init(handle)
+    list(judge.handleInputRows((0,), iter([pd.DataFrame({"at": instants[::2]}), pd.DataFrame({"at": instants[1::2]})]), None))
+    assert handle.cells["waiting"].writes == 4 and handle.timers == [0]
+    passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 2 * hour // 1000)
+    got = [at for part in judge.handleExpiredTimer((0,), passed, None) for at in part["at"]]
+    want = []
+    for at in instants:
+        if at < 2 * hour and (not want or at - want[-1] > 1800 * 1_000_000):
+            want.append(at)
+    assert got == want and len(got) == 4
+    # what lies within the gap is forgotten, the next one is waited for
+    assert handle.timers[-1] == (want[-1] + 1801 * 1_000_000) // 1000
+
+
 def test_purge_stream_does_not_recall(spark, slices):
     """A deletion acts on its own batch and on later ones; messages come out whole."""
     got = drain(keyed.purge_stream(A.with_control_rows(stream(spark, slices), "delete"), spread=3), "purged")
