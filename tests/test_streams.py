@@ -169,7 +169,8 @@ class _Handle:
     def getValueState(self, name, schema):  # noqa: N802
         return self.cells.setdefault(name, _Cell())
 
-    getMapState = getValueState  # noqa: N815
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self.cells.setdefault(name, _Cell())
 
     def registerTimer(self, ms):  # noqa: N802
         self.timers.append(ms)
