@@ -195,9 +195,10 @@ def settings_stage():
 
 
 def publish_plan(now, sources=None, inserts=None, deletes=None) -> ProducePlan:
+    """Settings take no part in deletions: stripped before that lookup, they need not bring the lineage through its join."""
     return ProducePlan([
         ageoff_stage(sources, now), results_stage(), inject_stage(inserts, now), key_stage(),
-        deleted_stage(deletes), settings_stage(),
+        settings_stage(), deleted_stage(deletes),
     ])
 
 

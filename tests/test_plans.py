@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from builders import binary, frame, path_of, statuses
 from relaygrid import schemas
+from relaygrid import vocabulary as V
+from relaygrid.catalog import adapter as A
 from relaygrid.functions.routing import Naming, choose_topic
 from relaygrid.operators import filters, inject, metrics, projections, purge
 from relaygrid.operators.consumers import ConsumerSpec
@@ -350,3 +352,18 @@ def test_undecodable_rows_are_skipped(spark):
     log = spark.createDataFrame([('{"size":1}',), ("{broken",), ('{"size":"x"}',)], "value string")
     kept = filters.drop_undecodable(log, schemas.struct(size=schemas.LONG)).collect()
     assert [r.event.size for r in kept] == [1]
+
+
+def test_settings_are_stripped_before_deletions_are_looked_up():
+    """The lookup joins by id; what it need not carry does not pass it."""
+    names = [name for name, _ in produce.publish_plan(NOW, deletes=object()).stages]
+    assert names.index(V.STAGE_SETTINGS) < names.index(V.STAGE_DELETED)
+
+
+def test_messages_beside_flat_columns_equal_the_join(spark):
+    sf = "/root/testdata/sf0.001"
+    columns = ["seq", "k", "depth", "kafka_key", "source", "entity"]
+    want = A.messages(spark, sf).join(A.scalars(spark, sf).select("seq", "k", "depth"), "seq").select(*columns)
+    got = A.messages_beside(spark, sf, ["k", "depth"]).select(*columns)
+    texts = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*columns))).collect())
+    assert texts(got) == texts(want) != []
