@@ -15,9 +15,10 @@ _BROKEN = "_broken"
 def _parsed(value: Column, model: str) -> Column:
     """The value by its model's schema; NULL unless it is exactly one object and every field fits."""
     schema = T.StructType([*schemas.BY_MODEL[model].fields, T.StructField(_BROKEN, T.StringType())])
-    # in brackets, text after the object shows
-    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), T.ArrayType(T.StringType()))
-    whole = F.when(F.size(listed) == 1, value)
+    # in brackets, text after the object shows; counting builds no texts, so what it does not know is listed
+    bracketed = F.concat(F.lit("["), value, F.lit("]"))
+    listed = F.from_json(bracketed, T.ArrayType(T.StringType()))
+    whole = F.when(F.coalesce(F.json_array_length(bracketed) == 1, F.lit(False)), value).when(F.size(listed) == 1, value)
     return F.from_json(whole, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
 
 
