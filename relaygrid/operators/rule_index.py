@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from relaygrid import vocabulary as V
 from relaygrid.functions import identity
-from relaygrid.functions.messages import Message, flag, text
+from relaygrid.functions.messages import flag, text
 from relaygrid.operators import filters
 from relaygrid.operators.consumers import spec_column
+from relaygrid.operators.signature import as_message, bounds, seen
 from relaygrid.session import settle
 
 
@@ -42,45 +43,10 @@ def classes(registry: DataFrame) -> DataFrame:
     return registry.groupBy("class").agg(F.min_by("spec", "consumer_key").alias("spec"))
 
 
-def bounds(kinds: DataFrame) -> list[int]:
-    """The content sizes some class compares with; as many as classes name."""
-    named = kinds.select(F.explode(F.array("spec.require_under_content_size", "spec.require_over_content_size")).alias("b"))
-    return sorted(r["b"] for r in named.where("b > 0").distinct().collect())
-
-
-def _place(size: Column, limits: list[int]) -> Column:
-    """A size that compares with all limits as ``size`` does, one per gap between them."""
-    if not limits:
-        return F.when(size.isNotNull(), F.lit(0).cast("long"))
-    below = F.array_max(F.filter(F.array(*[F.lit(b).cast("long") for b in limits]), lambda b: b <= size))
-    return F.when(size.isNull(), None).when(below.isNull(), F.lit(limits[0] - 1)).when(below == size, below).otherwise(below + 1)
-
-
 def signatures(events: DataFrame, limits: list[int], sums: dict[str, Column], max_depth: int) -> DataFrame:
     """What the rules see of an event, with the number of such events and their sums."""
-    message = Message(events)
-    seen = F.lit(None)
-    if message.has("entity"):
-        def shape(stream: Column) -> Column:
-            # only streams of content are measured
-            measured = F.when(stream["label"] == V.CONTENT_LABEL, _place(stream["size"], limits))
-            return F.struct(stream["label"].alias("label"), measured.alias("size"), stream["file_format"].alias("file_format"))
-
-        seen = F.when(message.is_binary, F.transform("entity.datastreams", shape))
-    streams = seen.cast("array<struct<label:string,size:bigint,file_format:string>>")
-    subject = {c: F.when(message.has_subject, message.subject(path)) for c, path in
-               (("source_name", "source.name"), ("action", "action"), ("author_name", "author.name"))}
-    return events.select(
-        message.model.alias("model"), *[value.alias(c) for c, value in subject.items()], streams.alias("streams"),
-        flag(filters.too_deep(events, max_depth).isNotNull()).alias("deep"), *[value.alias(c) for c, value in sums.items()],
-    ).groupBy("model", "source_name", "action", "author_name", "streams", "deep").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
-
-
-def _as_message(with_content: bool) -> list[Column]:
-    own = F.col("author_name") if with_content else F.lit(None).cast("string")
-    parts = ["model", F.struct(F.col("source_name").alias("name")).alias("source"), "action", F.struct(own.alias("name")).alias("author")]
-    return [*parts, F.struct(F.col("streams").alias("datastreams")).alias("entity")] if with_content else parts
+    return events.select(*seen(events, limits, max_depth), *[value.alias(c) for c, value in sums.items()]).groupBy(
+        "model", "source_name", "action", "author_name", "streams", "deep").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
 
 
 def consumer_match_rollup(
@@ -105,14 +71,14 @@ def consumer_match_rollup(
 
     # routing rules, once per class and (source, action)
     asked = F.explode(F.array(F.concat(F.lit("="), text(F.col("source_name"))), F.lit("*")))
-    posted = heads.withColumn("posted", asked).join(postings, "posted").select("class", "spec", "source_name", *totals, *_as_message(False))
+    posted = heads.withColumn("posted", asked).join(postings, "posted").select("class", "spec", "source_name", *totals, *as_message(False, False))
     routed = settle(posted.withColumn("said", filters.consumer_rules(posted, F.col("spec"))).drop("source", "author"), "rule-routed")
     turned_away = routed.where("said IS NOT NULL").groupBy("class", "said").agg(*[F.sum(c).alias(c) for c in totals])
 
     # sender and content rules, once per class and signature
     admitted = routed.where("said IS NULL").select("class", "spec", F.col("model").alias("_model"), F.col("source_name").alias("_source"), F.col("action").alias("_action"))
     same = (F.col("model") == F.col("_model")) & F.col("source_name").eqNullSafe(F.col("_source")) & F.col("action").eqNullSafe(F.col("_action"))
-    met = marks.where(ruled).join(admitted, same).select("class", "spec", *totals, *_as_message(True))
+    met = marks.where(ruled).join(admitted, same).select("class", "spec", *totals, *as_message(True, True))
     judged = met.withColumn("said", filters.consumer_rules(met, F.col("spec"))).groupBy("class", "said").agg(*[F.sum(c).alias(c) for c in totals])
 
     # what the index did not post for a class, its sources turn away; depth and other models are the same for all

@@ -1,11 +1,13 @@
 """The rolled-up matrix equals the matrix, and both sides have shrunk before they meet."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from relaygrid.catalog import adapter as A
 from relaygrid.catalog.lookups import _registry
+from relaygrid import vocabulary as V
 from relaygrid.functions import identity
-from relaygrid.operators import rule_index
+from relaygrid.operators import consumers, filters, rule_index
 from relaygrid.operators.consumers import ConsumerSpec, consumer_match_matrix, spec_column
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,36 @@ def test_nothing_to_match(spark):
 def test_registry_of_the_tables(spark):
     events, specs = A.messages(spark, SF), _registry(spark, SF)
     assert counted(rule_index.consumer_match_rollup(events, specs, {"seqs": F.col("seq")})) == rolled(events, specs)
+
+
+def judged_one_by_one(events, specs):
+    pairs = events.crossJoin(specs.select(spec_column(specs).alias("spec")))
+    said = F.concat(F.lit(f"{V.STAGE_RULES}-"), filters.consumer_rules(pairs, F.col("spec")))
+    deep = F.concat(F.lit(f"{V.STAGE_DEPTH}-"), filters.too_deep(pairs, V.DEPTH_PASSIVE))
+    found = pairs.select("seq", "spec.name", identity.consumer_key(F.col("spec")), F.coalesce(deep, said).alias("trigger"))
+    return sorted(map(tuple, found.collect()), key=repr)
+
+
+@pytest.mark.parametrize("case", ["mixed", "nulls", "many bounds", "no entity"])
+def test_matrix_judges_signatures_not_pairs(spark, monkeypatch, case):
+    """As each pair judged alone; no rule and no lineage is left where events meet consumers."""
+    events = A.mixed(spark, SF).where("seq % 4 = 0")
+    events = events.withColumn("model", F.when(F.col("seq") % 50 == 8, "plugin").otherwise(F.col("model")))
+    # rows that come twice, and consumers that are registered twice
+    events = events.unionByName(events.where("seq < 40"))
+    specs = specs_of(spark, [*SPECS, SPECS[-2]])
+    if case == "nulls":
+        holes = {"model": 11, "source": 7, "action": 5, "author": 6, "entity": 9}
+        for name, n in holes.items():
+            events = events.withColumn(name, F.when(F.col("seq") / 4 % n != 1, F.col(name)))
+        loose = F.transform("entity.datastreams", lambda s: F.when(s["size"] % 5 > 0, s.withField("label", F.when(s["size"] % 7 > 0, s["label"]))))
+        events = events.withColumn("entity", F.col("entity").withField("datastreams", loose))
+    if case == "many bounds":
+        monkeypatch.setattr(consumers, "_MOST_BOUNDS", 2)
+    if case == "no entity":
+        events = events.drop("entity")
+    got = consumer_match_matrix(events, specs, carry=["seq"], per_block=4)
+    rows = got.select("seq", "consumer_name", "consumer_key", "filter_out_trigger").collect()
+    assert sorted(map(tuple, rows), key=repr) == judged_one_by_one(events, specs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "path" not in plan
