@@ -10,17 +10,18 @@ weigh within their shape.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 HIDDEN, CLASSES = 32, 48
 #: Lanes that run side by side, and steps between two updates or two outputs.
-LANES, WINDOW = 512, 16
+LANES, WINDOW = 512, 64
 #: Updates of a pass over the text, and steps between two of them.
 UPDATES, STEPS = 160, 24
-#: Tokens whose classes are weighed at once, and the least probability whose logarithm is taken.
-BLOCK, LEAST = 2048, 1e-30
+#: Tokens whose classes are weighed at once, in training and in scoring, and the least probability whose logarithm is taken.
+BLOCK, SCORED, LEAST = 2048, 1024, 1e-30
 
 
 def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -55,16 +56,17 @@ def _with_one(states: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sum_rows(rows: np.ndarray, order: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+def _sum_rows(rows: np.ndarray, order: np.ndarray, keys: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
     """Sums of the rows of each key into the key's row of ``out``; ``order`` sorts the rows, ``keys`` are sorted.
 
-    Keys that occur equally often are summed together, as one block.
+    Keys that occur equally often are summed together, as one block; ``spare`` has room for all rows.
     """
     starts = np.flatnonzero(np.diff(keys, prepend=-1))
     times = np.diff(starts, append=len(keys))
     for n in np.unique(times):
         here = starts[times == n]
-        block = rows[order[here[:, None] + np.arange(n)].ravel()]
+        at = order[here[:, None] + np.arange(n)].ravel()
+        block = rows.take(at, axis=0, out=spare[: len(at)], mode="clip")
         out[keys[here]] = block.reshape(len(here), n, -1).sum(axis=1) if n > 1 else block
 
 
@@ -108,19 +110,23 @@ class Model:
         """The next state of each lane (hidden, lanes)."""
         return self.step_from(state, np.ascontiguousarray(self.inputs[tokens].T))[0]
 
-    def step_from(self, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, both gates, the candidate and what it kept; lanes are columns, so each part is one stretch of memory."""
+    def step_from(self, state: np.ndarray, given: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """The next state, both gates, the candidate and what it kept; lanes are columns, so each part is one stretch of memory.
+
+        ``out``: where the next state, the gates, the candidate and the kept are written.
+        """
         h = len(state)
-        kept = self.recurrent.T @ state
-        gates = _sigmoid(given[: 2 * h] + kept[: 2 * h])
+        after, gates, candidate, kept = out or (None, None, None, None)
+        kept = np.matmul(self.recurrent.T, state, out=kept)
+        gates = _sigmoid(np.add(given[: 2 * h], kept[: 2 * h], out=gates))
         z, r = gates[:h], gates[h:]
-        candidate = r * kept[2 * h :]
+        candidate = np.multiply(r, kept[2 * h :], out=candidate)
         candidate += given[2 * h :]
         candidate *= 2
         _sigmoid(candidate)  # tanh x = 2 sigmoid 2x - 1
         candidate *= 2
         candidate -= 1
-        after = state - candidate
+        after = np.subtract(state, candidate, out=after)
         after *= z
         after += candidate
         return after, z, r, candidate, kept[2 * h :]
@@ -138,11 +144,15 @@ class Model:
 
     def log_shares(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability; of a shape, if the token is one."""
+        return self._log_shares(_with_one(states), tokens)
+
+    def _log_shares(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """:meth:`log_shares` of states that have their column of ones."""
         order = self._sorted(tokens)
-        tokens, states = tokens[order], _with_one(states)[order]
+        tokens, states = tokens[order], states.take(order, axis=0)
         of, found = self.classes_of(tokens), np.empty(len(tokens), states.dtype)
-        for start in range(0, len(tokens), BLOCK):
-            here = slice(start, start + BLOCK)
+        for start in range(0, len(tokens), SCORED):
+            here = slice(start, start + SCORED)
             shares = self.class_out.T @ states[here].T
             total = _softmax(shares)
             found[here] = shares[of[here], np.arange(len(total))] / total
@@ -182,9 +192,11 @@ class Model:
         base = np.cumsum([0, *lengths[:-1]])
         h = self.recurrent.shape[0]
         state = np.zeros((h, len(queues)), np.float32)
+        # what a window holds, with the column of ones that meets the bias
+        states = np.ones((window * len(queues), h + 1), np.float32)
         start, longest = 0, int(lengths[0])
         while start < longest:
-            states, places = [], []
+            places, filled = [], 0
             # few lanes are left where texts are very long: their windows are longer, as many tokens are weighed at once
             ahead = window * len(queues) // int(np.searchsorted(-lengths, -start, side="left"))
             for t in range(start, min(start + ahead, longest)):
@@ -194,10 +206,12 @@ class Model:
                 fresh = begins[at]
                 if fresh.any():
                     state[:, fresh] = 0
-                states.append(state.T), places.append(at)
+                states[filled : filled + live, :h] = state.T
+                places.append(at)
+                filled += live
                 state = self.step(state, stream[at])
             at = np.concatenate(places)
-            shares = self.log_shares(np.concatenate(states), stream[at])
+            shares = self._log_shares(states[:filled], stream[at])
             totals += np.bincount(owner[at], shares, len(texts))
             start += ahead
         return totals
@@ -212,6 +226,14 @@ class Trainer:
         self.model, self.rate, self.turn = model, rate, 0
         self.first = {n: np.zeros_like(getattr(model, n)) for n in self.NAMES}
         self.second = {n: np.zeros_like(getattr(model, n)) for n in self.NAMES}
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory of that name and shape, as it was left: windows use the same again, as fresh pages cost a sixth of the time."""
+        size, kind = math.prod(shape), self.model.inputs.dtype
+        if name not in self.rooms or self.rooms[name].size < size or self.rooms[name].dtype != kind:
+            self.rooms[name] = np.empty(size, kind)
+        return self.rooms[name][:size].reshape(shape)
 
     def window(self, state: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, float]:
         """One update from tokens (lanes, steps); state is carried in and out, gradients end at the window's start."""
@@ -219,72 +241,96 @@ class Trainer:
         lanes, steps = tokens.shape
         h = state.shape[1]
         # step by step, and lanes as columns: what belongs together is one stretch of memory
-        tokens, fresh, state = np.ascontiguousarray(tokens.T), np.ascontiguousarray(fresh.T), state.T.copy()
+        tokens, fresh = np.ascontiguousarray(tokens.T), np.ascontiguousarray(fresh.T)
         truth, n = tokens.ravel(), tokens.size
-        before, trace = np.ones((steps, lanes, h + 1), m.inputs.dtype), []
+        before, trace = self.room("before", steps, lanes, h + 1), []
+        before[:, :, h] = 1
+        states, gates = self.room("states", steps + 1, h, lanes), self.room("gates", steps, 2 * h, lanes)
+        candidates, kept = self.room("candidates", steps, h, lanes), self.room("kept", steps, 3 * h, lanes)
+        looked_up, given = self.room("looked up", lanes, 3 * h), self.room("given", 3 * h, lanes)
+        states[0] = state.T
         for t in range(steps):
             if fresh[t].any():
-                state[:, fresh[t]] = 0
-            before[t, :, :h] = state.T
-            after, *rest = m.step_from(state, np.ascontiguousarray(m.inputs[tokens[t]].T))
-            trace.append((state, *rest))
-            state = after
-        grads = {name: np.zeros_like(getattr(m, name)) for name in self.NAMES}
+                states[t][:, fresh[t]] = 0
+            before[t, :, :h] = states[t].T
+            given[...] = m.inputs.take(tokens[t], axis=0, out=looked_up, mode="clip").T
+            _, *rest = m.step_from(states[t], given, (states[t + 1], gates[t], candidates[t], kept[t]))
+            trace.append((states[t], *rest))
+        grads = {name: self.room(f"grads of {name}", *getattr(m, name).shape) for name in self.NAMES}
+        for grad in grads.values():
+            grad.fill(0)
         order = m._sorted(truth)
-        found, flat = truth[order], before.reshape(n, h + 1)[order]
-        back, loss, of = np.empty((n, h), before.dtype), 0.0, m.classes_of(found)
+        found, flat = truth[order], before.reshape(n, h + 1).take(order, axis=0, out=self.room("flat", n, h + 1), mode="clip")
+        back, loss, of = self.room("back", n, h), 0.0, m.classes_of(found)
         for start in range(0, n, BLOCK):
-            here = slice(start, start + BLOCK)
-            shares = m.class_out.T @ flat[here].T
+            here = slice(start, min(start + BLOCK, n))
+            shares = np.matmul(m.class_out.T, flat[here].T, out=self.room("shares", m.class_out.shape[1], here.stop - start))
             shares /= _softmax(shares)
             own = (of[here], np.arange(shares.shape[1]))
             loss -= float(np.log(shares[own] + LEAST).sum())
             shares[own] -= 1
             grads["class_out"] += (shares @ flat[here]).T
-            back[here] = shares.T @ m.class_out[:-1].T
+            np.matmul(shares.T, m.class_out[:-1].T, out=back[here])
         for first, end, here in m._parts(found):
             weights, part = m.word_out[first:end], flat[here]
-            shares = weights @ part.T
+            shares = np.matmul(weights, part.T, out=self.room("shares", end - first, len(part)))
             shares /= _softmax(shares)
             own = (found[here] - first, np.arange(len(part)))
             loss -= float(np.log(shares[own] + LEAST).sum())
             shares[own] -= 1
-            grads["word_out"][first:end] = shares @ part
+            np.matmul(shares, part, out=grads["word_out"][first:end])
             back[here] += shares.T @ weights[:, :-1]
-        placed = np.empty_like(back)
+        placed = self.room("placed", n, h)
         placed[order] = back
         placed = placed.reshape(steps, lanes, h)
-        d_given = np.empty((steps, lanes, 3 * h), before.dtype)
-        through, ahead = np.empty((3 * h, lanes), before.dtype), np.zeros((h, lanes), before.dtype)
+        d_given = self.room("d given", steps, lanes, 3 * h)
+        through, ahead = self.room("through", 3 * h, lanes), self.room("ahead", h, lanes)
+        d_candidate, spare = self.room("d candidate", h, lanes), self.room("spare", h, lanes)
+        ahead.fill(0)
         for t in range(steps - 1, -1, -1):
-            old, z, r, candidate, kept = trace[t]
-            d_candidate = (1 - z) * ahead
-            d_candidate *= 1 - candidate * candidate
-            np.multiply((old - candidate) * ahead, z * (1 - z), out=through[:h])
+            old, z, r, candidate, held = trace[t]
+            np.subtract(1, z, out=d_candidate)
+            np.multiply(z, d_candidate, out=through[:h])
+            d_candidate *= ahead
+            np.subtract(old, candidate, out=spare)
+            spare *= ahead
+            through[:h] *= spare
+            np.multiply(candidate, candidate, out=spare)
+            d_candidate *= np.subtract(1, spare, out=spare)
             np.multiply(d_candidate, r, out=through[2 * h :])
-            np.multiply(through[2 * h :], kept * (1 - r), out=through[h : 2 * h])
+            np.multiply(held, np.subtract(1, r, out=spare), out=spare)
+            np.multiply(through[2 * h :], spare, out=through[h : 2 * h])
             d_given[t, :, : 2 * h], d_given[t, :, 2 * h :] = through[: 2 * h].T, d_candidate.T
             grads["recurrent"] += old @ through.T
             ahead *= z
-            ahead += m.recurrent @ through
+            ahead += np.matmul(m.recurrent, through, out=spare)
             ahead += placed[t].T
             if fresh[t].any():
                 ahead[:, fresh[t]] = 0
-        _sum_rows(d_given.reshape(n, 3 * h), order, found, grads["inputs"])
+        _sum_rows(d_given.reshape(n, 3 * h), order, found, grads["inputs"], self.room("sorted", n, 3 * h))
         self._update(grads, n)
-        return state.T, loss
+        return states[steps].T.copy(), loss
 
     def _update(self, grads: dict[str, np.ndarray], n: int) -> None:
         self.turn += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+        squares = {name: np.multiply(g, g, out=self.room(f"squares of {name}", *g.shape)) for name, g in grads.items()}
+        size = np.sqrt(sum(float(g.sum()) for g in squares.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-12)) / n)
         for name, grad in grads.items():
+            spare = squares[name]
             grad *= scale
             a, b = self.first[name], self.second[name]
-            a += np.float32(0.1) * (grad - a)
-            b += np.float32(0.01) * (grad * grad - b)
+            np.subtract(grad, a, out=spare)
+            spare *= np.float32(0.1)
+            a += spare
+            np.multiply(grad, grad, out=spare)
+            spare -= b
+            spare *= np.float32(0.01)
+            b += spare
             fix = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-            getattr(self.model, name).__isub__(np.float32(fix) * a / (np.sqrt(b) + np.float32(1e-8)))
+            np.sqrt(b, out=spare)
+            spare += np.float32(1e-8)
+            getattr(self.model, name).__isub__(np.divide(np.multiply(np.float32(fix), a, out=grad), spare, out=spare))
 
 
 def train(model: Model, texts: list[np.ndarray], passes: int = 1, updates: int = UPDATES, window: int = STEPS, span: tuple[float, float] = (0.0, 1.0)) -> list[float]:

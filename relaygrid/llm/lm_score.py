@@ -23,20 +23,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaygrid.llm import gru
-from relaygrid.llm.common import remainder, utf8
+from relaygrid.llm.common import remainder
 from relaygrid.session import settle
 
 #: Words that the model knows, and words whose counts travel to the tasks.
 VOCABULARY, FREQUENT = 4096, 200_000
 #: Rounds of training, tokens of a trainer in a round, tokens of a stretch of text, and weights of a slice on the way to their mean.
 ROUNDS, TRAINER_TOKENS, STRETCH, SLICE = 4, 3_000_000, 512, 16_384
-#: Distinct words that a counting task holds, and tokens that a scoring task lays out at once.
+#: Words with their counts that a counting task holds, and tokens that a scoring task lays out at once.
 HELD, AT_ONCE = 500_000, 6_000_000
 END = b""
 SHAPES = 12
@@ -44,9 +45,34 @@ _KIND = {**{c: 1 for c in b"."}, **{c: 2 for c in b",;:"}, **{c: 3 for c in b"!?
 _KIND |= {c: 5 for c in range(0x21, 0x7F) if c not in _KIND and not chr(c).isalpha()}
 
 
-def shape(word: bytes) -> int:
-    """Class of a word outside the vocabulary: by its last byte, and whether it is ASCII."""
-    return 2 * _KIND.get(word[-1], 0) + (not word.isascii())
+_KINDS = np.array([_KIND.get(c, 0) for c in range(256)])
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words of each text, A-Z lower-cased: how many, and all of them one after the other; a null text has none.
+
+    Arrow's ASCII functions know exactly the six blanks and the letters A-Z of
+    the contracts, and no byte of a longer sequence is either.
+    """
+    plain = pc.fill_null(texts.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary())).view(pa.large_string())
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    sizes, words = np.diff(pieces.offsets.to_numpy()).astype(np.int64), pieces.flatten().view(pa.large_binary())
+    # blanks at either end leave an empty piece
+    real = pc.greater(pc.binary_length(words), 0)
+    if pc.all(real).as_py():
+        return sizes, words
+    of = np.repeat(np.arange(len(sizes)), sizes)[real.to_numpy(zero_copy_only=False)]
+    return np.bincount(of, minlength=len(sizes)), words.filter(real)
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """Classes of words outside the vocabulary: by the last byte, and whether the word is ASCII; none is empty."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + len(words) + 1]
+    last = np.frombuffer(words.buffers()[2], np.uint8)[ends - 1]
+    return 2 * _KINDS[last] + ~pc.string_is_ascii(words.view(pa.large_string())).to_numpy(zero_copy_only=False)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -54,22 +80,28 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("shape", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            shapes = [shape(w) if w else None for w in seen]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.binary()), pa.array(shapes, pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "shape", "n"]
-            )
+        seen: list[pa.Table] = []
+        rows = ends = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = pa.concat_tables(seen)
+            if len(seen) > 1:
+                found = found.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            for part in found.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays(
+                    [part["word"].cast(pa.binary()), pa.array(shapes(part["word"]), pa.int32()), part["n"]], ["word", "shape", "n"]
+                )
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                seen.update(text.lower().split())
-                if len(seen) >= HELD:
-                    yield out()
-                    seen.clear()
-            seen[END] += batch.num_rows
-        yield out()
+            times = pc.value_counts(words_of(batch.column(0))[1])
+            seen.append(pa.table({"word": times.field("values"), "n": times.field("counts")}))
+            rows, ends = rows + len(times), ends + batch.num_rows
+            if rows >= HELD:
+                yield from out()
+                seen, rows = [], 0
+        if seen:
+            yield from out()
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([None], pa.int32()), pa.array([ends], pa.int64())], ["word", "shape", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, kind).where("n > 0")
     return counted.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
@@ -92,17 +124,6 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-class _Numbers(dict):
-    """Number of a frequent word; beyond them, ``size`` and the word's shape."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.size = len(words)
-
-    def __missing__(self, word: bytes) -> int:
-        return self.size + shape(word)
-
-
 class Frequent:
     """The most frequent words, the vocabulary first, and what each counts for."""
 
@@ -134,8 +155,13 @@ class Frequent:
         # known words weigh in the model alone; others by (count + 1) within their shape
         self.inner = np.array([0.0] * self.k + [math.log10(r[1] + 1) + within[r[2]] for r in rest] + list(within))
 
-    def numbers(self) -> _Numbers:
-        return _Numbers(self.words)
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Number of each word; beyond the frequent ones, ``size`` and the word's shape."""
+        found = pc.index_in(words, value_set=pa.array(self.words, pa.large_binary()))
+        ids, beyond = pc.fill_null(found, -1).to_numpy().astype(np.int64), found.is_null()
+        if found.null_count:
+            ids[ids < 0] = self.size + shapes(words.filter(beyond))
+        return ids
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent) -> DataFrame:
@@ -152,29 +178,34 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent) -
     each = math.log10(frequent.tokens + frequent.distinct + 1)
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = frequent.numbers()
         for batch in batches:
-            n, known, base, inner, tokens = [], [], [], [], []
+            sizes, words = words_of(batch.column(2))
+            found = frequent.numbers(words)
+            # a text's words and then its end
+            ends = np.cumsum(sizes + 1)
+            ids, inside = np.full(len(words) + len(sizes), frequent.end, np.int64), np.ones(len(words) + len(sizes), bool)
+            inside[ends - 1] = False
+            ids[inside] = found
+            base, inner, tokens = frequent.base[ids], frequent.inner[ids], frequent.token[ids]
+            spans = [slice(a, b) for a, b in zip((ends - sizes - 1).tolist(), ends.tolist(), strict=True)]
+            beyond = found >= frequent.size
+            rares = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[beyond], minlength=len(sizes))
+            names, at = words.filter(pa.array(beyond)).to_pylist(), 0
             words_out: list[bytes] = []
             times_out: list[int] = []
             offsets = [0]
-            for text in utf8(batch.column(2)):
-                parts = text.lower().split()
-                parts.append(END)
-                ids = np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts))
-                beyond = np.flatnonzero(ids >= frequent.size)
-                n.append(len(parts)), known.append(len(parts) - len(beyond))
-                base.append(float(frequent.base[ids].sum()) - len(parts) * each)
-                inner.append(float(frequent.inner[ids].sum()))
-                if len(beyond):
-                    times = Counter([parts[i] for i in beyond.tolist()])
+            for n in rares.tolist():
+                if n:
+                    times = Counter(names[at : at + n])
                     words_out.extend(times.keys()), times_out.extend(times.values())
+                    at += n
                 offsets.append(len(words_out))
-                tokens.append(frequent.token[ids].tobytes())
             pairs = pa.StructArray.from_arrays([pa.array(words_out, pa.binary()), pa.array(times_out, pa.int64())], ["word", "times"])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                pa.array(inner, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs), pa.array(tokens, pa.binary()),
+                batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(sizes + 1 - rares, pa.int64()),
+                pa.array([float(base[s].sum()) - (s.stop - s.start) * each for s in spans], pa.float64()),
+                pa.array([float(inner[s].sum()) for s in spans], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                pa.array([tokens[s].tobytes() for s in spans], pa.binary()),
             ], kind.fieldNames())
 
     placed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))

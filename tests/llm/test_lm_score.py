@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import docs, empty, rows
@@ -135,3 +136,33 @@ def test_no_token_is_left_out_of_a_pass(monkeypatch):
     texts = [draw.integers(0, 9, n) for n in (1, 40, 3, 17, 1, 100, 16)]
     gru.train(model, texts, updates=3)
     assert sorted(seen) == sorted(np.concatenate(texts).tolist())
+
+
+def test_words_and_shapes_of_odd_texts():
+    """Whole columns at once, as each text split and each word looked at alone."""
+    draw = np.random.default_rng(6)
+    letters = list(" \t\n\v\f\r\x1c\x85\u00a0\u2003aAbZ.,!1Éé中")
+    texts = [None, "", "  ", " a", "A ", *["".join(draw.choice(letters, n)) for n in draw.integers(0, 30, 500)]]
+    sizes, words = lm_score.words_of(pa.array(texts))
+    plain = [tokens(t)[:-1] for t in texts]
+    flat = [w for t in plain for w in t]
+    assert sizes.tolist() == list(map(len, plain)) and words.to_pylist() == flat
+    want = [2 * lm_score._KIND.get(w[-1], 0) + (not w.isascii()) for w in flat]
+    assert lm_score.shapes(words).tolist() == want and lm_score.shapes(words[7:90]).tolist() == want[7:90]
+
+
+def test_windows_train_in_the_same_memory():
+    """A window of fewer lanes or steps, too, takes no fresh pages, and learns as in its own."""
+    draw = np.random.default_rng(7)
+    parts = [(draw.integers(0, 9, shape), np.zeros(shape, bool)) for shape in ((6, 5), (6, 5), (6, 2), (1, 4))]
+    first, second = small(), small()
+    reused, told = gru.Trainer(first), []
+    for part, fresh in parts:
+        reused.window(np.zeros((len(part), 5), np.float32), part, fresh)
+        told.append({name: room.ctypes.data for name, room in reused.rooms.items()})
+    assert told[0] and told[0] == told[1] == told[2] == told[3]
+    alone = gru.Trainer(second)
+    for part, fresh in parts:
+        alone.rooms = {}
+        alone.window(np.zeros((len(part), 5), np.float32), part, fresh)
+    assert (gru.flat(first) == gru.flat(second)).all()
