@@ -246,7 +246,7 @@ class Trainer:
         before, trace = self.room("before", steps, lanes, h + 1), []
         before[:, :, h] = 1
         states, gates = self.room("states", steps + 1, h, lanes), self.room("gates", steps, 2 * h, lanes)
-        candidates, kept = self.room("candidates", steps, h, lanes), self.room("kept", steps, 3 * h, lanes)
+        candidates, held, kept = self.room("candidates", steps, h, lanes), self.room("held", steps, h, lanes), self.room("kept", 3 * h, lanes)
         looked_up, given = self.room("looked up", lanes, 3 * h), self.room("given", 3 * h, lanes)
         states[0] = state.T
         for t in range(steps):
@@ -254,8 +254,8 @@ class Trainer:
                 states[t][:, fresh[t]] = 0
             before[t, :, :h] = states[t].T
             given[...] = m.inputs.take(tokens[t], axis=0, out=looked_up, mode="clip").T
-            _, *rest = m.step_from(states[t], given, (states[t + 1], gates[t], candidates[t], kept[t]))
-            trace.append((states[t], *rest))
+            _, z, r, candidate, held[t] = m.step_from(states[t], given, (states[t + 1], gates[t], candidates[t], kept))
+            trace.append((states[t], z, r, candidate, held[t]))
         grads = {name: self.room(f"grads of {name}", *getattr(m, name).shape) for name in self.NAMES}
         for grad in grads.values():
             grad.fill(0)
@@ -288,7 +288,7 @@ class Trainer:
         d_candidate, spare = self.room("d candidate", h, lanes), self.room("spare", h, lanes)
         ahead.fill(0)
         for t in range(steps - 1, -1, -1):
-            old, z, r, candidate, held = trace[t]
+            old, z, r, candidate, kept = trace[t]
             np.subtract(1, z, out=d_candidate)
             np.multiply(z, d_candidate, out=through[:h])
             d_candidate *= ahead
@@ -298,7 +298,7 @@ class Trainer:
             np.multiply(candidate, candidate, out=spare)
             d_candidate *= np.subtract(1, spare, out=spare)
             np.multiply(d_candidate, r, out=through[2 * h :])
-            np.multiply(held, np.subtract(1, r, out=spare), out=spare)
+            np.multiply(kept, np.subtract(1, r, out=spare), out=spare)
             np.multiply(through[2 * h :], spare, out=through[h : 2 * h])
             d_given[t, :, : 2 * h], d_given[t, :, 2 * h :] = through[: 2 * h].T, d_candidate.T
             grads["recurrent"] += old @ through.T

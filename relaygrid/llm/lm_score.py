@@ -37,8 +37,8 @@ from relaygrid.session import settle
 VOCABULARY, FREQUENT = 4096, 200_000
 #: Rounds of training, tokens of a trainer in a round, tokens of a stretch of text, and weights of a slice on the way to their mean.
 ROUNDS, TRAINER_TOKENS, STRETCH, SLICE = 4, 3_000_000, 512, 16_384
-#: Words with their counts that a counting task holds, and tokens that a scoring task lays out at once.
-HELD, AT_ONCE = 500_000, 6_000_000
+#: Words with their counts that a counting task holds, bytes of text split at once, and tokens that a scoring task lays out at once.
+HELD, SPLIT, AT_ONCE = 500_000, 1 << 23, 6_000_000
 END = b""
 SHAPES = 12
 _KIND = {**{c: 1 for c in b"."}, **{c: 2 for c in b",;:"}, **{c: 3 for c in b"!?"}, **{c: 4 for c in b"0123456789"}}
@@ -48,13 +48,28 @@ _KIND |= {c: 5 for c in range(0x21, 0x7F) if c not in _KIND and not chr(c).isalp
 _KINDS = np.array([_KIND.get(c, 0) for c in range(256)])
 
 
+def _slices(batches: Iterable[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SPLIT bytes of text, as words take several times their text; ``texts``: place of the texts."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy().astype(np.int64)
+        starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SPLIT, prepend=-1))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True) if len(starts) else ():
+            yield batch.slice(start, end - start)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words of each text, A-Z lower-cased: how many, and all of them one after the other; a null text has none.
 
     Arrow's ASCII functions know exactly the six blanks and the letters A-Z of
     the contracts, and no byte of a longer sequence is either.
     """
-    plain = pc.fill_null(texts.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary())).view(pa.large_string())
+    plain = pc.fill_null(texts.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    if not len(plain):
+        return np.zeros(0, np.int64), plain
+    # ascii_lower reads a slice wrongly unless its bytes begin where their buffer does
+    ends, data = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1], plain.buffers()[2] or pa.py_buffer(b"")
+    first, last = int(ends[0]), int(ends[-1])
+    plain = pa.Array.from_buffers(pa.large_string(), len(plain), [None, pa.py_buffer(ends - first), data.slice(first, last - first)])
     pieces = pc.ascii_split_whitespace(pc.ascii_lower(plain))
     sizes, words = np.diff(pieces.offsets.to_numpy()).astype(np.int64), pieces.flatten().view(pa.large_binary())
     # blanks at either end leave an empty piece
@@ -92,7 +107,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     [part["word"].cast(pa.binary()), pa.array(shapes(part["word"]), pa.int32()), part["n"]], ["word", "shape", "n"]
                 )
 
-        for batch in batches:
+        for batch in _slices(batches, 0):
             times = pc.value_counts(words_of(batch.column(0))[1])
             seen.append(pa.table({"word": times.field("values"), "n": times.field("counts")}))
             rows, ends = rows + len(times), ends + batch.num_rows
@@ -104,7 +119,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([None], pa.int32()), pa.array([ends], pa.int64())], ["word", "shape", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, kind).where("n > 0")
-    return counted.groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+    # tasks have counted already: one sum where the words meet, none before
+    return counted.repartition("word").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -178,7 +194,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, frequent: Frequent) -
     each = math.log10(frequent.tokens + frequent.distinct + 1)
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             sizes, words = words_of(batch.column(2))
             found = frequent.numbers(words)
             # a text's words and then its end

@@ -147,6 +147,12 @@ def test_words_and_shapes_of_odd_texts():
     plain = [tokens(t)[:-1] for t in texts]
     flat = [w for t in plain for w in t]
     assert sizes.tolist() == list(map(len, plain)) and words.to_pylist() == flat
+    # slices, with and without nulls
+    for column in (pa.array(texts), pa.array([t or "" for t in texts]), pa.array([None] * len(texts), pa.string())):
+        for start, size in ((2, 90), (300, 100), (7, 0), (500, 5)):
+            sizes_, words_ = lm_score.words_of(column.slice(start, size))
+            cut = [tokens(t)[:-1] for t in column.slice(start, size).to_pylist()]
+            assert sizes_.tolist() == list(map(len, cut)) and words_.to_pylist() == [w for t in cut for w in t]
     want = [2 * lm_score._KIND.get(w[-1], 0) + (not w.isascii()) for w in flat]
     assert lm_score.shapes(words).tolist() == want and lm_score.shapes(words[7:90]).tolist() == want[7:90]
 
@@ -166,3 +172,13 @@ def test_windows_train_in_the_same_memory():
         alone.rooms = {}
         alone.window(np.zeros((len(part), 5), np.float32), part, fresh)
     assert (gru.flat(first) == gru.flat(second)).all()
+
+
+def test_texts_are_split_in_slices(monkeypatch):
+    """Every row once and in its place, also of a text larger than a slice and of a batch without rows."""
+    monkeypatch.setattr(lm_score, "SPLIT", 10)
+    texts = [None, "abc", "d" * 35, "", "ef", "g" * 9, "hi", None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]
+    batches.append(batches[0].slice(0, 0))
+    found = [s.column(0).to_pylist() for s in lm_score._slices(batches, 0)]
+    assert sum(found, []) == texts and len(found) > 2 and all(found)
