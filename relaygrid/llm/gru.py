@@ -22,6 +22,10 @@ LANES, WINDOW = 512, 64
 UPDATES, STEPS = 160, 24
 #: Tokens whose classes are weighed at once, in training and in scoring, and the least probability whose logarithm is taken.
 BLOCK, SCORED, LEAST = 2048, 1024, 1e-30
+#: Weights that an update goes through at once: what it reads of them stays in the processor's cache.
+UPDATED = 1 << 15
+#: Rows that are summed at once, for the same reason.
+SUMMED = 1024
 
 
 def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
@@ -33,8 +37,8 @@ def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.unique(np.concatenate([[0], cuts, [len(counts)]]))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """Sigmoid of -x, in place."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -49,6 +53,14 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return np.exp(logits, out=logits).sum(axis=0)
 
 
+def _room(rooms: dict[str, np.ndarray], kind: np.dtype, name: str, *shape: int) -> np.ndarray:
+    """Memory of that name and shape, as it was left: windows use the same again, as fresh pages cost a sixth of the time."""
+    size = math.prod(shape)
+    if name not in rooms or rooms[name].size < size or rooms[name].dtype != kind:
+        rooms[name] = np.empty(size, kind)
+    return rooms[name][:size].reshape(shape)
+
+
 def _with_one(states: np.ndarray) -> np.ndarray:
     """States with a last column of ones, which meets the bias."""
     out = np.ones((len(states), states.shape[1] + 1), states.dtype)
@@ -59,15 +71,29 @@ def _with_one(states: np.ndarray) -> np.ndarray:
 def _sum_rows(rows: np.ndarray, order: np.ndarray, keys: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
     """Sums of the rows of each key into the key's row of ``out``; ``order`` sorts the rows, ``keys`` are sorted.
 
-    Keys that occur equally often are summed together, as one block; ``spare`` has room for all rows.
+    Keys that occur equally often are summed together, as many as ``spare`` has room for; one that has more rows is
+    summed in pieces.
     """
     starts = np.flatnonzero(np.diff(keys, prepend=-1))
     times = np.diff(starts, append=len(keys))
-    for n in np.unique(times):
-        here = starts[times == n]
-        at = order[here[:, None] + np.arange(n)].ravel()
-        block = rows.take(at, axis=0, out=spare[: len(at)], mode="clip")
-        out[keys[here]] = block.reshape(len(here), n, -1).sum(axis=1) if n > 1 else block
+    by_times, room = np.argsort(times, kind="stable"), len(spare)
+    ends = np.flatnonzero(np.diff(times[by_times], append=0))
+    for first, end in zip([0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist(), strict=True):
+        n = int(times[by_times[first]])
+        for at in range(first, end, max(1, room // n)):
+            here = starts[by_times[at : min(end, at + max(1, room // n))]]
+            if n <= room:
+                places = order[here[:, None] + np.arange(n)].ravel()
+                block = rows.take(places, axis=0, out=spare[: len(places)], mode="clip").reshape(len(here), n, -1)
+                out[keys[here]] = block.sum(axis=1) if n > 1 else block[:, 0]
+                continue
+            # the sum so far is the first row of the next piece
+            spare[0] = 0
+            for start in range(int(here[0]), int(here[0]) + n, room - 1):
+                places = order[start : min(start + room - 1, int(here[0]) + n)]
+                rows.take(places, axis=0, out=spare[1 : len(places) + 1], mode="clip")
+                spare[0] = spare[: len(places) + 1].sum(axis=0)
+            out[keys[here]] = spare[0]
 
 
 @dataclass
@@ -108,28 +134,47 @@ class Model:
 
     def step(self, state: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """The next state of each lane (hidden, lanes)."""
-        return self.step_from(state, np.ascontiguousarray(self.inputs[tokens].T))[0]
-
-    def step_from(self, state: np.ndarray, given: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """The next state, both gates, the candidate and what it kept; lanes are columns, so each part is one stretch of memory.
-
-        ``out``: where the next state, the gates, the candidate and the kept are written.
+        state = np.array(state.T, order="C")
+        given, spare = np.empty((2, 3, *state.shape), state.dtype)
+        self.step_from(state, self.looked_up(self.places(tokens), given), self.by_part(), spare[:2], spare[2])
+        return state.T
+
+    def by_part(self) -> np.ndarray:
+        """Recurrent weights of update, reset and candidate (3, h, h), each one stretch of memory; the gates' negated."""
+        h = len(self.recurrent)
+        parts = np.array(self.recurrent.reshape(h, 3, h).transpose(1, 0, 2), order="C")
+        np.negative(parts[:2], out=parts[:2])
+        return parts
+
+    @staticmethod
+    def places(tokens: np.ndarray) -> np.ndarray:
+        """Where the tokens' update, reset and candidate lie among the inputs (..., 3, lanes), for tokens (..., lanes)."""
+        return 3 * tokens.astype(np.int64)[..., None, :] + np.arange(3)[:, None]
+
+    def looked_up(self, places: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Inputs at :meth:`places` (3, lanes), each part one stretch of memory: (3, lanes, h)."""
+        return self.inputs.reshape(-1, out.shape[-1]).take(places, axis=0, out=out, mode="clip")
+
+    @staticmethod
+    def step_from(state: np.ndarray, given: np.ndarray, recurrent: np.ndarray, kept: np.ndarray, held: np.ndarray) -> None:
+        """The next state in place; what was given (3, lanes, h) becomes both gates and the candidate.
+
+        Lanes are rows, so lookups and products need no turning.  ``held``: what the candidate could keep; ``kept``
+        (2, lanes, h) is spare.
         """
-        h = len(state)
-        after, gates, candidate, kept = out or (None, None, None, None)
-        kept = np.matmul(self.recurrent.T, state, out=kept)
-        gates = _sigmoid(np.add(given[: 2 * h], kept[: 2 * h], out=gates))
-        z, r = gates[:h], gates[h:]
-        candidate = np.multiply(r, kept[2 * h :], out=candidate)
-        candidate += given[2 * h :]
-        candidate *= 2
-        _sigmoid(candidate)  # tanh x = 2 sigmoid 2x - 1
+        # one product each: numpy leaves products of stacks to slower code
+        for part, out in zip(recurrent, (*kept, held), strict=True):
+            np.matmul(state, part, out=out)
+        gates, candidate = given[:2], given[2]
+        z, r = _sigmoid_of_negative(np.subtract(kept, gates, out=gates))
+        candidate += np.multiply(r, held, out=kept[0])
+        candidate *= -2
+        _sigmoid_of_negative(candidate)  # tanh x = 2 sigmoid 2x - 1
         candidate *= 2
         candidate -= 1
-        after = np.subtract(state, candidate, out=after)
-        after *= z
-        after += candidate
-        return after, z, r, candidate, kept[2 * h :]
+        state -= candidate
+        state *= z
+        state += candidate
 
     def _parts(self, tokens: np.ndarray):
         """Of sorted tokens, the stretch of each class with a choice: (first word, end, stretch)."""
@@ -144,21 +189,23 @@ class Model:
 
     def log_shares(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability; of a shape, if the token is one."""
-        return self._log_shares(_with_one(states), tokens)
+        return self._log_shares(_with_one(states), tokens, {})
 
-    def _log_shares(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """:meth:`log_shares` of states that have their column of ones."""
+    def _log_shares(self, states: np.ndarray, tokens: np.ndarray, rooms: dict[str, np.ndarray]) -> np.ndarray:
+        """:meth:`log_shares` of states that have their column of ones; ``rooms``: memory to use again."""
         order = self._sorted(tokens)
-        tokens, states = tokens[order], states.take(order, axis=0)
+        tokens, states = tokens[order], states.take(order, axis=0, out=_room(rooms, states.dtype, "sorted", *states.shape), mode="clip")
         of, found = self.classes_of(tokens), np.empty(len(tokens), states.dtype)
         for start in range(0, len(tokens), SCORED):
             here = slice(start, start + SCORED)
-            shares = self.class_out.T @ states[here].T
+            part = states[here]
+            shares = np.matmul(self.class_out.T, part.T, out=_room(rooms, states.dtype, "shares", self.class_out.shape[1], len(part)))
             total = _softmax(shares)
             found[here] = shares[of[here], np.arange(len(total))] / total
         np.log(np.maximum(found, LEAST, out=found), out=found)
         for first, end, here in self._parts(tokens):
-            shares = self.word_out[first:end] @ states[here].T
+            part = states[here]
+            shares = np.matmul(self.word_out[first:end], part.T, out=_room(rooms, states.dtype, "shares", end - first, len(part)))
             total = _softmax(shares)
             found[here] += np.log(np.maximum(shares[tokens[here] - first, np.arange(len(total))] / total, LEAST))
         out = np.empty_like(found)
@@ -190,28 +237,30 @@ class Model:
         begins = np.zeros(len(stream), bool)
         begins[np.cumsum([0, *[sizes[i] for i in laid[:-1]]])] = True
         base = np.cumsum([0, *lengths[:-1]])
-        h = self.recurrent.shape[0]
-        state = np.zeros((h, len(queues)), np.float32)
+        h, rooms = self.recurrent.shape[0], {}
+        recurrent, kind = self.by_part(), self.inputs.dtype
+        state = np.zeros((len(queues), h), kind)
         # what a window holds, with the column of ones that meets the bias
-        states = np.ones((window * len(queues), h + 1), np.float32)
-        start, longest = 0, int(lengths[0])
+        states = np.ones((window * len(queues), h + 1), kind)
+        start, longest, given = 0, int(lengths[0]), None
         while start < longest:
-            places, filled = [], 0
             # few lanes are left where texts are very long: their windows are longer, as many tokens are weighed at once
             ahead = window * len(queues) // int(np.searchsorted(-lengths, -start, side="left"))
-            for t in range(start, min(start + ahead, longest)):
-                live = int(np.searchsorted(-lengths, -t, side="left"))
-                at = base[:live] + t
-                state = state[:, :live]
-                fresh = begins[at]
-                if fresh.any():
-                    state[:, fresh] = 0
-                states[filled : filled + live, :h] = state.T
-                places.append(at)
-                filled += live
-                state = self.step(state, stream[at])
-            at = np.concatenate(places)
-            shares = self._log_shares(states[:filled], stream[at])
+            steps = np.arange(start, min(start + ahead, longest))
+            lives = np.searchsorted(-lengths, -steps, side="left").tolist()
+            at = np.concatenate([base[:live] + t for t, live in zip(steps.tolist(), lives, strict=True)])
+            tokens, fresh = stream[at], np.flatnonzero(begins[at])
+            places, ends = self.places(tokens), np.cumsum(lives)
+            cuts = np.searchsorted(fresh, [0, *ends]).tolist()
+            for k, (live, filled) in enumerate(zip(lives, (ends - lives).tolist(), strict=True)):
+                if live != len(state) or given is None:
+                    state = state[:live]
+                    given, kept, held = [_room(rooms, kind, name, *n, live, h) for name, n in (("given", (3,)), ("kept", (2,)), ("held", ()))]
+                if cuts[k] < cuts[k + 1]:
+                    state[fresh[cuts[k] : cuts[k + 1]] - filled] = 0
+                states[filled : filled + live, :h] = state
+                self.step_from(state, self.looked_up(places[:, filled : filled + live], given), recurrent, kept, held)
+            shares = self._log_shares(states[: len(at)], tokens, rooms)
             totals += np.bincount(owner[at], shares, len(texts))
             start += ahead
         return totals
@@ -229,33 +278,27 @@ class Trainer:
         self.rooms: dict[str, np.ndarray] = {}
 
     def room(self, name: str, *shape: int) -> np.ndarray:
-        """Memory of that name and shape, as it was left: windows use the same again, as fresh pages cost a sixth of the time."""
-        size, kind = math.prod(shape), self.model.inputs.dtype
-        if name not in self.rooms or self.rooms[name].size < size or self.rooms[name].dtype != kind:
-            self.rooms[name] = np.empty(size, kind)
-        return self.rooms[name][:size].reshape(shape)
+        return _room(self.rooms, self.model.inputs.dtype, name, *shape)
 
     def window(self, state: np.ndarray, tokens: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, float]:
         """One update from tokens (lanes, steps); state is carried in and out, gradients end at the window's start."""
         m = self.model
         lanes, steps = tokens.shape
         h = state.shape[1]
-        # step by step, and lanes as columns: what belongs together is one stretch of memory
+        # step by step, so that a step's lanes are one stretch of memory
         tokens, fresh = np.ascontiguousarray(tokens.T), np.ascontiguousarray(fresh.T)
-        truth, n = tokens.ravel(), tokens.size
-        before, trace = self.room("before", steps, lanes, h + 1), []
+        truth, n, places, recurrent = tokens.ravel(), tokens.size, m.places(tokens), m.by_part()
+        cleared = [np.flatnonzero(f) for f in fresh]
+        before = self.room("before", steps, lanes, h + 1)
         before[:, :, h] = 1
-        states, gates = self.room("states", steps + 1, h, lanes), self.room("gates", steps, 2 * h, lanes)
-        candidates, held, kept = self.room("candidates", steps, h, lanes), self.room("held", steps, h, lanes), self.room("kept", 3 * h, lanes)
-        looked_up, given = self.room("looked up", lanes, 3 * h), self.room("given", 3 * h, lanes)
-        states[0] = state.T
+        # a step's gates and candidate lie where it looks its inputs up, and its gradients where those were
+        gates, held = self.room("gates", steps, 3, lanes, h), self.room("held", steps, lanes, h)
+        kept, state = self.room("kept", 2, lanes, h), state.copy()
         for t in range(steps):
-            if fresh[t].any():
-                states[t][:, fresh[t]] = 0
-            before[t, :, :h] = states[t].T
-            given[...] = m.inputs.take(tokens[t], axis=0, out=looked_up, mode="clip").T
-            _, z, r, candidate, held[t] = m.step_from(states[t], given, (states[t + 1], gates[t], candidates[t], kept))
-            trace.append((states[t], z, r, candidate, held[t]))
+            if len(cleared[t]):
+                state[cleared[t]] = 0
+            before[t, :, :h] = state
+            m.step_from(state, m.looked_up(places[t], gates[t]), recurrent, kept, held[t])
         grads = {name: self.room(f"grads of {name}", *getattr(m, name).shape) for name in self.NAMES}
         for grad in grads.values():
             grad.fill(0)
@@ -280,57 +323,60 @@ class Trainer:
             shares[own] -= 1
             np.matmul(shares, part, out=grads["word_out"][first:end])
             back[here] += shares.T @ weights[:, :-1]
-        placed = self.room("placed", n, h)
-        placed[order] = back
-        placed = placed.reshape(steps, lanes, h)
-        d_given = self.room("d given", steps, lanes, 3 * h)
-        through, ahead = self.room("through", 3 * h, lanes), self.room("ahead", h, lanes)
-        d_candidate, spare = self.room("d candidate", h, lanes), self.room("spare", h, lanes)
+        back_to = np.empty(n, np.int64)
+        back_to[order] = np.arange(n)
+        ahead, d_candidate, spare = self.room("ahead", lanes, h), self.room("d candidate", lanes, h), self.room("spare", lanes, h)
+        through = self.room("through", lanes, 3 * h)
         ahead.fill(0)
         for t in range(steps - 1, -1, -1):
-            old, z, r, candidate, kept = trace[t]
+            old, (z, r, candidate) = before[t, :, :h], gates[t]
             np.subtract(1, z, out=d_candidate)
-            np.multiply(z, d_candidate, out=through[:h])
+            d_update = np.multiply(z, d_candidate, out=kept[0])
             d_candidate *= ahead
             np.subtract(old, candidate, out=spare)
             spare *= ahead
-            through[:h] *= spare
+            np.multiply(d_update, spare, out=through[:, :h])
             np.multiply(candidate, candidate, out=spare)
             d_candidate *= np.subtract(1, spare, out=spare)
-            np.multiply(d_candidate, r, out=through[2 * h :])
-            np.multiply(kept, np.subtract(1, r, out=spare), out=spare)
-            np.multiply(through[2 * h :], spare, out=through[h : 2 * h])
-            d_given[t, :, : 2 * h], d_given[t, :, 2 * h :] = through[: 2 * h].T, d_candidate.T
-            grads["recurrent"] += old @ through.T
+            d_held = np.multiply(d_candidate, r, out=kept[0])
+            np.multiply(held[t], np.subtract(1, r, out=spare), out=spare)
+            np.multiply(d_held, spare, out=through[:, h : 2 * h])
+            through[:, 2 * h :] = d_held
+            grads["recurrent"] += old.T @ through
             ahead *= z
-            ahead += np.matmul(m.recurrent, through, out=spare)
-            ahead += placed[t].T
-            if fresh[t].any():
-                ahead[:, fresh[t]] = 0
-        _sum_rows(d_given.reshape(n, 3 * h), order, found, grads["inputs"], self.room("sorted", n, 3 * h))
+            ahead += np.matmul(through, m.recurrent.T, out=spare)
+            ahead += back.take(back_to[t * lanes : (t + 1) * lanes], axis=0, out=spare, mode="clip")
+            if len(cleared[t]):
+                ahead[cleared[t]] = 0
+            # what passes through the recurrent weights meets the reset gate, what is given does not
+            through[:, 2 * h :] = d_candidate
+            gates[t] = through.reshape(3, lanes, h)
+        _sum_rows(gates.reshape(n, 3 * h), order, found, grads["inputs"], self.room("sorted", SUMMED, 3 * h))
         self._update(grads, n)
-        return states[steps].T.copy(), loss
+        return state, loss
 
     def _update(self, grads: dict[str, np.ndarray], n: int) -> None:
         self.turn += 1
         squares = {name: np.multiply(g, g, out=self.room(f"squares of {name}", *g.shape)) for name, g in grads.items()}
         size = np.sqrt(sum(float(g.sum()) for g in squares.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-12)) / n)
-        for name, grad in grads.items():
-            spare = squares[name]
-            grad *= scale
-            a, b = self.first[name], self.second[name]
-            np.subtract(grad, a, out=spare)
-            spare *= np.float32(0.1)
-            a += spare
-            np.multiply(grad, grad, out=spare)
-            spare -= b
-            spare *= np.float32(0.01)
-            b += spare
-            fix = self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn)
-            np.sqrt(b, out=spare)
-            spare += np.float32(1e-8)
-            getattr(self.model, name).__isub__(np.divide(np.multiply(np.float32(fix), a, out=grad), spare, out=spare))
+        fix = np.float32(self.rate * np.sqrt(1 - 0.99**self.turn) / (1 - 0.9**self.turn))
+        for name, whole in grads.items():
+            rows = max(1, UPDATED // whole.shape[1])
+            for start in range(0, len(whole), rows):
+                here = slice(start, start + rows)
+                grad, a, b, spare = whole[here], self.first[name][here], self.second[name][here], squares[name][here]
+                grad *= scale
+                np.subtract(grad, a, out=spare)
+                spare *= np.float32(0.1)
+                a += spare
+                np.multiply(grad, grad, out=spare)
+                spare -= b
+                spare *= np.float32(0.01)
+                b += spare
+                np.sqrt(b, out=spare)
+                spare += np.float32(1e-8)
+                getattr(self.model, name)[here] -= np.divide(np.multiply(fix, a, out=grad), spare, out=spare)
 
 
 def train(model: Model, texts: list[np.ndarray], passes: int = 1, updates: int = UPDATES, window: int = STEPS, span: tuple[float, float] = (0.0, 1.0)) -> list[float]:

@@ -95,21 +95,22 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("shape", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[pa.Table] = []
+        seen: list[pa.StructArray] = []
         rows = ends = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = pa.concat_tables(seen)
+            words, n = pa.concat_arrays([x.field("values") for x in seen]), np.concatenate([x.field("counts").to_numpy() for x in seen])
             if len(seen) > 1:
-                found = found.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
-            for part in found.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays(
-                    [part["word"].cast(pa.binary()), pa.array(shapes(part["word"]), pa.int32()), part["n"]], ["word", "shape", "n"]
-                )
+                # a third of the time that Arrow takes to group by bytes
+                found = pc.dictionary_encode(words)
+                sums = np.zeros(len(found.dictionary), np.int64)
+                np.add.at(sums, found.indices.to_numpy(), n)
+                words, n = found.dictionary, sums
+            yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(shapes(words), pa.int32()), pa.array(n, pa.int64())], ["word", "shape", "n"])
 
         for batch in _slices(batches, 0):
             times = pc.value_counts(words_of(batch.column(0))[1])
-            seen.append(pa.table({"word": times.field("values"), "n": times.field("counts")}))
+            seen.append(times)
             rows, ends = rows + len(times), ends + batch.num_rows
             if rows >= HELD:
                 yield from out()
@@ -153,7 +154,7 @@ class Frequent:
         rest = words[vocabulary - 1 :]
         self.words = [r[0] for r in known + rest]
         self.counts = np.array([r[1] for r in known], float)
-        self.end = self.words.index(END)
+        self.sought, self.end = pa.array(self.words, pa.large_binary()), self.words.index(END)
         self.size, self.k = len(self.words), len(known)
         # what is left in each shape
         self.shape_tokens, self.shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
@@ -173,7 +174,7 @@ class Frequent:
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Number of each word; beyond the frequent ones, ``size`` and the word's shape."""
-        found = pc.index_in(words, value_set=pa.array(self.words, pa.large_binary()))
+        found = pc.index_in(words, value_set=self.sought)
         ids, beyond = pc.fill_null(found, -1).to_numpy().astype(np.int64), found.is_null()
         if found.null_count:
             ids[ids < 0] = self.size + shapes(words.filter(beyond))

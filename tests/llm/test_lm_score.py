@@ -1,5 +1,6 @@
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,3 +183,38 @@ def test_texts_are_split_in_slices(monkeypatch):
     batches.append(batches[0].slice(0, 0))
     found = [s.column(0).to_pylist() for s in lm_score._slices(batches, 0)]
     assert sum(found, []) == texts and len(found) > 2 and all(found)
+
+
+@pytest.mark.parametrize("room", [2, 7, 50, 400])
+def test_rows_are_summed_in_pieces(room):
+    """Many keys of one frequency, one key of many rows, and the last bit as if all had room at once."""
+    draw = np.random.default_rng(8)
+    keys = draw.permutation([*range(3, 60), *np.repeat(np.arange(60, 90), 2), *[1] * 130, *[97] * 3])
+    rows, order = draw.normal(size=(len(keys), 6)).astype(np.float32), np.argsort(keys, kind="stable")
+    want, found = np.zeros((100, 6), np.float32), np.zeros((100, 6), np.float32)
+    for key, row in zip(keys[order].tolist(), rows[order], strict=True):
+        want[key] += row
+    gru._sum_rows(rows, order, keys[order], found, np.empty((room, 6), np.float32))
+    assert (found == want).all()
+
+
+def test_a_step_works_in_place():
+    """Nothing as large as the lanes is made anew, and lanes of any number get the same states."""
+    model, tokens_ = small(), np.random.default_rng(9).integers(0, 9, 300)
+    state, spare = np.full((300, 5), 0.25, np.float32), np.empty((6, 300, 5), np.float32)
+    places, recurrent = model.places(tokens_), model.by_part()
+    tracemalloc.start()
+    model.step_from(state, model.looked_up(places, spare[:3]), recurrent, spare[3:5], spare[5])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < state.nbytes
+    alone = [model.step(np.full((5, 1), 0.25, np.float32), tokens_[i : i + 1])[:, 0] for i in range(300)]
+    assert np.allclose(state, alone, rtol=1e-6) and (state != 0.25).all()
+
+
+def test_words_of_several_slices_are_summed(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SPLIT", 40)
+    data = [(i, " ".join(f"W{j % 7} \u00e9{j % 3}" for j in range(i % 9)), "en", "a") for i in range(60)]
+    want = collections.Counter(t for _, text, *_ in data for t in tokens(text))
+    rows_ = lm_score.count_words(docs(spark, data).coalesce(1)).collect()
+    assert {bytes(r["word"]): r["n"] for r in rows_} == want and len(rows_) == len(want)
