@@ -27,8 +27,8 @@ from relaygrid.llm.common import BLANKS
 from relaygrid.session import settle
 
 SAMPLES = 80
-#: Rows of a slot, and how many slots there are at most; beyond it slots grow (their starts travel to every task).
-SLOT_ROWS, MOST_SLOTS = 128, 32_768
+#: Rows of a slot, and how many slots there are at most; beyond it slots grow (their starts are part of the plan and travel to every task).
+SLOT_ROWS, MOST_SLOTS = 128, 4_096
 #: Two hashes of 64 bits give four uniforms of 26 bits and one of 24.
 _BITS = 26
 _SQUARE = float(1 << (2 * _BITS))
@@ -106,8 +106,8 @@ def shown(samples: Column) -> Column:
     return F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s)), _SHOWN_BITS // 4, "0")), "")
 
 
-def _starts(docs: DataFrame, order: list[Column]) -> list:
-    """(id, tie) of the first row of each slot, in order: every ``size``-th row of all, at most :data:`MOST_SLOTS`."""
+def _starts(docs: DataFrame, order: list[Column]) -> tuple[list, int]:
+    """(id, tie) of the first row of each slot, in order: every ``size``-th row of all, at most :data:`MOST_SLOTS`; the rows of all."""
     total = docs.count()
     size = max(SLOT_ROWS, -(-total // MOST_SLOTS))
     parts = max(8, -(-total // 100_000))
@@ -122,7 +122,7 @@ def _starts(docs: DataFrame, order: list[Column]) -> list:
     for row in sorted(found, key=lambda r: r["place"]):
         if not starts or starts[-1] != (row["id"], row["tie"]):  # rows equal in both stay in one slot
             starts.append((row["id"], row["tie"]))
-    return starts
+    return starts, total
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
@@ -132,29 +132,32 @@ def _with_next(docs: DataFrame) -> DataFrame:
     starts, and the row that starts a slot also visits, as ``guest``, the slot before.
     """
     order = [F.col("id").desc_nulls_last(), F.col("tie")]
-    starts = _starts(docs, order)
+    starts, total = _starts(docs, order)
     if not starts:
         return docs.select(F.lit(0).alias("slot"), F.lit(0).alias("at"), F.lit(False).alias("guest"), "id", "text", F.col("text").alias("next"))
     kind = docs.schema["id"].dataType.simpleString()
-    # one constant, however many starts; the optimiser parses it once
+    # a constant; the optimiser parses it once.  It stands in the plan as text too, so it is named twice only, whatever the number of steps
     listed = json.dumps([{"id": i if isinstance(i, int) or i is None else str(i), "tie": t} for i, t in starts])
     entries = F.from_json(F.lit(listed), f"array<struct<id: {kind}, tie: bigint>>")
+
+    def at_start(place: Column, holds) -> Column:
+        """Whether ``holds`` is true of one start; bound by a function, so that the list is not repeated for each use."""
+        return F.exists(F.array(F.get(entries, place)), holds)
+
     reached = lambda start: (  # noqa: E731  (the row is the start or comes after it)
         F.when(F.col("id").eqNullSafe(start["id"]), F.col("tie") >= start["tie"])
         .when(F.col("id").isNull(), True).when(start["id"].isNull(), False).otherwise(F.col("id") < start["id"])
     )
-    frame = docs.withColumn("slot", F.lit(0))
-    for bit in reversed(range((len(starts) - 1).bit_length())):
-        tried = F.col("slot") + (1 << bit)
-        frame = frame.withColumn("slot", F.when((tried < len(starts)) & reached(F.get(entries, tried)), tried).otherwise(F.col("slot")))
-    begins = F.get(entries, F.col("slot"))
+    steps = F.array(F.lit(0), *[F.lit(1 << bit) for bit in reversed(range((len(starts) - 1).bit_length()))])
+    slot = F.aggregate(steps, F.lit(0), lambda slot, step: F.when((slot + step < len(starts)) & at_start(slot + step, reached), slot + step).otherwise(slot))
+    frame = docs.withColumn("slot", slot)
     visits = F.array(F.struct(F.col("slot").alias("slot"), F.lit(False).alias("guest")))
     before = F.when(F.col("slot") > 0, F.col("slot") - 1).otherwise(len(starts) - 1)
-    is_start = F.col("id").eqNullSafe(begins["id"]) & (F.col("tie") == begins["tie"])
+    is_start = at_start(F.col("slot"), lambda start: F.col("id").eqNullSafe(start["id"]) & (F.col("tie") == start["tie"]))
     both = F.concat(visits, F.array(F.struct(before.alias("slot"), F.lit(True).alias("guest"))))
     frame = frame.select("id", "tie", "text", F.explode(F.when(is_start, both).otherwise(visits)).alias("visit"))
     frame = frame.select("id", "tie", "text", "visit.slot", "visit.guest")
-    parts = min(len(starts), max(64, len(starts) // 4))
+    parts = min(len(starts), max(64, total // (4 * SLOT_ROWS)))
     inside = Window.partitionBy("slot").orderBy("guest", *order)
     return frame.repartition(parts, "slot").select(
         "slot", F.row_number().over(inside).alias("at"), "guest", "id", "text", F.lead("text").over(inside).alias("next")
